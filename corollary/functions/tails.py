@@ -36,6 +36,7 @@ def student_two_sided(t: float | None, df: float | None) -> float | None:
     """P(|T| > |t|) for Student's t with ``df`` degrees of freedom."""
     if t is None or df is None or df <= 0 or math.isnan(t):
         return None
+    t, df = float(t), float(df)
     if math.isinf(t):
         return 0.0
     a, b = df / 2.0, 0.5

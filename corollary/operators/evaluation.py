@@ -7,6 +7,7 @@ row, so no statistic shuffles more than its sums.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corollary.functions.tails import normal_two_sided, student_two_sided
@@ -23,6 +24,10 @@ from corollary.operators import ranking, relational
 
 #: Concepts one regression may hold; the H x H sums are solved on the driver.
 MAX_CONCEPTS = 4_000
+#: Distinct annotation vectors one task of a logistic fit reads.
+CELLS_PER_TASK = 100_000
+#: Steps of the logistic fit, and the standard error above which it counts as separated.
+FIT_STEPS, LARGEST_ERROR = 35, 1e3
 
 
 def concept_columns(concepts: Sequence[str]) -> list[str]:
@@ -169,33 +174,45 @@ def _least_squares(design: DataFrame, concepts: Sequence[str]) -> tuple[list[tup
 def _logistic(design: DataFrame, concepts: Sequence[str]):
     """Maximum-likelihood logistic fit; None where it has no finite solution."""
     columns = concept_columns(concepts)
-    _, gram = cross_products(design, columns)
-    if np.linalg.matrix_rank(gram / np.sqrt(np.outer(np.diag(gram), np.diag(gram)) + 1e-300), tol=1e-10) < len(columns) + 1:
-        return None
-    # repeated rows of (y, annotations) become one weighted row: at most the number of
-    # distinct annotation vectors travels through the fit's passes
-    weighted = design.groupBy("y", *columns).agg(F.count("*").cast("double").alias("weight"))
-    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(weighted)
-    assembled = assembled.select("y", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    # rows with equal annotations become one row of trials: the fit's passes read at most
+    # as many rows as there are distinct annotation vectors
+    cells = design.groupBy(*columns).agg(F.avg("y").alias("rate"), F.count("*").cast("double").alias("trials"))
+    cells = VectorAssembler(inputCols=columns, outputCol="features").transform(cells)
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = GeneralizedLinearRegression(
-            family="binomial", labelCol="y", weightCol="weight", maxIter=50, tol=1e-12
-        ).fit(assembled)
-        summary = model.summary
-        errors = list(summary.coefficientStandardErrors)
-    except Exception:
-        return None
+        packed = cells.coalesce(max(1, cells.count() // CELLS_PER_TASK))
+        _, gram = cross_products(packed, columns)
+        size = np.sqrt(np.diag(gram))
+        if size.min() == 0 or np.linalg.matrix_rank(gram / np.outer(size, size), tol=1e-10) < len(gram):
+            return None
+        estimator = GeneralizedLinearRegression(
+            family="binomial", labelCol="rate", weightCol="trials", maxIter=FIT_STEPS, tol=1e-10
+        )
+        try:
+            model = estimator.fit(packed)
+            errors = list(model.summary.coefficientStandardErrors)
+        except Exception as problem:
+            warnings.warn(f"logistic fit failed: {problem}", stacklevel=3)
+            return None
+        beta = np.array([model.intercept, *model.coefficients])
+        if not np.all(np.isfinite(beta)) or max(errors) > LARGEST_ERROR:
+            return None
+        rate, trials = F.col("rate"), F.col("trials")
+        p = 1 / (1 + F.exp(-_linear(beta, columns)))
+        fitted = F.sum(trials * (rate * F.log(p) + (1 - rate) * F.log(1 - p)))
+        logs, n, ones = packed.agg(fitted, F.sum("trials"), F.sum(trials * rate)).first()
     finally:
-        assembled.unpersist()
-    beta = np.array([model.intercept, *model.coefficients])
-    if not np.all(np.isfinite(beta)) or max(errors) > 1e4:
-        return None
-    rows = [
-        (float(b), normal_two_sided(float(b) / e if e > 0 else None))
-        for b, e in zip(model.coefficients, errors[: len(columns)])
-    ]
-    r2 = 1 - summary.deviance / summary.nullDeviance if summary.nullDeviance > 0 else None
-    return rows, r2, beta
+        cells.unpersist()
+    base = sum(k * np.log(k / n) for k in (ones, n - ones) if k > 0)
+    rows = [(float(b), normal_two_sided(float(b) / e)) for b, e in zip(model.coefficients, errors)]
+    return rows, float(1 - logs / base) if base else None, beta
+
+
+def _linear(beta: np.ndarray, columns: Sequence[str]) -> Column:
+    total = F.lit(float(beta[0]))
+    for b, name in zip(beta[1:], columns):
+        total = total + F.lit(float(b)) * F.col(name)
+    return total
 
 
 def regression(design: DataFrame, concepts: Sequence[str], *, classification: bool = False) -> tuple[DataFrame, dict, DataFrame]:
@@ -211,9 +228,7 @@ def regression(design: DataFrame, concepts: Sequence[str], *, classification: bo
     if fit is None:
         fit = _least_squares(design, concepts)
     rows, r2, beta = fit
-    linear = F.lit(float(beta[0]))
-    for b, name in zip(beta[1:], concept_columns(concepts)):
-        linear = linear + F.lit(float(b)) * F.col(name)
+    linear = _linear(beta, concept_columns(concepts))
     score = 1 / (1 + F.exp(-linear)) if logistic else linear
     predictions = design.select("y", score.alias("score"))
     metrics: dict = {}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corollary.functions.text import truncate
 from corollary.operators import ranking
+from corollary.session import cut_lineage
 
 #: Example rows up to which the texts are scanned against a broadcast of the examples.
 BROADCAST_EXAMPLES = 1_000_000
@@ -58,7 +59,9 @@ def zero_rows(acts: DataFrame, rows: DataFrame, neurons: Sequence[int], n: int,
         (narrow if drawn < zeros else everywhere)[i] = (wanted, min(1.0, drawn / zeros))
     frames = []
     if narrow:
-        found = _zero_rows_in_windows(mine, rows, {i: share for i, (_, share) in narrow.items()}, n, seed, few=True)
+        shares = {i: share for i, (_, share) in narrow.items()}
+        # at most n rows per neuron; written down because they are counted and then used
+        found = cut_lineage(_zero_rows_in_windows(mine, rows, shares, n, seed, few=True))
         counts = {r[0]: r[1] for r in found.groupBy("neuron_idx").count().collect()}
         short = [i for i, (wanted, _) in narrow.items() if counts.get(i, 0) < wanted]
         frames.append(found.filter(~F.col("neuron_idx").isin(short)) if short else found)
