@@ -15,6 +15,8 @@ BLANK = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+#: A run of them for Java's matcher, where the short form is several times faster.
+BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 #: The same characters spelled out.
 BLANK_CHARS = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -43,7 +45,7 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def is_valid(text: Column) -> Column:
     """True where a text is neither NULL nor blank."""
-    return text.isNotNull() & text.rlike(rf"[^{BLANK[1:]}")
+    return text.isNotNull() & text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def drop_invalid(df: DataFrame, text: str = "text") -> DataFrame:
@@ -82,9 +84,9 @@ def truncate(
     cut = text
     if max_words is not None:
         cut = _once(
-            F.split(strip(text), f"{BLANK}+", max_words + 1),
+            F.split(strip(text), BLANK_RUN, max_words + 1),
             lambda words: F.when(
-                F.size(words) > max_words, F.array_join(F.slice(words, 1, max_words), " ")
+                (F.size(words) > max_words) & (words[0] != ""), F.array_join(F.slice(words, 1, max_words), " ")
             ).otherwise(text),
         )
     if max_chars is not None:

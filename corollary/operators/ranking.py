@@ -107,15 +107,13 @@ def running_totals(df: DataFrame, value: str, sums: list[str], rows_per_slice: i
     value's range, each ranked by itself; the slice totals (at most 4,096 rows) carry
     the sums across slices.
     """
-    probs = [i / 4096 for i in range(1, 4096)]
-    n, cuts = df.agg(F.count("*"), F.percentile_approx(value, F.lit(probs), 10_000)).first()
-    slices = min(4096, max(1, n // rows_per_slice))
+    slices = min(4096, max(1, df.count() // rows_per_slice))
+    splits = [float("-inf"), float("inf")]
     if slices > 1:
-        chosen = sorted({float(cuts[(i * 4096) // slices - 1]) for i in range(1, slices)})
-        splits = [float("-inf"), *chosen, float("inf")]
-        df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
-    else:
-        df = df.withColumn("_slice", F.lit(0.0))
+        probs = F.lit([i / slices for i in range(1, slices)])
+        cuts = df.agg(F.percentile_approx(value, probs, 10_000)).first()[0]
+        splits[1:1] = sorted({float(c) for c in cuts})
+    df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
     totals = df.groupBy("_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     # at most 4,096 rows: the only unpartitioned window
     over = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)

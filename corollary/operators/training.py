@@ -38,6 +38,8 @@ STEPS_PER_EPOCH = 64
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 64 << 20
 #: Bytes of partial sums the driver takes at once, and tasks added up by one task.
 COLLECT_BYTES, FAN_IN = 256 << 20, 32
+#: Partial sums above this size travel in single precision.
+WIDE_MESSAGE = 16 << 20
 # Adam's usual constants and the guard of the gradient norm
 BETA_1, BETA_2, EPSILON, NORM_GUARD = 0.9, 0.999, 1e-8, 1e-6
 
@@ -138,19 +140,19 @@ def aux_sums(x: np.ndarray, model: FeatureModel, dead: np.ndarray, gradient: boo
 
 
 def pack(vectors: DataFrame, embedding: str, row_id: str, steps: int, seed: int, dim: int) -> DataFrame:
-    """``step, block``: float64 blocks of the rows each step uses, without a shuffle.
+    """``step, block``: single-precision blocks of each step's rows, without a shuffle.
 
     A row's step follows from its hash, so every partition holds a slice of every step.
     """
     step = (hash_position(seed, F.col(row_id)) / F.lit(HASH_RANGE / steps)).cast("int")
     rows = vectors.select(F.least(step, F.lit(steps - 1)).alias("step"), F.col(embedding).alias("x"))
-    most = max(1, BLOCK_BYTES // (8 * dim))
+    most = max(1, BLOCK_BYTES // (4 * dim))
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[np.ndarray]] = {}
 
         def block(s):
-            joined = np.concatenate(waiting.pop(s))
+            joined = np.concatenate(waiting.pop(s)).astype(np.float32)
             return pa.RecordBatch.from_pydict({"step": pa.array([s], pa.int32()), "block": [joined.tobytes()]})
 
         for batch in batches:
@@ -168,11 +170,12 @@ def pack(vectors: DataFrame, embedding: str, row_id: str, steps: int, seed: int,
     return rows.mapInArrow(pack_rows, "step int, block binary")
 
 
-def _add_up(partials: DataFrame, message_bytes: int) -> dict[str, np.ndarray]:
+def _add_up(partials: DataFrame, tasks: int, message_bytes: int) -> dict[str, np.ndarray]:
     """Total of one ``part, sums`` record per task, through a tree of partial totals."""
-    at_once = max(1, COLLECT_BYTES // max(message_bytes, 1))
-    tasks = partials.rdd.getNumPartitions()
-    while tasks > max(at_once, FAN_IN):
+    at_once = max(FAN_IN, COLLECT_BYTES // max(message_bytes, 1))
+    if message_bytes * FAN_IN > COLLECT_BYTES:
+        at_once = max(1, COLLECT_BYTES // message_bytes)
+    while tasks > at_once:
         tasks = max(1, -(-tasks // FAN_IN))
         partials = (
             partials.repartition(tasks, F.pmod("part", F.lit(tasks)))
@@ -191,20 +194,23 @@ def _accumulate(total: dict, more: dict) -> None:
 
 
 def _packed(total: dict) -> bytes:
-    names = ",".join(f"{k}:{'x'.join(map(str, v.shape))}" for k, v in total.items())
-    head = names.encode()
-    return len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(v).tobytes() for v in total.values())
+    size = sum(v.nbytes for v in total.values())
+    kind = "<f4" if size > WIDE_MESSAGE else "<f8"
+    head = ",".join([kind, *(f"{k}:{'x'.join(map(str, v.shape))}" for k, v in total.items())]).encode()
+    body = b"".join(np.ascontiguousarray(v, dtype=kind).tobytes() for v in total.values())
+    return len(head).to_bytes(4, "little") + head + body
 
 
 def _unpack(raw: bytes) -> dict[str, np.ndarray]:
-    size = int.from_bytes(raw[:4], "little")
-    at, out = 4 + size, {}
-    for entry in raw[4:at].decode().split(","):
+    at, out = 4 + int.from_bytes(raw[:4], "little"), {}
+    kind, *entries = raw[4:at].decode().split(",")
+    kind = np.dtype(kind)
+    for entry in entries:
         name, shape = entry.split(":")
         shape = tuple(int(n) for n in shape.split("x"))
         count = math.prod(shape)
-        out[name] = np.frombuffer(raw, np.float64, count, at).reshape(shape)
-        at += 8 * count
+        out[name] = np.frombuffer(raw, kind, count, at).reshape(shape).astype(np.float64)
+        at += kind.itemsize * count
     return out
 
 
@@ -222,9 +228,20 @@ def _sum_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record(total)
 
 
-def _run(blocks: DataFrame, model: FeatureModel, share, message_bytes: int) -> dict[str, np.ndarray]:
+@dataclass
+class _Blocks:
+    """Cached blocks and the number of tasks that read them."""
+
+    frame: DataFrame
+    tasks: int
+
+    def at(self, step: int) -> _Blocks:
+        return _Blocks(self.frame.filter(F.col("step") == step), self.tasks)
+
+
+def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int) -> dict[str, np.ndarray]:
     """Sum ``share(x, model)`` over all rows of the blocks."""
-    spark = blocks.sparkSession
+    spark = blocks.frame.sparkSession
     weights = spark.sparkContext.broadcast(model)
     step = max(1, BLOCK_CELLS // max(model.m, model.dim))
     dim = model.dim
@@ -233,14 +250,14 @@ def _run(blocks: DataFrame, model: FeatureModel, share, message_bytes: int) -> d
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for raw in batch.column("block"):
-                x = np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, dim)
+                x = np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, dim)
                 for at in range(0, len(x), step):
-                    _accumulate(total, share(x[at : at + step], weights.value))
+                    _accumulate(total, share(x[at : at + step].astype(np.float64), weights.value))
         if total:
             yield _record(total)
 
     try:
-        return _add_up(blocks.mapInArrow(work, "part int, sums binary"), message_bytes)
+        return _add_up(blocks.frame.mapInArrow(work, "part int, sums binary"), blocks.tasks, message_bytes)
     finally:
         weights.destroy()
 
@@ -318,13 +335,15 @@ class _Adam:
         model.dec = model.dec / np.linalg.norm(model.dec, axis=1, keepdims=True)
 
 
-def _cached_blocks(vectors, embedding, row_id, steps, cfg, dim, n_rows) -> DataFrame:
-    wanted = cfg.partitions or max(1, -(-n_rows * dim * 8 // PARTITION_BYTES))
-    if wanted < vectors.rdd.getNumPartitions():
-        vectors = vectors.coalesce(wanted)
-    elif cfg.partitions:
-        vectors = vectors.repartition(wanted, row_id)
-    return pack(vectors, embedding, row_id, steps, cfg.seed, dim).persist(StorageLevel.MEMORY_AND_DISK)
+def _cached_blocks(vectors, embedding, row_id, steps, cfg, dim, n_rows) -> _Blocks:
+    """Pack and cache, one partition per core at most: every task sends a gradient."""
+    if cfg.partitions:
+        vectors = vectors.repartition(cfg.partitions, row_id)
+    else:
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        vectors = vectors.coalesce(max(1, min(cores, -(-n_rows * dim * 4 // PARTITION_BYTES))))
+    frame = pack(vectors, embedding, row_id, steps, cfg.seed, dim).persist(StorageLevel.MEMORY_AND_DISK)
+    return _Blocks(frame, frame.select(F.spark_partition_id()).distinct().count())
 
 
 def train_sae(
@@ -369,9 +388,9 @@ def train_sae(
     try:
         _fit(model, blocks, val_blocks, steps, cfg)
     finally:
-        blocks.unpersist()
+        blocks.frame.unpersist()
         if val_blocks is not None:
-            val_blocks.unpersist()
+            val_blocks.frame.unpersist()
     if path is not None:
         models.save_model(spark, model, path)
     return model
@@ -385,7 +404,7 @@ def _fit(model: FeatureModel, blocks, val_blocks, steps: int, cfg: TrainConfig)
     for epoch in range(cfg.n_epochs):
         losses = []
         for step in order.permutation(steps).tolist():
-            part = blocks.filter(F.col("step") == step) if steps > 1 else blocks
+            part = blocks.at(step) if steps > 1 else blocks
             loss, grads = _loss_and_gradient(part, model, cfg, gradient=True, track=True)
             if grads is None:
                 continue

@@ -249,7 +249,7 @@ def g5_tabular(spark, sf):
     keyed = prompts.withColumn("text_key", text_key(F.col("text")))
     store = jobs.embed_texts(prompts, rules.embed_words)
     embedded = keyed.join(store.select("text_key", "embedding"), "text_key").select("row_id", "embedding")
-    model = training.train_sae(embedded, 8, 2, n_epochs=3, learning_rate=1e-2, seed=SEED)
+    model = training.train_sae(embedded, 8, 2, n_epochs=3, batch_size=4096, learning_rate=1e-2, seed=SEED)
     hypotheses = flows.generate_hypotheses(
         prompts, targets, embedded, model, rules.name_by_word, rules.answer_contains,
         selection_method="correlation", n_selected_neurons=3, n_scoring_examples=20, seed=SEED,
