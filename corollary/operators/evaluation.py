@@ -163,8 +163,10 @@ def _least_squares(design: DataFrame, concepts: Sequence[str]) -> tuple[list[tup
             out.append((None, None))
             continue
         error = np.sqrt(residual / df * inverse[i, i]) if df > 0 else np.nan
-        t = beta[i] / error if error > 0 else np.inf * np.sign(beta[i])
-        out.append((float(beta[i]), student_two_sided(float(t), df)))
+        if error == 0:  # a perfect fit
+            out.append((float(beta[i]), 0.0 if beta[i] else None))
+        else:
+            out.append((float(beta[i]), student_two_sided(float(beta[i] / error), df)))
     explained = beta @ xy
     fitted = beta @ xx @ beta
     r2 = float(explained**2 / (fitted * yy)) if fitted > 0 and yy > 0 else None

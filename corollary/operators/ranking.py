@@ -108,12 +108,13 @@ def running_totals(df: DataFrame, value: str, sums: list[str], rows_per_slice: i
     the sums across slices.
     """
     slices = min(4096, max(1, df.count() // rows_per_slice))
-    splits = [float("-inf"), float("inf")]
     if slices > 1:
         probs = F.lit([i / slices for i in range(1, slices)])
         cuts = df.agg(F.percentile_approx(value, probs, 10_000)).first()[0]
-        splits[1:1] = sorted({float(c) for c in cuts})
-    df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
+        splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+        df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
+    else:
+        df = df.withColumn("_slice", F.lit(0.0))
     totals = df.groupBy("_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     # at most 4,096 rows: the only unpartitioned window
     over = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)

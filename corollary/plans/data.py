@@ -53,10 +53,10 @@ def lengths(spark, sf) -> DataFrame:
     )
 
 
-def neighbours(spark, sf, name: str, key: str, target) -> DataFrame:
+def neighbours(rows: DataFrame, key: str, target) -> DataFrame:
     """``pair_id, row_a, row_b, y``: rows 2i and 2i + 1; y = 1 if A's target is larger."""
     side = F.col(key) - 2 * F.shiftright(key, 1)
-    sides = table(spark, sf, name).select(
+    sides = rows.select(
         F.shiftright(key, 1).alias("pair_id"), F.col(key).alias("id"), side.alias("side"), target.alias("v")
     )
     pairs = sides.groupBy("pair_id").agg(

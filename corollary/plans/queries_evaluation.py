@@ -189,7 +189,7 @@ def e3_t_test_pairs(spark, sf):
     return _t_rows(evaluation.separation(pair_design(spark, sf), CONCEPTS))
 
 
-TWO = ["ing", "license"]
+TWO = ["ing", "der"]
 TWO_CONCEPTS = [CONTAINS + w for w in TWO]
 OLS_SQL = f"""
 wide AS (SELECT y, max(value) FILTER (WHERE concept = '{TWO_CONCEPTS[0]}')::DOUBLE AS a,

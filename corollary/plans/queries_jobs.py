@@ -14,13 +14,13 @@ from corollary.plans.data import (
     WORDS,
     centroid_model,
     lengths,
+    neighbours,
     quality,
     sql_annotations,
     sql_truncate,
     sql_words,
     table,
     texts,
-    vectors,
 )
 from corollary.plans.queries_evaluation import (
     HYPOTHESES_SQL,
@@ -41,11 +41,7 @@ from corollary.plans.queries_features import (
     top_zero_sql,
     weakest_positives,
 )
-from corollary.plans.queries_text import (
-    customer_prompts,
-    document_pairs,
-    vector_pairs,
-)
+from corollary.plans.queries_text import customer_prompts, document_pairs
 from corollary.plans.registry import q6, query, r6
 
 SEED = 3
@@ -213,8 +209,10 @@ def g4_pairs_evaluate(spark, sf):
 
 @query(
     "g4_pairs_generate",
-    f"""WITH {MODEL_SQL}, pairs AS (SELECT a.vec_id // 2 AS pair_id, a.vec_id AS row_a, b.vec_id AS row_b, (a.label > b.label)::DOUBLE AS y
-      FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0),
+    f"""WITH {MODEL_SQL}, {ACT_DOCS},
+    paired AS (SELECT row_id, y FROM targets JOIN doc_vectors USING (row_id)),
+    pairs AS (SELECT a.row_id // 2 AS pair_id, a.row_id AS row_a, b.row_id AS row_b, (a.y > b.y)::DOUBLE AS y
+      FROM paired a JOIN paired b ON b.row_id = a.row_id + 1 AND a.row_id % 2 = 0),
     za AS (SELECT pair_id, neuron_idx, activation AS v FROM pairs JOIN act ON row_id = row_a
       UNION ALL SELECT pair_id, neuron_idx, -activation FROM pairs JOIN act ON row_id = row_b),
     diff AS (SELECT pair_id, neuron_idx, sum(v) AS activation FROM za GROUP BY 1, 2),
@@ -222,7 +220,6 @@ def g4_pairs_evaluate(spark, sf):
     dense AS (SELECT c.neuron_idx, c.pair_id AS row_id, y, coalesce(activation, 0.0::DOUBLE) AS a
       FROM cells c LEFT JOIN diff ON diff.pair_id = c.pair_id AND diff.neuron_idx = c.neuron_idx),
     {CORRELATION_SQL}, chosen AS (SELECT * FROM scores ORDER BY round(abs(score), 9) DESC, neuron_idx LIMIT {N_CHOSEN}),
-    doc_vectors AS (SELECT doc_id AS row_id, text FROM documents), act_docs AS (SELECT act.* FROM act JOIN doc_vectors USING (row_id)),
     examples AS (SELECT neuron_idx, class, text FROM (
         SELECT *, 1 AS class, row_number() OVER (PARTITION BY neuron_idx ORDER BY activation DESC, row_id) AS r FROM act_docs
         UNION ALL SELECT *, 0, row_number() OVER (PARTITION BY neuron_idx ORDER BY activation, row_id) FROM act_docs)
@@ -231,8 +228,10 @@ def g4_pairs_evaluate(spark, sf):
 )
 def g4_pairs_generate(spark, sf):
     """Features whose difference between two texts predicts which has the larger label."""
+    docs = documents_with_vectors(spark, sf)
     found = flows.generate_pair_hypotheses(
-        texts(spark, sf), vector_pairs(spark, sf), vectors(spark, sf), centroid_model(spark, sf), rules.name_by_word,
+        docs.select("row_id", "text"), neighbours(docs, "row_id", F.col("y")), docs.select("row_id", "embedding"),
+        centroid_model(spark, sf), rules.name_by_word,
         selection_method="correlation", n_selected_neurons=N_CHOSEN, n_scoring_examples=0,
         sampling=SamplingConfig(function=weakest_positives, n_examples=N_SHOWN, random_seed=SEED),
     )

@@ -428,11 +428,11 @@ diff AS (
 
 
 def vector_pairs(spark, sf):
-    return neighbours(spark, sf, "embeddings", "vec_id", F.col("label"))
+    return neighbours(table(spark, sf, "embeddings"), "vec_id", F.col("label"))
 
 
 def document_pairs(spark, sf):
-    return neighbours(spark, sf, "documents", "doc_id", F.col("n_chars"))
+    return neighbours(table(spark, sf, "documents"), "doc_id", F.col("n_chars"))
 
 
 DOCUMENT_PAIRS_SQL = """

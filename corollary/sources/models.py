@@ -1,7 +1,12 @@
-"""Trained models as tables: one row per neuron, and one config row written last."""
+"""Trained models as tables: one row per neuron, and one config row written last.
+
+The config row names the parameter folder it belongs to, so a save that was interrupted
+leaves the earlier model whole.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +20,7 @@ PARAMS_SCHEMA = (
 )
 CONFIG_SCHEMA = (
     "model_id string, input_dim int, m int, k int, aux_k int, multi_k int, dead_threshold int, "
-    "prefixes array<int>, input_bias array<double>, fingerprint string"
+    "prefixes array<int>, input_bias array<double>, fingerprint string, params string"
 )
 
 
@@ -35,12 +40,13 @@ def params_table(spark: SparkSession, model: FeatureModel, model_id: str) -> Dat
 
 
 def save_model(spark: SparkSession, model: FeatureModel, path: str) -> str:
-    """Write parameters, then the config row: a folder without config is not a model."""
+    """Write parameters to a new folder, then the config row that points to it."""
     name = model_name(model.m, model.k, model.prefixes)
-    params_table(spark, model, name).write.mode("overwrite").parquet(f"{path}/params")
+    params = f"params-{uuid.uuid4().hex}"
+    params_table(spark, model, name).write.parquet(f"{path}/{params}")
     config = (
         name, model.dim, model.m, model.k, model.aux_k, model.multi_k, model.dead_threshold,
-        model.prefixes, model.input_bias.tolist(), model.fingerprint,
+        model.prefixes, model.input_bias.tolist(), model.fingerprint, params,
     )
     spark.createDataFrame([config], CONFIG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
     return path
@@ -58,7 +64,8 @@ def load_model(spark: SparkSession, path: str, *, fingerprint: str | None = None
     config = spark.read.schema(CONFIG_SCHEMA).parquet(f"{path}/config").first()
     if fingerprint is not None and config["fingerprint"] != fingerprint:
         raise ValueError(f"model at {path} was trained on other vectors; pass overwrite_checkpoint=True")
-    rows = sorted(spark.read.schema(PARAMS_SCHEMA).parquet(f"{path}/params").collect(), key=lambda r: r["neuron_idx"])
+    params = spark.read.schema(PARAMS_SCHEMA).parquet(f"{path}/{config['params']}")
+    rows = sorted(params.collect(), key=lambda r: r["neuron_idx"])
     return FeatureModel(
         enc=np.array([r["enc"] for r in rows]),
         dec=np.array([r["dec"] for r in rows]),
