@@ -101,30 +101,59 @@ def activations(
     row_id: str = "row_id",
     embedding: str = "embedding",
     carry: Sequence[str] = (),
-    shift: int = 0,
 ) -> DataFrame:
-    """Nonzero activations, ``row_id, neuron_idx, activation`` plus carried columns.
+    """Nonzero activations, ``row_id, neuron_idx, activation`` plus carried columns."""
+    return many_activations(vectors, [model], row_id=row_id, embedding=embedding, carry=carry)
 
-    One narrow pass: the weights are broadcast, each Arrow batch is one matrix product.
-    Columns named in ``carry`` (the target, say) ride along, which saves joining them to
-    the activations later. Weights above the broadcast bound are applied in neuron
-    blocks whose top-K lists are then merged per row.
-    """
-    per_block = max(1, BROADCAST_BYTES // (8 * model.dim))
-    if model.m > per_block:
-        return _activations_in_blocks(vectors, model, per_block, row_id, embedding, carry, shift)
-    return _emit_top_k(
-        vectors, model, 0, model.m, row_id, embedding, carry, positive_only=True, shift=shift
-    )
 
+def many_activations(
+    vectors: DataFrame,
+    models: Sequence[FeatureModel],
+    *,
+    row_id: str = "row_id",
+    embedding: str = "embedding",
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Activations of several models side by side, their neurons numbered one after the other.
 
-def _emit_top_k(vectors, model, start, end, row_id, embedding, carry, *, positive_only, shift):
-    spark = vectors.sparkSession
-    weights = spark.sparkContext.broadcast(
-        (model.enc[start:end].T.copy(), model.neuron_bias[start:end], model.input_bias)
-    )
-    k = min(model.k, end - start)
+    One narrow pass over the vectors for all models: the weights are broadcast, each
+    Arrow batch is one matrix product per model. Columns named in ``carry`` (the target,
+    say) ride along, which saves joining them to the activations later. A model whose
+    weights exceed the broadcast bound is applied in neuron blocks whose top-K lists are
+    then merged per row.
+    """
     kept = vectors.select(F.col(row_id).cast("long").alias("row_id"), *carry, F.col(embedding).alias("_x"))
+    whole, frames, shift, taken = [], [], 0, 0
+    for model in models:
+        per_block = max(1, BROADCAST_BYTES // (8 * model.dim))
+        if model.m > per_block:
+            blocks = [
+                _top_k_pass(kept, [_encoder(model, shift, at, at + per_block)], positive_only=False)
+                for at in range(0, model.m, per_block)
+            ]
+            order = [F.desc("activation"), F.asc("neuron_idx")]
+            merged = ranking.top_n_per_group(ranking.union_all(blocks), ["row_id"], order, model.k)
+            frames.append(merged.filter("activation > 0").drop("rank"))
+        else:
+            if whole and taken + 8 * model.m * model.dim > BROADCAST_BYTES:
+                frames.append(_top_k_pass(kept, whole))
+                whole, taken = [], 0
+            whole.append(_encoder(model, shift))
+            taken += 8 * model.m * model.dim
+        shift += model.m
+    if whole:
+        frames.append(_top_k_pass(kept, whole))
+    return ranking.union_all(frames)
+
+
+def _encoder(model: FeatureModel, shift: int, start: int = 0, end: int | None = None) -> tuple:
+    """What a task needs of a model's neurons ``start .. end``; the first is ``shift + start``."""
+    enc = model.enc[start:end]
+    return enc.T.copy(), model.neuron_bias[start:end], model.input_bias, min(model.k, len(enc)), shift + start
+
+
+def _top_k_pass(kept: DataFrame, encoders: list[tuple], *, positive_only: bool = True) -> DataFrame:
+    weights = kept.sparkSession.sparkContext.broadcast(encoders)
     schema = T.StructType(
         [
             *[f for f in kept.schema.fields if f.name != "_x"],
@@ -135,54 +164,31 @@ def _emit_top_k(vectors, model, start, end, row_id, embedding, carry, *, positiv
     names = schema.names
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, bias, center = weights.value
-        step = max(1, BLOCK_CELLS // enc.shape[1])
+        step = max(1, BLOCK_CELLS // max(enc.shape[1] for enc, *_ in weights.value))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 x = matrix_of(part.column("_x"))
-                index, values = top_k((x - center) @ enc + bias, k)
-                # model order inside a row, so the output does not depend on argpartition
-                order = np.argsort(index, axis=1)
-                index = np.take_along_axis(index, order, axis=1)
-                values = np.take_along_axis(values, order, axis=1)
-                rows, cols = np.nonzero(values > 0) if positive_only else np.indices(values.shape).reshape(2, -1)
-                taken = part.drop_columns(["_x"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *taken.columns,
-                        pa.array((index[rows, cols] + start + shift).astype(np.int32)),
-                        pa.array(values[rows, cols]),
-                    ],
-                    names=names,
-                )
+                carried = part.drop_columns(["_x"])
+                for enc, bias, center, k, first in weights.value:
+                    index, values = top_k((x - center) @ enc + bias, k)
+                    # model order inside a row, so the output does not depend on argpartition
+                    order = np.argsort(index, axis=1)
+                    index = np.take_along_axis(index, order, axis=1)
+                    values = np.take_along_axis(values, order, axis=1)
+                    rows, cols = np.nonzero((values > 0) | (not positive_only))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *carried.take(pa.array(rows)).columns,
+                            pa.array((index[rows, cols] + first).astype(np.int32)),
+                            pa.array(values[rows, cols]),
+                        ],
+                        names=names,
+                    )
 
     return kept.mapInArrow(infer, schema)
 
 
-def _activations_in_blocks(vectors, model, per_block, row_id, embedding, carry, shift):
-    blocks = [
-        _emit_top_k(
-            vectors, model, at, min(at + per_block, model.m), row_id, embedding, carry,
-            positive_only=False, shift=shift,
-        )
-        for at in range(0, model.m, per_block)
-    ]
-    merged = ranking.top_n_per_group(
-        ranking.union_all(blocks), ["row_id"], [F.desc("activation"), F.asc("neuron_idx")], model.k
-    )
-    return merged.filter("activation > 0").drop("rank")
-
-
-def many_activations(vectors: DataFrame, models: Sequence[FeatureModel], **kwargs) -> DataFrame:
-    """Activations of several models side by side, numbered one after the other."""
-    shift, frames = 0, []
-    for model in models:
-        frames.append(activations(vectors, model, shift=shift, **kwargs))
-        shift += model.m
-    return ranking.union_all(frames)
-
-
 def neuron_table(spark: SparkSession, models: Sequence[FeatureModel]) -> DataFrame:
     """``neuron_idx, source_m, source_k`` of the concatenated models."""
     schema = "first int, source_m int, source_k int"
@@ -288,21 +294,58 @@ def matryoshka_error(vectors: DataFrame, model: FeatureModel, **kwargs) -> DataF
     )
 
 
-def lower_medians(vectors: DataFrame, *, embedding: str = "embedding", exact_rows: int = 20_000_000) -> DataFrame:
+def lower_medians(vectors: DataFrame, *, embedding: str = "embedding", exact_rows: int = 1_000_000) -> DataFrame:
     """``dim, median``: per-dimension lower median.
 
     ``percentile_disc`` keeps each distinct value of a group in one buffer, so it serves
-    up to ``exact_rows`` values; beyond, ranks are found by interval narrowing.
+    up to ``exact_rows`` rows. Beyond, the median's bits are found eight at a time by
+    counting, which shuffles 256 counts per dimension and task instead of the values.
     """
-    long = vectors.select(F.posexplode(embedding).alias("dim", "x")).select("dim", F.col("x").cast("double").alias("x"))
     n = vectors.count()
     if n <= exact_rows:
+        long = vectors.select(F.posexplode(embedding).alias("dim", "x")).select("dim", F.col("x").cast("double").alias("x"))
         return long.groupBy("dim").agg(
             F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("median")
         )
-    wanted = long.groupBy("dim").agg(F.floor((F.count("*") - 1) / 2).alias("rank"))
-    wanted = wanted.select("dim", F.lit("median").alias("slot"), "rank")
-    return ranking.order_statistics(long, "dim", "x", wanted).select("dim", F.col("x").alias("median"))
+    wide = vectors.schema[embedding].dataType.elementType == T.DoubleType()
+    bits, unsigned, real = (64, np.uint64, np.float64) if wide else (32, np.uint32, np.float32)
+    dim = vectors.select(F.size(embedding)).first()[0]
+    prefix = np.zeros(dim, dtype=unsigned)
+    rank = np.full(dim, (n - 1) // 2)
+    for shift in range(bits - 8, -1, -8):
+        counts = _digit_counts(vectors.select(F.col(embedding).alias("_x")), prefix, shift, bits, unsigned, real)
+        table = np.zeros((dim, 256), dtype=np.int64)
+        for d, digit, count in counts:
+            table[d, digit] = count
+        upto = table.cumsum(axis=1)
+        digit = (upto <= rank[:, None]).sum(axis=1)
+        rank = rank - np.where(digit > 0, upto[np.arange(dim), np.maximum(digit - 1, 0)], 0)
+        prefix |= digit.astype(unsigned) << unsigned(shift)
+    top = unsigned(1) << unsigned(bits - 1)
+    medians = np.where(prefix & top, prefix ^ top, ~prefix).view(real).astype(float)
+    return vectors.sparkSession.createDataFrame(list(enumerate(medians.tolist())), "dim int, median double")
+
+
+def _digit_counts(column: DataFrame, prefix: np.ndarray, shift: int, bits: int, unsigned, real) -> list:
+    """Per dimension, how many values that agree with the prefix above have each next digit."""
+    above = shift + 8
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(prefix), 256), dtype=np.int64)
+        top = unsigned(1) << unsigned(bits - 1)
+        for batch in batches:
+            raw = matrix_of(batch.column("_x")).astype(real).view(unsigned)
+            # order-preserving integers: flip the sign bit, or all bits of a negative
+            key = np.where(raw & top, ~raw, raw | top)
+            same = np.ones(key.shape, dtype=bool) if above == bits else (key >> unsigned(above)) == (prefix >> unsigned(above))
+            digit = ((key >> unsigned(shift)) & unsigned(255)).astype(np.int64)
+            rows, dims = np.nonzero(same)
+            total += np.bincount(dims * 256 + digit[rows, dims], minlength=total.size).reshape(total.shape)
+        dims, digits = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"dim": dims, "digit": digits, "n": total[dims, digits]})
+
+    counts = column.mapInArrow(count, "dim long, digit long, n long")
+    return counts.groupBy("dim", "digit").agg(F.sum("n")).collect()
 
 
 def never_active(neurons: DataFrame, acts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from corollary.functions.text import text_key
 from corollary.operators import jobs, relational
 from corollary.operators.sampling import sample_top_zero
 from corollary.operators.selection import RANK_DIGITS
-from corollary.session import collect_dimension
+from corollary.session import collect_dimension, cut_lineage
 from corollary.sources.stores import Store
 
 METRICS = ("recall", "precision", "f1", "correlation")
@@ -84,6 +84,8 @@ def score_interpretations(
         texts, acts, neurons, config.n_examples, config.max_words_per_example, config.random_seed,
         **config.sampling_kwargs,
     )
+    # n_examples per neuron; written down because both the tasks and their metrics use them
+    examples = cut_lineage(examples)
     tasks = relational.example_tasks(examples, names).select(
         "neuron_idx", "interpretation", "class", "activation", "text", text_key(F.col("text")).alias("text_key")
     )

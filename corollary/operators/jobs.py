@@ -194,8 +194,7 @@ def annotate_texts_with_concepts(
     spark = texts.sparkSession
     pairs = relational.with_every_concept(distinct, concepts)
     if store is not None:
-        wanted = relational.with_every_concept(distinct.select("text_key"), concepts).select("concept").distinct()
-        known = store.read(spark).join(F.broadcast(wanted), "concept", "left_semi")
+        known = _only_concepts(store.read(spark), concepts)
         done = known.groupBy("text_key").agg(F.collect_set("concept").alias("_done"))
         pairs = (
             relational.with_every_concept(distinct.join(done, "text_key", "left"), concepts)
@@ -217,9 +216,17 @@ def annotate_texts_with_concepts(
     )
 
 
+def _only_concepts(answers: DataFrame, concepts: DataFrame | Sequence[str]) -> DataFrame:
+    if isinstance(concepts, DataFrame):
+        return answers.join(concepts.select("concept").distinct(), "concept", "left_semi")
+    return answers.filter(F.col("concept").isin(list(concepts)))
+
+
 def naming_prompts(examples: DataFrame, template: str, instructions: str | None) -> DataFrame:
     """``neuron_idx, prompt`` from sampled examples; texts one per line, best first.
 
+    Features without any positive row among the examples get no prompt.
+
     Custom samplers may use classes other than 0 and 1: class ``c`` fills the
     placeholder ``class_<c>_texts``.
     """
@@ -234,7 +241,7 @@ def naming_prompts(examples: DataFrame, template: str, instructions: str | None)
             F.when(F.col("class") == label, F.struct((-F.col("activation")).alias("a"), "row_id", "text"))
         )
         blocks.append(F.array_join(F.transform(F.array_sort(rows), lambda s: s["text"]), "\n").alias(name))
-    grouped = examples.groupBy("neuron_idx").agg(*blocks)
+    grouped = examples.groupBy("neuron_idx").agg(*blocks, F.max("activation").alias("_top")).filter("_top > 0")
     filled = templates.fill(
         template,
         task_specific_instructions=F.lit(instructions or templates.TASK_INSTRUCTIONS),
@@ -258,10 +265,8 @@ def interpret_neurons(
     config = config or InterpretConfig()
     spark = acts.sparkSession
     examples = config.sampling.draw(texts, acts, neurons)
-    prompts = naming_prompts(examples, config.template, config.task_specific_instructions).join(
-        F.broadcast(examples.filter("activation > 0").select("neuron_idx").distinct()), "neuron_idx", "left_semi"
-    )
-    tasks = prompts.withColumn(
+    tasks = naming_prompts(examples, config.template, config.task_specific_instructions)
+    tasks = tasks.withColumn(
         "candidate_idx", F.explode(F.sequence(F.lit(0), F.lit(config.n_candidates - 1)))
     )
 

@@ -108,28 +108,24 @@ def running_totals(df: DataFrame, value: str, sums: list[str], rows_per_slice: i
     the sums across slices.
     """
     slices = min(4096, max(1, df.count() // rows_per_slice))
-    if slices > 1:
-        probs = F.lit([i / slices for i in range(1, slices)])
-        cuts = df.agg(F.percentile_approx(value, probs, 10_000)).first()[0]
-        splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-        df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
-    else:
-        df = df.withColumn("_slice", F.lit(0.0))
+    before = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    if slices == 1:  # at most 2 * rows_per_slice rows
+        return df.select("*", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"above_{s}") for s in sums])
+    probs = F.lit([i / slices for i in range(1, slices)])
+    cuts = df.agg(F.percentile_approx(value, probs, 10_000)).first()[0]
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
     totals = df.groupBy("_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    # at most 4,096 rows: the only unpartitioned window
     over = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    for s in sums:
-        totals = totals.withColumn(f"_base_{s}", F.coalesce(F.sum(f"_{s}").over(over), F.lit(0)))
-    totals = totals.select("_slice", *[f"_base_{s}" for s in sums])
-    inside = (
-        Window.partitionBy("_slice").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        "_slice", *[F.coalesce(F.sum(f"_{s}").over(over), F.lit(0)).alias(f"_base_{s}") for s in sums]
     )
-    out = df.join(F.broadcast(totals), "_slice")
-    for s in sums:
-        out = out.withColumn(
-            f"above_{s}", F.col(f"_base_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))
-        )
-    return out.drop("_slice", *[f"_base_{s}" for s in sums])
+    inside = Window.partitionBy("_slice").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(F.broadcast(totals), "_slice")
+    above = [
+        (F.col(f"_base_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"above_{s}") for s in sums
+    ]
+    return joined.select(*[c for c in df.columns if c != "_slice"], *above)
 
 
 def order_statistics(

@@ -93,7 +93,7 @@ def _zero_rows_in_windows(mine, rows, shares: dict[int, float], n: int, seed, *,
         .select("neuron_idx", "row_id", "offset")
     )
     taken = mine
-    if few:
+    if few and len(shares) * (n + 6 * math.sqrt(n) + 10) <= BROADCAST_EXAMPLES:
         # a few rows per neuron: find their activations without shuffling the rest
         taken = mine.join(F.broadcast(candidates.select("neuron_idx", "row_id")), ["neuron_idx", "row_id"], "left_semi")
     zeros = candidates.join(taken, ["neuron_idx", "row_id"], "left_anti")

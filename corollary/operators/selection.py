@@ -7,7 +7,6 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -24,8 +23,6 @@ RANK_DIGITS = 9
 NONZERO = 1e-8
 # The bounds and length of the regularization search
 ALPHA_LOW, ALPHA_HIGH, ALPHA_FITS = 1e-6, 1e4, 20
-#: Rows up to which a Python metric may see a whole feature column at once.
-DENSE_ROWS = 2_000_000
 #: Extra rows read by id order when thin features need zero rows.
 PAD_ROWS = 10_000
 
@@ -142,9 +139,11 @@ def separation_scores(
     else:
         wanted = [r[0] for r in collect_dimension(per.select("neuron_idx"))]
         chosen = sampling.zero_rows(a, targets, wanted, n_zero_activating, seed)
+        if len(wanted) * n_zero_activating <= sampling.BROADCAST_EXAMPLES:
+            chosen = F.broadcast(chosen)
         zero = (
             targets.select("row_id", y.alias("y"))
-            .join(F.broadcast(chosen), "row_id")
+            .join(chosen, "row_id")
             .groupBy("neuron_idx")
             .agg(F.avg("y").alias("zero_mean"))
         )
@@ -301,40 +300,20 @@ def select_custom(
     targets: DataFrame,
     n_select: int,
     *,
-    metric_fn: Callable,
+    metric_fn: Callable[[Callable[[str], Column]], Column],
     neurons: DataFrame | None = None,
     extra: dict[str, Column] | None = None,
-    dense: bool = False,
 ) -> DataFrame:
     """Features with the largest raw value of a user's metric, ascending.
 
-    ``metric_fn(column)`` builds a Column from the names :func:`moments` yields (plus the
-    ``extra`` aggregates over active rows), which distributes at any size. With
-    ``dense=True`` it is ``metric_fn(activations, target)`` over whole numpy columns,
-    offered only up to ``DENSE_ROWS`` rows.
+    ``metric_fn(col)`` builds a Column from the sums :func:`moments` yields and from the
+    ``extra`` aggregates, which run over the active rows with ``activation`` and ``y``.
+    What the zero rows add follows from the sums over all rows, so no feature's column
+    is ever laid out whole.
     """
-    if dense:
-        scores = _dense_scores(acts, targets, metric_fn)
-    else:
-        scores = moments(acts, targets, extra).select("neuron_idx", metric_fn(F.col).alias("score"))
-    best = rank_scores(_all_neurons(scores, neurons).filter("score IS NOT NULL"), n_select, by=F.col("score"))
-    return best.orderBy(F.desc("rank"))
-
-
-def _dense_scores(acts, targets, metric_fn) -> DataFrame:
-    rows = targets.limit(DENSE_ROWS + 1).select(F.col("row_id"), F.col("y").cast("double")).toPandas()
-    if len(rows) > DENSE_ROWS:
-        raise ValueError(f"a dense metric is limited to {DENSE_ROWS} rows; pass a Column metric")
-    target = acts.sparkSession.sparkContext.broadcast(rows.sort_values("row_id").set_index("row_id")["y"])
-
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        y = target.value
-        a = group.set_index("row_id")["activation"].reindex(y.index, fill_value=0.0)
-        value = float(metric_fn(a.to_numpy(), y.to_numpy()))
-        return pd.DataFrame({"neuron_idx": [group["neuron_idx"].iloc[0]], "score": [value]})
-
-    scores = acts.select("row_id", "neuron_idx", "activation").groupBy("neuron_idx").applyInPandas(score, "neuron_idx int, score double")
-    return scores.select("neuron_idx", F.nanvl("score", F.lit(None)).alias("score"))
+    scores = moments(acts, targets, extra).select("neuron_idx", metric_fn(F.col).alias("score"))
+    scores = _all_neurons(scores, neurons).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    return rank_scores(scores, n_select, by=F.col("score")).orderBy(F.desc("rank"))
 
 
 METHODS: dict[str, Callable] = {

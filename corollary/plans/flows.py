@@ -106,8 +106,9 @@ def generate_hypotheses(
     """Hypotheses about what predicts the target, in order of selection.
 
     ``neuron_idx, source_sae, target_<method>, interpretation, <metric>_fidelity_score``.
-    The target rides along with the vectors through feature inference, so selection
-    needs no join with it.
+    A target column ``y`` in ``vectors`` rides along through feature inference. Without
+    one the target is joined to the sparse activations, never to the vectors, which are
+    far wider. Texts, targets and vectors must cover the same rows.
     """
     models = _as_list(models)
     neurons = features.neuron_table(texts.sparkSession, models)
@@ -116,8 +117,9 @@ def generate_hypotheses(
         raise ValueError(f"n_selected_neurons ({n_selected_neurons}) can be at most {total}")
     if classification is None:
         classification = relational.is_binary(targets).first()[0]
-    carried = vectors.join(targets.select("row_id", "y"), "row_id")
-    acts = features.many_activations(carried, models, carry=("y",)).persist(StorageLevel.MEMORY_AND_DISK)
+    carry = ("y",) if "y" in vectors.columns else ()
+    acts = selection.with_target(features.many_activations(vectors, models, carry=carry), targets)
+    acts = acts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _written(
             hypotheses_from_activations(
@@ -184,8 +186,12 @@ def evaluate_hypotheses(
     max_words_per_example: int = 256,
     classification: bool | None = None,
     corrected_pval_threshold: float = 0.1,
+    drop_unanswered: bool = False,
 ) -> tuple[dict, DataFrame]:
-    """Annotate held-out texts with every hypothesis and test them against the target."""
+    """Annotate held-out texts with every hypothesis and test them against the target.
+
+    Rows the model gave no clear answer for are an error unless ``drop_unanswered``.
+    """
     if isinstance(hypotheses, DataFrame):
         named = hypotheses.filter("interpretation IS NOT NULL").select("interpretation")
         hypotheses = [r[0] for r in collect_dimension(named)]
@@ -195,10 +201,17 @@ def evaluate_hypotheses(
     annotations = jobs.annotate_texts_with_concepts(
         texts, concepts, answer_fn, store=store, max_words=max_words_per_example
     )
-    design = evaluation.design_table(annotations, targets, concepts).persist(StorageLevel.MEMORY_AND_DISK)
+    return _score(annotations, targets, concepts, classification, corrected_pval_threshold, drop_unanswered)
+
+
+def _score(annotations, targets, concepts, classification, threshold, drop_unanswered) -> tuple[dict, DataFrame]:
+    design = evaluation.design_table(annotations, targets, concepts)
+    if drop_unanswered:
+        design = design.dropna(subset=evaluation.concept_columns(concepts))
+    design = design.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         metrics, table = evaluation.score_hypotheses(
-            design, concepts, classification=classification, corrected_pval_threshold=corrected_pval_threshold
+            design, concepts, classification=classification, corrected_pval_threshold=threshold
         )
         return metrics, _written(table)
     finally:
@@ -215,6 +228,7 @@ def evaluate_pairs(
     max_words_per_example: int = 256,
     classification: bool = True,
     corrected_pval_threshold: float = 0.1,
+    drop_unanswered: bool = False,
 ) -> tuple[dict, DataFrame]:
     """The same for pairs: annotations of A minus those of B, against ``pairs.y``."""
     concepts = list(dict.fromkeys(hypotheses))
@@ -223,14 +237,7 @@ def evaluate_pairs(
     )
     signed = relational.pair_annotation_difference(pairs, annotations).withColumnRenamed("pair_id", "row_id")
     targets = pairs.select(F.col("pair_id").alias("row_id"), "y")
-    design = evaluation.design_table(signed, targets, concepts).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        metrics, table = evaluation.score_hypotheses(
-            design, concepts, classification=classification, corrected_pval_threshold=corrected_pval_threshold
-        )
-        return metrics, _written(table)
-    finally:
-        design.unpersist()
+    return _score(signed, targets, concepts, classification, corrected_pval_threshold, drop_unanswered)
 
 
 def generate_pair_hypotheses(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corollary.functions.text import text_key
-from corollary.operators import features, jobs, training
+from corollary.functions import text
+from corollary.operators import features, jobs, relational, training
 from corollary.operators.sampling import SamplingConfig
 from corollary.plans import flows, rules
 from corollary.plans.data import (
@@ -41,7 +41,7 @@ from corollary.plans.queries_features import (
     top_zero_sql,
     weakest_positives,
 )
-from corollary.plans.queries_text import customer_prompts, document_pairs
+from corollary.plans.queries_text import document_pairs
 from corollary.plans.registry import q6, query, r6
 
 SEED = 3
@@ -238,20 +238,33 @@ def g4_pairs_generate(spark, sf):
     return found.select("neuron_idx", r6("target_correlation").alias("target_correlation"), "interpretation")
 
 
+SEGMENTS = {"BUILDING": 1, "AUTOMOBILE": 0, "FURNITURE": 0, "HOUSEHOLD": 0, "MACHINERY": 0}
+FIELDS = ["c_name", "c_nationkey", "c_acctbal"]
+
+
 @query("g5_tabular")
 def g5_tabular(spark, sf):
-    """Customers as few-shot prompts: embed, train, generate and evaluate hypotheses about
-    whether they have ever had an open order."""
-    prompts = customer_prompts(spark, sf).select("row_id", F.col("prompt").alias("text"))
-    open_orders = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("row_id")).distinct()
-    targets = prompts.select("row_id").join(open_orders.withColumn("y", F.lit(1.0)), "row_id", "left").na.fill(0.0, ["y"])
-    keyed = prompts.withColumn("text_key", text_key(F.col("text")))
-    store = jobs.embed_texts(prompts, rules.embed_words)
-    embedded = keyed.join(store.select("text_key", "embedding"), "text_key").select("row_id", "embedding")
-    model = training.train_sae(embedded, 8, 2, n_epochs=3, batch_size=4096, learning_rate=1e-2, seed=SEED)
+    """Table rows as few-shot texts: map labels, split, embed, train with early stopping,
+    generate hypotheses on the training rows and test them on the held-out rows."""
+    customer = table(spark, sf, "customer").withColumn("label", text.map_labels(F.col("c_mktsegment"), SEGMENTS))
+    examples, rest = relational.head_tail_split(customer, 5, "c_custkey")
+    prompts = relational.few_shot_prompts(examples, rest, FIELDS, "label", n_examples=5, row_id="c_custkey")
+    prompts = prompts.select("row_id", F.col("prompt").alias("text"))
+    targets = customer.select(F.col("c_custkey").alias("row_id"), F.col("label").cast("double").alias("y"))
+    targets = targets.join(prompts.select("row_id"), "row_id", "left_semi")
+    store = jobs.embed_texts(prompts, rules.embed_words).select("text_key", "embedding")
+    embedded = prompts.select("row_id", text.text_key(F.col("text")).alias("text_key")).join(store, "text_key")
+    train, held = relational.train_validation_split(embedded.select("row_id", "embedding"), 0.1, SEED)
+    model = training.train_sae(
+        train, 8, 2, val_vectors=held, n_epochs=3, batch_size=4096, learning_rate=1e-2, seed=SEED
+    )
+    seen = prompts.join(train.select("row_id"), "row_id", "left_semi")
     hypotheses = flows.generate_hypotheses(
-        prompts, targets, embedded, model, rules.name_by_word, rules.answer_contains,
-        selection_method="correlation", n_selected_neurons=3, n_scoring_examples=20, seed=SEED,
+        seen, targets.join(seen.select("row_id"), "row_id", "left_semi"), train, model, rules.name_by_word,
+        rules.answer_contains, selection_method="correlation", n_selected_neurons=3, n_scoring_examples=20, seed=SEED,
+    )
+    unseen = prompts.join(held.select("row_id"), "row_id", "left_semi")
+    _, found = flows.evaluate_hypotheses(
+        hypotheses, unseen, targets.join(unseen.select("row_id"), "row_id", "left_semi"), rules.answer_contains
     )
-    _, found = flows.evaluate_hypotheses(hypotheses, prompts, targets, rules.answer_contains)
     return shown_hypotheses(found)

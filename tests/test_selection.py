@@ -123,21 +123,20 @@ def test_scales(spark, sparse_data):
     assert all(np.allclose(got[j], (dense[:, j].mean(), dense[:, j].std())) for j in got)
 
 
-def test_custom_metric_by_column_and_by_array(spark, sparse_data):
+def test_custom_metric(spark, sparse_data):
     dense, y = sparse_data
     acts, targets, neurons = tables(spark, dense, y)
 
-    def by_column(col):
-        return col("sum_ay") / col("n")
-
-    def by_array(a, t):
-        return (a * t).mean()
+    def metric(col):
+        return col("sum_ay") / col("n") + 0 * col("strongest")
 
+    extra = {"strongest": F.max(F.col("activation") * F.col("y"))}
     want = sorted([j for j in range(7) if j != 5], key=lambda j: (dense[:, j] * y).mean())[-3:]
-    for kwargs in ({"metric_fn": by_column}, {"metric_fn": by_array, "dense": True}):
-        got = selection.select_neurons(acts, targets, 3, neurons=neurons, method="custom", **kwargs).collect()
-        assert [r.neuron_idx for r in got] == want
-        assert np.allclose([r.score for r in got], [(dense[:, j] * y).mean() for j in want])
+    got = selection.select_neurons(
+        acts, targets, 3, neurons=neurons, method="custom", metric_fn=metric, extra=extra
+    ).collect()
+    assert [r.neuron_idx for r in got] == want
+    assert np.allclose([r.score for r in got], [(dense[:, j] * y).mean() for j in want])
 
 
 def test_dispatch_errors(spark, sparse_data):
