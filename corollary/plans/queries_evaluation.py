@@ -246,11 +246,37 @@ def e5_logistic(spark, sf):
     )
 
 
-@query("e5_logistic_joint")
+JOINT = ["the", "eau"]
+_JOINT_SQL = f"""
+cells AS (SELECT a, b, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS k FROM (
+  SELECT contains(lower(text), '{JOINT[0]}')::INTEGER AS a, contains(lower(text), '{JOINT[1]}')::INTEGER AS b, quality AS y
+  FROM documents JOIN labels USING (doc_id)) GROUP BY 1, 2),
+newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2
+  UNION ALL
+  SELECT step + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det,
+    b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, c11 / det, c22 / det
+  FROM (
+    SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
+      h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22,
+      h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h02 * h12) + h02 * (h01 * h12 - h02 * h11) AS det
+    FROM (
+      SELECT step, b0, b1, b2, sum(w) AS h00, sum(w * a) AS h01, sum(w * b) AS h02, sum(w * a) AS h11, sum(w * a * b) AS h12,
+        sum(w * b) AS h22, sum(k - n * p) AS g0, sum((k - n * p) * a) AS g1, sum((k - n * p) * b) AS g2
+      FROM (SELECT *, n * p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p FROM newton, cells))
+      WHERE step < 15 GROUP BY ALL))),
+joint AS (
+  SELECT '{CONTAINS}{JOINT[0]}' AS hypothesis, b1 AS coef, b1 / sqrt(v1) AS z FROM newton WHERE step = 15
+  UNION ALL SELECT '{CONTAINS}{JOINT[1]}', b2, b2 / sqrt(v2) FROM newton WHERE step = 15)"""
+
+
+@query(
+    "e5_logistic_joint",
+    f"WITH RECURSIVE {_JOINT_SQL} SELECT hypothesis, {q6('coef')} AS regression_coef, {q6(sql_normal('z'))} AS regression_pval FROM joint",
+)
 def e5_logistic_joint(spark, sf):
-    words = ["the", "eau", "que", "der"]
     fitted, _, _ = evaluation.regression(
-        quality_design(spark, sf, words), [CONTAINS + w for w in words], classification=True
+        quality_design(spark, sf, JOINT), [CONTAINS + w for w in JOINT], classification=True
     )
     return fitted.select(
         "hypothesis", r6("regression_coef").alias("regression_coef"), r6("regression_pval").alias("regression_pval")

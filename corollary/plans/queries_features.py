@@ -195,9 +195,9 @@ scores AS (SELECT neuron_idx, avg(y) FILTER (WHERE r <= {n_top}) - avg(y) FILTER
   FROM ordered GROUP BY 1)"""
 
 
-def _best_sql(n: int, by: str = "abs(score)") -> str:
+def _best_sql(n: int, by: str = "abs(score)", digits: int = 6) -> str:
     return (
-        f"SELECT neuron_idx, {q6('score')} AS score, rank FROM (SELECT *, (row_number() OVER "
+        f"SELECT neuron_idx, {q6('score', digits)} AS score, rank FROM (SELECT *, (row_number() OVER "
         f"(ORDER BY round({by}, 9) DESC NULLS LAST, neuron_idx))::INTEGER AS rank FROM scores) WHERE rank <= {n}"
     )
 
@@ -281,39 +281,63 @@ def n2_separation_sampled(spark, sf):
 ALPHA = 0.05
 
 
-def _lasso_sql(alpha: float, steps: int = 4000) -> str:
-    """Proximal gradient steps on the moments of the standardized features."""
-    return f"""
-    stat AS (SELECT neuron_idx, avg(a) AS mean, CASE WHEN var_pop(a) > 0 THEN sqrt(var_pop(a)) ELSE 1.0 END AS sd
-      FROM dense GROUP BY 1),
-    z AS (SELECT neuron_idx, row_id, y, (a - mean) / sd AS v FROM dense JOIN stat USING (neuron_idx)),
-    xy AS (SELECT list(c ORDER BY neuron_idx) AS c FROM (SELECT neuron_idx, covar_pop(v, y) AS c FROM z GROUP BY 1)),
-    xx AS (SELECT list(g ORDER BY neuron_idx) AS g FROM (
-      SELECT neuron_idx, list(s ORDER BY other) AS g FROM (
-        SELECT p.neuron_idx, q.neuron_idx AS other, avg(p.v * q.v) AS s FROM z p JOIN z q USING (row_id) GROUP BY 1, 2)
-      GROUP BY 1)),
+LASSO_MOMENTS_SQL = """
+stat AS (SELECT neuron_idx, avg(a) AS mean, CASE WHEN var_pop(a) > 0 THEN sqrt(var_pop(a)) ELSE 1.0 END AS sd
+  FROM dense GROUP BY 1),
+z AS (SELECT neuron_idx, row_id, y, (a - mean) / sd AS v FROM dense JOIN stat USING (neuron_idx)),
+xy AS (SELECT list(c ORDER BY neuron_idx) AS c FROM (SELECT neuron_idx, covar_pop(v, y) AS c FROM z GROUP BY 1)),
+xx AS (SELECT list(g ORDER BY neuron_idx) AS g FROM (
+  SELECT neuron_idx, list(s ORDER BY other) AS g FROM (
+    SELECT p.neuron_idx, q.neuron_idx AS other, avg(p.v * q.v) AS s FROM z p JOIN z q USING (row_id) GROUP BY 1, 2)
+  GROUP BY 1))"""
+
+
+def _proximal_step(alpha: str) -> str:
+    """One proximal gradient step on the moments of the standardized features."""
+    pull = "b[j] + (c[j] - list_dot_product(g[j], b)) / len(b)"
+    return (
+        f"list_transform(range(1, len(b) + 1), lambda j: sign({pull}) * greatest(abs({pull}) - {alpha} / len(b), 0))"
+    )
+
+
+def _lasso_sql(alpha: float, steps: int) -> str:
+    return f"""{LASSO_MOMENTS_SQL},
     fit AS (
       SELECT 0 AS step, list_transform(c, lambda x: 0.0::DOUBLE) AS b FROM xy
-      UNION ALL
-      SELECT step + 1, list_transform(range(1, len(b) + 1), lambda j:
-        sign(b[j] + (c[j] - list_dot_product(g[j], b)) / len(b)) *
-        greatest(abs(b[j] + (c[j] - list_dot_product(g[j], b)) / len(b)) - {alpha} / len(b), 0))
-      FROM fit, xy, xx WHERE step < {steps}),
+      UNION ALL SELECT step + 1, {_proximal_step(str(alpha))} FROM fit, xy, xx WHERE step < {steps}),
     scores AS (SELECT (unnest(range(len(b))))::INTEGER AS neuron_idx, unnest(b) AS score FROM fit WHERE step = {steps})"""
 
 
+def _search_sql(n_select: int, steps: int = 600) -> str:
+    """The bisection of the penalty: ``steps`` proximal steps per fit, 20 fits at most."""
+    return f"""{LASSO_MOMENTS_SQL},
+    fit AS (
+      SELECT 0 AS step, 1e-6::DOUBLE AS low, 1e4::DOUBLE AS high, sqrt(1e-6::DOUBLE * 1e4::DOUBLE) AS alpha,
+        list_transform(c, lambda x: 0.0::DOUBLE) AS b, false AS done FROM xy
+      UNION ALL
+      SELECT step + 1, low2, high2, CASE WHEN ends AND nz <> {n_select} THEN sqrt(low2 * high2) ELSE alpha END, b2,
+        ends AND nz = {n_select}
+      FROM (
+        SELECT *, CASE WHEN ends AND nz > {n_select} THEN alpha ELSE low END AS low2,
+          CASE WHEN ends AND nz < {n_select} THEN alpha ELSE high END AS high2
+        FROM (
+          SELECT *, (step + 1) % {steps} = 0 AS ends, len(list_filter(b2, lambda x: abs(x) > 1e-8)) AS nz
+          FROM (SELECT fit.*, {_proximal_step('alpha')} AS b2 FROM fit, xy, xx WHERE NOT done AND step < {20 * steps})))),
+    scores AS (SELECT (unnest(range(len(b))))::INTEGER AS neuron_idx, unnest(b) AS score
+      FROM fit WHERE step = (SELECT max(step) FROM fit))"""
+
+
 @query(
     "n3_lasso",
-    f"WITH RECURSIVE {MODEL_SQL}, {DENSE_SQL}, {_lasso_sql(ALPHA)} "
-    f"SELECT neuron_idx, {q6('score', 4)} AS score, rank FROM ({_best_sql(10)})",
+    f"WITH RECURSIVE {MODEL_SQL}, {DENSE_SQL}, {_lasso_sql(ALPHA, 1000)} {_best_sql(10, digits=5)}",
 )
 def n3_lasso(spark, sf):
-    """Linear L1 fit at a given penalty; coefficients compared to 4 digits."""
+    """Linear L1 fit at a given penalty; coefficients compared to 5 digits."""
     acts = small_activations(spark, sf)
     picked = selection.select_neurons(
         acts, vectors(spark, sf), 10, neurons=small_neurons(spark, sf), method="lasso", alpha=ALPHA
     )
-    return picked.select("neuron_idx", r6("score", 4).alias("score"), "rank")
+    return picked.select("neuron_idx", r6("score", 5).alias("score"), "rank")
 
 
 @query("n3_logistic_lasso")
@@ -323,15 +347,23 @@ def n3_logistic_lasso(spark, sf):
     picked = selection.select_neurons(
         acts, targets, 10, neurons=small_neurons(spark, sf), method="lasso", alpha=5.0, classification=True
     )
-    return picked.select("neuron_idx", r6("score", 4).alias("score"), "rank")
+    return picked.select("neuron_idx", r6("score", 5).alias("score"), "rank")
+
+
+N_KEPT = 4
 
 
-@query("n4_alpha_search")
+@query(
+    "n4_alpha_search",
+    f"WITH RECURSIVE {MODEL_SQL}, {DENSE_SQL}, {_search_sql(N_KEPT)} {_best_sql(N_KEPT, digits=5)}",
+)
 def n4_alpha_search(spark, sf):
     """The penalty is searched until exactly four features have a coefficient."""
     acts = small_activations(spark, sf)
-    picked = selection.select_neurons(acts, vectors(spark, sf), 4, neurons=small_neurons(spark, sf), method="lasso")
-    return picked.select("neuron_idx", r6("score", 4).alias("score"), "rank")
+    picked = selection.select_neurons(
+        acts, vectors(spark, sf), N_KEPT, neurons=small_neurons(spark, sf), method="lasso"
+    )
+    return picked.select("neuron_idx", r6("score", 5).alias("score"), "rank")
 
 
 @query(
