@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corollary.functions import templates, text
@@ -110,16 +110,20 @@ def embed_texts(
         return cut_lineage(fresh)
     store.append(fresh)
     wanted = text.drop_invalid(texts).select(text.text_key(F.col("text")).alias("text_key")).distinct()
-    return store.read(spark).join(wanted, "text_key", "left_semi")
+    return store.read(spark, wanted)
 
 
-def _answer_tasks(tasks: DataFrame, answer_fn: AnswerFn, template: str, max_words: int | None, batch_size: int) -> DataFrame:
+def _shown(max_words: int | None) -> Column:
+    """What the model sees of a text. Cut before any shuffle; the key is of the whole text."""
+    return (text.truncate(F.col("text"), max_words) if max_words else F.col("text")).alias("text")
+
+
+def _answer_tasks(tasks: DataFrame, answer_fn: AnswerFn, template: str, batch_size: int) -> DataFrame:
     """``concept, text_key, value`` for tasks ``concept, text_key, text``; NULL = no clear answer."""
-    shown = text.truncate(F.col("text"), max_words) if max_words else F.col("text")
     prompts = tasks.select(
         "concept",
         "text_key",
-        templates.fill(template, hypothesis=F.col("concept"), text=shown).alias("prompt"),
+        templates.fill(template, hypothesis=F.col("concept"), text=F.col("text")).alias("prompt"),
     )
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +160,7 @@ def annotate(
     """
     spark = tasks.sparkSession
     keyed = (
-        tasks.select("concept", "text", text.text_key(F.col("text")).alias("text_key"))
+        tasks.select("concept", _shown(max_words), text.text_key(F.col("text")).alias("text_key"))
         .groupBy("concept", "text_key")
         .agg(F.first("text").alias("text"))
     )
@@ -164,7 +168,7 @@ def annotate(
     todo = keyed.join(known, ["concept", "text_key"], "left_anti")
     if partitions:
         todo = todo.repartition(partitions)
-    fresh = cut_lineage(_answer_tasks(todo, answer_fn, template, max_words, batch_size))
+    fresh = cut_lineage(_answer_tasks(todo, answer_fn, template, batch_size))
     if store is None:
         return fresh
     hits, _ = relational.split_cached_tasks(keyed, known)
@@ -174,6 +178,27 @@ def annotate(
 
 
 def annotate_texts_with_concepts(
+    texts: DataFrame, concepts: DataFrame | Sequence[str], answer_fn: AnswerFn, **options
+) -> DataFrame:
+    """``row_id, concept, value`` for every text with every concept.
+
+    ``options`` are those of :func:`annotate`.
+    """
+    rows, answers = _answer_texts(texts, concepts, answer_fn, **options)
+    return relational.lookup_join(rows, answers, "text_key", "inner").select("row_id", "concept", "value")
+
+
+def annotation_columns(texts: DataFrame, concepts: Sequence[str], answer_fn: AnswerFn, **options) -> DataFrame:
+    """The same with one column ``c0, c1, ..`` per concept.
+
+    Answers are made wide per distinct text, so one short record per text is shuffled
+    instead of one per text and concept.
+    """
+    rows, answers = _answer_texts(texts, concepts, answer_fn, **options)
+    return relational.annotation_vectors(rows, answers, concepts).drop("text_key")
+
+
+def _answer_texts(
     texts: DataFrame,
     concepts: DataFrame | Sequence[str],
     answer_fn: AnswerFn,
@@ -183,18 +208,20 @@ def annotate_texts_with_concepts(
     template: str = templates.ANNOTATION,
     batch_size: int = ANSWER_BATCH,
     partitions: int | None = None,
-) -> DataFrame:
-    """``row_id, concept, value`` for every text with every concept.
+) -> tuple[DataFrame, DataFrame]:
+    """``row_id, text_key`` and the answers ``text_key, concept, value``.
 
-    A text body is shuffled once, when repeats are removed; the concepts a store already
-    answers for it come to it as a short list, and only the open ones are asked.
+    A text, cut to what the model sees, is shuffled once, when repeats are removed; the
+    concepts a store already answers for it come to it as a short list, and only the open
+    ones are asked. The row keys are written down, so the texts are not read again to
+    bring the answers back to their rows.
     """
-    keyed = texts.select("row_id", "text", text.text_key(F.col("text")).alias("text_key"))
-    distinct = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    spark = texts.sparkSession
+    key = text.text_key(F.col("text")).alias("text_key")
+    rows = cut_lineage(texts.select("row_id", key))
+    distinct = texts.select(_shown(max_words), key).groupBy("text_key").agg(F.first("text").alias("text"))
     pairs = relational.with_every_concept(distinct, concepts)
     if store is not None:
-        known = _only_concepts(store.read(spark), concepts)
+        known = _only_concepts(store.read(texts.sparkSession), concepts)
         done = known.groupBy("text_key").agg(F.collect_set("concept").alias("_done"))
         pairs = (
             relational.with_every_concept(distinct.join(done, "text_key", "left"), concepts)
@@ -203,17 +230,13 @@ def annotate_texts_with_concepts(
         )
     if partitions:
         pairs = pairs.repartition(partitions)
-    fresh = cut_lineage(_answer_tasks(pairs, answer_fn, template, max_words, batch_size))
-    answers = fresh
-    if store is not None:
-        hits = cut_lineage(
-            known.join(distinct.select("text_key"), "text_key", "left_semi").select("concept", "text_key", "value")
-        )
-        store.append(fresh.filter("value IS NOT NULL"))
-        answers = hits.unionByName(fresh)
-    return relational.lookup_join(keyed.select("row_id", "text_key"), answers, "text_key", "inner").select(
-        "row_id", "concept", "value"
-    )
+    fresh = cut_lineage(_answer_tasks(pairs, answer_fn, template, batch_size))
+    if store is None:
+        return rows, fresh
+    hits = known.join(rows.select("text_key"), "text_key", "left_semi")
+    hits = cut_lineage(hits.select("concept", "text_key", "value"))
+    store.append(fresh.filter("value IS NOT NULL"))
+    return rows, hits.unionByName(fresh)
 
 
 def _only_concepts(answers: DataFrame, concepts: DataFrame | Sequence[str]) -> DataFrame:

@@ -198,14 +198,12 @@ def evaluate_hypotheses(
     concepts = list(dict.fromkeys(hypotheses))
     if classification is None:
         classification = relational.is_binary(targets).first()[0]
-    annotations = jobs.annotate_texts_with_concepts(
-        texts, concepts, answer_fn, store=store, max_words=max_words_per_example
-    )
-    return _score(annotations, targets, concepts, classification, corrected_pval_threshold, drop_unanswered)
+    columns = jobs.annotation_columns(texts, concepts, answer_fn, store=store, max_words=max_words_per_example)
+    design = targets.select("row_id", F.col("y").cast("double").alias("y")).join(columns, "row_id")
+    return _score(design, concepts, classification, corrected_pval_threshold, drop_unanswered)
 
 
-def _score(annotations, targets, concepts, classification, threshold, drop_unanswered) -> tuple[dict, DataFrame]:
-    design = evaluation.design_table(annotations, targets, concepts)
+def _score(design, concepts, classification, threshold, drop_unanswered) -> tuple[dict, DataFrame]:
     if drop_unanswered:
         design = design.dropna(subset=evaluation.concept_columns(concepts))
     design = design.persist(StorageLevel.MEMORY_AND_DISK)
@@ -237,7 +235,8 @@ def evaluate_pairs(
     )
     signed = relational.pair_annotation_difference(pairs, annotations).withColumnRenamed("pair_id", "row_id")
     targets = pairs.select(F.col("pair_id").alias("row_id"), "y")
-    return _score(signed, targets, concepts, classification, corrected_pval_threshold, drop_unanswered)
+    design = evaluation.design_table(signed, targets, concepts)
+    return _score(design, concepts, classification, corrected_pval_threshold, drop_unanswered)
 
 
 def generate_pair_hypotheses(

@@ -25,9 +25,10 @@ class Store:
     schema: str
     keys: tuple[str, ...]
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self, spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
         """Rows stored under this name; a missing or unreadable store reads as empty.
 
+        ``wanted`` holds keys to keep, applied before anything else is done to the rows.
         Two runs appending at once may both store a key, so keys are made unique here.
         """
         empty = spark.createDataFrame([], self.schema)
@@ -38,6 +39,8 @@ class Store:
         except AnalysisException:
             return empty
         mine = whole.filter(F.col("cache_name") == self.cache_name).drop("cache_name")
+        if wanted is not None:
+            mine = mine.join(wanted, wanted.columns, "left_semi")
         payload = [F.first(c).alias(c) for c in mine.columns if c not in self.keys]
         return mine.groupBy(*self.keys).agg(*payload).select(*empty.columns)
 
