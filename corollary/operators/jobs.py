@@ -233,7 +233,7 @@ def _answer_texts(
     fresh = cut_lineage(_answer_tasks(pairs, answer_fn, template, batch_size))
     if store is None:
         return rows, fresh
-    hits = known.join(rows.select("text_key"), "text_key", "left_semi")
+    hits = known.join(rows.select("text_key").distinct(), "text_key", "left_semi")
     hits = cut_lineage(hits.select("concept", "text_key", "value"))
     store.append(fresh.filter("value IS NOT NULL"))
     return rows, hits.unionByName(fresh)

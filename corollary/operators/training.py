@@ -426,6 +426,22 @@ def _fit(model: FeatureModel, blocks, val_blocks, steps: int, cfg: TrainConfig)
                 break
 
 
+def model_loss(
+    vectors: DataFrame, model: FeatureModel, *, embedding: str = "embedding", row_id: str = "row_id", **options
+) -> float:
+    """The training loss of a given model over all rows, without changing the model.
+
+    ``options`` are those of :class:`TrainConfig`; ``multi_coef`` and ``aux_coef`` weigh
+    the two extra terms, of which the second uses the features idle for too many steps.
+    """
+    cfg = TrainConfig(**options)
+    blocks = _cached_blocks(vectors, embedding, row_id, 1, cfg, model.dim, vectors.count())
+    try:
+        return _loss_and_gradient(blocks, model, cfg, gradient=False, track=False)[0]
+    finally:
+        blocks.frame.unpersist()
+
+
 def history_table(spark, model: FeatureModel) -> DataFrame:
     """``epoch, train_loss, val_loss, dead_ratio``."""
     rows: Sequence[tuple] = [

@@ -43,6 +43,7 @@ from corollary.plans.queries_features import (
 )
 from corollary.plans.queries_text import document_pairs
 from corollary.plans.registry import q6, query, r6
+from corollary.session import cut_lineage
 
 SEED = 3
 ANNOTATED_WORDS = 32
@@ -249,22 +250,20 @@ def g5_tabular(spark, sf):
     customer = table(spark, sf, "customer").withColumn("label", text.map_labels(F.col("c_mktsegment"), SEGMENTS))
     examples, rest = relational.head_tail_split(customer, 5, "c_custkey")
     prompts = relational.few_shot_prompts(examples, rest, FIELDS, "label", n_examples=5, row_id="c_custkey")
-    prompts = prompts.select("row_id", F.col("prompt").alias("text"))
+    prompts = prompts.select("row_id", F.col("prompt").alias("text"), text.text_key(F.col("prompt")).alias("text_key"))
     targets = customer.select(F.col("c_custkey").alias("row_id"), F.col("label").cast("double").alias("y"))
-    targets = targets.join(prompts.select("row_id"), "row_id", "left_semi")
     store = jobs.embed_texts(prompts, rules.embed_words).select("text_key", "embedding")
-    embedded = prompts.select("row_id", text.text_key(F.col("text")).alias("text_key")).join(store, "text_key")
-    train, held = relational.train_validation_split(embedded.select("row_id", "embedding"), 0.1, SEED)
+    rows = cut_lineage(prompts.join(store, "text_key").join(targets, "row_id").drop("text_key"))
+    train, held = relational.train_validation_split(rows, 0.1, SEED)
     model = training.train_sae(
         train, 8, 2, val_vectors=held, n_epochs=3, batch_size=4096, learning_rate=1e-2, seed=SEED
     )
-    seen = prompts.join(train.select("row_id"), "row_id", "left_semi")
     hypotheses = flows.generate_hypotheses(
-        seen, targets.join(seen.select("row_id"), "row_id", "left_semi"), train, model, rules.name_by_word,
-        rules.answer_contains, selection_method="correlation", n_selected_neurons=3, n_scoring_examples=20, seed=SEED,
+        train.select("row_id", "text"), train.select("row_id", "y"), train.select("row_id", "embedding", "y"), model,
+        rules.name_by_word, rules.answer_contains, selection_method="correlation", n_selected_neurons=3,
+        n_scoring_examples=20, seed=SEED,
     )
-    unseen = prompts.join(held.select("row_id"), "row_id", "left_semi")
     _, found = flows.evaluate_hypotheses(
-        hypotheses, unseen, targets.join(unseen.select("row_id"), "row_id", "left_semi"), rules.answer_contains
+        hypotheses, held.select("row_id", "text"), held.select("row_id", "y"), rules.answer_contains
     )
     return shown_hypotheses(found)
