@@ -13,9 +13,13 @@ from corollary.session import collect_dimension
 
 #: A join key is hot when it holds at least this share of the rows.
 HOT_SHARE = 1 / 64
+#: Right rows of hot keys that may be broadcast, and the salts used when there are more.
+HOT_ROWS, SALTS = 500_000, 64
 #: Concepts held as a literal array; larger sets are joined block by block.
 INLINE_ITEMS = 1_000
 INLINE_CHARS = 1_000_000
+#: Characters of all concepts together that may be broadcast.
+BROADCAST_CHARS = 64_000_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int = 100_000) -> list:
@@ -34,19 +38,22 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int =
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join rows to a table that has few rows per key, splitting hot keys off.
 
-    Rows of a hot key stay where they are and meet a broadcast of that key's few right
-    rows; all other rows take the ordinary shuffled join.
+    Rows of a hot key stay where they are and meet a broadcast of that key's right rows,
+    or, should those be many, a copy of them per salt. All other rows take the ordinary
+    shuffled join.
     """
     hot = hot_keys(left, key)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = right.filter(F.col(key).isin(hot))
-    return (
-        left.filter(~is_hot)
-        .join(right, key, how)
-        .unionByName(left.filter(is_hot).join(F.broadcast(few), key, how))
-    )
+    crowd, few = left.filter(is_hot), right.filter(F.col(key).isin(hot))
+    if few.limit(HOT_ROWS + 1).count() <= HOT_ROWS:
+        found = crowd.join(F.broadcast(few), key, how)
+    else:
+        copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(*crowd.columns), F.lit(SALTS)).cast("int")
+        found = crowd.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+    return left.filter(~is_hot).join(right, key, how).unionByName(found)
 
 
 def uncached_texts(texts: DataFrame, store: DataFrame) -> DataFrame:
@@ -89,36 +96,37 @@ def with_every_concept(texts: DataFrame, concepts: DataFrame | Sequence[str]) ->
     """Every text with every distinct concept.
 
     A small concept list travels as a literal array and is exploded row by row, so
-    nothing is shuffled. A large one is cut into blocks that meet the texts in an
-    equi-join on ``(block, salt)``: the salt spreads a block's texts over many tasks.
+    nothing is shuffled. A larger one is cut into blocks that meet the texts in an
+    equi-join on the block: broadcast while their text is bounded, else shuffled on
+    ``(block, salt)``, where the salt spreads a block's texts over many tasks.
     """
     if isinstance(concepts, DataFrame):
-        sizes = concepts.select("concept").distinct()
-        count, chars = sizes.agg(F.count("*"), F.sum(F.char_length("concept"))).first()
+        distinct = concepts.select("concept").distinct()
+        count, chars = distinct.agg(F.count("*"), F.sum(F.char_length("concept"))).first()
         if count > INLINE_ITEMS or (chars or 0) > INLINE_CHARS:
-            return _with_concept_blocks(texts, sizes, count)
-        concepts = sorted(r[0] for r in collect_dimension(sizes))
+            return _with_concept_blocks(texts, distinct, count, chars)
+        concepts = sorted(r[0] for r in collect_dimension(distinct))
     items = list(dict.fromkeys(concepts))
     if not items:
         return texts.withColumn("concept", F.lit(None).cast("string")).filter(F.lit(False))
     return texts.withColumn("concept", F.explode(F.array(*[F.lit(c) for c in items])))
 
 
-def _with_concept_blocks(texts: DataFrame, concepts: DataFrame, count: int, salts: int = 64) -> DataFrame:
+def _with_concept_blocks(texts: DataFrame, concepts: DataFrame, count: int, chars: int) -> DataFrame:
     blocks = -(-count // INLINE_ITEMS)
     grouped = (
         concepts.withColumn("_block", F.pmod(F.xxhash64("concept"), F.lit(blocks)).cast("int"))
         .groupBy("_block")
         .agg(F.collect_list("concept").alias("_concepts"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    return (
-        texts.withColumn("_salt", F.pmod(F.xxhash64(*texts.columns), F.lit(salts)).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .join(grouped, ["_block", "_salt"])
-        .withColumn("concept", F.explode("_concepts"))
-        .drop("_block", "_salt", "_concepts")
     )
+    texts = texts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if chars <= BROADCAST_CHARS:
+        joined = texts.join(F.broadcast(grouped), "_block")
+    else:
+        salt = F.pmod(F.xxhash64(*texts.columns), F.lit(SALTS)).cast("int")
+        copies = grouped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = texts.withColumn("_salt", salt).join(copies, ["_block", "_salt"]).drop("_salt")
+    return joined.withColumn("concept", F.explode("_concepts")).drop("_block", "_concepts")
 
 
 def example_tasks(examples: DataFrame, names: DataFrame) -> DataFrame:

@@ -28,8 +28,10 @@ def hot_left(spark):
     )
 
 
+@pytest.mark.parametrize("hot_rows", [10, 0])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join_splits_hot_keys(spark, hot_left, monkeypatch, how):
+def test_lookup_join_splits_hot_keys(spark, hot_left, monkeypatch, how, hot_rows):
+    monkeypatch.setattr(relational, "HOT_ROWS", hot_rows)
     right = spark.createDataFrame([("hot", 1), ("k150", 2), ("k151", 3)], "k string, v int")
     plain = sorted(map(tuple, hot_left.join(right, "k", how).collect()), key=str)
     original = relational.hot_keys
@@ -76,6 +78,8 @@ def test_every_concept_inline_and_in_blocks(spark, monkeypatch):
     assert pairs() == want
     monkeypatch.setattr(relational, "INLINE_ITEMS", 3)
     assert pairs() == want
+    monkeypatch.setattr(relational, "BROADCAST_CHARS", 0)
+    assert pairs() == want
     assert relational.with_every_concept(texts, []).count() == 0
 
 
