@@ -35,7 +35,7 @@ STEP_ROWS = 512
 #: Most steps (Spark jobs) per epoch; larger data gets larger steps.
 STEPS_PER_EPOCH = 64
 #: Bytes of vectors in one packed block and in one training partition.
-BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 32 << 20
 #: Bytes of partial sums the driver takes at once, and tasks added up by one task.
 COLLECT_BYTES, FAN_IN = 256 << 20, 32
 #: Partial sums above this size travel in single precision.

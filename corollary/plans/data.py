@@ -54,18 +54,13 @@ def lengths(spark, sf) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, key: str, target) -> DataFrame:
-    """``pair_id, row_a, row_b, y``: rows 2i and 2i + 1; y = 1 if A's target is larger."""
-    side = F.col(key) - 2 * F.shiftright(key, 1)
-    sides = rows.select(
-        F.shiftright(key, 1).alias("pair_id"), F.col(key).alias("id"), side.alias("side"), target.alias("v")
+    """``pair_id, row_a, row_b, y``: rows paired in id order; y = 1 if A's target is larger."""
+    pairs = rows.select(F.col(key).alias("id"), target.alias("v")).groupBy(F.shiftright("id", 1).alias("pair_id")).agg(
+        F.min("id").alias("row_a"),
+        F.max("id").alias("row_b"),
+        (F.min_by("v", "id") > F.max_by("v", "id")).cast("double").alias("y"),
     )
-    pairs = sides.groupBy("pair_id").agg(
-        F.max(F.when(F.col("side") == 0, F.col("id"))).alias("row_a"),
-        F.max(F.when(F.col("side") == 1, F.col("id"))).alias("row_b"),
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("va"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("vb"),
-    )
-    return pairs.dropna().select("pair_id", "row_a", "row_b", (F.col("va") > F.col("vb")).cast("double").alias("y"))
+    return pairs.filter("row_a < row_b")
 
 
 def keyword_annotations(spark, sf, words=None) -> DataFrame:
@@ -183,6 +178,13 @@ def sql_truncate(x: str, words: int | None = None, chars: int | None = None) ->
     )
 
 
+def sql_pairs(source: str, key: str, target: str) -> str:
+    return (
+        f"SELECT {key} // 2 AS pair_id, min({key}) AS row_a, max({key}) AS row_b, "
+        f"(arg_min({target}, {key}) > arg_max({target}, {key}))::DOUBLE AS y FROM {source} GROUP BY 1 HAVING count(*) = 2"
+    )
+
+
 def sql_position(text: str) -> str:
     """Hash position of a text such as ``'7:' || row_id``."""
     return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"

@@ -35,7 +35,7 @@ def interpret_sae(
     neuron_indices: Sequence[int] | None = None,
     n_random_neurons: int | None = None,
     n_examples_for_interpretation: int = 20,
-    max_words_per_example: int = 256,
+    max_words_per_example: int | None = 256,
     n_candidates: int = 1,
     print_examples_n: int = 3,
     task_specific_instructions: str | None = None,
@@ -94,7 +94,7 @@ def generate_hypotheses(
     selection_method: str = "separation_score",
     n_selected_neurons: int = 20,
     n_examples_for_interpretation: int = 20,
-    max_words_per_example: int = 256,
+    max_words_per_example: int | None = 256,
     n_candidate_interpretations: int = 1,
     n_scoring_examples: int = 100,
     scoring_metric: str = "f1",
@@ -183,7 +183,7 @@ def evaluate_hypotheses(
     answer_fn: jobs.AnswerFn,
     *,
     store: Store | None = None,
-    max_words_per_example: int = 256,
+    max_words_per_example: int | None = 256,
     classification: bool | None = None,
     corrected_pval_threshold: float = 0.1,
     drop_unanswered: bool = False,
@@ -223,7 +223,7 @@ def evaluate_pairs(
     answer_fn: jobs.AnswerFn,
     *,
     store: Store | None = None,
-    max_words_per_example: int = 256,
+    max_words_per_example: int | None = 256,
     classification: bool = True,
     corrected_pval_threshold: float = 0.1,
     drop_unanswered: bool = False,

@@ -496,7 +496,7 @@ def n7_class_count(spark, sf):
 
 # --- sampling ---------------------------------------------------------------------------
 
-N_EXAMPLES, MAX_WORDS = 16, 64
+N_EXAMPLES, MAX_WORDS = 16, 256
 SAMPLED = "doc_vectors AS (SELECT doc_id AS row_id, text FROM documents JOIN embeddings ON doc_id = vec_id)"
 
 

@@ -17,7 +17,7 @@ from corollary.plans.data import (
     neighbours,
     quality,
     sql_annotations,
-    sql_truncate,
+    sql_pairs,
     sql_words,
     table,
     texts,
@@ -46,7 +46,6 @@ from corollary.plans.registry import q6, query, r6
 from corollary.session import cut_lineage
 
 SEED = 3
-ANNOTATED_WORDS = 32
 
 
 @query(
@@ -82,24 +81,19 @@ def p2_interpret_neurons(spark, sf):
     return jobs.interpret_neurons(docs.select("row_id", "text"), acts, range(model.m), rules.name_by_word, config)
 
 
-_SHORT = f"SELECT doc_id AS row_id, {sql_truncate('text', words=ANNOTATED_WORDS)} AS text FROM documents"
-
-
 @query(
     "p3_annotate",
-    f"SELECT DISTINCT concept, sha256(text) AS text_key, value FROM ({sql_annotations(_SHORT, WORDS[:3])}) a "
+    f"SELECT DISTINCT concept, sha256(text) AS text_key, value FROM ({sql_annotations(words=WORDS[:3])}) a "
     "JOIN documents ON doc_id = row_id",
 )
 def p3_annotate(spark, sf):
     tasks = texts(spark, sf).select("text", F.explode(F.lit(CONCEPTS[:3])).alias("concept"))
-    return jobs.annotate(tasks, rules.answer_contains, max_words=ANNOTATED_WORDS)
+    return jobs.annotate(tasks, rules.answer_contains)
 
 
-@query("p4_annotate_all", sql_annotations(_SHORT))
+@query("p4_annotate_all", sql_annotations())
 def p4_annotate_all(spark, sf):
-    return jobs.annotate_texts_with_concepts(
-        texts(spark, sf), CONCEPTS, rules.answer_contains, max_words=ANNOTATED_WORDS
-    )
+    return jobs.annotate_texts_with_concepts(texts(spark, sf), CONCEPTS, rules.answer_contains)
 
 
 @query(
@@ -181,30 +175,27 @@ def g2_generate(spark, sf):
     )
 
 
-_ALL_WORDS = LENGTHS_SQL.replace("SELECT doc_id AS row_id, text FROM documents", f"SELECT doc_id AS row_id, {sql_truncate('text', words=256)} AS text FROM documents")
-
-
 @query(
     "g3_evaluate",
-    f"WITH {_ALL_WORDS}, {T_SQL}, {OLS_SQL}, {HYPOTHESES_SQL} "
+    f"WITH {LENGTHS_SQL}, {T_SQL}, {OLS_SQL}, {HYPOTHESES_SQL} "
     f"SELECT t.*, {q6('r2')} AS r2 FROM ({SHOW_HYPOTHESES_SQL}) t, (SELECT max(r2) AS r2 FROM fit) r",
 )
 def g3_evaluate(spark, sf):
     metrics, found = flows.evaluate_hypotheses(
-        TWO_CONCEPTS, texts(spark, sf), lengths(spark, sf), rules.answer_contains
+        TWO_CONCEPTS, texts(spark, sf), lengths(spark, sf), rules.answer_contains, max_words_per_example=None
     )
     return shown_hypotheses(found).withColumn("r2", r6(F.lit(metrics["r2"])))
 
 
 @query(
     "g4_pairs_evaluate",
-    "WITH "
-    + PAIR_CELLS_SQL.replace("SELECT doc_id AS row_id, text FROM documents", f"SELECT doc_id AS row_id, {sql_truncate('text', words=256)} AS text FROM documents")
-    + f" SELECT concept AS hypothesis, {q6(SEPARATION_SQL)} AS separation_score, {q6('avg((value <> 0)::INTEGER)')} AS feature_prevalence "
-    "FROM cells GROUP BY 1",
+    f"WITH {PAIR_CELLS_SQL} SELECT concept AS hypothesis, {q6(SEPARATION_SQL)} AS separation_score, "
+    f"{q6('avg((value <> 0)::INTEGER)')} AS feature_prevalence FROM cells GROUP BY 1",
 )
 def g4_pairs_evaluate(spark, sf):
-    _, found = flows.evaluate_pairs(CONCEPTS, texts(spark, sf), document_pairs(spark, sf), rules.answer_contains)
+    _, found = flows.evaluate_pairs(
+        CONCEPTS, texts(spark, sf), document_pairs(spark, sf), rules.answer_contains, max_words_per_example=None
+    )
     return shown_hypotheses(found).select("hypothesis", "separation_score", "feature_prevalence")
 
 
@@ -212,8 +203,7 @@ def g4_pairs_evaluate(spark, sf):
     "g4_pairs_generate",
     f"""WITH {MODEL_SQL}, {ACT_DOCS},
     paired AS (SELECT row_id, y FROM targets JOIN doc_vectors USING (row_id)),
-    pairs AS (SELECT a.row_id // 2 AS pair_id, a.row_id AS row_a, b.row_id AS row_b, (a.y > b.y)::DOUBLE AS y
-      FROM paired a JOIN paired b ON b.row_id = a.row_id + 1 AND a.row_id % 2 = 0),
+    pairs AS ({sql_pairs('paired', 'row_id', 'y')}),
     za AS (SELECT pair_id, neuron_idx, activation AS v FROM pairs JOIN act ON row_id = row_a
       UNION ALL SELECT pair_id, neuron_idx, -activation FROM pairs JOIN act ON row_id = row_b),
     diff AS (SELECT pair_id, neuron_idx, sum(v) AS activation FROM za GROUP BY 1, 2),

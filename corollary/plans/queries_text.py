@@ -19,6 +19,7 @@ from corollary.plans.data import (
     scratch,
     small_activations,
     sql_annotations,
+    sql_pairs,
     sql_position,
     sql_strip,
     sql_truncate,
@@ -415,9 +416,8 @@ def j6_annotation_vectors(spark, sf):
     return relational.annotation_vectors(rows, answers, CONCEPTS).drop("text_key")
 
 
-PAIRS_SQL = """
-pairs AS (SELECT a.vec_id // 2 AS pair_id, a.vec_id AS row_a, b.vec_id AS row_b, (a.label > b.label)::DOUBLE AS y
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0),
+PAIRS_SQL = f"""
+pairs AS ({sql_pairs('embeddings', 'vec_id', 'label')}),
 diff AS (
   SELECT * FROM (
     SELECT pair_id, neuron_idx, coalesce(za, 0) - coalesce(zb, 0) AS activation FROM
@@ -435,9 +435,7 @@ def document_pairs(spark, sf):
     return neighbours(table(spark, sf, "documents"), "doc_id", F.col("n_chars"))
 
 
-DOCUMENT_PAIRS_SQL = """
-pairs AS (SELECT a.doc_id // 2 AS pair_id, a.doc_id AS row_a, b.doc_id AS row_b, (a.n_chars > b.n_chars)::DOUBLE AS y
-  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0)"""
+DOCUMENT_PAIRS_SQL = f"pairs AS ({sql_pairs('documents', 'doc_id', 'n_chars')})"
 
 
 @query(
