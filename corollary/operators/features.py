@@ -89,8 +89,8 @@ def top_k(pre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     # a tie across the cut is settled in favour of the lower index
     cut = values.min(axis=1, keepdims=True)
     tied = (pre == cut).sum(axis=1) > (values == cut).sum(axis=1)
-    for row in np.flatnonzero(tied):
-        index[row] = np.lexsort((np.arange(pre.shape[1]), -pre[row]))[:k]
+    if tied.any():
+        index[tied] = np.argsort(-pre[tied], axis=1, kind="stable")[:, :k]
     return index, np.take_along_axis(pre, index, axis=1)
 
 

@@ -28,6 +28,8 @@ AnswerFn = Callable[[list[str]], Sequence[str]]
 MAX_TRIES = 3
 EMBED_BATCH = 128
 ANSWER_BATCH = 64
+#: Model calls one task makes at most, unless the caller sets the number of partitions.
+CALLS_PER_TASK = 100_000
 
 
 @dataclass
@@ -46,6 +48,16 @@ def _chunks(items: list, size: int) -> Iterator[list]:
         yield items[at : at + size]
 
 
+def _spread(tasks: DataFrame, partitions: int | None, keys: Sequence[str], n_calls: int = 0) -> DataFrame:
+    """Spread model calls over the cluster by their keys.
+
+    The number of partitions is explicit: sizing them by bytes, as is usual after a
+    shuffle, would put many slow calls into one task.
+    """
+    cores = tasks.sparkSession.sparkContext.defaultParallelism
+    return tasks.repartition(partitions or max(cores, -(-n_calls // CALLS_PER_TASK)), *keys)
+
+
 def _call(fn: Callable, batch: list[str], tries: int = MAX_TRIES) -> list:
     """Call the model, again on failure; the last failure is raised."""
     for attempt in range(tries):
@@ -90,13 +102,12 @@ def embed_texts(
 ) -> DataFrame:
     """``text_key, text, embedding`` of every distinct valid text.
 
-    ``partitions`` bounds how many model calls run at once.
+    ``partitions`` bounds how many model calls run at once, for a rate-limited model.
     """
     spark = texts.sparkSession
     known = store.read(spark) if store else spark.createDataFrame([], "text_key string")
     todo = relational.uncached_texts(texts, known).withColumn("_input", text.model_input(F.col("text"), model))
-    if partitions:
-        todo = todo.repartition(partitions)
+    todo = _spread(todo, partitions, ["text_key"], texts.count())
 
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -166,8 +177,7 @@ def annotate(
     )
     known = store.read(spark) if store else spark.createDataFrame([], "concept string, text_key string, value int")
     todo = keyed.join(known, ["concept", "text_key"], "left_anti")
-    if partitions:
-        todo = todo.repartition(partitions)
+    todo = _spread(todo, partitions, ["concept", "text_key"])
     fresh = cut_lineage(_answer_tasks(todo, answer_fn, template, batch_size))
     if store is None:
         return fresh
@@ -219,17 +229,16 @@ def _answer_texts(
     key = text.text_key(F.col("text")).alias("text_key")
     rows = cut_lineage(texts.select("row_id", key))
     distinct = texts.select(_shown(max_words), key).groupBy("text_key").agg(F.first("text").alias("text"))
-    pairs = relational.with_every_concept(distinct, concepts)
     if store is not None:
         known = _only_concepts(store.read(texts.sparkSession), concepts)
         done = known.groupBy("text_key").agg(F.collect_set("concept").alias("_done"))
-        pairs = (
-            relational.with_every_concept(distinct.join(done, "text_key", "left"), concepts)
-            .filter(~F.coalesce(F.array_contains("_done", F.col("concept")), F.lit(False)))
-            .drop("_done")
-        )
-    if partitions:
-        pairs = pairs.repartition(partitions)
+        distinct = distinct.join(done, "text_key", "left")
+    n_concepts = concepts.count() if isinstance(concepts, DataFrame) else len(concepts)
+    distinct = _spread(distinct, partitions, ["text_key"], rows.count() * n_concepts)
+    pairs = relational.with_every_concept(distinct, concepts)
+    if store is not None:
+        answered = F.coalesce(F.array_contains("_done", F.col("concept")), F.lit(False))
+        pairs = pairs.filter(~answered).drop("_done")
     fresh = cut_lineage(_answer_tasks(pairs, answer_fn, template, batch_size))
     if store is None:
         return rows, fresh
@@ -300,6 +309,7 @@ def interpret_neurons(
                 replies += _call_each(complete_fn, batch)
             yield frame[["neuron_idx", "candidate_idx"]].assign(reply=replies)
 
+    tasks = _spread(tasks, None, ["neuron_idx", "candidate_idx"])
     replies = cut_lineage(tasks.mapInPandas(complete, "neuron_idx int, candidate_idx int, reply string"))
     named = replies.filter("reply IS NOT NULL").select(
         "neuron_idx", "candidate_idx", text.clean_name(F.col("reply")).alias("interpretation")
@@ -333,6 +343,7 @@ def surface_similarity(
                 replies += _call_each(answer_fn, batch)
             yield frame[["text_a", "text_b"]].assign(reply=replies)
 
+    tasks = _spread(tasks, None, ["text_a", "text_b", "sample"])
     replies = cut_lineage(tasks.mapInPandas(grade, "text_a string, text_b string, reply string"))
     return replies.groupBy("text_a", "text_b").agg(
         F.avg(text.parse_graded(F.col("reply"))).alias("similarity")
