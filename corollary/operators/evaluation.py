@@ -37,9 +37,9 @@ def concept_columns(concepts: Sequence[str]) -> list[str]:
 
 
 def design_table(annotations: DataFrame, targets: DataFrame, concepts: Sequence[str]) -> DataFrame:
-    """``row_id, y, c0, c1, ..`` from long annotations ``row_id, concept, value``."""
+    """``row_id, y, c0, c1, ..`` from long annotations ``row_id, concept, value``; gaps are NULL."""
     return targets.select("row_id", F.col("y").cast("double").alias("y")).join(
-        relational.wide_values(annotations, "row_id", concepts), "row_id"
+        relational.wide_values(annotations, "row_id", concepts), "row_id", "left"
     )
 
 

@@ -231,7 +231,7 @@ def head_tail_split(df: DataFrame, n: int, row_id: str = "row_id") -> tuple[Data
 
 def is_binary(df: DataFrame, target: str = "y") -> DataFrame:
     """One row, ``classification``: true when every label is 0 or 1."""
-    return df.agg(F.bool_and(F.col(target).isin(0, 1)).alias("classification"))
+    return df.agg(F.bool_and(F.coalesce(F.col(target).isin(0, 1), F.lit(False))).alias("classification"))
 
 
 def few_shot_prompts(

@@ -442,6 +442,27 @@ def model_loss(
         blocks.frame.unpersist()
 
 
+def gradient_table(
+    vectors: DataFrame, model: FeatureModel, *, embedding: str = "embedding", row_id: str = "row_id", **options
+) -> DataFrame:
+    """``neuron_idx, enc, dec, bias``: the loss gradient of a given model over all rows.
+
+    Before projection and clipping. Tells which features a further step would move.
+    """
+    cfg = TrainConfig(**options)
+    blocks = _cached_blocks(vectors, embedding, row_id, 1, cfg, model.dim, vectors.count())
+    try:
+        _, grads = _loss_and_gradient(blocks, model, cfg, gradient=True, track=False)
+    finally:
+        blocks.frame.unpersist()
+    rows = [
+        (i, grads["g_enc"][i].tolist(), grads["g_dec"][i].tolist(), float(grads["g_neuron"][i])) for i in range(model.m)
+    ]
+    return vectors.sparkSession.createDataFrame(
+        rows, "neuron_idx int, enc array<double>, dec array<double>, bias double"
+    )
+
+
 def history_table(spark, model: FeatureModel) -> DataFrame:
     """``epoch, train_loss, val_loss, dead_ratio``."""
     rows: Sequence[tuple] = [

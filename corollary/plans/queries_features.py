@@ -113,6 +113,30 @@ def m7_training_history(spark, sf):
     )
 
 
+@query(
+    "m7_gradient",
+    f"""WITH {MODEL_SQL}, {DECODER_SQL},
+    slope AS (SELECT ends.prefix, dims.row_id, dims.d, x - c AS centered, 2.0 / 2 * (coalesce(r, 0) + c - x) AS s
+      FROM ends, dims JOIN med USING (d) LEFT JOIN coded ON coded.prefix = ends.prefix AND coded.row_id = dims.row_id
+        AND coded.d = dims.d),
+    cells AS (SELECT a.neuron_idx, a.row_id, s.d, any_value(centered) AS centered, sum(activation * s) AS to_dec,
+        sum(s * v) AS to_act FROM act a JOIN slope s ON s.row_id = a.row_id AND a.neuron_idx < s.prefix
+        JOIN dec ON dec.neuron_idx = a.neuron_idx AND dec.d = s.d GROUP BY 1, 2, 3),
+    back AS (SELECT *, sum(to_act) OVER (PARTITION BY neuron_idx, row_id) AS back FROM cells)
+    SELECT neuron_idx, {q6('sum(to_act) / any_value(b)', 8)} AS bias, {q6('sum(back * centered) / any_value(b)', 8)} AS enc_total,
+      {q6('sum(to_dec) / any_value(b)', 8)} AS dec_total FROM back, baseline GROUP BY 1""",
+)
+def m7_gradient(spark, sf):
+    """Gradient of the Matryoshka loss that a training step would follow."""
+    grads = training.gradient_table(vectors(spark, sf), centroid_model(spark, sf), aux_coef=0.0)
+    return grads.select(
+        "neuron_idx",
+        r6("bias", 8).alias("bias"),
+        r6(F.aggregate("enc", F.lit(0.0), lambda s, x: s + x), 8).alias("enc_total"),
+        r6(F.aggregate("dec", F.lit(0.0), lambda s, x: s + x), 8).alias("dec_total"),
+    )
+
+
 @query(
     "m8_initial_bias",
     f"WITH {MODEL_SQL} SELECT (d - 1)::INTEGER AS dim, {q6('quantile_disc(x, 0.5)')} AS median FROM dims GROUP BY d",

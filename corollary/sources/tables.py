@@ -13,9 +13,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str | N
     return reader.json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV table with a header row; quoted fields may span lines."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, *, multiline: bool = False
+) -> DataFrame:
+    """CSV table with a header row. ``multiline`` allows line breaks inside quotes, at the
+    price that a file can no longer be split among tasks."""
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)
 
