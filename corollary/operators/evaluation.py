@@ -144,7 +144,9 @@ def cross_products(design: DataFrame, columns: Sequence[str]) -> tuple[int, np.n
 def _least_squares(design: DataFrame, concepts: Sequence[str]) -> tuple[list[tuple], float | None, np.ndarray]:
     """``(coef, p)`` per concept, R squared and the coefficients, intercept first."""
     columns = concept_columns(concepts)
-    n, gram = cross_products(design, [*columns, "y"])
+    # centred, so that a large mean target costs no precision in the sums
+    middle = design.agg(F.avg("y")).first()[0]
+    n, gram = cross_products(design.withColumn("y", F.col("y") - F.lit(middle)), [*columns, "y"])
     mean = gram[0] / n
     centered = gram[1:, 1:] - n * np.outer(mean[1:], mean[1:])
     xx, xy, yy = centered[:-1, :-1], centered[:-1, -1], centered[-1, -1]
@@ -170,7 +172,7 @@ def _least_squares(design: DataFrame, concepts: Sequence[str]) -> tuple[list[tup
     explained = beta @ xy
     fitted = beta @ xx @ beta
     r2 = float(explained**2 / (fitted * yy)) if fitted > 0 and yy > 0 else None
-    return out, r2, np.concatenate([[mean[-1] - beta @ mean[1:-1]], beta])
+    return out, r2, np.concatenate([[middle + mean[-1] - beta @ mean[1:-1]], beta])
 
 
 def _logistic(design: DataFrame, concepts: Sequence[str]):

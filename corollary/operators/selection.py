@@ -74,12 +74,19 @@ def moments(acts: DataFrame, targets: DataFrame, extra: dict[str, Column] | None
 
 
 def correlation_scores(acts: DataFrame, targets: DataFrame, neurons: DataFrame | None = None) -> DataFrame:
-    """Pearson correlation of each feature, zeros included, with the target."""
+    """Pearson correlation of each feature, zeros included, with the target.
+
+    The target is centred first, so that a large mean costs no precision in the sums.
+    """
+    y = F.col("y").cast("double")
+    middle = targets.agg(F.avg(y)).scalar()
+    centred = targets.select("row_id", (y - middle).alias("y"))
+    carried = acts.withColumn("y", y - middle) if "y" in acts.columns else acts
     n, sa, sy = F.col("n"), F.col("sum_a"), F.col("sum_y")
     spread_a = F.greatest(n * F.col("sum_aa") - sa * sa, F.lit(0.0))
     spread_y = F.greatest(n * F.col("sum_yy") - sy * sy, F.lit(0.0))
     score = F.try_divide(n * F.col("sum_ay") - sa * sy, F.sqrt(spread_a) * F.sqrt(spread_y))
-    per = moments(acts, targets).select("neuron_idx", score.alias("score"))
+    per = moments(carried, centred).select("neuron_idx", score.alias("score"))
     return _all_neurons(per, neurons)
 
 

@@ -86,6 +86,15 @@ def test_least_squares(spark, sample):
     assert np.isclose(evaluation.squared_correlation(predictions).first()[0], r * r)
 
 
+def test_least_squares_with_a_large_mean(spark, sample):
+    concepts, y = sample
+    near, _, _ = evaluation.regression(design_of(spark, concepts, y), NAMES)
+    far, metrics, _ = evaluation.regression(design_of(spark, concepts, y + 1e8), NAMES)
+    want, got = rows_of(near), rows_of(far)
+    assert all(np.isclose(got[n].regression_pval, want[n].regression_pval, rtol=1e-4) for n in NAMES)
+    assert metrics["r2"] is not None
+
+
 def test_constant_and_collinear_concepts(spark, sample):
     concepts, y = sample
     columns = [concepts[0], np.ones(200), concepts[0]]

@@ -45,6 +45,13 @@ def test_correlation(spark, sparse_data):
     assert best[-1].neuron_idx == 5 and best[0].neuron_idx == 0
 
 
+def test_correlation_with_a_large_mean(spark, sparse_data):
+    dense, y = sparse_data
+    acts, targets, _ = tables(spark, dense, y + 1e8)
+    got = scores_of(selection.correlation_scores(acts, targets))
+    assert all(np.isclose(got[j], np.corrcoef(dense[:, j], y)[0, 1], atol=1e-7) for j in got)
+
+
 def test_constant_target_scores_null(spark, sparse_data):
     acts, targets, neurons = tables(spark, sparse_data[0], np.ones(90))
     assert set(scores_of(selection.correlation_scores(acts, targets, neurons)).values()) == {None}

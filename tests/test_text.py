@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -51,6 +53,20 @@ def test_truncate(spark, limits):
     assert values(again, text.truncate(F.col("t"), **limits)) == got
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    texts=st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="\0")), min_size=40, max_size=80),
+    words=st.integers(1, 4),
+    chars=st.integers(1, 12),
+)
+def test_truncate_any_text(spark, texts, words, chars):
+    df = column(spark, texts)
+    for limits in ({"max_words": words}, {"max_chars": chars}, {"max_words": words, "max_chars": chars}):
+        assert values(df, text.truncate(F.col("t"), **limits)) == [truncated(t, **limits) for t in texts]
+    assert values(df, text.strip(F.col("t"))) == [t.strip() for t in texts]
+    assert values(df, text.is_valid(F.col("t"))) == [bool(t.strip()) for t in texts]
+
+
 def test_truncate_without_limits_and_by_tokens(spark):
     df = column(spark, ["a-b-c-d", "a", None])
     assert values(df, text.truncate(F.col("t"))) == ["a-b-c-d", "a", None]
