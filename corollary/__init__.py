@@ -1,5 +1,6 @@
 """Finding and testing explanations of a target variable in text tables, on Spark."""
 
+from corollary.functions.text import for_printing, truncate
 from corollary.operators.evaluation import score_hypotheses
 from corollary.operators.features import FeatureModel, many_activations
 from corollary.operators.fidelity import ScoringConfig
@@ -15,6 +16,7 @@ from corollary.plans.flows import (
     interpret_sae,
 )
 from corollary.sources.models import load_model, save_model
+from corollary.sources.stores import annotation_store, embedding_store
 
 __all__ = [
     "FeatureModel",
@@ -23,9 +25,12 @@ __all__ = [
     "ScoringConfig",
     "TrainConfig",
     "annotate_texts_with_concepts",
+    "annotation_store",
     "embed_texts",
+    "embedding_store",
     "evaluate_hypotheses",
     "evaluate_pairs",
+    "for_printing",
     "generate_hypotheses",
     "generate_pair_hypotheses",
     "interpret_sae",
@@ -35,4 +40,5 @@ __all__ = [
     "score_hypotheses",
     "select_neurons",
     "train_sae",
+    "truncate",
 ]

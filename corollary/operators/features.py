@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from corollary.operators import ranking
 from corollary.session import BROADCAST_BYTES
 
-#: Cells of one dense pre-activation block inside a task (rows x neurons).
+#: Cells of one dense block inside a task (rows x neurons or dimensions).
 BLOCK_CELLS = 1 << 24
 
 
@@ -164,7 +164,7 @@ def _top_k_pass(kept: DataFrame, encoders: list[tuple], *, positive_only: bool =
     names = schema.names
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, BLOCK_CELLS // max(enc.shape[1] for enc, *_ in weights.value))
+        step = max(1, BLOCK_CELLS // max(max(enc.shape) for enc, *_ in weights.value))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)

@@ -8,6 +8,7 @@ need not answer the same way twice.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -24,8 +25,9 @@ from corollary.sources.stores import Store
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 AnswerFn = Callable[[list[str]], Sequence[str]]
 
-#: Tries for a failing call or an unclear answer.
-MAX_TRIES = 3
+#: Tries for a failing call or an unclear answer, and seconds before the second call
+#: (doubled before each further one).
+MAX_TRIES, PAUSE = 3, 1.0
 EMBED_BATCH = 128
 ANSWER_BATCH = 64
 #: Model calls one task makes at most, unless the caller sets the number of partitions.
@@ -69,6 +71,7 @@ def _call(fn: Callable, batch: list[str], tries: int = MAX_TRIES) -> list:
         except Exception:
             if attempt == tries - 1:
                 raise
+            time.sleep(PAUSE * 2**attempt)
     return []
 
 

@@ -127,7 +127,7 @@ def sample_top_zero(
 ) -> DataFrame:
     """``neuron_idx, class, row_id, activation, text``: half top-activating, half zero rows."""
     half = n_examples // 2
-    mine = acts.filter(F.col("neuron_idx").isin(list(neurons)) & (F.col("activation") > 0))
+    mine = acts.filter(F.col("neuron_idx").isin([int(i) for i in neurons]) & (F.col("activation") > 0))
     order = [F.desc("activation"), F.asc("row_id")]
     top = ranking.top_n_per_group(
         mine.select("neuron_idx", "row_id", "activation"), ["neuron_idx"], order, half, salt_on="row_id"
@@ -149,7 +149,7 @@ def sample_percentile_bins(
     """Random rows from a high percentile band of positive activations against a low band,
     or against zero rows when no low band is given."""
     half = n_examples // 2
-    mine = acts.filter(F.col("neuron_idx").isin(list(neurons)) & (F.col("activation") > 0)).select(
+    mine = acts.filter(F.col("neuron_idx").isin([int(i) for i in neurons]) & (F.col("activation") > 0)).select(
         "neuron_idx", "row_id", "activation"
     )
     percents = {"high_from": high_percentile[0], "high_to": high_percentile[1]}
@@ -184,7 +184,7 @@ def sample_neurons(neurons: DataFrame, n: int, seed=0) -> DataFrame:
 
 def top_texts(texts: DataFrame, acts: DataFrame, neurons: Sequence[int], n: int = 3) -> DataFrame:
     """``neuron_idx, top_example_1 .. top_example_n``, highest activation first."""
-    mine = acts.filter(F.col("neuron_idx").isin(list(neurons)) & (F.col("activation") > 0))
+    mine = acts.filter(F.col("neuron_idx").isin([int(i) for i in neurons]) & (F.col("activation") > 0))
     order = [F.desc("activation"), F.asc("row_id")]
     top = ranking.top_n_per_group(
         mine.select("neuron_idx", "row_id", "activation"), ["neuron_idx"], order, n, salt_on="row_id"

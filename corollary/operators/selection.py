@@ -255,14 +255,9 @@ def fit_l1(vectors: DataFrame, alpha: float, n_rows: int, *, classification: boo
             elasticNetParam=1.0, regParam=alpha / n_rows, standardization=False, maxIter=max_iter, tol=1e-10
         )
     else:
-        width = len(vectors.first()["features"])
+        # up to 4,096 features Spark solves this from one pass of sums
         estimator = LinearRegression(
-            elasticNetParam=1.0,
-            regParam=alpha,
-            standardization=False,
-            maxIter=max_iter,
-            tol=1e-10,
-            solver="normal" if width <= 4096 else "l-bfgs",
+            elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=max_iter, tol=1e-10
         )
     return SparseFit(alpha, [float(c) for c in estimator.fit(vectors).coefficients])
 
