@@ -9,6 +9,7 @@ does not depend on how the rows are partitioned.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -38,7 +39,10 @@ STEPS_PER_EPOCH = 64
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 32 << 20
 #: Bytes of partial sums the driver takes at once, and tasks added up by one task.
 COLLECT_BYTES, FAN_IN = 256 << 20, 32
-#: Partial sums above this size travel in single precision.
+#: Fewest rows of a step worth a task of their own, since every task sends a gradient.
+TASK_ROWS = 512
+#: Models whose partial sums are above this size compute and send in single precision;
+#: sums over blocks and tasks are added in double precision.
 WIDE_MESSAGE = 16 << 20
 # Adam's usual constants and the guard of the gradient norm
 BETA_1, BETA_2, EPSILON, NORM_GUARD = 0.9, 0.999, 1e-8, 1e-6
@@ -91,7 +95,7 @@ def main_sums(x: np.ndarray, model: FeatureModel, multi_coef: float, gradient: b
     if gradient:
         out = {
             "g_enc": np.zeros_like(model.enc), "g_dec": np.zeros_like(model.dec),
-            "g_neuron": np.zeros(model.m), "g_input": np.zeros(model.dim),
+            "g_neuron": np.zeros_like(model.neuron_bias), "g_input": np.zeros_like(model.input_bias),
         }
     for active, end, weight in terms:
         miss = active[:, :end] @ model.dec[:end] + model.input_bias - x
@@ -190,7 +194,7 @@ def _add_up(partials: DataFrame, tasks: int, message_bytes: int) -> dict[str, np
 
 def _accumulate(total: dict, more: dict) -> None:
     for name, value in more.items():
-        total[name] = total[name] + value if name in total else value
+        total[name] = total[name] + value if name in total else value.astype(np.float64)
 
 
 def _packed(total: dict) -> bytes:
@@ -239,10 +243,18 @@ class _Blocks:
         return _Blocks(self.frame.filter(F.col("step") == step), self.tasks)
 
 
+def _as_type(model: FeatureModel, kind) -> FeatureModel:
+    out = copy.copy(model)
+    for name in ("enc", "dec", "neuron_bias", "input_bias"):
+        setattr(out, name, getattr(model, name).astype(kind))
+    return out
+
+
 def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int) -> dict[str, np.ndarray]:
     """Sum ``share(x, model)`` over all rows of the blocks."""
     spark = blocks.frame.sparkSession
-    weights = spark.sparkContext.broadcast(model)
+    kind = np.float32 if message_bytes > WIDE_MESSAGE else np.float64
+    weights = spark.sparkContext.broadcast(_as_type(model, kind))
     step = max(1, BLOCK_CELLS // max(model.m, model.dim))
     dim = model.dim
 
@@ -252,7 +264,7 @@ def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int) -> dic
             for raw in batch.column("block"):
                 x = np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, dim)
                 for at in range(0, len(x), step):
-                    _accumulate(total, share(x[at : at + step].astype(np.float64), weights.value))
+                    _accumulate(total, share(x[at : at + step].astype(kind), weights.value))
         if total:
             yield _record(total)
 
@@ -336,12 +348,13 @@ class _Adam:
 
 
 def _cached_blocks(vectors, embedding, row_id, steps, cfg, dim, n_rows) -> _Blocks:
-    """Pack and cache, one partition per core at most: every task sends a gradient."""
+    """Pack and cache, with few partitions where steps are small: every task sends a gradient."""
     if cfg.partitions:
         vectors = vectors.repartition(cfg.partitions, row_id)
     else:
         cores = vectors.sparkSession.sparkContext.defaultParallelism
-        vectors = vectors.coalesce(max(1, min(cores, -(-n_rows * dim * 4 // PARTITION_BYTES))))
+        by_size, by_step = -(-n_rows * dim * 4 // PARTITION_BYTES), -(-n_rows // (steps * TASK_ROWS))
+        vectors = vectors.coalesce(max(1, min(cores, by_size, by_step)))
     frame = pack(vectors, embedding, row_id, steps, cfg.seed, dim).persist(StorageLevel.MEMORY_AND_DISK)
     return _Blocks(frame, frame.select(F.spark_partition_id()).distinct().count())
 

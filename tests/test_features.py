@@ -201,6 +201,18 @@ def test_tree_sum_equals_plain_sum(spark, data, monkeypatch):
     assert all(np.allclose(g_plain[k], g_tree[k]) for k in g_plain)
 
 
+def test_single_precision_is_close(spark, data, monkeypatch):
+    cfg = training.TrainConfig(partitions=3, aux_coef=0.1, multi_coef=0.2)
+    model = random_model(multi_k=5, dead_threshold=1)
+    model.steps_since_active = np.arange(12)
+    blocks = training_blocks(spark, data, cfg)
+    exact, g_exact = training._loss_and_gradient(blocks, model, cfg, gradient=True, track=False)
+    monkeypatch.setattr(training, "WIDE_MESSAGE", 0)
+    near, g_near = training._loss_and_gradient(blocks, model, cfg, gradient=True, track=False)
+    assert np.isclose(exact, near, rtol=1e-5)
+    assert all(np.allclose(g_exact[k], g_near[k], atol=1e-5) for k in g_exact)
+
+
 def test_steps_cover_every_row_once(spark, data):
     cfg = training.TrainConfig(partitions=3)
     packed = training.pack(vectors_of(spark, data), "embedding", "row_id", 5, 0, 6).collect()
