@@ -294,7 +294,7 @@ def matryoshka_error(vectors: DataFrame, model: FeatureModel, **kwargs) -> DataF
     )
 
 
-def lower_medians(vectors: DataFrame, *, embedding: str = "embedding", exact_rows: int = 20_000) -> DataFrame:
+def lower_medians(vectors: DataFrame, *, embedding: str = "embedding", exact_rows: int = 2_000) -> DataFrame:
     """``dim, median``: per-dimension lower median.
 
     ``percentile_disc`` keeps each distinct value of a group in one buffer, so it serves

@@ -187,7 +187,7 @@ def _add_up(partials: DataFrame, tasks: int, message_bytes: int) -> dict[str, np
             .mapInArrow(_sum_records, "part int, sums binary")
         )
     total: dict[str, np.ndarray] = {}
-    for row in sorted(partials.collect(), key=lambda r: r["part"]):
+    for row in sorted(partials.toArrow().to_pylist(), key=lambda r: r["part"]):
         _accumulate(total, _unpack(row["sums"]))
     return total
 
