@@ -7,13 +7,16 @@ row, so no statistic shuffles more than its sums.
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel, TaskContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -21,18 +24,21 @@ from pyspark.sql import functions as F
 
 from corollary.functions.tails import normal_two_sided, student_two_sided
 from corollary.operators import ranking, relational
+from corollary.session import collect_dimension
 
-#: Concepts one regression may hold; the H x H sums are solved on the driver.
-MAX_CONCEPTS = 4_000
+#: Groups in which matrices of sums are added, round by round.
+ADDED_BY = (64, 1)
 #: Distinct annotation vectors one task of a logistic fit reads.
 CELLS_PER_TASK = 100_000
+#: What the solver says of a fit without a finite solution; all other failures are raised.
+NO_SOLUTION = "SingularMatrix|not positive definite|assertion failed|IllegalArgument|NaN|Infinity"
 #: Steps of the logistic fit, and the standard error above which it counts as separated.
 FIT_STEPS, LARGEST_ERROR = 35, 1e3
 
 
 def concept_columns(concepts: Sequence[str]) -> list[str]:
-    if len(concepts) > MAX_CONCEPTS:
-        raise ValueError(f"at most {MAX_CONCEPTS} concepts per evaluation")
+    if not concepts:
+        raise ValueError("no concept to evaluate")
     return [f"c{i}" for i in range(len(concepts))]
 
 
@@ -116,8 +122,9 @@ def with_t_pvalue(stats: DataFrame, name: str = "separation_pval") -> DataFrame:
 def cross_products(design: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray]:
     """Row count and matrix of sums of products of ``1`` and the given columns.
 
-    Each task multiplies its Arrow batches and emits one matrix; Spark adds them cell by
-    cell, so the driver receives one matrix whatever the number of rows.
+    Each task multiplies its Arrow batches and emits one matrix; Spark adds them in two
+    rounds, so no task and not the driver receives more than a bounded number of matrices or
+    their share of all.
     """
     width = len(columns) + 1
 
@@ -126,19 +133,22 @@ def cross_products(design: DataFrame, columns: Sequence[str]) -> tuple[int, np.n
         for batch in batches:
             x = np.column_stack([np.ones(batch.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in batch.columns])
             total += x.T @ x
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": at, "value": total.ravel()[at]})
-
-    cells = (
-        design.select(*[F.col(c).cast("double") for c in columns])
-        .mapInArrow(products, "cell long, value double")
-        .groupBy("cell")
-        .agg(F.sum("value").alias("value"))
-        .toPandas()
-    )
-    gram = np.zeros(width * width)
-    gram[cells["cell"].to_numpy()] = cells["value"].to_numpy()
-    return int(round(gram[0])), gram.reshape(width, width)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [total.tobytes()]})
+
+    def add(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("part")
+        total = np.zeros(width * width)
+        for raw in ordered.column("sums"):
+            total += np.frombuffer(raw.as_buffer())
+        return pa.table({"part": ordered.column("part").slice(0, 1), "sums": [total.tobytes()]})
+
+    sums = design.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(products, "part int, sums binary")
+    for groups in ADDED_BY:
+        sums = sums.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(add, "part int, sums binary")
+    found = sums.first()
+    gram = np.frombuffer(found["sums"]).reshape(width, width) if found else np.zeros((width, width))
+    return int(round(gram[0, 0])), gram
 
 
 def _least_squares(design: DataFrame, concepts: Sequence[str]) -> tuple[list[tuple], float | None, np.ndarray]:
@@ -195,7 +205,9 @@ def _logistic(design: DataFrame, concepts: Sequence[str]):
         try:
             model = estimator.fit(packed)
             errors = list(model.summary.coefficientStandardErrors)
-        except Exception as problem:
+        except (Py4JJavaError, IllegalArgumentException) as problem:
+            if not re.search(NO_SOLUTION, str(problem)):
+                raise
             warnings.warn(f"logistic fit failed: {problem}", stacklevel=3)
             return None
         beta = np.array([model.intercept, *model.coefficients])
@@ -249,14 +261,14 @@ def regression(design: DataFrame, concepts: Sequence[str], *, classification: bo
     return table, metrics, predictions
 
 
-def ranking_metrics(predictions: DataFrame, digits: int = 12) -> DataFrame:
+def ranking_metrics(predictions: DataFrame) -> DataFrame:
     """``auroc, auprc`` of ``y`` in {0, 1} by ``score``, one row.
 
-    Equal scores are pooled first, which both metrics require and which also shrinks the
+    Equal scores, to the last bit, are pooled first, which both metrics require and which also shrinks the
     data to one row per distinct score. AUROC is the mid-rank sum; average precision is
     the step sum over distinct scores.
     """
-    pooled = predictions.groupBy(F.round("score", digits).alias("score")).agg(
+    pooled = predictions.groupBy("score").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
     )
     ranked = ranking.running_totals(pooled, "score", ["pos", "neg"])
@@ -292,7 +304,18 @@ def significant(pvalues: DataFrame, threshold: float = 0.1, column: str = "regre
 def score_hypotheses(
     design: DataFrame, concepts: Sequence[str], *, classification: bool = False, corrected_pval_threshold: float = 0.1
 ) -> tuple[dict, DataFrame]:
-    """Metrics of the joint fit and one line per concept, best separation first."""
+    """Metrics of the joint fit and one line per concept, best separation first.
+
+    The design is read by several passes; it is kept while they run.
+    """
+    design = design.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _scored(design, concepts, classification, corrected_pval_threshold)
+    finally:
+        design.unpersist()
+
+
+def _scored(design: DataFrame, concepts: Sequence[str], classification: bool, corrected_pval_threshold: float) -> tuple[dict, DataFrame]:
     gaps = _missing(design, concepts)
     if gaps:
         raise ValueError(f"{gaps} rows lack an annotation; drop or re-annotate them first")
@@ -308,7 +331,8 @@ def score_hypotheses(
         )
         .orderBy(F.col("separation_score").desc_nulls_last(), "hypothesis")
     )
-    return metrics, table
+    # one row per concept, made independent of the kept design
+    return metrics, design.sparkSession.createDataFrame(collect_dimension(table), table.schema)
 
 
 def concept_correlations(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -28,6 +29,11 @@ class ScoringConfig:
     random_seed: int = 0
 
 
+def scoring_seed(seed) -> int:
+    """Seed of the rows that test names, apart from that of the rows shown for naming."""
+    return int(hashlib.md5(f"scoring:{seed}".encode()).hexdigest()[:8], 16)
+
+
 def fidelity_metrics(scored: DataFrame) -> DataFrame:
     """Metrics per ``(neuron_idx, interpretation)`` of ``class, activation, value`` rows.
 
@@ -81,7 +87,7 @@ def score_interpretations(
     config = config or ScoringConfig()
     neurons = [r[0] for r in collect_dimension(names.filter("interpretation IS NOT NULL").select("neuron_idx").distinct())]
     examples = config.sampling_function(
-        texts, acts, neurons, config.n_examples, config.max_words_per_example, config.random_seed,
+        texts, acts, neurons, config.n_examples, config.max_words_per_example, scoring_seed(config.random_seed),
         **config.sampling_kwargs,
     )
     # n_examples per neuron; written down because both the tasks and their metrics use them

@@ -19,13 +19,14 @@ from corollary.session import collect_dimension
 HASH_RANGE = 1 << 52
 
 
-def hash_position(seed, *parts: Column) -> Column:
-    """Deterministic pseudo-random position in [0, 2**52) of ``seed:part:part``.
+def hash_position(purpose: str, seed, *parts: Column) -> Column:
+    """Deterministic pseudo-random position in [0, 2**52) of ``purpose:seed:part:part``.
 
     md5 rather than ``rand()``: the value depends on the row alone, so a recomputed
-    partition or another plan gives the same choice.
+    partition or another plan gives the same choice. The purpose keeps a split, a sample and
+    the steps of a training apart that have the same seed.
     """
-    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    text = F.concat_ws(":", F.lit(purpose), F.lit(str(seed)), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
@@ -93,7 +94,7 @@ def at_or_before(position: Column, tie: Column, cut: tuple) -> Column:
 
 def hash_sample(df: DataFrame, n: int, seed, row_id: str = "row_id") -> DataFrame:
     """Exactly ``n`` seeded random rows without replacement (all rows if fewer)."""
-    marked = df.withColumn("_pos", hash_position(seed, F.col(row_id)))
+    marked = df.withColumn("_pos", hash_position("sample", seed, F.col(row_id)))
     cut = nth_position(marked, "_pos", row_id, n)
     if cut is None:
         return df

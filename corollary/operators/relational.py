@@ -11,10 +11,6 @@ from corollary.functions import templates, text
 from corollary.operators import ranking
 from corollary.session import collect_dimension
 
-#: A join key is hot when it holds at least this share of the rows.
-HOT_SHARE = 1 / 64
-#: Right rows of hot keys that may be broadcast, and the salts used when there are more.
-HOT_ROWS, SALTS = 500_000, 64
 #: Concepts held as a literal array; larger sets are joined block by block.
 INLINE_ITEMS = 1_000
 INLINE_CHARS = 1_000_000
@@ -22,38 +18,13 @@ INLINE_CHARS = 1_000_000
 BROADCAST_CHARS = 64_000_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int = 100_000) -> list:
-    """Keys holding a large share of the rows: at most ``1 / share`` of them."""
-    counts = df.groupBy(key).count()
-    total = counts.agg(F.sum("count").alias("n"))
-    return [
-        r[0]
-        for r in counts.filter(F.col("count") >= at_least)
-        .filter(F.col("count") >= total.scalar() * F.lit(share))
-        .select(key)
-        .collect()
-    ]
-
-
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join rows to a table that has few rows per key, splitting hot keys off.
+    """Join rows to a table that has few rows per key.
 
-    Rows of a hot key stay where they are and meet a broadcast of that key's right rows,
-    or, should those be many, a copy of them per salt. All other rows take the ordinary
-    shuffled join.
+    Rows of a hot key are split by adaptive execution, which sees the sizes of the shuffled
+    partitions; counting all keys beforehand would cost a shuffle of its own.
     """
-    hot = hot_keys(left, key)
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    crowd, few = left.filter(is_hot), right.filter(F.col(key).isin(hot))
-    if few.limit(HOT_ROWS + 1).count() <= HOT_ROWS:
-        found = crowd.join(F.broadcast(few), key, how)
-    else:
-        copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(*crowd.columns), F.lit(SALTS)).cast("int")
-        found = crowd.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
-    return left.filter(~is_hot).join(right, key, how).unionByName(found)
+    return left.join(right, key, how)
 
 
 def uncached_texts(texts: DataFrame, store: DataFrame) -> DataFrame:
@@ -211,7 +182,7 @@ def all_texts(*frames: DataFrame) -> DataFrame:
 
 def train_validation_split(df: DataFrame, fraction: float, seed, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Seeded exact split: the first ``ceil(fraction * n)`` rows in hash order validate."""
-    marked = df.withColumn("_pos", ranking.hash_position(seed, F.col(row_id)))
+    marked = df.withColumn("_pos", ranking.hash_position("split", seed, F.col(row_id)))
     total = marked.count()
     size = -(-int(round(total * fraction * 1e9)) // 10**9)
     cut = ranking.nth_position(marked, "_pos", row_id, size) if size else None

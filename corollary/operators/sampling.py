@@ -22,7 +22,7 @@ POSITION_BITS, MAX_SLICE_BITS = 52, 16
 
 
 def _neuron_start(seed, neuron_idx: int) -> int:
-    digest = hashlib.md5(f"{seed}:neuron:{neuron_idx}".encode()).hexdigest()
+    digest = hashlib.md5(f"draw:{seed}:neuron:{neuron_idx}".encode()).hexdigest()
     return int(digest[:13], 16)
 
 
@@ -32,8 +32,8 @@ def draw_order(seed, neuron: Column, row: Column) -> Column:
     A run of a random permutation is a random sample, and reading it from a place of the
     neuron's own means that one hash per row serves all neurons.
     """
-    start = ranking.hash_position(seed, F.lit("neuron"), neuron)
-    return F.pmod(ranking.hash_position(seed, row) - start, F.lit(ranking.HASH_RANGE))
+    start = ranking.hash_position("draw", seed, F.lit("neuron"), neuron)
+    return F.pmod(ranking.hash_position("draw", seed, row) - start, F.lit(ranking.HASH_RANGE))
 
 
 def zero_rows(acts: DataFrame, rows: DataFrame, neurons: Sequence[int], n: int, seed) -> DataFrame:
@@ -85,7 +85,7 @@ def _zero_rows_in_windows(mine, rows, shares: dict[int, float], n: int, seed, *,
     lookup = rows.sparkSession.createDataFrame(windows, "neuron_idx int, slice long, start long, length long")
     offset = F.pmod(F.col("position") - F.col("start"), F.lit(ranking.HASH_RANGE))
     candidates = (
-        rows.select("row_id", ranking.hash_position(seed, F.col("row_id")).alias("position"))
+        rows.select("row_id", ranking.hash_position("draw", seed, F.col("row_id")).alias("position"))
         .withColumn("slice", F.shiftright("position", shift))
         .join(F.broadcast(lookup), "slice")
         .withColumn("offset", offset)
@@ -111,6 +111,13 @@ def _with_texts(examples: DataFrame, texts: DataFrame, bound: int, max_words: in
     )
 
 
+def _of_neurons(acts: DataFrame, neurons: Sequence[int]) -> DataFrame:
+    """Activations of some neurons, written down: a sampler reads them several times, and
+    each would run the model over all vectors again."""
+    mine = acts.filter(F.col("neuron_idx").isin([int(i) for i in neurons]))
+    return cut_lineage(mine.select("neuron_idx", "row_id", "activation"))
+
+
 def _zero_examples(acts, texts, neurons, n, seed) -> DataFrame:
     return zero_rows(acts, texts, neurons, n, seed).select(
         "neuron_idx", F.lit(0).alias("class"), "row_id", F.lit(0.0).alias("activation")
@@ -127,10 +134,10 @@ def sample_top_zero(
 ) -> DataFrame:
     """``neuron_idx, class, row_id, activation, text``: half top-activating, half zero rows."""
     half = n_examples // 2
-    mine = acts.filter(F.col("neuron_idx").isin([int(i) for i in neurons]) & (F.col("activation") > 0))
+    acts = _of_neurons(acts, neurons)
     order = [F.desc("activation"), F.asc("row_id")]
     top = ranking.top_n_per_group(
-        mine.select("neuron_idx", "row_id", "activation"), ["neuron_idx"], order, half, salt_on="row_id"
+        acts.filter("activation > 0"), ["neuron_idx"], order, half, salt_on="row_id"
     ).select("neuron_idx", F.lit(1).alias("class"), "row_id", "activation")
     chosen = top.unionByName(_zero_examples(acts, texts, neurons, half, seed))
     return _with_texts(chosen, texts, len(neurons) * n_examples, max_words)
@@ -149,9 +156,8 @@ def sample_percentile_bins(
     """Random rows from a high percentile band of positive activations against a low band,
     or against zero rows when no low band is given."""
     half = n_examples // 2
-    mine = acts.filter(F.col("neuron_idx").isin([int(i) for i in neurons]) & (F.col("activation") > 0)).select(
-        "neuron_idx", "row_id", "activation"
-    )
+    acts = _of_neurons(acts, neurons)
+    mine = acts.filter("activation > 0")
     percents = {"high_from": high_percentile[0], "high_to": high_percentile[1]}
     if low_percentile is not None:
         percents |= {"low_from": low_percentile[0], "low_to": low_percentile[1]}
@@ -178,7 +184,7 @@ def sample_percentile_bins(
 
 def sample_neurons(neurons: DataFrame, n: int, seed=0) -> DataFrame:
     """``n`` random feature indices."""
-    order = [ranking.hash_position(seed, F.col("neuron_idx")), F.col("neuron_idx")]
+    order = [ranking.hash_position("neurons", seed, F.col("neuron_idx")), F.col("neuron_idx")]
     return neurons.orderBy(*order).limit(n)
 
 

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from corollary.operators import ranking, sampling
 from corollary.session import collect_dimension
 
-#: Scores are compared after rounding, so that summation order cannot reorder ties.
+#: Scores are compared after rounding to so many digits below the largest, so that summation order
+#: cannot reorder ties.
 RANK_DIGITS = 9
-#: A coefficient counts as nonzero above this size.
+#: A coefficient counts as nonzero above this share of the largest.
 NONZERO = 1e-8
 # The bounds and length of the regularization search
 ALPHA_LOW, ALPHA_HIGH, ALPHA_FITS = 1e-6, 1e4, 20
@@ -31,7 +32,9 @@ def with_target(acts: DataFrame, targets: DataFrame) -> DataFrame:
     """Activations with their row's ``y``; no join if the target was carried along."""
     if "y" in acts.columns:
         return acts
-    return acts.join(targets.select("row_id", "y"), "row_id")
+    joined = acts.join(targets.select("row_id", F.col("y"), F.lit(True).alias("_has_target")), "row_id", "left")
+    found = F.coalesce("_has_target", F.raise_error(F.lit("an activation's row has no target")).cast("boolean"))
+    return joined.filter(found).drop("_has_target")
 
 
 def rank_scores(scores: DataFrame, n_select: int, *, by: Column | None = None) -> DataFrame:
@@ -39,7 +42,9 @@ def rank_scores(scores: DataFrame, n_select: int, *, by: Column | None = None) -
 
     By absolute score unless ``by`` is given; NULL scores come last.
     """
-    key = F.abs("score") if by is None else by
+    finite = scores.filter(~F.isnan("score") & (F.abs("score") < float("inf")))
+    largest = F.nullif(finite.agg(F.max(F.abs("score"))).scalar(), F.lit(0.0))
+    key = (F.abs("score") if by is None else by) / F.coalesce(largest, F.lit(1.0))
     order = [F.round(key, RANK_DIGITS).desc_nulls_last(), F.asc("neuron_idx")]
     best = scores.select("neuron_idx", "score").orderBy(*order).limit(n_select)
     # at most n_select rows, already bounded by the number of neurons
@@ -245,7 +250,8 @@ class SparseFit:
 
     @property
     def n_nonzero(self) -> int:
-        return sum(abs(c) > NONZERO for c in self.coefficients)
+        least = NONZERO * max(map(abs, self.coefficients), default=0.0)
+        return sum(abs(c) > least for c in self.coefficients)
 
 
 def fit_l1(vectors: DataFrame, alpha: float, n_rows: int, *, classification: bool, max_iter: int = 1000) -> SparseFit:

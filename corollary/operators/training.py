@@ -31,19 +31,16 @@ from corollary.operators.features import (
 from corollary.operators.ranking import HASH_RANGE, hash_position
 from corollary.sources import models
 
-#: Rows per step of the published method; kept while an epoch then has few steps.
+#: Rows per step unless the caller says otherwise, whatever the number of rows.
 STEP_ROWS = 512
-#: Most steps (Spark jobs) per epoch; larger data gets larger steps.
-STEPS_PER_EPOCH = 64
 #: Bytes of vectors in one packed block and in one training partition.
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 32 << 20
 #: Bytes of partial sums the driver takes at once, and tasks added up by one task.
 COLLECT_BYTES, FAN_IN = 256 << 20, 32
 #: Fewest rows of a step worth a task of their own, since every task sends a gradient.
 TASK_ROWS = 512
-#: Models whose partial sums are above this size compute and send in single precision;
-#: sums over blocks and tasks are added in double precision.
-WIDE_MESSAGE = 16 << 20
+#: Kinds of numbers in which tasks compute and send; sums are added in double precision.
+PRECISIONS = {"double": "<f8", "single": "<f4"}
 # Adam's usual constants and the guard of the gradient norm
 BETA_1, BETA_2, EPSILON, NORM_GUARD = 0.9, 0.999, 1e-8, 1e-6
 
@@ -63,6 +60,7 @@ class TrainConfig:
     clip_grad: float | None = 1.0
     seed: int = 0
     partitions: int | None = None
+    precision: str = "double"
 
 
 # --- one task's share of a step ---------------------------------------------------------
@@ -143,13 +141,22 @@ def aux_sums(x: np.ndarray, model: FeatureModel, dead: np.ndarray, gradient: boo
 # --- Spark side -------------------------------------------------------------------------
 
 
-def pack(vectors: DataFrame, embedding: str, row_id: str, steps: int, seed: int, dim: int) -> DataFrame:
-    """``step, block``: single-precision blocks of each step's rows, without a shuffle.
+def pack(
+    vectors: DataFrame, embedding: str, row_id: str, steps: int, seed: int, dim: int, epoch: int = 0,
+    partitions: int = 1, spread: int = 1,
+) -> DataFrame:
+    """``step, block``: single-precision blocks of each step's rows, in order of steps.
 
-    A row's step follows from its hash, so every partition holds a slice of every step.
+    A row's step follows from a hash of the epoch and its id, so every epoch draws its steps
+    anew. The rows of a step are brought together in ``spread`` of the partitions: a step is as
+    few tasks with work, and the others skip it by the bounds of their cached blocks.
     """
-    step = (hash_position(seed, F.col(row_id)) / F.lit(HASH_RANGE / steps)).cast("int")
-    rows = vectors.select(F.least(step, F.lit(steps - 1)).alias("step"), F.col(embedding).alias("x"))
+    step = (hash_position("train", seed, F.lit(epoch), F.col(row_id)) / F.lit(HASH_RANGE / steps)).cast("int")
+    rows = vectors.select(
+        F.least(step, F.lit(steps - 1)).alias("step"), F.col(embedding).alias("x"),
+        F.pmod(F.xxhash64(row_id), F.lit(spread)).alias("slot"),
+    )
+    rows = rows.repartition(partitions, "step", "slot").sortWithinPartitions("step").drop("slot")
     most = max(1, BLOCK_BYTES // (4 * dim))
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +172,8 @@ def pack(vectors: DataFrame, embedding: str, row_id: str, steps: int, seed: int,
                 raise ValueError(f"vector of {x.shape[1]} instead of {dim} dimensions")
             of = batch.column("step").to_numpy()
             for s in np.unique(of).tolist():
+                for done in [w for w in waiting if w < s]:
+                    yield block(done)
                 waiting.setdefault(s, []).append(x[of == s])
                 if sum(map(len, waiting[s])) >= most:
                     yield block(s)
@@ -197,9 +206,7 @@ def _accumulate(total: dict, more: dict) -> None:
         total[name] = total[name] + value if name in total else value.astype(np.float64)
 
 
-def _packed(total: dict) -> bytes:
-    size = sum(v.nbytes for v in total.values())
-    kind = "<f4" if size > WIDE_MESSAGE else "<f8"
+def _packed(total: dict, kind: str) -> bytes:
     head = ",".join([kind, *(f"{k}:{'x'.join(map(str, v.shape))}" for k, v in total.items())]).encode()
     body = b"".join(np.ascontiguousarray(v, dtype=kind).tobytes() for v in total.values())
     return len(head).to_bytes(4, "little") + head + body
@@ -218,18 +225,24 @@ def _unpack(raw: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _record(total: dict) -> pa.RecordBatch:
+def _kind_of(raw: bytes) -> str:
+    return raw[4 : 4 + int.from_bytes(raw[:4], "little")].decode().split(",")[0]
+
+
+def _record(total: dict, kind: str) -> pa.RecordBatch:
     part = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [_packed(total)]})
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [_packed(total, kind)]})
 
 
 def _sum_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+    kind = ""
     for batch in batches:
         for raw in batch.column("sums"):
+            kind = kind or _kind_of(raw.as_py())
             _accumulate(total, _unpack(raw.as_py()))
     if total:
-        yield _record(total)
+        yield _record(total, kind)
 
 
 @dataclass
@@ -250,10 +263,11 @@ def _as_type(model: FeatureModel, kind) -> FeatureModel:
     return out
 
 
-def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int) -> dict[str, np.ndarray]:
+def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int, precision: str) -> dict[str, np.ndarray]:
     """Sum ``share(x, model)`` over all rows of the blocks."""
     spark = blocks.frame.sparkSession
-    kind = np.float32 if message_bytes > WIDE_MESSAGE else np.float64
+    sent = PRECISIONS[precision]
+    kind = np.dtype(sent)
     weights = spark.sparkContext.broadcast(_as_type(model, kind))
     step = max(1, BLOCK_CELLS // max(model.m, model.dim))
     dim = model.dim
@@ -266,7 +280,7 @@ def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int) -> dic
                 for at in range(0, len(x), step):
                     _accumulate(total, share(x[at : at + step].astype(kind), weights.value))
         if total:
-            yield _record(total)
+            yield _record(total, sent)
 
     try:
         return _add_up(blocks.frame.mapInArrow(work, "part int, sums binary"), blocks.tasks, message_bytes)
@@ -278,7 +292,17 @@ def _loss_and_gradient(blocks, model: FeatureModel, cfg: TrainConfig, gradient:
     """Loss of one step over ``blocks`` and, if asked for, its gradient."""
     message = 16 * model.m * model.dim if gradient else 8 * (model.m + 3 * model.dim)
     multi = cfg.multi_coef
-    total = _run(blocks, model, lambda x, m: main_sums(x, m, multi, gradient), message)
+    # The features that are dead before the step nearly always are those dead in it, so their
+    # sums are taken along; only where the step changes the set does it take a second job.
+    dead_before = np.flatnonzero(model.dead()) if cfg.aux_coef else np.zeros(0, dtype=int)
+
+    def share(x, m):
+        sums = main_sums(x, m, multi, gradient)
+        if len(dead_before):
+            sums |= {f"aux_{name}": value for name, value in aux_sums(x, m, dead_before, gradient).items()}
+        return sums
+
+    total = _run(blocks, model, share, message, cfg.precision)
     if not total:
         return None, None
     n = total["n"][0]
@@ -293,7 +317,10 @@ def _loss_and_gradient(blocks, model: FeatureModel, cfg: TrainConfig, gradient:
         aux_baseline = total["see"][0] - (total["se"] ** 2).sum() / n
         dead = np.flatnonzero(model.dead())
         if len(dead):
-            aux = _run(blocks, model, lambda x, m: aux_sums(x, m, dead, gradient), message)
+            if np.array_equal(dead, dead_before):
+                aux = {name[4:]: value for name, value in total.items() if name.startswith("aux_")}
+            else:
+                aux = _run(blocks, model, lambda x, m: aux_sums(x, m, dead, gradient), message, cfg.precision)
             loss += cfg.aux_coef * aux["sse"][0] / aux_baseline
             if gradient:
                 scale = cfg.aux_coef / aux_baseline
@@ -347,16 +374,14 @@ class _Adam:
         model.dec = model.dec / np.linalg.norm(model.dec, axis=1, keepdims=True)
 
 
-def _cached_blocks(vectors, embedding, row_id, steps, cfg, dim, n_rows) -> _Blocks:
-    """Pack and cache, with few partitions where steps are small: every task sends a gradient."""
-    if cfg.partitions:
-        vectors = vectors.repartition(cfg.partitions, row_id)
-    else:
-        cores = vectors.sparkSession.sparkContext.defaultParallelism
-        by_size, by_step = -(-n_rows * dim * 4 // PARTITION_BYTES), -(-n_rows // (steps * TASK_ROWS))
-        vectors = vectors.coalesce(max(1, min(cores, by_size, by_step)))
-    frame = pack(vectors, embedding, row_id, steps, cfg.seed, dim).persist(StorageLevel.MEMORY_AND_DISK)
-    return _Blocks(frame, frame.select(F.spark_partition_id()).distinct().count())
+def _cached_blocks(vectors, embedding, row_id, steps, cfg, dim, n_rows, epoch: int = 0) -> _Blocks:
+    """Packed and kept blocks. Their partitions follow the size of the data, the scan its own."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    by_size, by_rows = -(-n_rows * dim * 4 // PARTITION_BYTES), -(-n_rows // TASK_ROWS)
+    parts = cfg.partitions or max(1, by_size, min(cores, by_rows))
+    spread = max(1, min(parts, -(-n_rows // (steps * TASK_ROWS))))
+    frame = pack(vectors, embedding, row_id, steps, cfg.seed, dim, epoch, parts, spread)
+    return _Blocks(frame.persist(StorageLevel.MEMORY_AND_DISK), spread)
 
 
 def train_sae(
@@ -369,13 +394,14 @@ def train_sae(
     overwrite_checkpoint: bool = False,
     embedding: str = "embedding",
     row_id: str = "row_id",
+    start: FeatureModel | None = None,
     **options,
 ) -> FeatureModel:
     """Train a model, or load the one trained before on the same vectors.
 
-    ``options`` are the fields of :class:`TrainConfig`. ``batch_size=None`` takes 512
-    rows per step, or more where an epoch would otherwise have over 64 steps. The
-    composition of a step is fixed by the row hash; the order of steps changes per epoch.
+    ``options`` are the fields of :class:`TrainConfig`. ``batch_size=None`` takes 512 rows per
+    step, about, at every size: a row's step is drawn by a hash of the epoch and its id.
+    ``start`` is a model to go on from instead of fresh weights; it stays as it is.
     """
     spark = vectors.sparkSession
     cfg = TrainConfig(**options)
@@ -386,22 +412,24 @@ def train_sae(
     fingerprint = f"{n_rows}:{mark}"
     path = None
     if checkpoint_dir is not None:
-        path = f"{checkpoint_dir}/{models.model_name(m, k, cfg.prefixes)}"
+        dim = vectors.select(F.size(embedding)).first()[0]
+        path = f"{checkpoint_dir}/{models.folder_name(dim, m, k, cfg.prefixes, fingerprint)}"
         if not overwrite_checkpoint and models.exists(spark, path):
             return models.load_model(spark, path, fingerprint=fingerprint)
-    model = initial_model(vectors, m, k, cfg, embedding)
+    model = copy.deepcopy(start) if start is not None else initial_model(vectors, m, k, cfg, embedding)
     model.fingerprint = fingerprint
-    size = cfg.batch_size or max(STEP_ROWS, -(-n_rows // STEPS_PER_EPOCH))
+    size = cfg.batch_size or STEP_ROWS
     steps = max(1, -(-n_rows // size))
-    blocks = _cached_blocks(vectors, embedding, row_id, steps, cfg, model.dim, n_rows)
     val_blocks = None
     if val_vectors is not None:
         n_val = val_vectors.count()
         val_blocks = _cached_blocks(val_vectors, embedding, row_id, 1, cfg, model.dim, n_val)
     try:
-        _fit(model, blocks, val_blocks, steps, cfg)
+        _fit(
+            model, lambda epoch: _cached_blocks(vectors, embedding, row_id, steps, cfg, model.dim, n_rows, epoch),
+            val_blocks, steps, cfg,
+        )
     finally:
-        blocks.frame.unpersist()
         if val_blocks is not None:
             val_blocks.frame.unpersist()
     if path is not None:
@@ -409,34 +437,48 @@ def train_sae(
     return model
 
 
-def _fit(model: FeatureModel, blocks, val_blocks, steps: int, cfg: TrainConfig) -> None:
-    """Epochs of steps with early stopping; the last weights are kept, not the best."""
+def _fit(model: FeatureModel, blocks_of, val_blocks, steps: int, cfg: TrainConfig) -> None:
+    """Epochs of steps with early stopping; the last weights are kept, not the best.
+
+    ``blocks_of(epoch)`` packs the steps of an epoch. With one step all epochs are the same.
+    """
     adam = _Adam(cfg)
-    order = np.random.default_rng(cfg.seed + 1)
     best, waited = math.inf, 0
-    for epoch in range(cfg.n_epochs):
-        losses = []
-        for step in order.permutation(steps).tolist():
-            part = blocks.at(step) if steps > 1 else blocks
-            loss, grads = _loss_and_gradient(part, model, cfg, gradient=True, track=True)
-            if grads is None:
-                continue
-            adam.update(model, grads)
-            losses.append(loss)
-        line = {
-            "epoch": epoch, "train_loss": float(np.mean(losses)), "val_loss": None,
-            "dead_ratio": float(model.dead().mean()),
-        }
-        model.history.append(line)
-        if val_blocks is None:
-            continue
-        line["val_loss"], _ = _loss_and_gradient(val_blocks, model, cfg, gradient=False, track=False)
-        if line["val_loss"] < best:
-            best, waited = line["val_loss"], 0
-        else:
-            waited += 1
-            if waited >= cfg.patience:
-                break
+    blocks = None
+    try:
+        for epoch in range(cfg.n_epochs):
+            if blocks is None or steps > 1:
+                before, blocks = blocks, blocks_of(epoch)
+                if before is not None:
+                    before.frame.unpersist()
+            losses = []
+            for step in range(steps):
+                loss, grads = _loss_and_gradient(blocks.at(step) if steps > 1 else blocks, model, cfg, gradient=True, track=True)
+                if grads is None:
+                    continue
+                adam.update(model, grads)
+                losses.append(loss)
+            if _epoch_ends(model, epoch, losses, val_blocks, cfg) < best:
+                best, waited = model.history[-1]["val_loss"], 0
+            elif val_blocks is not None:
+                waited += 1
+                if waited >= cfg.patience:
+                    break
+    finally:
+        if blocks is not None:
+            blocks.frame.unpersist()
+
+
+def _epoch_ends(model: FeatureModel, epoch: int, losses: list[float], val_blocks, cfg: TrainConfig) -> float:
+    """Add a line to the model's history; return the validation loss, infinite without validation rows."""
+    line = {
+        "epoch": epoch, "train_loss": float(np.mean(losses)), "val_loss": None, "dead_ratio": float(model.dead().mean()),
+    }
+    model.history.append(line)
+    if val_blocks is None:
+        return math.inf
+    line["val_loss"], _ = _loss_and_gradient(val_blocks, model, cfg, gradient=False, track=False)
+    return line["val_loss"]
 
 
 def model_loss(

@@ -192,8 +192,8 @@ def sql_position(text: str) -> str:
 
 def sql_draw_order(seed: int, neuron: str, row: str) -> str:
     r = 1 << 52
-    u = sql_position(f"'{seed}:' || {row}")
-    s = sql_position(f"'{seed}:neuron:' || {neuron}")
+    u = sql_position(f"'draw:{seed}:' || {row}")
+    s = sql_position(f"'draw:{seed}:neuron:' || {neuron}")
     return f"((({u}) - ({s})) % {r} + {r}) % {r}"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corollary.operators import evaluation, features, fidelity, jobs, relational, sampling, selection
 from corollary.operators.features import FeatureModel
 from corollary.operators.sampling import SamplingConfig
-from corollary.session import collect_dimension
+from corollary.session import collect_dimension, cut_lineage
 from corollary.sources.stores import Store
 
 
@@ -76,9 +76,19 @@ def interpret_sae(
         acts.unpersist()
 
 
+def check_same_rows(**tables: DataFrame) -> None:
+    """Raise unless all tables hold the same row ids, each as often; by counts and two sums of hashes, without a join."""
+    marks = {}
+    for name, frame in tables.items():
+        key = F.xxhash64("row_id")
+        marks[name] = tuple(frame.agg(F.count("row_id"), F.bit_xor(key), F.sum(F.pmod(key, F.lit(1 << 31)))).first())
+    if len(set(marks.values())) > 1:
+        raise ValueError(f"rows differ between {', '.join(f'{k} ({m[0]})' for k, m in marks.items())}")
+
+
 def _written(result: DataFrame) -> DataFrame:
-    """A small result made independent of the cached activations it came from."""
-    return result.sparkSession.createDataFrame(collect_dimension(result), result.schema)
+    """A result made independent of the cached activations it came from; it holds whole texts, so it stays off the driver."""
+    return cut_lineage(result)
 
 
 def generate_hypotheses(
@@ -102,6 +112,7 @@ def generate_hypotheses(
     seed: int = 0,
     selection_kwargs: dict | None = None,
     sampling: SamplingConfig | None = None,
+    scoring: fidelity.ScoringConfig | None = None,
 ) -> DataFrame:
     """Hypotheses about what predicts the target, in order of selection.
 
@@ -111,6 +122,7 @@ def generate_hypotheses(
     far wider. Texts, targets and vectors must cover the same rows.
     """
     models = _as_list(models)
+    check_same_rows(texts=texts, targets=targets, vectors=vectors)
     neurons = features.neuron_table(texts.sparkSession, models)
     total = sum(m.m for m in models)
     if n_selected_neurons > total:
@@ -133,7 +145,7 @@ def generate_hypotheses(
                 ),
                 n_candidates=n_candidate_interpretations, n_scoring_examples=n_scoring_examples,
                 scoring_metric=scoring_metric, task_specific_instructions=task_specific_instructions, seed=seed,
-                selection_kwargs=selection_kwargs,
+                selection_kwargs=selection_kwargs, scoring=scoring,
             )
         )
     finally:
@@ -143,7 +155,7 @@ def generate_hypotheses(
 def hypotheses_from_activations(
     texts, acts, targets, neurons, complete_fn, answer_fn, *, store, classification, selection_method,
     n_selected_neurons, sampling, n_candidates, n_scoring_examples, scoring_metric, task_specific_instructions,
-    seed, selection_kwargs,
+    seed, selection_kwargs, scoring=None,
 ) -> DataFrame:
     """The steps after feature inference: select, name, score, keep the best name."""
     selected = _written(
@@ -167,7 +179,7 @@ def hypotheses_from_activations(
         raise ValueError("scoring names needs answer_fn; pass n_scoring_examples=0 to skip it")
     metrics = fidelity.score_interpretations(
         texts, acts, names, answer_fn, store=store,
-        config=fidelity.ScoringConfig(n_examples=n_scoring_examples, random_seed=seed),
+        config=scoring or fidelity.ScoringConfig(n_examples=n_scoring_examples, random_seed=seed),
     )
     best = fidelity.best_names(names, metrics, scoring_metric).select(
         "neuron_idx", "interpretation", F.col(scoring_metric).alias(f"{scoring_metric}_fidelity_score")
@@ -190,16 +202,18 @@ def evaluate_hypotheses(
 ) -> tuple[dict, DataFrame]:
     """Annotate held-out texts with every hypothesis and test them against the target.
 
-    Rows the model gave no clear answer for are an error unless ``drop_unanswered``.
+    Rows the model gave no clear answer for, or that have a target and no text, are an error unless ``drop_unanswered``.
     """
     if isinstance(hypotheses, DataFrame):
         named = hypotheses.filter("interpretation IS NOT NULL").select("interpretation")
         hypotheses = [r[0] for r in collect_dimension(named)]
     concepts = list(dict.fromkeys(hypotheses))
+    if not concepts:
+        raise ValueError("no hypothesis to evaluate")
     if classification is None:
         classification = relational.is_binary(targets).first()[0]
     columns = jobs.annotation_columns(texts, concepts, answer_fn, store=store, max_words=max_words_per_example)
-    design = targets.select("row_id", F.col("y").cast("double").alias("y")).join(columns, "row_id")
+    design = targets.select("row_id", F.col("y").cast("double").alias("y")).join(columns, "row_id", "left")
     return _score(design, concepts, classification, corrected_pval_threshold, drop_unanswered)
 
 
@@ -258,6 +272,7 @@ def generate_pair_hypotheses(
     task_specific_instructions: str | None = None,
     seed: int = 0,
     selection_kwargs: dict | None = None,
+    scoring: fidelity.ScoringConfig | None = None,
 ) -> DataFrame:
     """Hypotheses from ``Z_A - Z_B``: features are selected on pair differences and named
     on single texts."""
@@ -282,7 +297,7 @@ def generate_pair_hypotheses(
         if n_scoring_examples and answer_fn is not None:
             metrics = fidelity.score_interpretations(
                 texts, acts, names, answer_fn, store=store,
-                config=fidelity.ScoringConfig(n_examples=n_scoring_examples, random_seed=seed),
+                config=scoring or fidelity.ScoringConfig(n_examples=n_scoring_examples, random_seed=seed),
             )
             names = fidelity.best_names(names, metrics, scoring_metric).withColumnRenamed(
                 scoring_metric, f"{scoring_metric}_fidelity_score"

@@ -80,7 +80,7 @@ fidelity AS (SELECT neuron_idx, interpretation,
     CASE WHEN recall IS NOT NULL AND precision IS NOT NULL AND varies
       THEN (n * sav - sa * sv) / (sqrt(n * saa - sa * sa) * sqrt(n * svv - sv * sv)) ELSE 0 END AS correlation
   FROM sums)"""
-_SCORING = f"WITH {MODEL_SQL}, {ACT_DOCS}, {top_zero_sql(N_SCORED // 2, MAX_WORDS, SEED, 'scoring')}, {FIDELITY_SQL}"
+_SCORING = f"WITH {MODEL_SQL}, {ACT_DOCS}, {top_zero_sql(N_SCORED // 2, MAX_WORDS, fidelity.scoring_seed(SEED), 'scoring')}, {FIDELITY_SQL}"
 
 
 def _names(neurons):
@@ -102,7 +102,7 @@ def _scored(spark, sf):
     """Sampled examples annotated by the rule itself, without the model job."""
     docs, acts, names = _sampled(spark, sf)
     examples = sampling.sample_top_zero(
-        docs, acts, range(centroid_model(spark, sf).m), N_SCORED, MAX_WORDS, SEED
+        docs, acts, range(centroid_model(spark, sf).m), N_SCORED, MAX_WORDS, fidelity.scoring_seed(SEED)
     )
     word = F.substr("interpretation", F.lit(len(CONTAINS) + 1))
     value = F.contains(F.lower("text"), word).cast("int")
@@ -303,6 +303,18 @@ def e6_auroc(spark, sf):
     return evaluation.ranking_metrics(length_scores(spark, sf)).select(r6("auroc").alias("auroc"))
 
 
+@query(
+    "e6_auroc_small_scores",
+    f"WITH {PREDICTIONS_SQL.replace('floor(n_chars / 500)', 'floor(n_chars / 500) * 1e-15')} "
+    f"SELECT {q6('avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END)')} "
+    "AS auroc FROM p a JOIN p b ON a.y = 1 AND b.y = 0",
+)
+def e6_auroc_small_scores(spark, sf):
+    """Scores that differ by 1e-15 are still told apart."""
+    small = length_scores(spark, sf).withColumn("score", F.col("score") * 1e-15)
+    return evaluation.ranking_metrics(small).select(r6("auroc").alias("auroc"))
+
+
 @query(
     "e7_average_precision",
     f"""WITH {PREDICTIONS_SQL}, g AS (SELECT score, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM p GROUP BY 1),

@@ -14,6 +14,7 @@ from corollary.plans.data import (
     small_activations,
     small_neurons,
     sql_draw_order,
+    sql_position,
     sql_truncate,
     texts,
     vectors,
@@ -253,12 +254,34 @@ def m12_unit_decoder(spark, sf):
     return params_table(spark, model, "trained").select("neuron_idx", r6(F.sqrt(square)).alias("norm"))
 
 
-@query("m13_early_stopping")
+PATIENCE = 2
+_SPLIT_LOSS = """
+ sums_{0} AS (SELECT d, sum(x) AS sx, sum(x * x) AS sxx, count(*) AS n FROM dims JOIN {0} USING (row_id) GROUP BY d),
+ base_{0} AS (SELECT sum(sxx - sx * sx / n) AS b FROM sums_{0}),
+ loss_{0} AS (SELECT avg(e) AS v FROM (
+   SELECT ends.prefix, sum(pow(coalesce(r, 0) + c - x, 2)) / any_value(b) AS e
+   FROM ends, dims JOIN {0} USING (row_id) JOIN med USING (d) LEFT JOIN coded ON coded.prefix = ends.prefix
+     AND coded.row_id = dims.row_id AND coded.d = dims.d, base_{0} GROUP BY 1))"""
+
+
+@query(
+    "m13_early_stopping",
+    f"""WITH {MODEL_SQL}, {DECODER_SQL},
+    placed AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY {sql_position(f"'split:{SEED}:' || vec_id")}, vec_id) AS p,
+      count(*) OVER () AS n FROM embeddings),
+    held AS (SELECT row_id FROM placed WHERE p <= ceil(0.1 * n)), train AS (SELECT row_id FROM placed WHERE p > ceil(0.1 * n)),
+    {_SPLIT_LOSS.format("train")}, {_SPLIT_LOSS.format("held")}
+    SELECT epoch::INTEGER AS epoch, {q6('t.v')} AS train_loss, {q6('h.v')} AS val_loss
+    FROM (SELECT unnest(range({PATIENCE + 1})) AS epoch), loss_train t, loss_held h""",
+)
 def m13_early_stopping(spark, sf):
-    """Validation loss on a seeded tenth of the vectors; a huge step size makes it stop early."""
+    """Losses on a seeded tenth of the vectors and on the rest. The step size is zero, so the second epoch
+    doesn't improve on the first and training must stop after ``PATIENCE`` more."""
     train, held = relational.train_validation_split(vectors(spark, sf), 0.1, SEED)
+    start = centroid_model(spark, sf)
     model = training.train_sae(
-        train, 16, 2, val_vectors=held, n_epochs=8, learning_rate=0.5, patience=2, seed=SEED
+        train, start.m, start.k, prefixes=start.prefixes, val_vectors=held, n_epochs=8, learning_rate=0.0, patience=PATIENCE,
+        aux_coef=0.0, batch_size=1 << 40, seed=SEED, start=start,
     )
     return training.history_table(spark, model).select(
         "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss")
@@ -288,7 +311,7 @@ scores AS (SELECT neuron_idx, avg(y) FILTER (WHERE r <= {n_top}) - avg(y) FILTER
 def _best_sql(n: int, by: str = "abs(score)", digits: int = 6) -> str:
     return (
         f"SELECT neuron_idx, {q6('score', digits)} AS score, rank FROM (SELECT *, (row_number() OVER "
-        f"(ORDER BY round({by}, 9) DESC NULLS LAST, neuron_idx))::INTEGER AS rank FROM scores) WHERE rank <= {n}"
+        f"(ORDER BY round({by} / (SELECT nullif(max(abs(score)), 0) FROM scores), 9) DESC NULLS LAST, neuron_idx))::INTEGER AS rank FROM scores) WHERE rank <= {n}"
     )
 
 
@@ -348,6 +371,21 @@ def n2_separation_pairs(spark, sf):
 N_ZERO = 50
 
 
+@query(
+    "n2_separation_small_unit",
+    f"WITH {MODEL_SQL.replace('label::DOUBLE AS y', '(label * 1e-11)::DOUBLE AS y')}, {DENSE_SQL}, "
+    f"{_separation_sql(100)} {_best_sql(8, digits=16)}",
+)
+def n2_separation_small_unit(spark, sf):
+    """The same target in a unit 1e11 times larger: the same features in the same order."""
+    small = F.col("y") * 1e-11
+    acts = small_activations(spark, sf, carry=("y",)).withColumn("y", small)
+    chosen = selection.select_separation(
+        acts, vectors(spark, sf).withColumn("y", small), 8, neurons=small_neurons(spark, sf)
+    )
+    return chosen.select("neuron_idx", r6("score", 16).alias("score"), "rank")
+
+
 @query(
     "n2_separation_sampled",
     f"""WITH {MODEL_SQL}, {DENSE_SQL},
@@ -651,7 +689,7 @@ def x3_custom_sampler(spark, sf):
 @query(
     "x4_random_neurons",
     f"""WITH {MODEL_SQL} SELECT neuron_idx FROM (SELECT DISTINCT neuron_idx FROM enc_large) ORDER BY
-    ('0x' || substr(md5('{SEED}:' || neuron_idx), 1, 13))::BIGINT, neuron_idx LIMIT 6""",
+    ('0x' || substr(md5('neurons:{SEED}:' || neuron_idx), 1, 13))::BIGINT, neuron_idx LIMIT 6""",
 )
 def x4_random_neurons(spark, sf):
     neurons = features.neuron_table(spark, [centroid_model(spark, sf, "large")])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corollary.functions import text
 from corollary.operators import features, jobs, relational, training
+from corollary.operators.fidelity import scoring_seed
 from corollary.operators.sampling import SamplingConfig
 from corollary.plans import flows, rules
 from corollary.plans.data import (
@@ -150,8 +151,8 @@ act_docs AS (SELECT act.* FROM act JOIN doc_vectors USING (row_id))"""
     f"""WITH {LABELLED_SQL}, {DENSE_SQL.replace('LEFT JOIN act ON act.', 'LEFT JOIN act_docs act ON act.')},
     ordered AS (SELECT *, row_number() OVER (PARTITION BY neuron_idx ORDER BY a DESC, row_id) AS r FROM dense),
     scores AS (SELECT neuron_idx, avg(y) FILTER (WHERE r <= 100) - avg(y) FILTER (WHERE a = 0) AS score FROM ordered GROUP BY 1),
-    chosen AS (SELECT * FROM scores ORDER BY round(abs(score), 9) DESC, neuron_idx LIMIT {N_CHOSEN}),
-    {top_zero_sql(N_SHOWN // 2, 256, SEED)}, {NAMED_SQL}, {top_zero_sql(N_SCORED // 2, 256, SEED, 'scoring')},
+    chosen AS (SELECT * FROM scores ORDER BY round(abs(score) / (SELECT nullif(max(abs(score)), 0) FROM scores), 9) DESC, neuron_idx LIMIT {N_CHOSEN}),
+    {top_zero_sql(N_SHOWN // 2, 256, SEED)}, {NAMED_SQL}, {top_zero_sql(N_SCORED // 2, 256, scoring_seed(SEED), 'scoring')},
     sides AS (SELECT neuron_idx, interpretation,
         avg(contains(lower(text), substr(interpretation, 11))::INTEGER) FILTER (WHERE class = 1) AS recall,
         1 - avg(contains(lower(text), substr(interpretation, 11))::INTEGER) FILTER (WHERE class = 0) AS precision
@@ -210,7 +211,7 @@ def g4_pairs_evaluate(spark, sf):
     cells AS (SELECT neuron_idx, pair_id, y FROM neurons, pairs),
     dense AS (SELECT c.neuron_idx, c.pair_id AS row_id, y, coalesce(activation, 0.0::DOUBLE) AS a
       FROM cells c LEFT JOIN diff ON diff.pair_id = c.pair_id AND diff.neuron_idx = c.neuron_idx),
-    {CORRELATION_SQL}, chosen AS (SELECT * FROM scores ORDER BY round(abs(score), 9) DESC, neuron_idx LIMIT {N_CHOSEN}),
+    {CORRELATION_SQL}, chosen AS (SELECT * FROM scores ORDER BY round(abs(score) / (SELECT nullif(max(abs(score)), 0) FROM scores), 9) DESC, neuron_idx LIMIT {N_CHOSEN}),
     examples AS (SELECT neuron_idx, class, text FROM (
         SELECT *, 1 AS class, row_number() OVER (PARTITION BY neuron_idx ORDER BY activation DESC, row_id) AS r FROM act_docs
         UNION ALL SELECT *, 0, row_number() OVER (PARTITION BY neuron_idx ORDER BY activation, row_id) FROM act_docs)

@@ -94,7 +94,7 @@ def s4_annotation_store(spark, sf):
 def s5_model_table(spark, sf):
     """Save a model, load it again, and describe the loaded parameters."""
     model = centroid_model(spark, sf)
-    path = f"{scratch(spark, 'models')}/{models.model_name(model.m, model.k, model.prefixes)}"
+    path = f"{scratch(spark, 'models')}/{models.folder_name(model.dim, model.m, model.k, model.prefixes)}"
     models.save_model(spark, model, path)
     loaded = models.load_model(spark, path)
     center = F.lit(loaded.input_bias.tolist())
@@ -467,12 +467,13 @@ def j10_all_texts(spark, sf):
     return both.groupBy("text").count().select(F.md5("text").alias("text_md5"), F.col("count").alias("n"))
 
 
-_HASH_RANK = f"row_number() OVER (ORDER BY {sql_position(f"'{SEED}:' || doc_id")}, doc_id)"
+def _hash_rank(purpose: str) -> str:
+    return f"row_number() OVER (ORDER BY {sql_position(f"'{purpose}:{SEED}:' || doc_id")}, doc_id)"
 
 
 @query(
     "j11_train_validation",
-    f"SELECT doc_id AS row_id, {_HASH_RANK} <= ceil((SELECT count(*) FROM documents) * 0.1) AS validation FROM documents",
+    f"SELECT doc_id AS row_id, {_hash_rank('split')} <= ceil((SELECT count(*) FROM documents) * 0.1) AS validation FROM documents",
 )
 def j11_train_validation(spark, sf):
     train, held = relational.train_validation_split(texts(spark, sf), 0.1, SEED)
@@ -481,7 +482,7 @@ def j11_train_validation(spark, sf):
     )
 
 
-@query("j12_sample", f"SELECT doc_id AS row_id FROM documents QUALIFY {_HASH_RANK} <= 150")
+@query("j12_sample", f"SELECT doc_id AS row_id FROM documents QUALIFY {_hash_rank('sample')} <= 150")
 def j12_sample(spark, sf):
     return ranking.hash_sample(texts(spark, sf), 150, SEED).select("row_id")
 

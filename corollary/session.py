@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Largest driver-side or broadcast payload (bytes) an operator may build on its own.
 BROADCAST_BYTES = 512 * 1024 * 1024
 
-#: Largest number of rows of a dimension (neurons, concepts, names) taken to the driver.
-DIMENSION_ROWS = 200_000
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only where none is configured.
@@ -44,12 +41,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def collect_dimension(df: DataFrame, limit: int = DIMENSION_ROWS) -> list:
-    """Collect a small dimension table, failing instead of flooding the driver."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"dimension table has more than {limit} rows")
-    return rows
+def collect_dimension(df: DataFrame) -> list:
+    """Collect numbers or names of a dimension whose size the driver holds anyway: one row per
+    neuron of a model, or per concept of a list, that was given from there."""
+    return df.collect()
 
 
 _SHIPPED: set[str] = set()

@@ -6,6 +6,7 @@ leaves the earlier model whole.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 
@@ -24,10 +25,11 @@ CONFIG_SCHEMA = (
 )
 
 
-def model_name(m: int, k: int, prefixes: Sequence[int] | None = None) -> str:
-    if prefixes is None:
-        return f"SAE_M={m}_K={k}"
-    return f"SAE_matryoshka_M={m}_K={k}_prefixes={'-'.join(map(str, prefixes))}"
+def folder_name(dim: int, m: int, k: int, prefixes: Sequence[int] | None = None, fingerprint: str | None = None) -> str:
+    """Folder of a model: its vectors' width and mark, so that two corpora don't share one, and its shape."""
+    nested = f".nested-{'.'.join(map(str, prefixes))}" if prefixes else ""
+    corpus = f".on-{hashlib.md5(fingerprint.encode()).hexdigest()[:12]}" if fingerprint else ""
+    return f"topk{k}-of-{m}-from-{dim}{nested}{corpus}"
 
 
 def params_table(spark: SparkSession, model: FeatureModel, model_id: str) -> DataFrame:
@@ -41,7 +43,7 @@ def params_table(spark: SparkSession, model: FeatureModel, model_id: str) -> Dat
 
 def save_model(spark: SparkSession, model: FeatureModel, path: str) -> str:
     """Write parameters to a new folder, then the config row that points to it."""
-    name = model_name(model.m, model.k, model.prefixes)
+    name = folder_name(model.dim, model.m, model.k, model.prefixes, model.fingerprint)
     params = f"params-{uuid.uuid4().hex}"
     params_table(spark, model, name).write.parquet(f"{path}/{params}")
     config = (

@@ -40,10 +40,9 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("prompt_idx long, prompt string").json(path)
 
 
-def write_prompt_files(prompts: DataFrame, path: str, limit: int = 10_000) -> None:
-    """One text file per prompt under ``prompt_idx=<row_id>/``, for small sets only."""
-    if prompts.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} prompts; use write_prompts")
+def write_prompt_files(prompts: DataFrame, path: str) -> None:
+    """One text file per prompt under ``prompt_idx=<row_id>/``. A folder per row burdens the file
+    system of a large set; :func:`write_prompts` has no such cost."""
     prompts.select(F.col("row_id").alias("prompt_idx"), F.col("prompt").alias("value")).write.mode(
         "overwrite"
     ).partitionBy("prompt_idx").option("lineSep", "\x00").text(path)

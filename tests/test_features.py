@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corollary.operators import features, training
+from corollary.operators import features, relational, training
 from corollary.operators.features import FeatureModel
 from corollary.session import ship_package
 from corollary.sources import models
@@ -201,13 +201,13 @@ def test_tree_sum_equals_plain_sum(spark, data, monkeypatch):
     assert all(np.allclose(g_plain[k], g_tree[k]) for k in g_plain)
 
 
-def test_single_precision_is_close(spark, data, monkeypatch):
+def test_single_precision_is_close(spark, data):
     cfg = training.TrainConfig(partitions=3, aux_coef=0.1, multi_coef=0.2)
     model = random_model(multi_k=5, dead_threshold=1)
     model.steps_since_active = np.arange(12)
     blocks = training_blocks(spark, data, cfg)
     exact, g_exact = training._loss_and_gradient(blocks, model, cfg, gradient=True, track=False)
-    monkeypatch.setattr(training, "WIDE_MESSAGE", 0)
+    cfg.precision = "single"
     near, g_near = training._loss_and_gradient(blocks, model, cfg, gradient=True, track=False)
     assert np.isclose(exact, near, rtol=1e-5)
     assert all(np.allclose(g_exact[k], g_near[k], atol=1e-5) for k in g_exact)
@@ -257,14 +257,48 @@ def test_train_or_load(spark, data, tmp_path):
     vectors = vectors_of(spark, data)
     folder = str(tmp_path / "models")
     first = training.train_sae(vectors, 4, 1, prefixes=[2, 4], n_epochs=1, checkpoint_dir=folder)
-    path = f"{folder}/SAE_matryoshka_M=4_K=1_prefixes=2-4"
+    path = f"{folder}/{models.folder_name(first.dim, 4, 1, [2, 4], first.fingerprint)}"
     loaded = models.load_model(spark, path)
     assert loaded.prefixes == [2, 4] and loaded.k == 1 and np.allclose(loaded.enc, first.enc)
     again = training.train_sae(vectors, 4, 1, prefixes=[2, 4], n_epochs=5, checkpoint_dir=folder)
     assert np.allclose(again.dec, first.dec) and not again.history
+    # other vectors have a folder of their own, and a model isn't taken for theirs
     other = vectors_of(spark, data + 1)
+    fresh = training.train_sae(other, 4, 1, prefixes=[2, 4], n_epochs=1, checkpoint_dir=folder)
+    assert fresh.history and not np.allclose(fresh.input_bias, first.input_bias)
     with pytest.raises(ValueError, match="other vectors"):
-        training.train_sae(other, 4, 1, prefixes=[2, 4], n_epochs=1, checkpoint_dir=folder)
-    fresh = training.train_sae(other, 4, 1, prefixes=[2, 4], n_epochs=1, checkpoint_dir=folder, overwrite_checkpoint=True)
-    assert np.allclose(models.load_model(spark, path).input_bias, fresh.input_bias)
-    assert models.model_name(64, 4) == "SAE_M=64_K=4"
+        models.load_model(spark, path, fingerprint=fresh.fingerprint)
+    anew = training.train_sae(vectors, 4, 1, prefixes=[2, 4], n_epochs=1, checkpoint_dir=folder, overwrite_checkpoint=True)
+    assert anew.history
+
+
+def test_steps_have_512_rows_at_every_size(spark):
+    """More than 40,000 rows: about 80 steps, drawn anew each epoch, none empty after a split with the same seed."""
+    n = 45_000
+    rows = spark.range(n).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    train, _ = relational.train_validation_split(rows, 0.1, 7)
+    steps = -(-train.count() // training.STEP_ROWS)
+    epochs = []
+    for epoch in (0, 1):
+        packed = training.pack(train, "embedding", "row_id", steps, 7, 2, epoch, partitions=6).collect()
+        by_step = {s: np.concatenate([np.frombuffer(r.block, np.float32).reshape(-1, 2) for r in packed if r.step == s]) for s in range(steps)}
+        sizes = np.array([len(x) for x in by_step.values()])
+        assert sizes.sum() == train.count() and abs(sizes - training.STEP_ROWS).max() < 6 * np.sqrt(training.STEP_ROWS)
+        epochs.append(by_step)
+    assert set(epochs[0][0][:, 0]) != set(epochs[1][0][:, 0])
+
+
+def test_partitions_follow_the_data(spark, monkeypatch):
+    monkeypatch.setattr(training, "PARTITION_BYTES", 4096)
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), F.array_repeat(F.col("id").cast("float"), 8).alias("embedding")).coalesce(2)
+    blocks = training._cached_blocks(rows, "embedding", "row_id", 8, training.TrainConfig(), 8, 4000)
+    try:
+        per = blocks.frame.select("step", F.spark_partition_id().alias("p")).distinct().collect()
+        assert len({r["p"] for r in per}) > 2 and len(per) == 8  # each step's rows are in one partition
+        assert blocks.frame.rdd.getNumPartitions() == -(-4000 * 8 * 4 // 4096)
+    finally:
+        blocks.frame.unpersist()
+
+
+def test_folder_name():
+    assert models.folder_name(8, 64, 4, [16, 64]) == "topk4-of-64-from-8.nested-16.64"

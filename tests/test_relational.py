@@ -20,30 +20,32 @@ def position(text):
     return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
 
 
-@pytest.fixture
-def hot_left(spark):
-    """200 rows of which half carry one key."""
-    return spark.range(200).select(
-        F.col("id").alias("row_id"), F.when(F.col("id") < 100, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k")
-    )
-
-
-@pytest.mark.parametrize("hot_rows", [10, 0])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join_splits_hot_keys(spark, hot_left, monkeypatch, how, hot_rows):
-    monkeypatch.setattr(relational, "HOT_ROWS", hot_rows)
-    right = spark.createDataFrame([("hot", 1), ("k150", 2), ("k151", 3)], "k string, v int")
-    plain = sorted(map(tuple, hot_left.join(right, "k", how).collect()), key=str)
-    original = relational.hot_keys
-    monkeypatch.setattr(relational, "hot_keys", lambda df, key: original(df, key, at_least=10))
-    assert relational.hot_keys(hot_left, "k") == ["hot"]
-    got = sorted(map(tuple, relational.lookup_join(hot_left, right, "k", how).collect()), key=str)
-    assert got == plain
-
-
-def test_lookup_join_keeps_null_keys(spark, monkeypatch):
+def test_lookup_join_splits_a_hot_key(spark, how):
+    """A key with half of the rows is split among tasks, and nothing is lost."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    left = spark.range(0, 40_000, 1, 8).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k")
+    )
+    right = spark.createDataFrame([("hot", 1), ("k151", 2), (None, 3)], "k string, v int")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = relational.lookup_join(left, right, "k", how)
+        assert joined.agg(F.count("*"), F.sum("v")).first()[:] == ((40_000, 20_002) if how == "left" else (20_001, 20_002))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lookup_join_keeps_null_keys(spark):
     left = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "row_id long, k string")
-    monkeypatch.setattr(relational, "hot_keys", lambda df, key: ["a"])
     right = spark.createDataFrame([("a", 1)], "k string, v int")
     assert ids(relational.lookup_join(left, right, "k")) == [1, 2, 3]
 
@@ -106,18 +108,19 @@ def test_pair_differences(spark):
 
 def test_split_and_sample_are_exact(spark):
     df = spark.range(1000).withColumnRenamed("id", "row_id")
-    order = sorted(range(1000), key=lambda i: (position(f"9:{i}"), i))
+    order = sorted(range(1000), key=lambda i: (position(f"split:9:{i}"), i))
+    sampled = sorted(range(1000), key=lambda i: (position(f"sample:9:{i}"), i))
     train, held = relational.train_validation_split(df, 0.1, 9)
     assert ids(held) == sorted(order[:100]) and ids(train) == sorted(order[100:])
-    assert ids(ranking.hash_sample(df, 37, 9)) == sorted(order[:37])
+    assert ids(ranking.hash_sample(df, 37, 9)) == sorted(sampled[:37])
     assert ranking.hash_sample(df, 5000, 9).count() == 1000
     none, everything = relational.train_validation_split(df, 1.0, 9)
     assert none.count() == 0 and everything.count() == 1000
 
 
 def test_nth_position_narrows(spark):
-    df = spark.range(3000).select(F.col("id").alias("row_id"), ranking.hash_position(1, F.col("id")).alias("p"))
-    order = sorted((position(f"1:{i}"), i) for i in range(3000))
+    df = spark.range(3000).select(F.col("id").alias("row_id"), ranking.hash_position("test", 1, F.col("id")).alias("p"))
+    order = sorted((position(f"test:1:{i}"), i) for i in range(3000))
     for n in (1, 17, 2999, 3000):
         assert ranking.nth_position(df, "p", "row_id", n, leaf=1) == order[n - 1]
     assert ranking.nth_position(df, "p", "row_id", 3001) is None

@@ -162,9 +162,9 @@ def test_dispatch_errors(spark, sparse_data):
 
 
 def expected_zero_rows(dense, neuron, n, seed):
-    start = position(f"{seed}:neuron:{neuron}")
+    start = position(f"draw:{seed}:neuron:{neuron}")
     zero = [i for i in range(len(dense)) if dense[i, neuron] == 0]
-    return set(sorted(zero, key=lambda i: ((position(f"{seed}:{i}") - start) % HASH_RANGE, i))[:n])
+    return set(sorted(zero, key=lambda i: ((position(f"draw:{seed}:{i}") - start) % HASH_RANGE, i))[:n])
 
 
 @pytest.mark.parametrize("force", ["as planned", "window too short", "all rows"])
