@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corollary.llm import aliases, classifier, extraction, packing, quality, secret_scan, simhash, topk
+from corollary.llm import aliases, classifier, extraction, lattice, linededup, packing, quality, secret_scan, simhash, topk
 from corollary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The public piece table that the registered encoder reads; any folder with such a file will do.
+VOCABULARY = os.environ.get("CORPUS_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode(table(spark, sf_dir, "documents"), lattice.load_vocabulary(VOCABULARY))
+
+
 @query
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -146,3 +156,10 @@ FROM own LEFT JOIN spread ON key = u
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line matches, and how many lines each had and lost."""
+    kept = linededup.with_unique_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "__lines.n_lines", "__lines.n_removed", "text")

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corollary.llm import packing, quality, secret_scan, simhash
+from corollary.llm import linededup, packing, quality, secret_scan, simhash
 from corollary.llm.common import table
 from corollary.session import ensure_checkpoint_dir, ship_package
 
@@ -20,6 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line matches."""
+    return linededup.remove_similar_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies."""
     ship_package(spark)
@@ -39,6 +44,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
     ("secret_scan", secrets),
     ("best_fit_packing", best_fit_packing),
