@@ -1,38 +1,46 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity; two sets with a Jaccard similarity of at least the threshold
-share one of the first words of that order, how many depends on their sizes alone. Lines meet on those words, pairs whose sizes or
-whose places in the order rule the similarity out are dropped, and the rest are compared word by word. A line goes if any earlier line
-matches it. All of it is DataFrame expressions.
-
-Families of thousands of variants of a line would make all pairs of them meet. So lines are first compared with
-the earliest line of each of their words only, which settles such families in as many comparisons as they have
-lines. Lines that this doesn't settle meet all others.
+A line is the set of its tokens: runs of five neighbouring words, or all its words where they are fewer. Tokens are
+ordered by rarity; two sets with a Jaccard similarity of at least the threshold share one of the first tokens of that
+order, how many depends on their sizes alone. Lines meet on those tokens, pairs whose sizes or whose places in the order
+rule the similarity out are dropped, and the rest are compared token by token. A line goes if any earlier line matches
+it. All of it is DataFrame expressions.
+
+Families of thousands of variants of a line would make all pairs of them meet. So lines are first compared with the
+earliest line of each of their tokens only, which settles such families in as many comparisons as they have lines.
+Lines that this doesn't settle meet all others that share a token.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corollary.llm.common import WORD, small_side, words
-from corollary.session import cut_lineage
+from corollary.session import ensure_checkpoint_dir
 
-#: Least Jaccard similarity of a match, in percent.
+#: Least Jaccard similarity of a match, in percent, and words of a token.
 THRESHOLD = 80
-#: Buckets in which words are counted for their rarity, and the share of all words, one in so many, from which a word's lines are dealt to more slots.
+SHINGLE = 5
+#: Buckets in which tokens are counted for their rarity, a power of two, and the share of all tokens, one in so many, from which
+#: the lines of a token are dealt to more slots.
 BUCKETS = 8192
 SLOT_SHARE = 4096
-#: Bits of a word's key below its rank.
+#: Bits of a token's key below its rank.
 LOW = 44
 
 
-def _ceil(numerator: Column, denominator: int) -> Column:
-    return F.floor((numerator + (denominator - 1)) / denominator).cast("int")
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, read again: what follows doesn't repeat what came before."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/lines-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(BUCKETS))
+def _ceil(numerator: Column, denominator: int) -> Column:
+    return F.floor((numerator + (denominator - 1)) / denominator).cast("int")
 
 
 def _literal(numbers: list[int]) -> Column:
@@ -40,13 +48,43 @@ def _literal(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> tuple[list[int], list[int]]:
-    """Rank by count of each hash bucket of words, counted over all texts, and the number of slots of each rank.
+def token_hashes(line: Column | str, shingle: int = SHINGLE) -> Column:
+    """Distinct 64-bit hashes of a line's tokens; of its words' hashes, so that each word is hashed once."""
+    hashed = F.transform(words(line), lambda w: F.xxhash64(w))
+
+    def runs(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (shingle - 1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, shingle)))
+
+    return F.array_distinct(hashed if shingle == 1 else F.flatten(F.transform(F.array(hashed), runs)))
+
+
+def tokens(line: Column | str, shingle: int = SHINGLE) -> Column:
+    """Distinct tokens themselves, which the last comparison is of."""
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (shingle - 1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, shingle), " "))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(words(line)), runs)))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines with a word: ``at`` (missing, id, line number), by which they are ordered, 128-bit key ``h1``, ``h2``, ``line``."""
+    split = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("__no", "line"))
+    return split.where(F.rlike("line", F.lit(WORD))).select(
+        F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__no").alias("no")).alias("at"),
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line",
+    )
+
 
-    The driver gets one number per bucket. Equal words share a bucket, so the ranks and then the words' hashes order
-    all words in one way, which is what the join needs to be exact; how well a bucket's count tells a word's is a matter of speed.
+def rarity(lines: DataFrame, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
+    """Rank by count of each hash bucket of tokens, counted over all lines, and the number of slots of each rank.
+
+    The driver gets one number per bucket. Equal tokens share a bucket, so the ranks and then the hashes order all tokens in
+    one way, which is what the join needs to be exact; how well a bucket's count tells a token's is a matter of speed.
     """
-    counted = docs.select(F.explode(words(text_col)).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count().collect()
+    bucket = F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
+    counted = lines.select(F.explode(token_hashes("line", shingle)).alias("t")).groupBy(bucket).count().collect()
     counts = [0] * BUCKETS
     for r in counted:
         counts[r["b"]] = r["count"]
@@ -58,127 +96,128 @@ def rarity(docs: DataFrame, text_col: str = "text") -> tuple[list[int], list[int
     return ranks, [1 + counts[b] * SLOT_SHARE // total for b in order]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with a word: ``at`` (missing, id, line number), by which they are ordered, 128-bit key ``h1``, ``h2``, ``line``."""
-    split = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("__no", "line"))
-    return split.where(F.rlike("line", F.lit(WORD))).select(
-        F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__no").alias("no")).alias("at"),
-        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line",
-    )
+def _may_match(n: Column, i: Column, m: Column, j: Column, threshold: int) -> Column:
+    """Whether sets of ``n`` and ``m`` tokens, whose places ``i`` and ``j`` hold the same token, can be similar.
 
-
-def _sizes_fit(n: str, m: str, threshold: int) -> Column:
-    return (100 * F.col(n) >= threshold * F.col(m)) & (100 * F.col(m) >= threshold * F.col(n))
+    At the first token they share, they can only share those from it on.
+    """
+    sizes = (100 * n >= threshold * m) & (100 * m >= threshold * n)
+    return sizes & (F.least(n - i, m - j) >= _ceil((n + m) * threshold, 100 + threshold))
 
 
-def _similar(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the words of two lines have a Jaccard similarity of ``threshold`` percent or more."""
-    shared = F.size(F.array_intersect(words(a), words(b)))
-    either = F.size(F.array_distinct(words(a))) + F.size(F.array_distinct(words(b))) - shared
-    return 100 * shared >= threshold * either
+def _similar(a: str, b: str, threshold: int) -> Column:
+    """Whether two arrays of distinct tokens have a Jaccard similarity of ``threshold`` percent or more."""
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= threshold * (F.size(a) + F.size(b) - shared)
 
 
-def candidate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, list[int]]:
-    """Distinct lines that repeat, or share a prefix word with another; the slots of each rank.
+def shared_prefixes(lines: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, list[int]]:
+    """Prefix tokens that more than one distinct line has, and the slots of each rank.
 
-    ``h1, h2, first`` (earliest place), ``copies, line, n`` (distinct words), ``shared``: an array of (token, slot, i, leader, leader_n),
-    the prefix words that other lines have too, with the earliest line of each.
+    ``token, slot, h1`` (the line), ``at`` (its earliest place), ``n`` (its tokens), ``i`` (the token's place), and
+    ``leader``: the earliest line of the token and slot. Equal lines are one row from the first aggregate on.
     """
-    ranks, slots = rarity(docs, text_col)
-    distinct = _lines(docs, id_col, text_col).groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line")
+    ranks, slots = rarity(lines, shingle)
+    key = lambda t: F.shiftleft(
+        F.get(_literal(ranks), t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), LOW
+    ).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
+    ordered = lines.withColumn("keys", F.sort_array(F.transform(token_hashes("line", shingle), key)))
+    n = F.size("keys")
+    body = F.struct(n.alias("n"), F.slice("keys", 1, n - _ceil(n * threshold, 100) + 1).alias("prefix"))
+    distinct = ordered.select("h1", "h2", "at", body.alias("body")).groupBy("h1", "h2").agg(
+        F.min("at").alias("at"), F.first("body").alias("body")
     )
-    token = lambda w: (
-        F.shiftleft(F.get(_literal(ranks), _bucket(w)).cast("long"), LOW).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << LOW) - 1)))
-    )
-    ordered = distinct.select(
-        "h1", "h2", "first", F.sort_array(F.transform(F.array_distinct(words("line")), token)).alias("tokens")
-    ).withColumn("n", F.size("tokens"))
-    prefix = F.slice("tokens", 1, F.col("n") - _ceil(F.col("n") * threshold, 100) + 1)
-    rows = ordered.select("h1", "h2", "first", "n", F.posexplode(prefix).alias("i", "token"))
+    rows = distinct.select("h1", "at", F.col("body.n").alias("n"), F.posexplode("body.prefix").alias("i", "token"))
     wide = F.get(_literal(slots), F.shiftright("token", LOW).cast("int"))
     rows = rows.withColumn("slot", F.pmod(F.col("h1"), wide).cast("int"))
-    near = Window.partitionBy("token", "slot").orderBy("first")
+    near = Window.partitionBy("token", "slot").orderBy("at")
     met = (
-        rows.withColumn("leader", F.first(F.struct("h1", "h2", "n")).over(near))
+        rows.withColumn("leader", F.first(F.struct("h1", "n", "i")).over(near))
         .withColumn("__rank", F.row_number().over(near)).withColumn("__next", F.lead("n").over(near))
         .where((F.col("__rank") > 1) | F.col("__next").isNotNull() | (wide > 1))
     )
-    shared = met.groupBy("h1", "h2").agg(
-        F.first("n").alias("n"), F.collect_list(F.struct("token", "slot", "i", "leader")).alias("shared")
-    )
-    found = distinct.join(shared, ["h1", "h2"], "left").where("copies > 1 or shared is not null")
-    return cut_lineage(found), slots
-
-
-def matched_lines(found: DataFrame, slots: list[int], threshold: int) -> DataFrame:
-    """Keys ``h1, h2`` of the candidate lines that an earlier line matches."""
-    y = found.where("shared is not null")
-    led = y.select("h1", "h2", "first", "n", "line", F.explode(F.array_distinct(F.col("shared.leader"))).alias("leader")).where(
-        (F.col("leader.h1") != F.col("h1")) | (F.col("leader.h2") != F.col("h2"))
-    ).where(_sizes_fit("n", "leader.n", threshold))
-    x = y.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("first").alias("x_first"), F.col("line").alias("x_line"))
-    by_leader = led.join(x, (F.col("leader.h1") == F.col("x1")) & (F.col("leader.h2") == F.col("x2")))
-    settled = cut_lineage(
-        by_leader.where(F.col("x_first") < F.col("first")).where(_similar(F.col("line"), F.col("x_line"), threshold)).select("h1", "h2").distinct()
-    )
+    return _written(met.drop("__rank", "__next")), slots
 
-    rest = y.join(settled, ["h1", "h2"], "left_anti")
-    wide = F.get(_literal(slots), F.shiftright("s.token", LOW).cast("int"))
-    asks = rest.select("h1", "h2", "first", "n", F.explode("shared").alias("s")).select(
-        "h1", "h2", "first", "n", "s.token", "s.i", F.explode(F.sequence(F.lit(0), wide - 1)).alias("slot")
+
+def matched_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, shingle: int) -> DataFrame:
+    """Keys ``h1, h2`` of the distinct lines that an earlier line matches."""
+    lines = lines_of(docs, id_col, text_col)
+    met, slots = shared_prefixes(lines, threshold, shingle)
+    needed = small_side(met.select("h1").distinct())
+    held = _written(
+        lines.select("h1", "h2", "line").join(needed, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+        .withColumn("tokens", tokens("line", shingle)).drop("line")
     )
-    held = y.select("h1", "h2", "first", "n", F.explode("shared").alias("s")).select(
-        F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("first").alias("x_first"), F.col("n").alias("x_n"),
-        F.col("s.token").alias("token"), F.col("s.slot").alias("slot"), F.col("s.i").alias("x_i"),
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        y = held.select("h1", "h2", F.col("tokens").alias("y_tokens"))
+        x = held.select(F.col("h1").alias("x"), F.col("tokens").alias("x_tokens"))
+        both = pairs.join(y, "h1").join(x, "x")
+        return both.where(_similar("y_tokens", "x_tokens", threshold)).select("h1", "h2").distinct()
+
+    place, leader = F.col("i"), F.col("leader")
+    led = met.where(leader["h1"] != F.col("h1")).where(_may_match(F.col("n"), place, leader["n"], leader["i"], threshold))
+    settled = _written(verified(led.select("h1", leader["h1"].alias("x")).distinct()))
+
+    wide = F.get(_literal(slots), F.shiftright("token", LOW).cast("int"))
+    rest = met.join(settled.select("h1").distinct(), "h1", "left_anti")
+    asks = rest.select("h1", "at", "n", "i", "token", "leader", F.explode(F.sequence(F.lit(0), wide - 1)).alias("slot"))
+    others = met.select(
+        "token", "slot", F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), F.col("i").alias("x_i")
     )
-    # At the first word they share, two lines can only share the words from it on.
-    most = F.least(F.col("n") - F.col("i"), F.col("x_n") - F.col("x_i"))
-    needed = _ceil((F.col("n") + F.col("x_n")) * threshold, 100 + threshold)
-    pairs = (
-        asks.join(held, ["token", "slot"]).where(F.col("x_first") < F.col("first")).where(_sizes_fit("n", "x_n", threshold))
-        .where(most >= needed).select("h1", "h2", "x1", "x2").distinct()
+    pairs = asks.join(others, ["token", "slot"]).where(
+        (F.col("x_at") < F.col("at")) & (F.col("x") != leader["h1"])
+        & _may_match(F.col("n"), place, F.col("x_n"), F.col("x_i"), threshold)
     )
-    both = pairs.join(rest.select("h1", "h2", "line"), ["h1", "h2"]).join(x.select("x1", "x2", "x_line"), ["x1", "x2"])
-    more = both.where(_similar(F.col("line"), F.col("x_line"), threshold)).select("h1", "h2").distinct()
-    return cut_lineage(settled.unionAll(more))
+    more = verified(pairs.select("h1", "x").distinct())
+    return _written(settled.unionAll(more))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def removed_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE,
+) -> DataFrame:
     """``__id``, ``__removed``: per id, the numbers (from 0) of the lines that go, where any does."""
-    found, slots = candidate_lines(docs, id_col, text_col, threshold)
-    matched = matched_lines(found, slots, threshold).withColumn("near", F.lit(True))
-    told = found.select("h1", "h2", "first", "copies").join(matched, ["h1", "h2"], "left").where("copies > 1 or near")
-    told = small_side(cut_lineage(told.select("h1", "h2", "first", "near")))
-    lines = _lines(docs, id_col, text_col).select("at", "h1", "h2")
-    gone = lines.join(told, ["h1", "h2"]).where(F.col("near") | (F.col("at") > F.col("first")))
+    lines = lines_of(docs, id_col, text_col)
+    matched = matched_lines(docs, id_col, text_col, threshold, shingle).withColumn("near", F.lit(True))
+    copies = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"))
+    told = copies.join(matched, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near")
+    told = small_side(_written(told))
+    gone = lines.select("at", "h1", "h2").join(told, ["h1", "h2"]).where(F.col("near") | (F.col("at") > F.col("first")))
     return gone.groupBy(F.col("at.id").alias("__id")).agg(F.collect_set("at.no").alias("__removed"))
 
 
-def with_unique_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def with_unique_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE,
+) -> DataFrame:
     """``docs`` with lines removed from ``text_col``, and a struct ``__lines`` of ``n_lines`` and ``n_removed``.
 
     Lines are what ``\\n`` divides a text into, ordered by id (nulls last) and number; those with a word take part. A line
-    goes if an earlier one has a word set of a Jaccard similarity of ``threshold`` percent or more, whether that one goes itself or
-    not. What is left is joined by ``\\n``; a document from which all goes keeps its row, with its lines without words or an empty text. A null text
-    stays null and has no line. Rows that repeat an id are one document: the lines of a number don't remove each other there, and what goes
-    goes from every such row. Other columns are carried along, an empty table gives an empty result.
-
-    Equal lines are one row from the first aggregate on. Words that many lines share are dealt to slots, by the rarity counts. Only
-    distinct lines, their prefix words and, at the end, the documents by id are shuffled.
+    goes if an earlier one has a token set of a Jaccard similarity of ``threshold`` percent or more, whether that one goes itself
+    or not. What is left is joined by ``\\n``; a document from which all goes keeps its row, with its lines without words or an
+    empty text. A null text stays null and has no line. Rows that repeat an id are one document: the lines of a number don't
+    remove each other there, and what goes goes from every such row. Other columns are carried along, an empty table gives an
+    empty result.
+
+    Equal lines are one row from the first aggregate on. Tokens that many lines share are dealt to slots, by the rarity
+    counts. Distinct lines' prefixes are shuffled, and the tokens of lines that share one; texts are only where more documents
+    lose lines than a broadcast may hold.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold)
+    gone = removed_lines(docs, id_col, text_col, threshold, shingle)
+    gone = small_side(_written(gone), 500_000)
     joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
+    text = F.col(f"`{text_col}`")
+    lines = F.split(text, "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("__removed"), i))
-    text = F.when(F.col("__removed").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))
     counts = F.struct(
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(text.isNull() | F.col("__removed").isNull(), F.lit(0)).otherwise(F.size("__removed")).cast("long").alias("n_removed"),
     )
-    return joined.withColumn("__lines", F.when(F.col(f"`{text_col}`").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(counts)).withColumn(text_col, text).drop("__removed")
+    shorter = F.when(F.col("__removed").isNull(), text).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("__lines", counts).withColumn(text_col, shorter).drop("__removed")
 
 
-def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def remove_similar_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE,
+) -> DataFrame:
     """The columns of ``docs`` after :func:`with_unique_lines`."""
-    return with_unique_lines(docs, id_col, text_col, threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return with_unique_lines(docs, id_col, text_col, threshold, shingle).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,14 +8,18 @@ import pytest
 from corollary.llm import linededup
 
 
-def brute(rows, threshold=80):
+def tokens(line, shingle):
+    w = re.findall(r"[^\x20\x09-\x0D]+", line)
+    return frozenset(tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+
+
+def brute(rows, threshold, shingle):
     """Lines that go per id, by comparing every pair of lines."""
     lines = {}
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):
-            words = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if words:
-                lines.setdefault((i is None, i or 0, k), set()).add((line, words))
+            if found := tokens(line, shingle):
+                lines.setdefault((i is None, i or 0, k), set()).add((line, found))
     gone = {}
     order = sorted(lines)
     for at, y in enumerate(order):
@@ -26,17 +30,17 @@ def brute(rows, threshold=80):
     return gone
 
 
-def check(spark, frame, rows, threshold=80):
-    want = brute(rows, threshold)
-    got = {r["__id"]: set(r["__removed"]) for r in linededup.removed_lines(frame, threshold=threshold).collect()}
+def check(frame, rows, threshold=80, shingle=5):
+    want = brute(rows, threshold, shingle)
+    got = {r["__id"]: set(r["__removed"]) for r in linededup.removed_lines(frame, threshold=threshold, shingle=shingle).collect()}
     assert got == want
 
 
-def near_lines(seed, families=6, variants=30, common=("the", "of")):
+def near_lines(seed, families=6, variants=30, common=("the", "of"), longest=14):
     rng = random.Random(seed)
     lines = []
     for _ in range(families):
-        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 14))]
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, longest))]
         for _ in range(variants):
             line = list(base)
             for _ in range(rng.randrange(4)):
@@ -51,21 +55,22 @@ def near_lines(seed, families=6, variants=30, common=("the", "of")):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "threshold"), [(1, 80), (2, 80), (3, 60), (4, 100)])
-def test_against_brute_force(spark, seed, threshold):
-    rows = near_lines(seed)
-    check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, threshold)
+@pytest.mark.parametrize(("seed", "threshold", "shingle", "longest"), [(1, 80, 5, 90), (2, 80, 1, 14), (3, 60, 2, 30)])
+def test_against_brute_force(spark, seed, threshold, shingle, longest):
+    rows = near_lines(seed, longest=longest)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, threshold, shingle)
 
 
-def test_frequent_words_in_slots(spark, monkeypatch):
+def test_frequent_tokens_in_slots(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BUCKETS", 4)
-    rows = near_lines(9, families=3, variants=60)
-    assert max(linededup.rarity(spark.createDataFrame(rows, "doc_id long, text string"))[1]) > 1
-    check(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    rows = near_lines(9, families=3, variants=40)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(linededup.rarity(linededup.lines_of(frame, "doc_id", "text"), 1)[1]) > 1
+    check(frame, rows, 80, 1)
 
 
 def test_odd_rows(spark, odd, empty):
-    check(spark, odd, sorted({(r["doc_id"], r["text"]) for r in odd.collect()}, key=str))
+    check(odd, sorted({(r["doc_id"], r["text"]) for r in odd.collect()}, key=str))
     done = linededup.remove_similar_lines(odd)
     assert done.columns == odd.columns and done.count() == odd.count()
     texts = {r["doc_id"]: r["text"] for r in done.collect() if r["doc_id"] is not None}
