@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corollary.functions import templates, text
-from corollary.operators import relational
+from corollary.operators import ranking, relational
 from corollary.operators.sampling import SamplingConfig
 from corollary.session import cut_lineage
 from corollary.sources.stores import Store
@@ -32,6 +32,8 @@ EMBED_BATCH = 128
 ANSWER_BATCH = 64
 #: Model calls one task makes at most, unless the caller sets the number of partitions.
 CALLS_PER_TASK = 100_000
+#: Texts or tasks of a round, after which a store is written to.
+ROUND_ROWS = 500_000
 
 
 @dataclass
@@ -94,6 +96,14 @@ def _read_yes_no(answer: str | None) -> int | None:
     return 1 if "yes" in lowered else 0 if "no" in lowered else None
 
 
+def _rounds(tasks: DataFrame, key: str, rows: int) -> Iterator[DataFrame]:
+    """The tasks, written down once, in rounds of about ``rows`` cut by a hash of their key."""
+    tasks = cut_lineage(tasks)
+    n = max(1, -(-tasks.count() // rows))
+    for i in range(n):
+        yield tasks.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
 def embed_texts(
     texts: DataFrame,
     embed_fn: EmbedFn,
@@ -102,15 +112,18 @@ def embed_texts(
     model: str = "",
     batch_size: int = EMBED_BATCH,
     partitions: int | None = None,
+    round_rows: int = ROUND_ROWS,
 ) -> DataFrame:
     """``text_key, text, embedding`` of every distinct valid text.
 
-    ``partitions`` bounds how many model calls run at once, for a rate-limited model.
+    ``partitions`` bounds how many model calls run at once, for a rate-limited model. With a
+    store, every ``round_rows`` texts are stored as soon as they are done, so a run that fails
+    loses one round at most; a text that is in no readable file of the store is asked again, and
+    one that is still missing at the end is an error.
     """
     spark = texts.sparkSession
     known = store.read(spark) if store else spark.createDataFrame([], "text_key string")
     todo = relational.uncached_texts(texts, known).withColumn("_input", text.model_input(F.col("text"), model))
-    todo = _spread(todo, partitions, ["text_key"], texts.count())
 
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -119,12 +132,20 @@ def embed_texts(
                 vectors += [[float(x) for x in v] for v in _call(embed_fn, batch)]
             yield frame[["text_key", "text"]].assign(embedding=vectors)
 
-    fresh = todo.mapInPandas(embed, "text_key string, text string, embedding array<float>")
+    def embedded(part: DataFrame, n_calls: int) -> DataFrame:
+        spread = _spread(part, partitions, ["text_key"], n_calls)
+        return spread.mapInPandas(embed, "text_key string, text string, embedding array<float>")
+
     if store is None:
-        return cut_lineage(fresh)
-    store.append(fresh)
+        return cut_lineage(embedded(todo, texts.count()))
+    for part in _rounds(todo, "text_key", round_rows):
+        store.append(embedded(part, round_rows))
     wanted = text.drop_invalid(texts).select(text.text_key(F.col("text")).alias("text_key")).distinct()
-    return store.read(spark, wanted)
+    found = store.read(spark, wanted)
+    missing = wanted.join(found.select("text_key"), "text_key", "left_anti").count()
+    if missing:
+        raise RuntimeError(f"{missing} embeddings can't be read back from {store.path}")
+    return found
 
 
 def _shown(max_words: int | None) -> Column:
@@ -166,6 +187,7 @@ def annotate(
     template: str = templates.ANNOTATION,
     batch_size: int = ANSWER_BATCH,
     partitions: int | None = None,
+    round_rows: int = ROUND_ROWS,
 ) -> DataFrame:
     """``concept, text_key, value`` for distinct tasks ``(text, concept)``.
 
@@ -180,14 +202,25 @@ def annotate(
     )
     known = store.read(spark) if store else spark.createDataFrame([], "concept string, text_key string, value int")
     todo = keyed.join(known, ["concept", "text_key"], "left_anti")
-    todo = _spread(todo, partitions, ["concept", "text_key"])
-    fresh = cut_lineage(_answer_tasks(todo, answer_fn, template, batch_size))
+
+    def answered(part: DataFrame) -> DataFrame:
+        spread = _spread(part, partitions, ["concept", "text_key"])
+        return cut_lineage(_answer_tasks(spread, answer_fn, template, batch_size))
+
     if store is None:
-        return fresh
+        return answered(todo)
     hits, _ = relational.split_cached_tasks(keyed, known)
-    answered = cut_lineage(hits).unionByName(fresh)
-    store.append(fresh.filter("value IS NOT NULL"))
-    return answered
+    return _store_rounds(todo, answered, store, cut_lineage(hits), round_rows)
+
+
+def _store_rounds(todo: DataFrame, answered: Callable, store: Store, hits: DataFrame, round_rows: int) -> DataFrame:
+    """``hits`` and the answers to ``todo``, each round of which is stored when it is done."""
+    frames = [hits]
+    for part in _rounds(todo, "text_key", round_rows):
+        fresh = answered(part)
+        store.append(fresh.filter("value IS NOT NULL"))
+        frames.append(fresh)
+    return ranking.union_all(frames)
 
 
 def annotate_texts_with_concepts(
@@ -221,6 +254,7 @@ def _answer_texts(
     template: str = templates.ANNOTATION,
     batch_size: int = ANSWER_BATCH,
     partitions: int | None = None,
+    round_rows: int = ROUND_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """``row_id, text_key`` and the answers ``text_key, concept, value``.
 
@@ -242,13 +276,15 @@ def _answer_texts(
     if store is not None:
         answered = F.coalesce(F.array_contains("_done", F.col("concept")), F.lit(False))
         pairs = pairs.filter(~answered).drop("_done")
-    fresh = cut_lineage(_answer_tasks(pairs, answer_fn, template, batch_size))
+
+    def answered(part: DataFrame) -> DataFrame:
+        return cut_lineage(_answer_tasks(part, answer_fn, template, batch_size))
+
     if store is None:
-        return rows, fresh
+        return rows, answered(pairs)
     hits = known.join(rows.select("text_key").distinct(), "text_key", "left_semi")
     hits = cut_lineage(hits.select("concept", "text_key", "value"))
-    store.append(fresh.filter("value IS NOT NULL"))
-    return rows, hits.unionByName(fresh)
+    return rows, _store_rounds(pairs, answered, store, hits, round_rows)
 
 
 def _only_concepts(answers: DataFrame, concepts: DataFrame | Sequence[str]) -> DataFrame:

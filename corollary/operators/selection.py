@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corollary.operators import ranking, sampling
-from corollary.session import collect_dimension
+from corollary.session import collect_dimension, ensure_checkpoint_dir
 
 #: Scores are compared after rounding to so many digits below the largest, so that summation order
 #: cannot reorder ties.
@@ -225,20 +225,20 @@ def feature_vectors(acts: DataFrame, targets: DataFrame, n_neurons: int) -> Data
     means, which keeps the vectors sparse. A row holds at most K entries per model.
     """
 
-    @F.udf(VectorUDT(), useArrow=False)
-    def sparse(entries):
-        return SparseVector(n_neurons, sorted((e[0], e[1]) for e in entries or ()))
-
     scales = feature_scales(acts, targets).select("neuron_idx", "scale")
     entries = (
         acts.select("row_id", "neuron_idx", "activation")
         .join(F.broadcast(scales), "neuron_idx")
         .groupBy("row_id")
-        .agg(F.collect_list(F.struct("neuron_idx", F.col("activation") / F.col("scale"))).alias("e"))
-    )
-    return targets.join(entries, "row_id", "left").select(
-        F.col("y").cast("double").alias("label"), sparse("e").alias("features")
+        .agg(F.array_sort(F.collect_list(F.struct("neuron_idx", (F.col("activation") / F.col("scale")).alias("v")))).alias("e"))
     )
+    # Spark has no expression that makes sparse vectors; its reader of this text format does, without Python rows.
+    cells = F.transform("e", lambda e: F.concat((e["neuron_idx"] + 1).cast("string"), F.lit(":"), e["v"].cast("string")))
+    line = F.concat_ws(" ", F.col("y").cast("double").cast("string"), F.array_join(cells, " "))
+    spark = acts.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    targets.join(entries, "row_id", "left").select(line).write.text(path)
+    return spark.read.format("libsvm").option("numFeatures", n_neurons).load(path)
 
 
 @dataclass

@@ -175,6 +175,31 @@ def test_custom_template_and_classes(spark):
     assert prompt == "top/mid/none"
 
 
+class Failing:
+    """A model that fails on one text."""
+
+    def __init__(self, word):
+        self.word = word
+
+    def __call__(self, batch):
+        if any(self.word in t for t in batch):
+            raise RuntimeError("model is down")
+        return rules.embed_words(batch)
+
+
+def test_failed_run_keeps_its_finished_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "PAUSE", 0.0)
+    texts = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "row_id long, text string")
+    store = stores.embedding_store(str(tmp_path / "store"), "run")
+    keys = texts.select(F.xxhash64(text_key(F.col("text"))).alias("h"), "text").collect()
+    last = max(keys, key=lambda r: r["h"] % 4)["text"]  # asked in the last of four rounds
+    with pytest.raises(Exception, match="model is down"):
+        jobs.embed_texts(texts, Failing(last), store=store, round_rows=10)
+    done = store.read(spark).count()
+    assert 0 < done < 40
+    assert jobs.embed_texts(texts, rules.embed_words, store=store, round_rows=10).count() == 40
+
+
 def test_prompt_files(spark, tmp_path):
     prompts = spark.createDataFrame([(0, "a\nb"), (1, "c")], "row_id long, prompt string")
     tables.write_prompt_files(prompts, str(tmp_path / "files"))
