@@ -114,16 +114,19 @@ def m7_training_history(spark, sf):
     )
 
 
-@query(
-    "m7_gradient",
-    f"""WITH {MODEL_SQL}, {DECODER_SQL},
+GRADIENT_SQL = """
     slope AS (SELECT ends.prefix, dims.row_id, dims.d, x - c AS centered, 2.0 / 2 * (coalesce(r, 0) + c - x) AS s
       FROM ends, dims JOIN med USING (d) LEFT JOIN coded ON coded.prefix = ends.prefix AND coded.row_id = dims.row_id
         AND coded.d = dims.d),
     cells AS (SELECT a.neuron_idx, a.row_id, s.d, any_value(centered) AS centered, sum(activation * s) AS to_dec,
         sum(s * v) AS to_act FROM act a JOIN slope s ON s.row_id = a.row_id AND a.neuron_idx < s.prefix
         JOIN dec ON dec.neuron_idx = a.neuron_idx AND dec.d = s.d GROUP BY 1, 2, 3),
-    back AS (SELECT *, sum(to_act) OVER (PARTITION BY neuron_idx, row_id) AS back FROM cells)
+    back AS (SELECT *, sum(to_act) OVER (PARTITION BY neuron_idx, row_id) AS back FROM cells)"""
+
+
+@query(
+    "m7_gradient",
+    f"""WITH {MODEL_SQL}, {DECODER_SQL}, {GRADIENT_SQL}
     SELECT neuron_idx, {q6('sum(to_act) / any_value(b)', 8)} AS bias, {q6('sum(back * centered) / any_value(b)', 8)} AS enc_total,
       {q6('sum(to_dec) / any_value(b)', 8)} AS dec_total FROM back, baseline GROUP BY 1""",
 )
@@ -246,12 +249,38 @@ def m11_multi_k_training(spark, sf):
     return ranking.union_all(frames)
 
 
-@query("m12_unit_decoder", f"WITH {MODEL_SQL} SELECT (i)::INTEGER AS neuron_idx, 1.0::DOUBLE AS norm FROM (SELECT unnest(range(16)) AS i)")
+STEP_SIZE = 0.01
+
+
+@query(
+    "m12_unit_decoder",
+    f"""WITH {MODEL_SQL}, {DECODER_SQL}, {GRADIENT_SQL},
+    g_cells AS (SELECT neuron_idx, d, sum(back * centered) / any_value(b) AS ge, sum(to_dec) / any_value(b) AS gd FROM back, baseline GROUP BY 1, 2),
+    g_bias AS (SELECT neuron_idx, sum(to_act) / any_value(b) AS gn FROM back, baseline GROUP BY 1),
+    g_input AS (SELECT t.d, any_value(t.s) / any_value(b) - sum(gn * w) AS gi
+      FROM (SELECT d, sum(s) AS s FROM slope GROUP BY 1) t JOIN enc_small USING (d) JOIN g_bias USING (neuron_idx), baseline GROUP BY 1),
+    params AS (SELECT neuron_idx, d, w, v, coalesce(ge, 0) AS ge, coalesce(gd, 0) AS gd
+      FROM enc_small JOIN dec USING (neuron_idx, d) LEFT JOIN g_cells USING (neuron_idx, d)),
+    projected AS (SELECT *, gd - v * sum(gd * v) OVER (PARTITION BY neuron_idx) AS gp FROM params),
+    clip AS (SELECT least(1, 1 / (sqrt((SELECT sum(ge * ge + gp * gp) FROM projected) + (SELECT sum(gn * gn) FROM g_bias)
+      + (SELECT sum(gi * gi) FROM g_input)) + 1e-6)) AS k),
+    moved AS (SELECT neuron_idx, w - {STEP_SIZE} * ge * k / (abs(ge * k) + 1e-8) AS w, v - {STEP_SIZE} * gp * k / (abs(gp * k) + 1e-8) AS v
+      FROM projected, clip),
+    unit AS (SELECT neuron_idx, w, v / sqrt(sum(v * v) OVER (PARTITION BY neuron_idx)) AS v FROM moved)
+    SELECT neuron_idx, {q6('sum(w)')} AS enc_total, {q6('sum(v)')} AS dec_total, {q6('sqrt(sum(v * v))')} AS norm FROM unit GROUP BY 1""",
+)
 def m12_unit_decoder(spark, sf):
-    """Decoder rows of a trained model keep unit length."""
-    model = training.train_sae(vectors(spark, sf), 16, 2, n_epochs=2, learning_rate=1e-2, seed=SEED)
+    """One whole step from a given model: gradient, projection, clipping, update, and decoder rows back to unit length."""
+    start = centroid_model(spark, sf)
+    model = training.train_sae(
+        vectors(spark, sf), start.m, start.k, prefixes=start.prefixes, n_epochs=1, learning_rate=STEP_SIZE, aux_coef=0.0,
+        batch_size=1 << 40, seed=SEED, start=start,
+    )
+    total = lambda name: F.aggregate(name, F.lit(0.0), lambda s, x: s + x)
     square = F.aggregate("dec", F.lit(0.0), lambda s, x: s + x * x)
-    return params_table(spark, model, "trained").select("neuron_idx", r6(F.sqrt(square)).alias("norm"))
+    return params_table(spark, model, "trained").select(
+        "neuron_idx", r6(total("enc")).alias("enc_total"), r6(total("dec")).alias("dec_total"), r6(F.sqrt(square)).alias("norm")
+    )
 
 
 PATIENCE = 2
