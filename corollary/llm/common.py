@@ -21,7 +21,7 @@ def words(text: Column | str) -> Column:
     """The words of a text, in order; an empty array for null and for blank texts."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     # One kind of blank, and a one-character separator, which is split at without a regular expression.
-    return F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -50,12 +50,12 @@ def _literal(numbers: list[int]) -> Column:
 
 def token_hashes(line: Column | str, shingle: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of a line's tokens; of its words' hashes, so that each word is hashed once."""
-    hashed = F.transform(words(line), lambda w: F.xxhash64(w))
-
     def runs(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (shingle - 1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, shingle)))
+        following = [lambda i, k=k: F.get(h, i + k) for k in range(1, shingle)]  # null beyond the end, which a hash skips
+        every = F.transform(h, lambda x, i: F.xxhash64(x, *(f(i) for f in following)))
+        return F.slice(every, 1, F.greatest(F.lit(1), F.size(h) - (shingle - 1)))
 
+    hashed = F.transform(words(line), lambda w: F.xxhash64(w))
     return F.array_distinct(hashed if shingle == 1 else F.flatten(F.transform(F.array(hashed), runs)))
 
 
@@ -146,14 +146,14 @@ def matched_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, s
     needed = small_side(met.select("h1").distinct())
     held = _written(
         lines.select("h1", "h2", "line").join(needed, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-        .withColumn("tokens", tokens("line", shingle)).drop("line")
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        y = held.select("h1", "h2", F.col("tokens").alias("y_tokens"))
-        x = held.select(F.col("h1").alias("x"), F.col("tokens").alias("x_tokens"))
-        both = pairs.join(y, "h1").join(x, "x")
-        return both.where(_similar("y_tokens", "x_tokens", threshold)).select("h1", "h2").distinct()
+        y = held.select("h1", "h2", F.col("line").alias("y_line"))
+        x = held.select(F.col("h1").alias("x"), F.col("line").alias("x_line"))
+        both = pairs.join(y, "h1").join(x, "x")  # lines are shuffled, tokens, which are longer, made of them here
+        compared = both.select("h1", "h2", tokens("y_line", shingle).alias("a"), tokens("x_line", shingle).alias("b"))
+        return compared.where(_similar("a", "b", threshold)).select("h1", "h2").distinct()
 
     place, leader = F.col("i"), F.col("leader")
     led = met.where(leader["h1"] != F.col("h1")).where(_may_match(F.col("n"), place, leader["n"], leader["i"], threshold))
