@@ -7,13 +7,14 @@ of edges keeps the best way to each place, another goes back along it. Units the
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,14 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Ways to cut a text into units, finest first: runs of letters, of digits, of other characters, each with the spaces before it; runs without a space.
 CUTS = (
-    rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*\p{{Nd}}+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}\p{{Nd}}]+|{SPACE}+",
+    rf"{SPACE}*[^\W\d_¹²³]+|{SPACE}*\d+|{SPACE}*(?:[^\w{SPACE}]|[_¹²³])+|{SPACE}+",
     rf"{SPACE}*[^{SPACE}]+|{SPACE}+",
 )
 #: Documents of a block, about; ends that one step of the fold takes together.
 BLOCK_ROWS = 8192
 CHUNK = 64
+#: Blocks whose numbers one row of a unit lists.
+BAND = 4096
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ class Vocabulary:
     def units(self) -> str:
         """The finest cut that leaves all pieces whole, so that encoding units apart is exact."""
         for cut in CUTS:
-            if all(regex.fullmatch(cut, piece) and len(regex.findall(cut, piece)) == 1 for piece, _, _ in self.pieces):
+            if all(re.findall(cut, piece) == [piece] for piece, _, _ in self.pieces):
                 return cut
         raise ValueError("a piece of the vocabulary has a space after other characters")
 
@@ -131,34 +134,47 @@ def _way_back(done: Column, n: Column) -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit``, ``ids`` (space-joined; an unknown character is ``-`` and its place) of a column of distinct units.
+    """``unit``, ``ids``, ``blocks`` of distinct units with the blocks they are sent to.
 
-    The piece table is broadcast: its size is the vocabulary's. Rows are grouped where they are, by unit.
+    Ids are base 36, space-joined; an unknown character is ``-`` and its place. The piece table is broadcast: its size is
+    the vocabulary's. Rows are grouped where they are, by unit; its blocks go along with the row of its first character.
     """
     spark, longest = units.sparkSession, vocabulary.longest
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    keys = ["h1", "h2", "band"]
+    # From each place the characters that an edge may take; rows carry two hashes of the unit, and itself only once.
+    characters = F.regexp_extract_all("unit", F.lit("(?s)."), F.lit(0))
+    windows = F.transform(F.col("chars"), lambda c, i: F.array_join(F.slice(F.col("chars"), i + 1, longest), ""))
+    starts = units.select(
+        F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"), "band", "unit", "blocks", characters.alias("chars")
+    ).select(*keys, F.struct("unit", "blocks").alias("whole"), F.posexplode(windows).alias("start", "window"))
+    first = F.when(F.col("start") == 0, F.col("whole"))
     spans = starts.select(
-        "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start")))).alias("size")
-    ).withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
+        *keys, first.alias("whole"), "start", "window", F.explode(F.sequence(F.lit(1), F.length("window"))).alias("size")
+    ).select(
+        *keys, F.when(F.col("size") == 1, F.col("whole")).alias("whole"), "start", "size", F.substring("window", F.lit(1), F.col("size")).alias("piece")
+    )
     known = spans.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("piece_id is not null or size = 1")
     edge = F.struct("start", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("piece_id", F.lit(-1)).alias("id"))
-    by_end = known.groupBy("unit", (F.col("start") + F.col("size")).alias("end")).agg(F.collect_list(edge).alias("edges"))
-    lattice = by_end.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    done = lattice.withColumn("done", _best_ways(F.transform("ends", lambda e: e["edges"]), longest))
+    kept = F.first("whole", ignorenulls=True).alias("whole")
+    by_end = known.groupBy(*keys, (F.col("start") + F.col("size")).alias("end")).agg(F.collect_list(edge).alias("edges"), kept)
+    lattice = by_end.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"), kept)
+    lattice = lattice.select("whole.unit", "whole.blocks", "ends")
+    done = lattice.select("unit", "blocks", _best_ways(F.transform("ends", lambda e: e["edges"]), longest).alias("done"))
     way = _way_back(F.col("done"), F.length("unit"))
-    return done.select("unit", F.array_join(F.transform(
-        way, lambda s: F.when(s["id"] < 0, F.concat(F.lit("-"), s["start"].cast("string"))).otherwise(s["id"].cast("string"))
+    return done.select("unit", "blocks", F.array_join(F.transform(
+        way, lambda s: F.when(s["id"] < 0, F.concat(F.lit("-"), s["start"].cast("string"))).otherwise(F.conv(s["id"].cast("string"), 10, 36))
     ), " ").alias("ids"))
 
 
 def _ids_of(unit: str, joined: str, byte_ids: tuple[int, ...]) -> bytes:
     """32-bit ids of a unit; unknown characters become the ids of their bytes."""
-    if "-" not in joined:
-        return np.array(joined.split(), np.int32).tobytes()
     out: list[int] = []
     for part in joined.split():
-        out.extend([byte_ids[b] for b in unit[int(part[1:])].encode()] if part[0] == "-" else [int(part)])
-    return np.array(out, np.int32).tobytes()
+        if part[0] == "-":
+            out += [byte_ids[b] for b in unit[int(part[1:])].encode()]
+        else:
+            out.append(int(part, 36))
+    return array("i", out).tobytes()
 
 
 def encode(
@@ -182,7 +198,7 @@ def encode(
     numbered = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             order = np.argsort(batch.column("block").to_numpy(), kind="stable")
             sorted_rows = pa.Table.from_batches([batch]).take(pa.array(order)).combine_chunks()
@@ -199,34 +215,42 @@ def encode(
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(part)).read_all()
 
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, set[str]] = {}
-        pattern = regex.compile(cut)
-        for batch in batches:
-            for number, part in zip(batch.column("block").to_pylist(), batch.column("part"), strict=True):
-                mine = found.setdefault(number, set())
-                for text in rows_of(part.as_py()).column("text"):
-                    mine.update(pattern.findall(escaped(text.as_py())))
-        for number, mine in found.items():
-            listed = list(mine)
+        split = re.compile(cut).findall
+
+        def told(number: int, found: set[str]) -> Iterator[pa.RecordBatch]:
+            listed = list(found)
             for at in range(0, len(listed), 50_000):
                 some = listed[at:at + 50_000]
                 yield pa.record_batch({"block": pa.array([number] * len(some), pa.int32()), "unit": pa.array(some, pa.string())})
 
+        current, found = None, set()
+        for batch in batches:  # in order of blocks, so that one block's units are held at a time
+            for number, part in zip(batch.column("block").to_pylist(), batch.column("part"), strict=True):
+                if number != current:
+                    yield from told(current, found)
+                    current, found = number, set()
+                for text in rows_of(part.as_py()).column("text"):
+                    found.update(split(escaped(text.as_py())))
+        yield from told(current, found)
+
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {u: _ids_of(u, i, byte_ids) for u, i in zip(right.column("unit").to_pylist(), right.column("ids").to_pylist(), strict=True)}
-        pattern = regex.compile(cut)
+        split = re.compile(cut).findall
         names, lists = [], []
         for part in left.column("part"):
             rows = rows_of(part.as_py())
             names.append(rows.column("id").combine_chunks())
-            encoded = [b"".join(map(found.__getitem__, pattern.findall(escaped(t.as_py())))) for t in rows.column("text")]
+            encoded = [b"".join(map(found.__getitem__, split(escaped(t.as_py())))) for t in rows.column("text")]
             offsets = np.cumsum([0] + [len(e) // 4 for e in encoded]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32))))
         return pa.table({"id": pa.chunked_array(names), "ids": pa.chunked_array(lists)})
 
     dealt = numbered.mapInArrow(parts, "block int, part binary").repartition(blocks, "block")
-    pairs = dealt.mapInArrow(distinct_units, "block int, unit string")
-    coded = pairs.join(encode_units(pairs.select("unit").distinct(), vocabulary), "unit").select("block", "unit", "ids")
+    pairs = dealt.sortWithinPartitions("block").mapInArrow(distinct_units, "block int, unit string")
+    # One row per unit, and one more for every so many blocks that hold it, so that no row grows with the table.
+    band = F.floor(F.col("block") / BAND)
+    units = pairs.groupBy("unit", band.alias("band")).agg(F.collect_list("block").alias("blocks"))
+    coded = encode_units(units, vocabulary).select("unit", "ids", F.explode("blocks").alias("block"))
     whole = dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids array<int>")
     return whole.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_ids"))
 
