@@ -11,6 +11,8 @@ from corollary.operators.sampling import SamplingConfig
 from corollary.plans import flows, rules
 from corollary.plans.data import (
     CONCEPTS,
+    K_LARGE,
+    K_SMALL,
     MODEL_SQL,
     WORDS,
     centroid_model,
@@ -19,6 +21,7 @@ from corollary.plans.data import (
     quality,
     sql_annotations,
     sql_pairs,
+    sql_position,
     sql_words,
     table,
     texts,
@@ -138,6 +141,37 @@ def g1_explore(spark, sf):
     )
 
 
+TWO_MODELS_SQL = MODEL_SQL.replace(
+    "act AS (SELECT * FROM act_small)",
+    "act AS (SELECT * FROM act_small UNION ALL SELECT row_id, neuron_idx + 10, activation FROM act_large)",
+).replace(
+    "neurons AS (SELECT DISTINCT neuron_idx FROM enc_small)",
+    "neurons AS (SELECT DISTINCT neuron_idx FROM enc_small UNION ALL SELECT DISTINCT neuron_idx + 10 FROM enc_large)",
+)
+N_RANDOM = 8
+
+
+@query(
+    "g1_two_models",
+    f"""WITH {TWO_MODELS_SQL}, {ACT_DOCS}, {top_zero_sql(N_SHOWN // 2, None, SEED)}, {NAMED_SQL},
+    chosen AS (SELECT neuron_idx FROM neurons ORDER BY {sql_position(f"'neurons:{SEED}:' || neuron_idx")}, neuron_idx LIMIT {N_RANDOM})
+    SELECT neuron_idx, CASE WHEN neuron_idx < 10 THEN 10 ELSE 20 END AS source_m,
+      CASE WHEN neuron_idx < 10 THEN {K_SMALL} ELSE {K_LARGE} END AS source_k, interpretation
+    FROM chosen LEFT JOIN named USING (neuron_idx)""",
+)
+def g1_two_models(spark, sf):
+    """Random features of two models side by side, named from whole texts."""
+    docs = documents_with_vectors(spark, sf)
+    models = [centroid_model(spark, sf), centroid_model(spark, sf, "large")]
+    found = flows.interpret_sae(
+        docs.select("row_id", "text"), docs.select("row_id", "embedding"), models, rules.name_by_word,
+        n_random_neurons=N_RANDOM, n_examples_for_interpretation=N_SHOWN, max_words_per_example=None, print_examples_n=0, seed=SEED,
+    )
+    return found.select(
+        "neuron_idx", F.col("source_sae.m").alias("source_m"), F.col("source_sae.k").alias("source_k"), "interpretation"
+    )
+
+
 N_CHOSEN, N_SCORED = 5, 20
 LABELLED_SQL = f"""
 {MODEL_SQL.replace("targets AS (SELECT vec_id AS row_id, label::DOUBLE AS y FROM embeddings)",
