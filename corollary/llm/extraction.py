@@ -42,7 +42,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)",  # quotes that don't match
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -98,7 +99,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     for token in TOKEN.finditer(html):
         add(html[at:token.start()])
         at = token.end()
-        closing, name = token.group(2), token.group(3)
+        closing, name, attributes = token.group(2, 3, 4) if token.group(3) else token.group(5, 6, 7)
         if name is None:  # a comment, a declaration, or an element of raw text
             continue
         name = name.lower()
@@ -119,7 +120,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                     skipped.clear()
             elif name in MAIN and not inside:  # what was left open before the article ends with it
                 skipped.clear()
-            elif not token.group(4).endswith("/"):
+            elif not attributes.endswith("/"):
                 skipped.append(name)
             if skipped or (closing and name not in MAIN):
                 continue
@@ -132,9 +133,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             elif name in MAIN:
                 inside = max(0, inside - 1)
             continue
-        if token.group(4).endswith("/"):
+        if attributes.endswith("/"):
             continue
-        if _marked(name, token.group(4), inside > 0):
+        if _marked(name, attributes, inside > 0):
             end_line()
             skipped.append(name)
         elif name == "a":
