@@ -105,6 +105,17 @@ def _may_match(n: Column, i: Column, m: Column, j: Column, threshold: int) -> Co
     return sizes & (F.least(n - i, m - j) >= _ceil((n + m) * threshold, 100 + threshold))
 
 
+def _enough_shared(threshold: int) -> Column:
+    """Whether ``token`` is the first that the prefixes of two lines share, and they share as many as similar lines do.
+
+    Of the needed common tokens, a line's places after its prefix can hold all but so many.
+    """
+    shared = F.array_intersect("prefix", "x_prefix")
+    after = lambda n: n - (n - _ceil(n * threshold, 100) + 1)
+    needed = _ceil((F.col("n") + F.col("x_n")) * threshold, 100 + threshold)
+    return (F.array_min(shared) == F.col("token")) & (F.size(shared) >= needed - F.greatest(after(F.col("n")), after(F.col("x_n"))))
+
+
 def _similar(a: str, b: str, threshold: int) -> Column:
     """Whether two arrays of distinct tokens have a Jaccard similarity of ``threshold`` percent or more."""
     shared = F.size(F.array_intersect(a, b))
@@ -159,15 +170,23 @@ def matched_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, s
     led = met.where(leader["h1"] != F.col("h1")).where(_may_match(F.col("n"), place, leader["n"], leader["i"], threshold))
     settled = _written(verified(led.select("h1", leader["h1"].alias("x")).distinct()))
 
-    wide = F.get(_literal(slots), F.shiftright("token", LOW).cast("int"))
-    rest = met.join(settled.select("h1").distinct(), "h1", "left_anti")
-    asks = rest.select("h1", "at", "n", "i", "token", "leader", F.explode(F.sequence(F.lit(0), wide - 1)).alias("slot"))
-    others = met.select(
-        "token", "slot", F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), F.col("i").alias("x_i")
+    # One row per line, with all the prefix tokens it shares: two lines are paired at the first that they have in common.
+    listed = met.groupBy("h1").agg(
+        F.first("at").alias("at"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("token", "slot", "i", "leader"))).alias("rows")
+    ).withColumn("prefix", F.col("rows.token"))
+    wide = F.get(_literal(slots), F.shiftright("r.token", LOW).cast("int"))
+    rest = listed.join(settled.select("h1").distinct(), "h1", "left_anti").select("h1", "at", "n", "prefix", F.explode("rows").alias("r"))
+    asks = rest.select(
+        "h1", "at", "n", "prefix", "r.token", "r.i", F.col("r.leader.h1").alias("leader"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("slot")
+    )
+    others = listed.select("h1", "at", "n", "prefix", F.explode("rows").alias("r")).select(
+        "r.token", "r.slot", F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), F.col("r.i").alias("x_i"),
+        F.col("prefix").alias("x_prefix"),
     )
     pairs = asks.join(others, ["token", "slot"]).where(
-        (F.col("x_at") < F.col("at")) & (F.col("x") != leader["h1"])
-        & _may_match(F.col("n"), place, F.col("x_n"), F.col("x_i"), threshold)
+        (F.col("x_at") < F.col("at")) & (F.col("x") != F.col("leader"))
+        & _may_match(F.col("n"), F.col("i"), F.col("x_n"), F.col("x_i"), threshold)
+        & _enough_shared(threshold)
     )
     more = verified(pairs.select("h1", "x").distinct())
     return _written(settled.unionAll(more))
