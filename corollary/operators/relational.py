@@ -11,6 +11,8 @@ from corollary.functions import templates, text
 from corollary.operators import ranking
 from corollary.session import collect_dimension
 
+#: Copies of a concept table that is too large to broadcast.
+SALTS = 64
 #: Concepts held as a literal array; larger sets are joined block by block.
 INLINE_ITEMS = 1_000
 INLINE_CHARS = 1_000_000
