@@ -134,7 +134,7 @@ def _way_back(done: Column, n: Column) -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit``, ``ids``, ``blocks`` of distinct units with the blocks they are sent to.
+    """``unit``, ``ids``, ``blocks`` of distinct units (with their hashes ``h1``, ``h2`` and ``band``) and the blocks they are sent to.
 
     Ids are base 36, space-joined; an unknown character is ``-`` and its place. The piece table is broadcast: its size is
     the vocabulary's. Rows are grouped where they are, by unit; its blocks go along with the row of its first character.
@@ -144,9 +144,7 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     # From each place the characters that an edge may take; rows carry two hashes of the unit, and itself only once.
     characters = F.regexp_extract_all("unit", F.lit("(?s)."), F.lit(0))
     windows = F.transform(F.col("chars"), lambda c, i: F.array_join(F.slice(F.col("chars"), i + 1, longest), ""))
-    starts = units.select(
-        F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"), "band", "unit", "blocks", characters.alias("chars")
-    ).select(*keys, F.struct("unit", "blocks").alias("whole"), F.posexplode(windows).alias("start", "window"))
+    starts = units.select(*keys, "unit", "blocks", characters.alias("chars")).select(*keys, F.struct("unit", "blocks").alias("whole"), F.posexplode(windows).alias("start", "window"))
     first = F.when(F.col("start") == 0, F.col("whole"))
     spans = starts.select(
         *keys, first.alias("whole"), "start", "window", F.explode(F.sequence(F.lit(1), F.length("window"))).alias("size")
@@ -249,7 +247,9 @@ def encode(
     pairs = dealt.sortWithinPartitions("block").mapInArrow(distinct_units, "block int, unit string")
     # One row per unit, and one more for every so many blocks that hold it, so that no row grows with the table.
     band = F.floor(F.col("block") / BAND)
-    units = pairs.groupBy("unit", band.alias("band")).agg(F.collect_list("block").alias("blocks"))
+    units = pairs.select("block", "unit", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"), band.alias("band")).groupBy(
+        "h1", "h2", "band"  # the keys of all that follows, so that a unit's rows stay where they are
+    ).agg(F.first("unit").alias("unit"), F.collect_list("block").alias("blocks"))
     coded = encode_units(units, vocabulary).select("unit", "ids", F.explode("blocks").alias("block"))
     whole = dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids array<int>")
     return whole.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_ids"))
