@@ -188,8 +188,13 @@ def matched_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, s
         & _may_match(F.col("n"), F.col("i"), F.col("x_n"), F.col("x_i"), threshold)
         & _enough_shared(threshold)
     )
-    more = verified(pairs.select("h1", "x").distinct())
-    return _written(settled.unionAll(more))
+    pairs = _written(pairs.select("h1", "x", F.size(F.array_intersect("prefix", "x_prefix")).alias("shared")))
+    # One match is enough: the likeliest is compared first, and only lines that it doesn't settle with all the others.
+    likeliest = pairs.groupBy("h1").agg(F.max(F.struct("shared", "x")).alias("best")).select("h1", F.col("best.x").alias("x"))
+    soon = _written(verified(likeliest))
+    late = pairs.join(soon.select("h1").distinct(), "h1", "left_anti").join(likeliest, ["h1", "x"], "left_anti")
+    more = verified(late.select("h1", "x").distinct())
+    return _written(settled.unionAll(soon).unionAll(more))
 
 
 def removed_lines(
