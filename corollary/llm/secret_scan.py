@@ -1,7 +1,7 @@
 """Secrets in texts: known patterns, and tokens that pass a battery of randomness tests under false-discovery control.
 
-All of it is DataFrame expressions. A candidate is a run of encoding characters. Under the hypothesis that it is random in
-its inferred encoding, three statistics are standard normal, about: chi-squared of its characters against a uniform
+All of it is DataFrame expressions. Candidates are the longest stretches of each encoding's characters, so a token is tested
+also where a name, an equals sign or characters of another encoding touch it. Under the hypothesis that one is random in its encoding, three statistics are standard normal, about: chi-squared of its characters against a uniform
 alphabet, the number of runs above and below the middle of the alphabet, and the serial correlation of neighbours. Their
 smallest p-value, corrected for three tests, is uniform for random tokens and near zero for language. Candidates are
 grouped by encoding and length, as short tokens say little; in each group the share of random tokens is
@@ -21,8 +21,10 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LENGTH = 6
 KINDS = ("assign", "access", "hex", "random")
 
-#: A candidate token, its alphabets (sizes are even; the first that holds all characters is inferred) and shortest lengths.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Equals signs are part of a token only where they end it.
+PADDING = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: A run that may hold tokens, their alphabets (sizes are even; of several that hold the same stretch the first counts) and shortest lengths.
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{16,}}{PADDING}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     ("hex", DIGITS + "abcdef", 16), ("hexupper", DIGITS + "ABCDEF", 16), ("base32", UPPER + "234567", 20), ("base36", DIGITS + LOWER, 20),
@@ -118,25 +120,48 @@ def battery(token: Column, alphabet: Column) -> Column:
         )))))
 
 
+def _mixed(value: Column) -> Column:
+    """Whether a token has digits and letters."""
+    return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
+
+
+def _stretches(run: Column) -> Column:
+    """Longest stretches of each alphabet in a run, with digits and letters, as structs (at, to, encoding); ``at`` counts from 0.
+
+    A stretch of one alphabet may lie in a longer one of another; where they are the same, it is of the first.
+    """
+    def places(alphabet: str, least: int) -> Column:
+        pattern = f"[{alphabet.replace('-_', '_-')}]{{{least},}}{PADDING}"
+        found = F.transform(
+            F.filter(_matches(run, pattern), lambda m: _mixed(m["value"])),
+            lambda m: F.shiftleft(m["start"].cast("long"), 32) + m["start"] + F.length(m["value"]),  # one number: compared by hash
+        )
+        return F.when(F.rlike(run, F.lit(pattern)), found).otherwise(F.array().cast("array<bigint>"))
+
+    def first(held: Column) -> Column:
+        own = [held["e0"]] + [
+            F.array_except(held[f"e{k}"], F.concat(*(held[f"e{j}"] for j in range(k)))) for k in range(1, len(ENCODINGS))
+        ]
+        return F.concat(*(F.transform(keys, unpacked(k)) for k, keys in enumerate(own)))
+
+    def unpacked(k: int):
+        return lambda x: F.struct(
+            F.shiftright(x, 32).cast("int").alias("at"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("to"), F.lit(k).alias("encoding")
+        )
+
+    return _let(F.struct(*(places(alphabet, least).alias(f"e{k}") for k, (_, alphabet, least) in enumerate(ENCODINGS))), first)
+
+
 def candidates(text: Column) -> Column:
-    """Candidate tokens as structs (start, end, encoding, p): long enough for their encoding, with digits and letters."""
+    """Candidate tokens as structs (start, end, encoding, p): every stretch that is long enough for its encoding, with digits and letters."""
     none = F.array().cast("array<struct<start:int,end:int,encoding:int,p:double>>")
     alphabets = F.array(*(F.lit(alphabet) for _, alphabet, _ in ENCODINGS))
-
-    def inferred(value: Column) -> Column:
-        encoding = F.lit(None).cast("int")
-        for k, (_, alphabet, least) in reversed(list(enumerate(ENCODINGS))):
-            encoding = F.when(F.rlike(value, F.lit(f"^[{alphabet.replace('-_', '_-')}]{{{least},}}=*$")), F.lit(k)).otherwise(encoding)
-        return encoding
-
-    mixed = lambda v: F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[A-Za-z]"))
-    guessed = F.transform(
-        F.filter(_matches(text, CANDIDATE), lambda m: mixed(m["value"])),
-        lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), inferred(m["value"]).alias("encoding")),
-    )
-    tested = F.transform(F.filter(guessed, lambda c: c["encoding"].isNotNull()), lambda c: F.struct(
-        c["start"].alias("start"), (c["start"] + F.length(c["value"])).alias("end"), c["encoding"].alias("encoding"),
-        battery(c["value"], F.element_at(alphabets, c["encoding"] + 1)).alias("p"),
+    tested = F.flatten(F.transform(
+        F.filter(_matches(text, CANDIDATE), lambda m: _mixed(m["value"])),
+        lambda m: F.transform(_stretches(m["value"]), lambda c: F.struct(
+            (m["start"] + c["at"]).alias("start"), (m["start"] + c["to"]).alias("end"), c["encoding"].alias("encoding"),
+            battery(F.substring(m["value"], c["at"] + 1, c["to"] - c["at"]), F.element_at(alphabets, c["encoding"] + 1)).alias("p"),
+        )),
     ))
     return F.when(F.rlike(text, F.lit(CANDIDATE)), tested).otherwise(none)
 

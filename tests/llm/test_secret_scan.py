@@ -79,3 +79,38 @@ def test_redaction(odd):
     texts = {r["doc_id"]: r["text"] for r in done.collect()}
     assert texts[15] == 'my [SECRET]" ok' and texts[16] == "[SECRET]" and texts[3] is None
     assert texts[17] == "password=abc [SECRET]"
+
+
+def stretches(text):
+    """Longest stretches of each alphabet, with digits and letters, the first alphabet of equal ones."""
+    found = {}
+    for k, (_, alphabet, least) in enumerate(secret_scan.ENCODINGS):
+        for m in re.finditer(f"[{re.escape(alphabet)}]+", text):
+            if len(m.group()) >= least and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()):
+                padding = re.match(r"=*", text[m.end():]).group()
+                after = text[m.end() + len(padding):][:1]
+                end = m.end() + (0 if re.match(r"[A-Za-z0-9+/_-]", after) else len(padding))
+                found.setdefault((m.start(), end), k)
+    return sorted((a, b, k) for (a, b), k in found.items())
+
+
+def test_every_stretch_is_tested(spark):
+    rng = random.Random(5)
+    token = lambda n, encode=base64.b64encode: encode(rng.randbytes(n)).decode()
+    texts = [
+        f"AWS_SECRET_ACCESS_KEY=w1J{token(28)}", f"client_key=q8Z{token(30)} ü", f"https://a.b/c?sig=Z9k{token(27, base64.urlsafe_b64encode)}&x=1",
+        f"ü see path_to-file/q8Zr2LmX{token(24)} now", f"key_{rng.randbytes(16).hex()}/some+thing", f"a={token(31)}==b", f"{token(31)}",
+        "_".join(token(21) for _ in range(9)), "A" * 400 + "=" + token(24) + "=", "x=y", "=" * 40, "0f" * 20 + "=" * 3, "",
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in frame.select("text", secret_scan.candidates(F.col("text")).alias("c")).collect():
+        assert sorted((c["start"], c["end"], c["encoding"]) for c in row["c"]) == stretches(row["text"]), row["text"]
+
+
+def test_secret_after_its_name(spark):
+    rng = random.Random(6)
+    tokens = [f"q8Z{base64.b64encode(rng.randbytes(30)).decode()}" for _ in range(60)]
+    names = ("AWS_SECRET_ACCESS_KEY=", "client_key=", "https://a.b/c?sig=", "path_to-file/")
+    frame = spark.createDataFrame([(t, f"set {names[i % 4]}{t} now") for i, t in enumerate(tokens)], "token string, text string")
+    left = secret_scan.redact_secrets(frame).toPandas()
+    assert sum(t in text for t, text in zip(left.token, left.text, strict=True)) <= 3
