@@ -4,9 +4,9 @@ All of it is DataFrame expressions. Candidates are the longest stretches of each
 also where a name, an equals sign or characters of another encoding touch it. Under the hypothesis that one is random in its encoding, three statistics are standard normal, about: chi-squared of its characters against a uniform
 alphabet, the number of runs above and below the middle of the alphabet, and the serial correlation of neighbours. Their
 smallest p-value, corrected for three tests, is uniform for random tokens and near zero for language. Candidates are
-grouped by encoding and length, as short tokens say little; in each group the share of random tokens is
-estimated from the p-values above one half, and the smallest cut is taken at which the expected share of other tokens
-among those reported stays within a bound.
+grouped by encoding and length, as short tokens say little; in each group the number of random tokens is bounded from
+above by the p-values above one half, and the smallest cut is taken at which the share of other tokens among those
+reported isn't shown to exceed a bound. So a token whose group says nothing about it, as it has few others, is reported.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ ENCODINGS = (
 )
 #: Below ALPHA a token is not random; BINS divides the range of p-values; LENGTH_STEP and LENGTHS make length groups.
 ALPHA, BINS, FALSE_SHARE, LENGTH_STEP, LENGTHS = 0.001, 50, 0.05, 16, 8
+#: Standard deviations that the number of random tokens may lie above its estimate.
+DOUBT = 2.0
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -172,13 +174,18 @@ def _group(c: Column) -> Column:
 
 
 def cuts_of(histogram: list[tuple[int, int, int]], false_share: float = FALSE_SHARE) -> dict[int, float]:
-    """Cut per group: candidates with p at or above it are reported. ``histogram``: (group, bin of p, candidates)."""
+    """Cut per group: candidates with p at or above it are reported. ``histogram``: (group, bin of p, candidates).
+
+    The upper half of the range holds half of the random ones. That count varies, so a cut is only raised where the others
+    exceed their share with as many random ones as there may be; without any in the upper half, these are still six.
+    """
     groups: dict[int, list[int]] = {}
     for group, b, n in histogram:
         groups.setdefault(group, [0] * BINS)[b] += n
     cuts = {}
     for group, bins in groups.items():
-        random = 2.0 * sum(bins[BINS // 2:])  # the upper half of the range holds half of the random ones
+        upper = 1 + sum(bins[BINS // 2:])
+        random = 2 * (upper + DOUBT * upper**0.5)
         for b in range(BINS // 2 + 1):
             reported = sum(bins[b:])
             if reported == 0 or 1 - random * (1 - b / BINS) / reported <= false_share:
@@ -188,9 +195,9 @@ def cuts_of(histogram: list[tuple[int, int, int]], false_share: float = FALSE_SH
 
 
 def length_cuts(docs: DataFrame, text_col: str = "text", false_share: float = FALSE_SHARE) -> dict[int, float]:
-    """Cuts from the candidates of all texts. The driver sees counts per group and bin: at most 6 x 8 x 50 rows."""
+    """Cuts from the candidates of all texts that may be reported. The driver sees counts per group and bin: at most 6 x 8 x 50 rows."""
     every = docs.select(F.explode(candidates(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
-    counted = every.groupBy(
+    counted = every.where(F.col("c.p") >= ALPHA).groupBy(
         _group(F.col("c")).alias("g"), F.least((F.col("c.p") * BINS).cast("int"), F.lit(BINS - 1)).alias("b")
     ).count().collect()
     return cuts_of([(r["g"], r["b"], r["count"]) for r in counted], false_share)

@@ -114,3 +114,24 @@ def test_secret_after_its_name(spark):
     frame = spark.createDataFrame([(t, f"set {names[i % 4]}{t} now") for i, t in enumerate(tokens)], "token string, text string")
     left = secret_scan.redact_secrets(frame).toPandas()
     assert sum(t in text for t, text in zip(left.token, left.text, strict=True)) <= 3
+
+
+def test_few_random_tokens_among_many_others():
+    rng = random.Random(8)
+    for n, rounds in ((1, 2000), (5, 500), (30, 200), (100, 100), (1000, 20)):
+        found = 0
+        for _ in range(rounds):
+            at = [rng.random() for _ in range(n)]
+            cut = secret_scan.cuts_of([(0, 0, 1000), *((0, int(p * secret_scan.BINS), 1) for p in at)])[0]
+            found += sum(p >= cut for p in at)
+        assert found / (n * rounds) > 0.96, n
+    others = [(0, b, 400 >> b) for b in range(9)]  # without any random ones, most of the others are still not reported
+    cut = secret_scan.cuts_of(others)[0]
+    assert sum(n for _, b, n in others if b / secret_scan.BINS >= cut) <= 6
+
+
+def test_lone_token_above_alpha(spark):
+    frame = spark.createDataFrame([(f"documentation-page-{i}-of-the-manual",) for i in range(300)] + [("now WxDw2o8NEE2LY9BrEK3agV7V",)], "text string")
+    frame = frame.withColumn("p", F.array_max(F.transform(secret_scan.candidates(F.col("text")), lambda c: c["p"])))
+    got = secret_scan.with_spans(frame).where(F.size("__spans") > 0).collect()
+    assert [r["text"][:3] for r in got] == ["now"] and got[0]["p"] < 0.5
