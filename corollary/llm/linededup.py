@@ -68,11 +68,21 @@ def tokens(line: Column | str, shingle: int = SHINGLE) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(words(line)), runs)))
 
 
+def text_key(text_col: str) -> Column:
+    """What tells documents apart that share an id, or have none: a hash of the text."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with a word: ``at`` (missing, id, line number), by which they are ordered, 128-bit key ``h1``, ``h2``, ``line``."""
-    split = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("__no", "line"))
+    """Lines with a word: ``at`` (missing, id, text key, line number), by which they are ordered, 128-bit key ``h1``, ``h2``, ``line``."""
+    keyed = docs.select(  # before the lines, so that each text is hashed once
+        F.col(f"`{id_col}`").alias("__id"), text_key(text_col).alias("__key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")
+    )
+    split = keyed.select("__id", "__key", F.posexplode(F.split("__text", "\n")).alias("__no", "line"))
     return split.where(F.rlike("line", F.lit(WORD))).select(
-        F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__no").alias("no")).alias("at"),
+        F.struct(
+            F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__no").alias("no")
+        ).alias("at"),
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line",
     )
 
@@ -200,14 +210,14 @@ def matched_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, s
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE,
 ) -> DataFrame:
-    """``__id``, ``__removed``: per id, the numbers (from 0) of the lines that go, where any does."""
+    """``__id``, ``__key``, ``__removed``: per id and text, the numbers (from 0) of the lines that go, where any does."""
     lines = lines_of(docs, id_col, text_col)
     matched = matched_lines(docs, id_col, text_col, threshold, shingle).withColumn("near", F.lit(True))
     copies = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"))
     told = copies.join(matched, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near")
     told = small_side(_written(told))
     gone = lines.select("at", "h1", "h2").join(told, ["h1", "h2"]).where(F.col("near") | (F.col("at") > F.col("first")))
-    return gone.groupBy(F.col("at.id").alias("__id")).agg(F.collect_set("at.no").alias("__removed"))
+    return gone.groupBy(F.col("at.id").alias("__id"), F.col("at.key").alias("__key")).agg(F.collect_set("at.no").alias("__removed"))
 
 
 def with_unique_lines(
@@ -215,12 +225,12 @@ def with_unique_lines(
 ) -> DataFrame:
     """``docs`` with lines removed from ``text_col``, and a struct ``__lines`` of ``n_lines`` and ``n_removed``.
 
-    Lines are what ``\\n`` divides a text into, ordered by id (nulls last) and number; those with a word take part. A line
+    Lines are what ``\\n`` divides a text into, ordered by id (nulls last), text (by its hash) and number; those with a word take part. A line
     goes if an earlier one has a token set of a Jaccard similarity of ``threshold`` percent or more, whether that one goes itself
     or not. What is left is joined by ``\\n``; a document from which all goes keeps its row, with its lines without words or an
-    empty text. A null text stays null and has no line. Rows that repeat an id are one document: the lines of a number don't
-    remove each other there, and what goes goes from every such row. Other columns are carried along, an empty table gives an
-    empty result.
+    empty text. A null text stays null and has no line. Rows of one id, or of none, with different texts are documents of their own;
+    rows equal in both are one: their lines don't remove each other, and what goes goes from every such row. Other columns are
+    carried along, an empty table gives an empty result.
 
     Equal lines are one row from the first aggregate on. Tokens that many lines share are dealt to slots, by the rarity
     counts. Distinct lines' prefixes are shuffled, and the tokens of lines that share one; texts are only where more documents
@@ -228,7 +238,8 @@ def with_unique_lines(
     """
     gone = removed_lines(docs, id_col, text_col, threshold, shingle)
     gone = small_side(_written(gone), 500_000)
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
+    joined = docs.join(gone, same, "left").drop("__id", "__key")
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("__removed"), i))

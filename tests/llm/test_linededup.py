@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corollary.llm import linededup
 
@@ -76,3 +77,25 @@ def test_odd_rows(spark, odd, empty):
     texts = {r["doc_id"]: r["text"] for r in done.collect() if r["doc_id"] is not None}
     assert texts[1] == "" and texts[3] is None and texts[11] == "line" and texts[5] == " \n\t "
     assert linededup.remove_similar_lines(empty).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rows = near_lines(4, families=3, variants=20)
+    rows = [(None if i % 3 == 0 else i % 4, text) for i, text in rows]
+    rows += [(None, "a line that both of them begin with\nthe first has this one to itself"), (7, None), (None, None), (7, "")]
+    rows += [(None, "a line that both of them begin with\nbut that other one is of the second"), *rows[:2]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).distinct().collect()
+    # Documents by id, nulls last, then key; brute force numbers them, and so holds them apart.
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["key"]))
+    gone = brute([(i, r["text"]) for i, r in enumerate(order)], 80, 5)
+    want = {}
+    for i, r in enumerate(order):
+        left = None if r["text"] is None else "\n".join(line for k, line in enumerate(r["text"].split("\n")) if k not in gone.get(i, ()))
+        want[r["doc_id"], r["text"]] = left
+    got = linededup.remove_similar_lines(frame.withColumn("before", F.col("text"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == want[r["doc_id"], r["before"]]
+    begun = [r["text"] for r in got if r["doc_id"] is None and (r["before"] or "").startswith("a line that both")]
+    assert sorted(len(t.split("\n")) for t in begun) == [1, 2]
