@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -37,48 +38,95 @@ MARKS = set(
 #: Such words that may also be part of an article.
 OUTSIDE_MARKS = {"header", "topbar", "copyright", "legal", "tags", "meta"}
 MAIN = {"article", "main"}
+#: First and last words of class names that say how an element or its page is laid out, not what it is.
+STATES = set("has no not with without is".split()), set("open closed enabled disabled on off".split())
+
+#: Raw elements that only their end tag ends, those of other languages, which a block ends too, and the rest, which a block
+#: ends where no end tag follows before the next of their kind. Blocks that may lie in them don't end them.
+HARD, FOREIGN = set("script style xmp plaintext".split()), {"svg", "math"}
+BREAK = rf"/?(?:{'|'.join(sorted(BLOCKS - {'title', 'option', 'optgroup'}, key=len, reverse=True))})[\s/>]"
+ATTRIBUTES = r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(?:{'|'.join(RAW)}){ATTRIBUTES}(?<=/>)"
+    rf"|<(?P<hard>{'|'.join(HARD)}){ATTRIBUTES}.*?(?:</(?P=hard)\s*>|\Z)"
+    rf"|<(?P<foreign>{'|'.join(FOREIGN)}){ATTRIBUTES}(?:[^<]++|<(?!/(?P=foreign)\s*>|{BREAK}))*+(?:</(?P=foreign)\s*>)?"
+    rf"|<(?P<soft>{'|'.join(r for r in RAW if r not in HARD | FOREIGN)}){ATTRIBUTES}"
+    rf"(?:(?:[^<]++|<(?!/?(?P=soft)[\s/>]))*+</(?P=soft)\s*>|(?:[^<]++|<(?!(?P=soft)[\s/>]|{BREAK}))*+)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)",  # quotes that don't match
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^<>]*)(?:>|\Z)",  # quotes that don't match
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is known not to hold main text; ``inside``: of an article."""
+#: How sure an element's mark is: a word of a longer class name tells less than a whole one.
+UNMARKED, WEAK, SURE = 0, 1, 2
+
+
+def _words_mark(value: str, inside: bool) -> int:
+    """Mark of a class or id by its names and their words."""
+    mark = UNMARKED
+    for name in value.split():
+        parts = [p.lower() for p in PART.findall(name)]
+        if not parts or (len(parts) > 1 and (parts[0] in STATES[0] or parts[-1] in STATES[1])):
+            continue
+        if any(p in MARKS or (not inside and p in OUTSIDE_MARKS) for p in parts):
+            if len(parts) == 1:
+                return SURE
+            mark = WEAK
+    return mark
+
+
+def _marked(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element is known, or by its class or id thought, not to hold main text; ``inside``: of an article."""
     if name in ASIDE or (name == "header" and not inside):
-        return True
+        return SURE
     if not attributes or attributes == "/" or name in ("html", "body", "article", "main"):
-        return False
+        return UNMARKED
+    mark = UNMARKED
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            parts = {p.lower() for p in PART.findall(value)}
-            if parts & MARKS or (not inside and parts & OUTSIDE_MARKS):
-                return True
+            mark = max(mark, _words_mark(value, inside))
         elif key == "role" and value.lower() in ROLES:
-            return True
+            return SURE
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return SURE
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return SURE
+    return mark
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """Markup stripped: (text of a block, characters of it outside links, whether inside an article or main element)."""
+    """Markup stripped: (text of a block, characters of it outside links, whether inside an article or main element).
+
+    An element with a weak mark is left out unless it holds more than half of the plain text of the page. Where that leaves
+    no text, marks of class names don't count.
+    """
+    lines, weak, total = _parsed(html, {})
+    if weak:
+        lines, _, _ = _parsed(html, {start: end for start, end, plain in weak if 2 * plain <= total})
+    return lines or _parsed(html, {}, sure=False)[0]
+
+
+def _parsed(html: str, left_out: dict[int, int], sure: bool = True) -> tuple[list[tuple[str, int, bool]], list[tuple[int, int, int]], int]:
+    """Lines without the given stretches of the page, weakly marked elements as (start, end, plain characters), and all plain ones.
+
+    ``sure``: whether whole class names are marks.
+    """
     lines: list[tuple[str, int, bool]] = []
     words: list[str] = []
     plain = 0
     linked = inside = 0
     skipped: list[str] = []  # open elements since one that is left out, that one first
-    at = 0
+    at = until = total = 0
+    weak: list[tuple[int, int, int]] = []
+    opened: list[tuple[str, int, int]] = []  # name, start if weakly marked or else -1, plain characters before
+    names: Counter[str] = Counter()
 
     def end_line() -> None:
         nonlocal plain
@@ -89,17 +137,29 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         plain = 0
 
     def add(raw: str) -> None:
-        nonlocal plain
+        nonlocal plain, total
         if not skipped and raw:
             text = unescape(raw) if "&" in raw else raw
             words.append(text)
             if not linked:
-                plain += len(" ".join(text.split()))
+                n = len(" ".join(text.split()))
+                plain += n
+                total += n
+
+    def close(k: int, end: int) -> None:
+        """Ends the open elements from the ``k``-th on."""
+        for name, start, before in opened[k:]:
+            names[name] -= 1
+            if start >= 0:
+                weak.append((start, end, total - before))
+        del opened[k:]
 
     for token in TOKEN.finditer(html):
-        add(html[at:token.start()])
+        if token.start() < until:  # inside what is left out
+            continue
+        add(html[max(at, until):token.start()])
         at = token.end()
-        closing, name, attributes = token.group(2, 3, 4) if token.group(3) else token.group(5, 6, 7)
+        closing, name, attributes = token.group("end", "name", "rest") if token.group("name") else token.group("end2", "name2", "rest2")
         if name is None:  # a comment, a declaration, or an element of raw text
             continue
         name = name.lower()
@@ -128,6 +188,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             end_line()
             linked = 0
         if closing:
+            if names[name]:
+                k = next(k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name)
+                if (name in BLOCKS and name != "p") or not any(o[0] in BLOCKS for o in opened[k + 1:]):
+                    close(k, token.start())
             if name == "a":
                 linked = max(0, linked - 1)
             elif name in MAIN:
@@ -135,16 +199,32 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         if attributes.endswith("/"):
             continue
-        if _marked(name, attributes, inside > 0):
+        mark = _marked(name, attributes, inside > 0)
+        if mark == SURE and not sure:
+            mark = _marked(name, re.sub(r"(?i)\b(?:class|id)\s*=", "data-name=", attributes), inside > 0)
+        if mark == SURE:
             end_line()
             skipped.append(name)
-        elif name == "a":
+            continue
+        if mark == WEAK and token.start() in left_out:
+            end_line()
+            until = left_out[token.start()]
+            continue
+        if name in MAIN and not inside:  # what was left open before the article ends with it
+            for k, (other, start, before) in enumerate(opened):
+                if start >= 0:
+                    weak.append((start, token.start(), total - before))
+                    opened[k] = (other, -1, 0)
+        opened.append((name, token.start() if mark == WEAK else -1, total))
+        names[name] += 1
+        if name == "a":
             linked = 1
         elif name in MAIN:
             inside += 1
-    add(html[at:])
+    add(html[max(at, until):])
     end_line()
-    return lines
+    close(0, len(html))
+    return lines, weak, total
 
 
 def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -199,7 +279,8 @@ def extract_main_text(
     """Return the columns ``keep``, ``text`` and ``n_chars``, its code points, one row per page.
 
     Markup, scripts, comments, and elements known to hold menus, headers, footers, notices, adverts, forms or reader
-    comments are stripped, which leaves lines, one per block. The characters of ``window`` lines from each on are
+    comments are stripped, which leaves lines, one per block. A class or id marks an element by a whole name, or by a word of a longer
+    one where the element holds at most half of the page's plain text. The characters of ``window`` lines from each on are
     summed (text of links doesn't count; where a page has an article or main element, lines outside it don't either). Text between surge
     and dive points is kept; nothing is cut from it. A null page is an empty one, an empty page has an empty text.
     Equal pages get equal texts, repeated rows stay, an empty table gives an empty result, other columns are not read.

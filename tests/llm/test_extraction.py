@@ -37,3 +37,26 @@ def test_operator(spark):
     assert list(got.columns) == ["page_id", "url", "text", "n_chars"]
     assert sorted(got.n_chars) == [0, len(LONG), len(LONG), sum(len(f"{LONG} {i}") + 1 for i in range(5000)) - 1]
     assert extraction.extract_main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post-body comments-open", "site-content with-banner", "page-header-layout"])
+def test_a_word_of_a_class_does_not_take_the_page(name):
+    page = f"<body><div class='site-menu'>Home</div><div class='{name}'><h1>T</h1><p>{LONG}</p><p>End.</p><div class='top-share'>Share</div></div></body>"
+    assert extraction.main_text(page) == f"T\n{LONG}\nEnd."
+
+
+def test_a_page_of_marked_elements_only():
+    assert extraction.main_text(f"<div class=widget><p>{LONG}</p></div>") == LONG
+    assert extraction.main_text(f"<div hidden class=widget><p>{LONG}</p></div>") == ""
+    unclosed = f"<ul><li class='nav-item'>Home<li class='nav-item'>News</ul><p>{LONG}</p>"
+    assert extraction.main_text(unclosed) == LONG
+
+
+@pytest.mark.parametrize("raw", [
+    "<svg class='i'/>", "<svg><title>t</title><path d='M0'/>", "<svg><text>no</text></svg>", "<select><option>no", "<select name=a><option>no</option></select>",
+    "<object data=x>", "<video src='a.mp4'>", "<noscript>", "<iframe src='x'/>", "<script src='x'/>", "<canvas></canvas>", "<math><mi>x</mi></math>",
+])
+def test_raw_elements_end(raw):
+    page = f"<article><h1>A</h1>{raw}<p>Main text.</p>%s</article>"
+    assert extraction.main_text(page % "") == "A\nMain text."
+    assert extraction.main_text(page % f"{raw}<p>More.</p>") == "A\nMain text.\nMore."
