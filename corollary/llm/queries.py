@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corollary.llm import aliases, classifier, extraction, lattice, linededup, packing, quality, secret_scan, simhash, topk
+from corollary.llm import aliases, classifier, extraction, lattice, linededup, packing, quality, secret_scan, simhash, topk, turns
 from corollary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line matches, and how many lines each had and lost."""
     kept = linededup.with_unique_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "__lines.n_lines", "__lines.n_removed", "text")
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation, and a checksum of what it leaves."""
+    repaired = turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+    return turns.digests(repaired).withColumnRenamed("conv", "conv_id")
