@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corollary.llm import aliases, classifier, extraction, lattice, linededup, packing, quality, secret_scan, simhash, topk, turns
+from corollary.llm import (
+    aliases, alignment, classifier, extraction, lattice, linededup, neighbours, packing, quality, secret_scan, simhash, topk, turns,
+)
 from corollary.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +172,33 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation, and a checksum of what it leaves."""
     repaired = turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
     return turns.digests(repaired).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op12_nearest"] = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+#: The public tokenizer files of the registered alignment; any byte-level BPE and any piece BPE with byte fallback will do.
+ALIGNED = (os.environ.get("CORPUS_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json"), VOCABULARY)
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, alignment.Vocabularies.read(*ALIGNED), digest=True).withColumnRenamed("groups", "groups_sha256")
