@@ -1,18 +1,23 @@
-"""Training a top-K sparse autoencoder as a sequence of data-parallel Spark jobs.
-
-The vectors are packed once into cached blocks. A step is one job: every task computes
-the sums its rows contribute to the loss and to the gradient, the sums are added up in a
-tree, and the driver applies one Adam update to the weights, whose size depends on the
-model only. The loss is a sum of ratios whose parts all add over rows, so the result
-does not depend on how the rows are partitioned.
+"""Training a top-K sparse autoencoder as a sequence of Spark jobs.
+
+The vectors of an epoch are packed into blocks of each step's rows. The loss is a sum of
+ratios whose parts all add over rows, so the result does not depend on how the rows are
+partitioned. A step of many rows is one job: every task computes the sums its rows
+contribute to the loss and to the gradient, the sums are added up in a tree, and the driver
+applies one Adam update to the weights, whose size depends on the model only. Steps that are
+one task each can only follow one another, so a chunk of them is one job with one task,
+which takes the weights and hands them on. An epoch of several chunks is written to a folder
+each, and a job opens the folder of its own chunk only.
 """
 
 from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,7 @@ from corollary.operators.features import (
     top_k,
 )
 from corollary.operators.ranking import HASH_RANGE, hash_position
+from corollary.session import folder_exists, scratch_folder
 from corollary.sources import models
 
 #: Rows per step unless the caller says otherwise, whatever the number of rows.
@@ -37,12 +43,16 @@ STEP_ROWS = 512
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 32 << 20
 #: Bytes of partial sums the driver takes at once, and tasks added up by one task.
 COLLECT_BYTES, FAN_IN = 256 << 20, 32
+#: Steps that one task takes after one another, and bytes of their vectors at most.
+CHUNK_STEPS, CHUNK_BYTES = 64, 64 << 20
 #: Fewest rows of a step worth a task of their own, since every task sends a gradient.
 TASK_ROWS = 512
 #: Kinds of numbers in which tasks compute and send; sums are added in double precision.
 PRECISIONS = {"double": "<f8", "single": "<f4"}
 # Adam's usual constants and the guard of the gradient norm
 BETA_1, BETA_2, EPSILON, NORM_GUARD = 0.9, 0.999, 1e-8, 1e-6
+#: What training changes in a model.
+FITTED = ("enc", "dec", "neuron_bias", "input_bias", "steps_since_active")
 
 
 @dataclass
@@ -61,6 +71,8 @@ class TrainConfig:
     seed: int = 0
     partitions: int | None = None
     precision: str = "double"
+    #: Validation loss as the mean over batches of ``batch_size`` rows, each against its own spread, instead of over all rows at once.
+    batch_validation: bool = False
 
 
 # --- one task's share of a step ---------------------------------------------------------
@@ -143,20 +155,19 @@ def aux_sums(x: np.ndarray, model: FeatureModel, dead: np.ndarray, gradient: boo
 
 def pack(
     vectors: DataFrame, embedding: str, row_id: str, steps: int, seed: int, dim: int, epoch: int = 0,
-    partitions: int = 1, spread: int = 1,
+    partitions: int = 1, spread: int = 1, chunk_steps: int = 1,
 ) -> DataFrame:
     """``step, block``: single-precision blocks of each step's rows, in order of steps.
 
     A row's step follows from a hash of the epoch and its id, so every epoch draws its steps
-    anew. The rows of a step are brought together in ``spread`` of the partitions: a step is as
-    few tasks with work, and the others skip it by the bounds of their cached blocks.
+    anew. The rows of a chunk of steps are brought together in ``spread`` of the partitions.
     """
     step = (hash_position("train", seed, F.lit(epoch), F.col(row_id)) / F.lit(HASH_RANGE / steps)).cast("int")
     rows = vectors.select(
         F.least(step, F.lit(steps - 1)).alias("step"), F.col(embedding).alias("x"),
         F.pmod(F.xxhash64(row_id), F.lit(spread)).alias("slot"),
-    )
-    rows = rows.repartition(partitions, "step", "slot").sortWithinPartitions("step").drop("slot")
+    ).withColumn("chunk", F.floor(F.col("step") / chunk_steps))
+    rows = rows.repartition(partitions, "chunk", "slot").sortWithinPartitions("step").drop("slot", "chunk")
     most = max(1, BLOCK_BYTES // (4 * dim))
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,47 +256,61 @@ def _sum_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record(total, kind)
 
 
+def _as_type(model: FeatureModel, kind) -> FeatureModel:
+    out = copy.copy(model)
+    for name in ("enc", "dec", "neuron_bias", "input_bias"):
+        setattr(out, name, getattr(model, name).astype(kind))
+    return out
+
+
+def _sum_shares(total: dict, x: np.ndarray, weights: FeatureModel, share, kind) -> None:
+    """Add ``share(x, weights)`` to the total, a bounded number of rows at a time."""
+    step = max(1, BLOCK_CELLS // max(weights.m, weights.dim))
+    for at in range(0, len(x), step):
+        _accumulate(total, share(x[at : at + step].astype(kind), weights))
+
+
 @dataclass
 class _Blocks:
-    """Cached blocks and the number of tasks that read them."""
+    """Blocks in a frame, and the number of tasks that read them."""
 
     frame: DataFrame
     tasks: int
 
-    def at(self, step: int) -> _Blocks:
-        return _Blocks(self.frame.filter(F.col("step") == step), self.tasks)
-
-
-def _as_type(model: FeatureModel, kind) -> FeatureModel:
-    out = copy.copy(model)
-    for name in ("enc", "dec", "neuron_bias", "input_bias"):
-        setattr(out, name, getattr(model, name).astype(kind))
-    return out
+    def total(self, model: FeatureModel, share, message_bytes: int, precision: str) -> dict[str, np.ndarray]:
+        """Sum ``share(x, model)`` over all rows of the blocks."""
+        spark = self.frame.sparkSession
+        sent = PRECISIONS[precision]
+        kind = np.dtype(sent)
+        weights = spark.sparkContext.broadcast(_as_type(model, kind))
+        dim = model.dim
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for raw in batch.column("block"):
+                    x = np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, dim)
+                    _sum_shares(total, x, weights.value, share, kind)
+            if total:
+                yield _record(total, sent)
+
+        try:
+            return _add_up(self.frame.mapInArrow(work, "part int, sums binary"), self.tasks, message_bytes)
+        finally:
+            weights.destroy()
 
 
-def _run(blocks: _Blocks, model: FeatureModel, share, message_bytes: int, precision: str) -> dict[str, np.ndarray]:
-    """Sum ``share(x, model)`` over all rows of the blocks."""
-    spark = blocks.frame.sparkSession
-    sent = PRECISIONS[precision]
-    kind = np.dtype(sent)
-    weights = spark.sparkContext.broadcast(_as_type(model, kind))
-    step = max(1, BLOCK_CELLS // max(model.m, model.dim))
-    dim = model.dim
+@dataclass
+class _Held:
+    """The blocks of a step within a task."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for raw in batch.column("block"):
-                x = np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, dim)
-                for at in range(0, len(x), step):
-                    _accumulate(total, share(x[at : at + step].astype(kind), weights.value))
-        if total:
-            yield _record(total, sent)
+    blocks: list[np.ndarray]
 
-    try:
-        return _add_up(blocks.frame.mapInArrow(work, "part int, sums binary"), blocks.tasks, message_bytes)
-    finally:
-        weights.destroy()
+    def total(self, model: FeatureModel, share, message_bytes: int, precision: str) -> dict[str, np.ndarray]:
+        kind, total = np.dtype(PRECISIONS[precision]), {}
+        for x in self.blocks:
+            _sum_shares(total, x, _as_type(model, kind), share, kind)
+        return total
 
 
 def _loss_and_gradient(blocks, model: FeatureModel, cfg: TrainConfig, gradient: bool, track: bool):
@@ -302,7 +327,7 @@ def _loss_and_gradient(blocks, model: FeatureModel, cfg: TrainConfig, gradient:
             sums |= {f"aux_{name}": value for name, value in aux_sums(x, m, dead_before, gradient).items()}
         return sums
 
-    total = _run(blocks, model, share, message, cfg.precision)
+    total = blocks.total(model, share, message, cfg.precision)
     if not total:
         return None, None
     n = total["n"][0]
@@ -320,7 +345,7 @@ def _loss_and_gradient(blocks, model: FeatureModel, cfg: TrainConfig, gradient:
             if np.array_equal(dead, dead_before):
                 aux = {name[4:]: value for name, value in total.items() if name.startswith("aux_")}
             else:
-                aux = _run(blocks, model, lambda x, m: aux_sums(x, m, dead, gradient), message, cfg.precision)
+                aux = blocks.total(model, lambda x, m: aux_sums(x, m, dead, gradient), message, cfg.precision)
             loss += cfg.aux_coef * aux["sse"][0] / aux_baseline
             if gradient:
                 scale = cfg.aux_coef / aux_baseline
@@ -373,17 +398,94 @@ class _Adam:
             setattr(model, attribute, moved)
         model.dec = model.dec / np.linalg.norm(model.dec, axis=1, keepdims=True)
 
+    def moments(self) -> dict[str, np.ndarray]:
+        return {f"first_{k}": v for k, v in self.first.items()} | {f"second_{k}": v for k, v in self.second.items()}
+
+    def resume(self, moments: dict[str, np.ndarray], steps: int) -> None:
+        """Go on from the moments after so many further steps."""
+        self.step += steps
+        self.first = {name: moments[f"first_{name}"] for name in self.FIELDS}
+        self.second = {name: moments[f"second_{name}"] for name in self.FIELDS}
+
 
-def _cached_blocks(vectors, embedding, row_id, steps, cfg, dim, n_rows, epoch: int = 0) -> _Blocks:
-    """Packed and kept blocks. Their partitions follow the size of the data, the scan its own."""
+def _partitions(vectors, cfg, dim, n_rows: int, steps: int) -> tuple[int, int]:
+    """Partitions of the packed blocks, which follow the size of the data, and tasks that share a step."""
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     by_size, by_rows = -(-n_rows * dim * 4 // PARTITION_BYTES), -(-n_rows // TASK_ROWS)
     parts = cfg.partitions or max(1, by_size, min(cores, by_rows))
-    spread = max(1, min(parts, -(-n_rows // (steps * TASK_ROWS))))
-    frame = pack(vectors, embedding, row_id, steps, cfg.seed, dim, epoch, parts, spread)
+    return parts, max(1, min(parts, -(-n_rows // (steps * TASK_ROWS))))
+
+
+def _cached_blocks(vectors, embedding, row_id, cfg, dim, n_rows) -> _Blocks:
+    """Blocks of a single step over all rows, kept."""
+    parts, spread = _partitions(vectors, cfg, dim, n_rows, 1)
+    frame = pack(vectors, embedding, row_id, 1, cfg.seed, dim, 0, parts, spread)
     return _Blocks(frame.persist(StorageLevel.MEMORY_AND_DISK), spread)
 
 
+@dataclass
+class _Epoch:
+    """The chunks of an epoch's steps, and how to read one."""
+
+    chunks: int
+    tasks: int
+    read: Callable[[int], DataFrame]
+
+
+@contextmanager
+def _epoch(vectors, embedding, row_id, steps: int, cfg: TrainConfig, dim: int, n_rows: int, epoch: int) -> Iterator[_Epoch]:
+    """An epoch's steps in chunks. A single chunk is read where it comes from, several from a folder each."""
+    parts, tasks = _partitions(vectors, cfg, dim, n_rows, steps)
+    size = max(1, min(CHUNK_STEPS, CHUNK_BYTES * steps // (4 * dim * n_rows))) if tasks == 1 else 1
+    chunks = -(-steps // size)
+    if chunks == 1:
+        frame = pack(vectors, embedding, row_id, steps, cfg.seed, dim, epoch, tasks, tasks, size)
+        yield _Epoch(1, tasks, lambda _: frame)
+        return
+    spark = vectors.sparkSession
+    with scratch_folder(spark, "epoch") as folder:
+        packed = pack(vectors, embedding, row_id, steps, cfg.seed, dim, epoch, parts, tasks, size)
+        packed.withColumn("chunk", F.floor(F.col("step") / size)).write.partitionBy("chunk").parquet(folder)
+        schema = "step int, block binary"
+
+        def read(chunk: int) -> DataFrame:
+            # a chunk to which no row was dealt has no folder
+            path = f"{folder}/chunk={chunk}"
+            return spark.read.schema(schema).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], schema)
+
+        yield _Epoch(chunks, tasks, read)
+
+
+def _chain(frame: DataFrame, model: FeatureModel, adam: _Adam, cfg: TrainConfig) -> list[float]:
+    """Take the steps of a chunk after one another in one task; the model and the optimizer go on from where it ends."""
+    sent = frame.sparkSession.sparkContext.broadcast((model, adam))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, steps, losses = copy.deepcopy(sent.value[0]), copy.deepcopy(sent.value[1]), []
+        rows = ((step, raw) for b in batches for step, raw in zip(b.column("step").to_pylist(), b.column("block"), strict=True))
+        for _, blocks in groupby(rows, key=lambda r: r[0]):
+            held = _Held([np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, own.dim) for _, raw in blocks])
+            loss, grads = _loss_and_gradient(held, own, cfg, gradient=True, track=True)
+            steps.update(own, grads)
+            losses.append(loss)
+        if losses:
+            state = {name: getattr(own, name) for name in FITTED} | steps.moments() | {"losses": np.array(losses)}
+            yield pa.RecordBatch.from_pydict({"state": [_packed(state, PRECISIONS["double"])]})
+
+    try:
+        ended = frame.coalesce(1).sortWithinPartitions("step").mapInArrow(work, "state binary").toArrow().column("state").to_pylist()
+    finally:
+        sent.destroy()
+    if not ended:
+        return []
+    state = _unpack(ended[0])
+    for name in FITTED:
+        setattr(model, name, state[name])
+    model.steps_since_active = model.steps_since_active.astype(int)
+    adam.resume(state, len(state["losses"]))
+    return state["losses"].tolist()
+
+
 def train_sae(
     vectors: DataFrame,
     m: int,
@@ -422,13 +524,12 @@ def train_sae(
     steps = max(1, -(-n_rows // size))
     val_blocks = None
     if val_vectors is not None:
-        n_val = val_vectors.count()
-        val_blocks = _cached_blocks(val_vectors, embedding, row_id, 1, cfg, model.dim, n_val)
+        val_blocks = _validation_blocks(val_vectors, embedding, row_id, size if cfg.batch_validation else None, cfg, model.dim)
     try:
-        _fit(
-            model, lambda epoch: _cached_blocks(vectors, embedding, row_id, steps, cfg, model.dim, n_rows, epoch),
-            val_blocks, steps, cfg,
-        )
+        if steps == 1:
+            _fit_whole(model, _cached_blocks(vectors, embedding, row_id, cfg, model.dim, n_rows), val_blocks, cfg)
+        else:
+            _fit(model, lambda e: _epoch(vectors, embedding, row_id, steps, cfg, model.dim, n_rows, e), val_blocks, cfg)
     finally:
         if val_blocks is not None:
             val_blocks.frame.unpersist()
@@ -437,50 +538,96 @@ def train_sae(
     return model
 
 
-def _fit(model: FeatureModel, blocks_of, val_blocks, steps: int, cfg: TrainConfig) -> None:
-    """Epochs of steps with early stopping; the last weights are kept, not the best.
+class _Patience:
+    """Early stopping; the last weights are kept, not the best."""
 
-    ``blocks_of(epoch)`` packs the steps of an epoch. With one step all epochs are the same.
-    """
-    adam = _Adam(cfg)
-    best, waited = math.inf, 0
-    blocks = None
+    def __init__(self, cfg: TrainConfig) -> None:
+        self.cfg, self.best, self.waited = cfg, math.inf, 0
+
+    def ends(self, val_loss: float | None) -> bool:
+        if val_loss is None:
+            return False
+        if val_loss < self.best:
+            self.best, self.waited = val_loss, 0
+        else:
+            self.waited += 1
+        return self.waited >= self.cfg.patience
+
+
+def _fit_whole(model: FeatureModel, blocks: _Blocks, val_blocks, cfg: TrainConfig) -> None:
+    """Epochs of one step over all rows: all are the same."""
+    adam, patience = _Adam(cfg), _Patience(cfg)
     try:
         for epoch in range(cfg.n_epochs):
-            if blocks is None or steps > 1:
-                before, blocks = blocks, blocks_of(epoch)
-                if before is not None:
-                    before.frame.unpersist()
-            losses = []
-            for step in range(steps):
-                loss, grads = _loss_and_gradient(blocks.at(step) if steps > 1 else blocks, model, cfg, gradient=True, track=True)
-                if grads is None:
-                    continue
-                adam.update(model, grads)
-                losses.append(loss)
-            if _epoch_ends(model, epoch, losses, val_blocks, cfg) < best:
-                best, waited = model.history[-1]["val_loss"], 0
-            elif val_blocks is not None:
-                waited += 1
-                if waited >= cfg.patience:
-                    break
+            loss, grads = _loss_and_gradient(blocks, model, cfg, gradient=True, track=True)
+            adam.update(model, grads)
+            if patience.ends(_epoch_ends(model, epoch, [loss], val_blocks, cfg)):
+                break
     finally:
-        if blocks is not None:
-            blocks.frame.unpersist()
+        blocks.frame.unpersist()
+
+
+def _fit(model: FeatureModel, epoch_of, val_blocks, cfg: TrainConfig) -> None:
+    """Epochs of steps, in chunks: one job each, or one for each step of more than one task."""
+    adam, patience = _Adam(cfg), _Patience(cfg)
+    for epoch in range(cfg.n_epochs):
+        losses = []
+        with epoch_of(epoch) as steps:
+            for chunk in range(steps.chunks):
+                if steps.tasks == 1:
+                    losses += _chain(steps.read(chunk), model, adam, cfg)
+                    continue
+                loss, grads = _loss_and_gradient(_Blocks(steps.read(chunk), steps.tasks), model, cfg, gradient=True, track=True)
+                if grads is not None:
+                    adam.update(model, grads)
+                    losses.append(loss)
+        if patience.ends(_epoch_ends(model, epoch, losses, val_blocks, cfg)):
+            break
 
 
-def _epoch_ends(model: FeatureModel, epoch: int, losses: list[float], val_blocks, cfg: TrainConfig) -> float:
-    """Add a line to the model's history; return the validation loss, infinite without validation rows."""
+def _epoch_ends(model: FeatureModel, epoch: int, losses: list[float], val_blocks, cfg: TrainConfig) -> float | None:
+    """Add a line to the model's history; return the validation loss."""
     line = {
         "epoch": epoch, "train_loss": float(np.mean(losses)), "val_loss": None, "dead_ratio": float(model.dead().mean()),
     }
     model.history.append(line)
-    if val_blocks is None:
-        return math.inf
-    line["val_loss"], _ = _loss_and_gradient(val_blocks, model, cfg, gradient=False, track=False)
+    if val_blocks is not None:
+        line["val_loss"] = _validation_loss(val_blocks, model, cfg)
     return line["val_loss"]
 
 
+def _validation_blocks(vectors, embedding, row_id, size: int | None, cfg, dim) -> _Blocks:
+    """Kept blocks of the validation rows: one batch of all, or batches of about ``size`` rows drawn by a hash of their ids."""
+    n = vectors.count()
+    if size is None:
+        return _cached_blocks(vectors, embedding, row_id, cfg, dim, n)
+    batches = max(1, -(-n // size))
+    parts, _ = _partitions(vectors, cfg, dim, n, 1)
+    frame = pack(vectors, embedding, row_id, batches, cfg.seed, dim, -1, parts, 1)
+    return _Blocks(frame.persist(StorageLevel.MEMORY_AND_DISK), parts)
+
+
+def _validation_loss(blocks: _Blocks, model: FeatureModel, cfg: TrainConfig) -> float:
+    """Loss of all rows at once, or the mean of the losses of batches: each batch lies in one task, which needs no other."""
+    if not cfg.batch_validation:
+        return _loss_and_gradient(blocks, model, cfg, gradient=False, track=False)[0]
+    weights = blocks.frame.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, losses = weights.value, []
+        rows = ((step, raw) for b in batches for step, raw in zip(b.column("step").to_pylist(), b.column("block"), strict=True))
+        for _, held in groupby(rows, key=lambda r: r[0]):
+            held = _Held([np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, own.dim) for _, raw in held])
+            losses.append(_loss_and_gradient(held, own, cfg, gradient=False, track=False)[0])
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(losses)], pa.int64()), "loss": pa.array([float(np.sum(losses))])})
+
+    try:
+        sums = blocks.frame.mapInArrow(work, "n long, loss double").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).first()
+    finally:
+        weights.destroy()
+    return sums["loss"] / sums["n"] if sums["n"] else math.nan
+
+
 def model_loss(
     vectors: DataFrame, model: FeatureModel, *, embedding: str = "embedding", row_id: str = "row_id", **options
 ) -> float:
@@ -490,7 +637,7 @@ def model_loss(
     the two extra terms, of which the second uses the features idle for too many steps.
     """
     cfg = TrainConfig(**options)
-    blocks = _cached_blocks(vectors, embedding, row_id, 1, cfg, model.dim, vectors.count())
+    blocks = _cached_blocks(vectors, embedding, row_id, cfg, model.dim, vectors.count())
     try:
         return _loss_and_gradient(blocks, model, cfg, gradient=False, track=False)[0]
     finally:
@@ -505,7 +652,7 @@ def gradient_table(
     Before projection and clipping. Tells which features a further step would move.
     """
     cfg = TrainConfig(**options)
-    blocks = _cached_blocks(vectors, embedding, row_id, 1, cfg, model.dim, vectors.count())
+    blocks = _cached_blocks(vectors, embedding, row_id, cfg, model.dim, vectors.count())
     try:
         _, grads = _loss_and_gradient(blocks, model, cfg, gradient=True, track=False)
     finally:

@@ -249,6 +249,87 @@ def m11_multi_k_training(spark, sf):
     return ranking.union_all(frames)
 
 
+STEP, EPOCHS, REST_K, REST_AUX_K = 20, 2, 1, 3
+#: Rows of each epoch's steps, and sums of each step's spread. The weights rest (a step size of zero), so that every
+#: step of every epoch can be told from the start model.
+PLACED_SQL = f"""
+ n_steps AS (SELECT ceil(count(*) / {STEP}.0)::INTEGER AS s FROM embeddings),
+ seq AS (SELECT epoch, row_id, epoch * s + least(trunc(p / ({1 << 52}::DOUBLE / s))::INTEGER, s - 1) AS t FROM n_steps, (
+   SELECT epoch, vec_id AS row_id, {sql_position(f"'train:{SEED}:' || epoch || ':' || vec_id")} AS p
+   FROM embeddings, (SELECT unnest(range({EPOCHS})) AS epoch))),
+ spread AS (SELECT epoch, t, sum(q) AS b FROM (
+   SELECT epoch, t, d, sum(x * x) - sum(x) * sum(x) / count(*) AS q FROM seq JOIN dims USING (row_id) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+#: Features that made no row's top ``REST_K`` in a step and the one before are dead in it.
+IDLE_SQL = f"""
+ best AS (SELECT row_id, neuron_idx, pre FROM (
+   SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pre DESC, neuron_idx) AS r FROM pre_large) WHERE r <= {REST_K}),
+ fired AS (SELECT DISTINCT t, neuron_idx FROM seq JOIN best USING (row_id)),
+ dead AS (SELECT t, neuron_idx FROM (SELECT DISTINCT t FROM seq WHERE t > 0), (SELECT DISTINCT neuron_idx FROM enc_large)
+   EXCEPT SELECT t, neuron_idx FROM fired EXCEPT SELECT t + 1, neuron_idx FROM fired),
+ best_code AS (SELECT row_id, d, sum(pre * v) AS r FROM best JOIN decl USING (neuron_idx) WHERE pre > 0 GROUP BY 1, 2),
+ miss AS (SELECT dims.row_id, dims.d, x - c - coalesce(r, 0) AS e FROM dims JOIN med USING (d)
+   LEFT JOIN best_code m ON m.row_id = dims.row_id AND m.d = dims.d),
+ step_miss AS (SELECT t, sum(s2) AS sse, sum(q) AS be FROM (
+   SELECT t, d, sum(e * e) AS s2, sum(e * e) - sum(e) * sum(e) / count(*) AS q FROM seq JOIN miss USING (row_id) GROUP BY 1, 2) GROUP BY 1),
+ idle AS (SELECT epoch, (SELECT count(*) FROM dead WHERE dead.t = ends.t) / (SELECT count(DISTINCT neuron_idx) FROM enc_large)::DOUBLE AS dead_ratio
+   FROM (SELECT epoch, max(t) AS t FROM seq GROUP BY 1) ends)"""
+
+
+def resting_history(spark, sf, model, **options):
+    """History of training that leaves the weights of ``model`` as they are."""
+    model = training.train_sae(
+        vectors(spark, sf), model.m, model.k, prefixes=model.prefixes, n_epochs=EPOCHS, learning_rate=0.0, batch_size=STEP, seed=SEED, start=model, **options,
+    )
+    return training.history_table(spark, model).select("epoch", r6("train_loss").alias("train_loss"), r6("dead_ratio").alias("dead_ratio"))
+
+
+@query(
+    "m7_epochs",
+    f"""WITH {MODEL_SQL}, {DECODER_SQL}, {PLACED_SQL},
+    row_miss AS (SELECT ends.prefix, dims.row_id, sum(pow(coalesce(r, 0) + c - x, 2)) AS e FROM ends, dims JOIN med USING (d)
+      LEFT JOIN coded ON coded.prefix = ends.prefix AND coded.row_id = dims.row_id AND coded.d = dims.d GROUP BY 1, 2),
+    losses AS (SELECT epoch, t, sum(e) / any_value(b) / 2 AS v FROM seq JOIN row_miss USING (row_id) JOIN spread USING (epoch, t) GROUP BY 1, 2)
+    SELECT epoch::INTEGER AS epoch, {q6('avg(v)')} AS train_loss, 0.0::DOUBLE AS dead_ratio FROM losses GROUP BY 1""",
+)
+def m7_epochs(spark, sf):
+    """Mean Matryoshka loss over the steps of each epoch."""
+    return resting_history(spark, sf, centroid_model(spark, sf), aux_coef=0.0)
+
+
+@query(
+    "m10_aux_epochs",
+    f"""WITH {MODEL_SQL}, {CODED_SQL}, {PLACED_SQL}, {IDLE_SQL},
+    aux AS (SELECT * FROM (SELECT t, row_id, neuron_idx, pre, row_number() OVER (PARTITION BY t, row_id ORDER BY pre DESC, neuron_idx) AS r
+      FROM seq JOIN pre_large USING (row_id) JOIN dead USING (t, neuron_idx)) WHERE r <= {REST_AUX_K} AND pre > 0),
+    aux_code AS (SELECT t, row_id, d, sum(pre * v) AS r FROM aux JOIN decl USING (neuron_idx) GROUP BY 1, 2, 3),
+    aux_miss AS (SELECT seq.t, sum(pow(coalesce(r, 0) - e, 2)) AS s FROM seq JOIN miss USING (row_id)
+      LEFT JOIN aux_code a ON a.t = seq.t AND a.row_id = seq.row_id AND a.d = miss.d GROUP BY 1)
+    SELECT epoch::INTEGER AS epoch, {q6(f'avg(sse / b + {AUX_COEF} * s / be)')} AS train_loss, {q6('any_value(dead_ratio)')} AS dead_ratio
+    FROM spread JOIN step_miss USING (t) JOIN aux_miss USING (t) JOIN idle USING (epoch) GROUP BY 1""",
+)
+def m10_aux_epochs(spark, sf):
+    """Loss with the auxiliary term over steps in which features die and come back."""
+    model = replace(centroid_model(spark, sf, "large"), k=REST_K, aux_k=REST_AUX_K, dead_threshold=1)
+    return resting_history(spark, sf, model, aux_coef=AUX_COEF)
+
+
+@query(
+    "m11_multi_k_epochs",
+    f"""WITH {MODEL_SQL}, {CODED_SQL}, {PLACED_SQL}, {IDLE_SQL},
+    multi AS (SELECT row_id, neuron_idx, pre FROM (
+      SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pre DESC, neuron_idx) AS r FROM pre_large) WHERE r <= {MULTI_K} AND pre > 0),
+    multi_code AS (SELECT row_id, d, sum(pre * v) AS r FROM multi JOIN decl USING (neuron_idx) GROUP BY 1, 2),
+    multi_miss AS (SELECT t, sum(pow(x - c - coalesce(r, 0), 2)) AS s FROM seq JOIN dims USING (row_id) JOIN med USING (d)
+      LEFT JOIN multi_code m ON m.row_id = dims.row_id AND m.d = dims.d GROUP BY 1)
+    SELECT epoch::INTEGER AS epoch, {q6(f'avg((sse + {MULTI_COEF} * s) / b)')} AS train_loss, {q6('any_value(dead_ratio)')} AS dead_ratio
+    FROM spread JOIN step_miss USING (t) JOIN multi_miss USING (t) JOIN idle USING (epoch) GROUP BY 1""",
+)
+def m11_multi_k_epochs(spark, sf):
+    """Loss with the less sparse second reconstruction over the steps of each epoch."""
+    model = replace(centroid_model(spark, sf, "large"), k=REST_K, multi_k=MULTI_K, dead_threshold=1)
+    return resting_history(spark, sf, model, aux_coef=0.0, multi_coef=MULTI_COEF)
+
+
 STEP_SIZE = 0.01
 
 
@@ -317,6 +398,33 @@ def m13_early_stopping(spark, sf):
     )
 
 
+@query(
+    "m13_batch_validation",
+    f"""WITH {MODEL_SQL}, {DECODER_SQL},
+    placed AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY {sql_position(f"'split:{SEED}:' || vec_id")}, vec_id) AS p,
+      count(*) OVER () AS n FROM embeddings),
+    held AS (SELECT row_id, {sql_position(f"'train:{SEED}:-1:' || row_id")} AS p, ceil(count(*) OVER () / {STEP}.0) AS s
+      FROM placed WHERE p <= ceil(0.5 * n)),
+    batches AS (SELECT row_id, least(trunc(p / ({1 << 52}::DOUBLE / s)), s - 1) AS t FROM held),
+    spread AS (SELECT t, sum(q) AS b FROM (
+      SELECT t, d, sum(x * x) - sum(x) * sum(x) / count(*) AS q FROM batches JOIN dims USING (row_id) GROUP BY 1, 2) GROUP BY 1),
+    losses AS (SELECT t, sum(pow(coalesce(r, 0) + c - x, 2)) / any_value(b) / 2 AS v FROM ends, dims JOIN batches USING (row_id)
+      JOIN spread USING (t) JOIN med USING (d)
+      LEFT JOIN coded ON coded.prefix = ends.prefix AND coded.row_id = dims.row_id AND coded.d = dims.d GROUP BY 1)
+    SELECT 0 AS epoch, count(*) AS n_batches, {q6('avg(v)')} AS val_loss FROM losses""",
+)
+def m13_batch_validation(spark, sf):
+    """Validation loss as the mean over batches of rows, as a loader that deals batches would report it."""
+    train, held = relational.train_validation_split(vectors(spark, sf), 0.5, SEED)
+    start = centroid_model(spark, sf)
+    model = training.train_sae(
+        train, start.m, start.k, prefixes=start.prefixes, val_vectors=held, n_epochs=1, learning_rate=0.0, aux_coef=0.0, batch_size=STEP,
+        seed=SEED, start=start, batch_validation=True,
+    )
+    batches = -(-held.count() // STEP)
+    return training.history_table(spark, model).select("epoch", F.lit(batches).cast("long").alias("n_batches"), r6("val_loss").alias("val_loss"))
+
+
 # --- selection --------------------------------------------------------------------------
 
 DENSE_SQL = """

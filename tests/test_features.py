@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corollary.operators import features, relational, training
+from corollary.session import folder_exists
 from corollary.operators.features import FeatureModel
 from corollary.session import ship_package
 from corollary.sources import models
@@ -144,8 +145,8 @@ def full_loss(x, model, multi, aux, dead):
     return loss + aux * ratio(code(masked, model.aux_k) @ model.dec, residual), residual
 
 
-def training_blocks(spark, data, cfg, steps=1):
-    blocks = training._cached_blocks(vectors_of(spark, data), "embedding", "row_id", steps, cfg, 6, len(data))
+def training_blocks(spark, data, cfg):
+    blocks = training._cached_blocks(vectors_of(spark, data), "embedding", "row_id", cfg, 6, len(data))
     return blocks
 
 
@@ -288,17 +289,90 @@ def test_steps_have_512_rows_at_every_size(spark):
     assert set(epochs[0][0][:, 0]) != set(epochs[1][0][:, 0])
 
 
+def stepwise(vectors, m, k, cfg, n_rows, steps):
+    """Training with one job per step, as a plain loop over the packed blocks."""
+    model = training.initial_model(vectors, m, k, cfg, "embedding")
+    adam = training._Adam(cfg)
+    for epoch in range(cfg.n_epochs):
+        packed = training.pack(vectors, "embedding", "row_id", steps, cfg.seed, model.dim, epoch, 2).cache()
+        losses = []
+        for step in range(steps):
+            loss, grads = training._loss_and_gradient(training._Blocks(packed.filter(F.col("step") == step), 1), model, cfg, True, True)
+            if grads is not None:
+                adam.update(model, grads)
+                losses.append(loss)
+        training._epoch_ends(model, epoch, losses, None, cfg)
+        packed.unpersist()
+    return model
+
+
+@pytest.mark.parametrize("chunk_steps", [64, 3])
+def test_chunks_of_steps_equal_single_steps(spark, data, monkeypatch, chunk_steps):
+    monkeypatch.setattr(training, "CHUNK_STEPS", chunk_steps)
+    vectors = vectors_of(spark, data)
+    options = {
+        "n_epochs": 2, "batch_size": 10, "learning_rate": 1e-2, "seed": 4, "prefixes": [4, 12], "multi_k": 5, "multi_coef": 0.2, "aux_k": 3,
+        "dead_neuron_threshold_steps": 2,
+    }
+    want = stepwise(vectors, 12, 2, training.TrainConfig(**options), len(data), 7)
+    got = training.train_sae(vectors, 12, 2, **options)
+    for name in training.FITTED:
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=0, atol=1e-9), name
+    assert [h["dead_ratio"] for h in got.history] == [h["dead_ratio"] for h in want.history]
+    assert np.allclose([h["train_loss"] for h in got.history], [h["train_loss"] for h in want.history], rtol=0, atol=1e-9)
+
+
+def test_one_job_for_many_steps_and_files(spark, monkeypatch):
+    """64 steps of an epoch take one job, and a job opens the files of its own chunk only."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("row_id"), F.array((F.col("id") % 97).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    cfg = training.TrainConfig(n_epochs=1, batch_size=100)
+    with training._epoch(rows, "embedding", "row_id", 200, cfg, 2, n, 0) as epoch:
+        assert (epoch.chunks, epoch.tasks) == (4, 1)
+        for chunk in range(4):
+            frame = epoch.read(chunk)
+            assert all(f"/chunk={chunk}/" in f for f in frame.inputFiles())
+            assert {r["step"] // 64 for r in frame.select("step").collect()} == {chunk}
+        model = training.initial_model(rows, 4, 1, cfg, "embedding")
+        spark.sparkContext.setJobGroup("chunk", "")
+        assert len(training._chain(epoch.read(1), model, training._Adam(cfg), cfg)) == 64
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chunk")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(jobs) == 1
+        folder = epoch.read(0).inputFiles()[0].split("/chunk=")[0]
+    assert not folder_exists(spark, folder)
+
+
+def test_large_steps_have_a_folder_each(spark, data, monkeypatch):
+    monkeypatch.setattr(training, "TASK_ROWS", 5)
+    vectors = vectors_of(spark, data)
+    options = {"n_epochs": 2, "batch_size": 30, "learning_rate": 1e-2, "seed": 4}
+    many = training.train_sae(vectors, 8, 2, partitions=4, **options)
+    monkeypatch.setattr(training, "TASK_ROWS", 512)
+    one = training.train_sae(vectors, 8, 2, **options)
+    assert np.allclose(one.enc, many.enc, atol=1e-9) and np.allclose(one.dec, many.dec, atol=1e-9)
+
+
+def test_validation_by_batches(spark, data):
+    vectors = vectors_of(spark, data)
+    options = {"n_epochs": 1, "batch_size": 20, "learning_rate": 0.0, "seed": 2, "aux_coef": 0.0}
+    model = training.train_sae(vectors, 8, 2, val_vectors=vectors, batch_validation=True, **options)
+    packed = training.pack(vectors, "embedding", "row_id", 4, 2, 6, -1).collect()
+    losses = []
+    for step in range(4):
+        x = np.concatenate([np.frombuffer(r.block, np.float32).reshape(-1, 6) for r in packed if r.step == step]).astype(float)
+        sums = training.main_sums(x, model, 0.0, False)
+        losses.append(sums["sse"][0] / ((x - x.mean(0)) ** 2).sum())
+    assert np.isclose(model.history[0]["val_loss"], np.mean(losses), rtol=1e-12)
+    whole = training.train_sae(vectors, 8, 2, val_vectors=vectors, **options)
+    assert not np.isclose(whole.history[0]["val_loss"], model.history[0]["val_loss"], rtol=1e-6)
+
+
 def test_partitions_follow_the_data(spark, monkeypatch):
     monkeypatch.setattr(training, "PARTITION_BYTES", 4096)
     rows = spark.range(4000).select(F.col("id").alias("row_id"), F.array_repeat(F.col("id").cast("float"), 8).alias("embedding")).coalesce(2)
-    blocks = training._cached_blocks(rows, "embedding", "row_id", 8, training.TrainConfig(), 8, 4000)
-    try:
-        per = blocks.frame.select("step", F.spark_partition_id().alias("p")).distinct().collect()
-        assert len({r["p"] for r in per}) > 2 and len(per) == 8  # each step's rows are in one partition
-        assert blocks.frame.rdd.getNumPartitions() == -(-4000 * 8 * 4 // 4096)
-    finally:
-        blocks.frame.unpersist()
-
-
-def test_folder_name():
-    assert models.folder_name(8, 64, 4, [16, 64]) == "topk4-of-64-from-8.nested-16.64"
+    parts, spread = training._partitions(rows, training.TrainConfig(), 8, 4000, 8)
+    assert (parts, spread) == (-(-4000 * 8 * 4 // 4096), 1)
+    packed = training.pack(rows, "embedding", "row_id", 8, 0, 8, 0, parts, spread)
+    per = packed.select("step", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r["p"] for r in per}) > 2 and len(per) == 8  # each step's rows are in one partition
