@@ -8,18 +8,19 @@ need not answer the same way twice.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corollary.functions import templates, text
 from corollary.operators import ranking, relational
 from corollary.operators.sampling import SamplingConfig
-from corollary.session import cut_lineage
+from corollary.session import cut_lineage, folder_exists, remove_folder
 from corollary.sources.stores import Store
 
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -32,8 +33,8 @@ EMBED_BATCH = 128
 ANSWER_BATCH = 64
 #: Model calls one task makes at most, unless the caller sets the number of partitions.
 CALLS_PER_TASK = 100_000
-#: Texts or tasks of a round, after which a store is written to.
-ROUND_ROWS = 500_000
+#: Texts or tasks of a round, after which a store is written to, and files of its work table.
+ROUND_ROWS, ROUND_FILES = 500_000, 8
 
 
 @dataclass
@@ -96,12 +97,63 @@ def _read_yes_no(answer: str | None) -> int | None:
     return 1 if "yes" in lowered else 0 if "no" in lowered else None
 
 
-def _rounds(tasks: DataFrame, key: str, rows: int) -> Iterator[DataFrame]:
-    """The tasks, written down once, in rounds of about ``rows`` cut by a hash of their key."""
-    tasks = cut_lineage(tasks)
-    n = max(1, -(-tasks.count() // rows))
-    for i in range(n):
-        yield tasks.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+@dataclass(frozen=True)
+class _Work:
+    """Open tasks of a job, written once in folders by round. A round is done when the store lists its commit."""
+
+    store: Store
+    job: str
+    rounds: int
+
+    @property
+    def folder(self) -> str:
+        return f"{self.store.root}/work/{self.job}-of-{self.rounds}"
+
+    def commit(self, i: int) -> str:
+        return f"{self.job}-of-{self.rounds}-{i}"
+
+    def write(self, tasks: DataFrame) -> None:
+        place = F.pmod(F.xxhash64("text_key"), F.lit(self.rounds)).cast("int")
+        part = F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(ROUND_FILES))
+        tasks.withColumn("round", place).repartition("round", part).write.mode("overwrite").partitionBy("round").parquet(self.folder)
+
+    def read(self, spark: SparkSession, i: int, schema) -> DataFrame | None:
+        path = f"{self.folder}/round={i}"
+        return spark.read.schema(schema).parquet(path) if folder_exists(spark, path) else None
+
+
+def _in_rounds(
+    store: Store, marks: DataFrame, tasks: Callable[[], DataFrame], finish: Callable[[DataFrame], DataFrame], round_rows: int,
+    per_mark: int = 1, name: str = "",
+) -> None:
+    """Do the tasks that a store lacks, in rounds of about ``round_rows``, each a commit of the store.
+
+    ``marks`` and ``name`` identify the job. Its tasks are written down under that, so a job that failed goes on with its first open
+    round, without reading its input again; what is open even then (an unclear answer, a file that was lost) is done after it.
+    """
+    spark = marks.sparkSession
+    count, mark = marks.agg(F.count("*"), F.bit_xor(F.xxhash64(*marks.columns))).first()
+    rounds = max(1, -(-count * per_mark // round_rows))
+    base = f"{name}{count}-{(mark or 0) & (1 << 64) - 1:016x}"
+    snapshot, published = store.snapshot(spark), store.commits(spark)
+    attempt = 0
+    while True:
+        work = _Work(store, f"{base}-{attempt}", rounds)
+        resumed = folder_exists(spark, f"{work.folder}/_SUCCESS")
+        if resumed or not any(c.startswith(f"{work.job}-of-") for c in published):
+            break
+        attempt += 1  # the same job has ended before; what is open now are other tasks
+    todo = tasks()
+    if not resumed:
+        work.write(todo)
+    for i in range(rounds):
+        part = None if work.commit(i) in published else work.read(spark, i, todo.schema)
+        if part is not None:
+            store.append(finish(part), commit=work.commit(i), snapshot=snapshot)
+            snapshot = [*snapshot, *(f for f in store.snapshot(spark) if f.commit == work.commit(i))]
+    remove_folder(spark, work.folder)
+    if resumed:
+        _in_rounds(store, marks, tasks, finish, round_rows, per_mark, name)
 
 
 def embed_texts(
@@ -117,13 +169,11 @@ def embed_texts(
     """``text_key, text, embedding`` of every distinct valid text.
 
     ``partitions`` bounds how many model calls run at once, for a rate-limited model. With a
-    store, every ``round_rows`` texts are stored as soon as they are done, so a run that fails
-    loses one round at most; a text that is in no readable file of the store is asked again, and
-    one that is still missing at the end is an error.
+    store, every ``round_rows`` texts are stored as soon as they are done, and a run that failed
+    goes on with its first open round; a text that is in no readable file of the store is asked
+    again, and one that is still missing at the end is an error.
     """
     spark = texts.sparkSession
-    known = store.read(spark) if store else spark.createDataFrame([], "text_key string")
-    todo = relational.uncached_texts(texts, known).withColumn("_input", text.model_input(F.col("text"), model))
 
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,11 +186,13 @@ def embed_texts(
         spread = _spread(part, partitions, ["text_key"], n_calls)
         return spread.mapInPandas(embed, "text_key string, text string, embedding array<float>")
 
+    def todo(known: DataFrame) -> DataFrame:
+        return relational.uncached_texts(texts, known).withColumn("_input", text.model_input(F.col("text"), model))
+
     if store is None:
-        return cut_lineage(embedded(todo, texts.count()))
-    for part in _rounds(todo, "text_key", round_rows):
-        store.append(embedded(part, round_rows))
-    wanted = text.drop_invalid(texts).select(text.text_key(F.col("text")).alias("text_key")).distinct()
+        return cut_lineage(embedded(todo(spark.createDataFrame([], "text_key string")), texts.count()))
+    wanted = cut_lineage(text.drop_invalid(texts).select(text.text_key(F.col("text")).alias("text_key")).distinct())
+    _in_rounds(store, wanted, lambda: todo(store.read(spark, wanted)), lambda part: embedded(part, round_rows), round_rows)
     found = store.read(spark, wanted)
     missing = wanted.join(found.select("text_key"), "text_key", "left_anti").count()
     if missing:
@@ -200,27 +252,19 @@ def annotate(
         .groupBy("concept", "text_key")
         .agg(F.first("text").alias("text"))
     )
-    known = store.read(spark) if store else spark.createDataFrame([], "concept string, text_key string, value int")
-    todo = keyed.join(known, ["concept", "text_key"], "left_anti")
 
     def answered(part: DataFrame) -> DataFrame:
         spread = _spread(part, partitions, ["concept", "text_key"])
         return cut_lineage(_answer_tasks(spread, answer_fn, template, batch_size))
 
     if store is None:
-        return answered(todo)
-    hits, _ = relational.split_cached_tasks(keyed, known)
-    return _store_rounds(todo, answered, store, cut_lineage(hits), round_rows)
-
-
-def _store_rounds(todo: DataFrame, answered: Callable, store: Store, hits: DataFrame, round_rows: int) -> DataFrame:
-    """``hits`` and the answers to ``todo``, each round of which is stored when it is done."""
-    frames = [hits]
-    for part in _rounds(todo, "text_key", round_rows):
-        fresh = answered(part)
-        store.append(fresh.filter("value IS NOT NULL"))
-        frames.append(fresh)
-    return ranking.union_all(frames)
+        return answered(keyed)
+    wanted = cut_lineage(keyed.select("concept", "text_key"))
+    _in_rounds(
+        store, wanted, lambda: keyed.join(store.read(spark, wanted), ["concept", "text_key"], "left_anti"),
+        lambda part: answered(part).filter("value IS NOT NULL"), round_rows,
+    )
+    return wanted.join(store.read(spark, wanted), ["concept", "text_key"], "left")
 
 
 def annotate_texts_with_concepts(
@@ -266,25 +310,49 @@ def _answer_texts(
     key = text.text_key(F.col("text")).alias("text_key")
     rows = cut_lineage(texts.select("row_id", key))
     distinct = texts.select(_shown(max_words), key).groupBy("text_key").agg(F.first("text").alias("text"))
-    if store is not None:
-        known = _only_concepts(store.read(texts.sparkSession), concepts)
-        done = known.groupBy("text_key").agg(F.collect_set("concept").alias("_done"))
-        distinct = distinct.join(done, "text_key", "left")
     n_concepts = concepts.count() if isinstance(concepts, DataFrame) else len(concepts)
-    distinct = _spread(distinct, partitions, ["text_key"], rows.count() * n_concepts)
-    pairs = relational.with_every_concept(distinct, concepts)
-    if store is not None:
-        answered = F.coalesce(F.array_contains("_done", F.col("concept")), F.lit(False))
-        pairs = pairs.filter(~answered).drop("_done")
 
     def answered(part: DataFrame) -> DataFrame:
-        return cut_lineage(_answer_tasks(part, answer_fn, template, batch_size))
+        """Answers to all concepts of a text that aren't in its list of answered ones."""
+        spread = _spread(part, partitions, ["text_key"], rows.count() * n_concepts)
+        pairs = relational.with_every_concept(spread, concepts)
+        if "_done" in part.columns:
+            known = F.coalesce(F.array_contains("_done", F.col("concept")), F.lit(False))
+            pairs = pairs.filter(~known).drop("_done")
+        return cut_lineage(_answer_tasks(pairs, answer_fn, template, batch_size))
 
     if store is None:
-        return rows, answered(pairs)
-    hits = known.join(rows.select("text_key").distinct(), "text_key", "left_semi")
-    hits = cut_lineage(hits.select("concept", "text_key", "value"))
-    return rows, _store_rounds(pairs, answered, store, hits, round_rows)
+        return rows, answered(distinct)
+    spark, wanted = texts.sparkSession, cut_lineage(rows.select("text_key").distinct())
+    unclear: list[DataFrame] = []
+
+    def known() -> DataFrame:
+        return _only_concepts(store.read(spark, wanted), concepts)
+
+    def tasks() -> DataFrame:
+        unclear.clear()
+        done = known().groupBy("text_key").agg(F.collect_set("concept").alias("_done"))
+        return distinct.join(done, "text_key", "left").filter(F.coalesce(F.size("_done"), F.lit(0)) < _distinct_concepts(concepts))
+
+    def finish(part: DataFrame) -> DataFrame:
+        fresh = answered(part)
+        unclear.append(fresh.filter("value IS NULL"))
+        return fresh.filter("value IS NOT NULL")
+
+    _in_rounds(store, wanted, tasks, finish, round_rows, max(1, n_concepts), _concepts_name(concepts))
+    return rows, ranking.union_all([known().select("concept", "text_key", "value"), *unclear])
+
+
+def _distinct_concepts(concepts: DataFrame | Sequence[str]) -> int:
+    return concepts.select("concept").distinct().count() if isinstance(concepts, DataFrame) else len(set(concepts))
+
+
+def _concepts_name(concepts: DataFrame | Sequence[str]) -> str:
+    """A name for a list of concepts, in which their order doesn't count."""
+    if isinstance(concepts, DataFrame):
+        mark = concepts.select("concept").distinct().agg(F.bit_xor(F.xxhash64("concept"))).first()[0] or 0
+        return f"{mark & (1 << 64) - 1:016x}-"
+    return hashlib.md5("\0".join(sorted(set(concepts))).encode()).hexdigest()[:16] + "-"
 
 
 def _only_concepts(answers: DataFrame, concepts: DataFrame | Sequence[str]) -> DataFrame:

@@ -65,7 +65,7 @@ def s3_embedding_store(spark, sf):
     english = table(spark, sf, "documents").filter("lang = 'en'").select("text")
     jobs.embed_texts(english, rules.embed_words, store=store)
     jobs.embed_texts(everything, rules.embed_words, store=store)
-    raw = spark.read.parquet(store.path)
+    raw = store.read(spark)
     return raw.groupBy("text_key").agg(
         F.max(F.char_length("text")).alias("n_chars"), F.count("*").alias("n_rows")
     )
@@ -81,7 +81,7 @@ def s4_annotation_store(spark, sf):
     tasks = texts(spark, sf).select("text", F.explode(F.lit(CONCEPTS[:2])).alias("concept"))
     jobs.annotate(tasks.filter(F.col("concept") == CONCEPTS[0]), rules.answer_contains, store=store)
     jobs.annotate(tasks, rules.answer_contains, store=store)
-    raw = spark.read.parquet(store.path)
+    raw = store.read(spark)
     return raw.groupBy("concept", "text_key").agg(F.max("value").alias("value"), F.count("*").alias("n_rows"))
 
 

@@ -49,6 +49,11 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh folder in the shared checkpoint folder, removed when the block is left.
@@ -59,8 +64,7 @@ def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield path
     finally:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove_folder(spark, path)
 
 
 def collect_dimension(df: DataFrame) -> list:

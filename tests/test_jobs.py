@@ -57,8 +57,7 @@ def test_embedding_job_skips_what_is_stored(spark, tmp_path):
     second = jobs.embed_texts(texts_of(spark, "c", "d"), model, store=store, batch_size=1, partitions=2)
     assert sorted(r.text for r in second.collect()) == ["c", "d"]
     assert sorted(model.inputs()) == ["d", "search_document: a b", "search_document: c"]
-    raw = spark.read.parquet(store.path)
-    assert raw.count() == 3 and raw.select("cache_name").distinct().count() == 1
+    assert store.files(spark).agg(F.sum("rows")).first()[0] == 3
     vector = store.read(spark).filter("text = 'c'").first().embedding
     assert np.isclose(np.linalg.norm(vector), 1.0)
     assert stores.embedding_store(str(tmp_path / "store"), "other").read(spark).count() == 0
@@ -82,11 +81,101 @@ def test_failing_model_is_tried_again(spark, tmp_path):
         jobs.embed_texts(texts_of(spark, "a"), wrong)
 
 
-def test_corrupt_store_reads_as_empty(spark, tmp_path):
-    folder = tmp_path / "store" / "cache_name=x"
+def data_files(store, listed=None):
+    return [Path(store.root, "data", f.file) for f in listed]
+
+
+def test_a_bad_file_is_named_and_its_keys_asked_again(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    model = Logged(tmp_path / "log", rules.embed_words)
+    store = stores.embedding_store(str(tmp_path / "store"), "words")
+    texts = texts_of(spark, *(f"text {i}" for i in range(60)))
+    jobs.embed_texts(texts, model, store=store)
+    listed = store.snapshot(spark)
+    damaged, gone = data_files(store, listed)[:2]
+    damaged.write_bytes(b"not parquet")
+    gone.unlink()
+    lost = listed[0].rows + listed[1].rows
+    assert store.verify(spark).filter("NOT intact").count() == 2
+    with pytest.warns(UserWarning, match=damaged.name):
+        assert store.read(spark).count() == 60 - lost
+    before = len(model.inputs())
+    with pytest.warns(UserWarning):
+        assert jobs.embed_texts(texts, model, store=store).count() == 60
+    assert len(model.inputs()) - before == lost
+    # a file with other content than was written, but as many rows
+    swapped = data_files(store, listed)[2]
+    rows = spark.read.parquet(str(swapped)).withColumn("text", F.lit("other"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "other"))
+    swapped.write_bytes(next((tmp_path / "other").glob("*.parquet")).read_bytes())
+    Path(swapped.parent, f".{swapped.name}.crc").unlink()
+    assert [r["file"] for r in store.verify(spark).filter("NOT intact AND found_rows > 0").collect()] == [listed[2].file]
+
+
+def test_an_unfinished_commit_does_not_count(spark, tmp_path):
+    store = stores.annotation_store(str(tmp_path / "store"), "x")
+    folder = Path(store.root, "data", "commit=broken", "bucket=a")
     folder.mkdir(parents=True)
     (folder / "part-0.parquet").write_bytes(b"not parquet")
-    assert stores.annotation_store(str(tmp_path / "store"), "x").read(spark).count() == 0
+    assert store.read(spark).count() == 0
+
+
+def digest_rows(spark, *numbers, value=1):
+    keys = spark.createDataFrame([(f"t{i}",) for i in numbers], "text string")
+    return keys.select(F.lit("c").alias("concept"), text_key(F.col("text")).alias("text_key"), F.lit(value).alias("value"))
+
+
+def test_a_wanted_key_opens_only_its_files(spark, tmp_path):
+    store = stores.annotation_store(str(tmp_path / "store"), "x")
+    for part in range(4):
+        store.append(digest_rows(spark, *range(part * 200, part * 200 + 200)))
+    every = store.snapshot(spark)
+    assert len(every) >= 4 * 14 and sum(f.rows for f in every) == 800
+    wanted = digest_rows(spark, 3, 650).select("text_key")
+    files = store.snapshot(spark, wanted)
+    buckets = {r.text_key[0] for r in wanted.collect()}
+    assert {f.bucket for f in files} <= buckets and 2 <= len(files) <= 4
+    read = store.read(spark, wanted)
+    assert read.count() == 2 and len(read.inputFiles()) <= 4
+    assert store.snapshot(spark, digest_rows(spark, 5000).select("text_key")) in ([], *[[f] for f in every])
+    plan = store.read(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_a_commit_leaves_out_what_others_hold(spark, tmp_path):
+    store = stores.annotation_store(str(tmp_path / "store"), "x")
+    store.append(digest_rows(spark, 1, 2))
+    before = store.snapshot(spark)
+    store.append(digest_rows(spark, 3, 4), snapshot=before)
+    store.append(digest_rows(spark, 4, 5, value=0), snapshot=before)  # another run, which began at the same time
+    assert sorted((r.value, r.text_key) for r in store.read(spark).collect()) == sorted(
+        (v, r.text_key) for v, ids in ((1, (1, 2, 3, 4)), (0, (5,))) for r in digest_rows(spark, *ids).collect()
+    )
+    store.append(digest_rows(spark, 6), commit="named")
+    store.append(digest_rows(spark, 7), commit="named")
+    assert store.read(spark).count() == 6
+
+
+def test_commits_published_at_once_are_made_unique(spark, tmp_path, monkeypatch):
+    store = stores.annotation_store(str(tmp_path / "store"), "x")
+    store.append(digest_rows(spark, 1, 2))
+    listed = store.snapshot(spark)
+    monkeypatch.setattr(stores.Store, "snapshot", lambda self, spark, wanted=None: listed)
+    store.append(digest_rows(spark, 3, 4))
+    store.append(digest_rows(spark, 2, 4, 5))
+    monkeypatch.undo()
+    assert store.files(spark).agg(F.sum("rows")).first()[0] == 6
+    assert store.read(spark).count() == 5
+
+
+def test_bloom_filters():
+    import hashlib
+
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    made = stores.bloom_filter(keys[:1000])
+    assert all(stores.may_hold(made, [k]) for k in keys[:1000])
+    assert sum(stores.may_hold(made, [k]) for k in keys[1000:]) < 60
+    assert not stores.may_hold(stores.bloom_filter([]), keys) and not stores.may_hold(made, [])
 
 
 def test_annotation_job(spark, tmp_path):
@@ -187,8 +276,9 @@ class Failing:
         return rules.embed_words(batch)
 
 
-def test_failed_run_keeps_its_finished_rounds(spark, tmp_path, monkeypatch):
+def test_failed_run_goes_on_with_its_first_open_round(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "PAUSE", 0.0)
+    (tmp_path / "log").mkdir()
     texts = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "row_id long, text string")
     store = stores.embedding_store(str(tmp_path / "store"), "run")
     keys = texts.select(F.xxhash64(text_key(F.col("text"))).alias("h"), "text").collect()
@@ -197,7 +287,51 @@ def test_failed_run_keeps_its_finished_rounds(spark, tmp_path, monkeypatch):
         jobs.embed_texts(texts, Failing(last), store=store, round_rows=10)
     done = store.read(spark).count()
     assert 0 < done < 40
-    assert jobs.embed_texts(texts, rules.embed_words, store=store, round_rows=10).count() == 40
+    folders = [p for p in Path(store.root, "work").iterdir()]
+    assert len(folders) == 1 and folders[0].name.endswith("-of-4") and len(list(folders[0].glob("round=*"))) == 4
+    read = []
+    plain = jobs._Work.read
+    monkeypatch.setattr(jobs._Work, "read", lambda self, spark, i, schema: (read.append(i), plain(self, spark, i, schema))[1])
+    model = Logged(tmp_path / "log", rules.embed_words)
+    assert jobs.embed_texts(texts, model, store=store, round_rows=10).count() == 40
+    assert len(model.inputs()) == 40 - done
+    assert read[0] == 3 and not list(Path(store.root, "work").iterdir())
+    assert jobs.embed_texts(texts, Failing(last), store=store, round_rows=10).count() == 40
+
+
+def test_a_round_reads_its_own_files(spark, tmp_path):
+    store = stores.embedding_store(str(tmp_path / "store"), "run")
+    tasks = spark.range(500).select(text_key(F.col("id").cast("string")).alias("text_key"))
+    work = jobs._Work(store, "job", 5)
+    work.write(tasks)
+    parts = [work.read(spark, i, tasks.schema) for i in range(5)]
+    for i, part in enumerate(parts):
+        assert part.inputFiles() and all(f"/round={i}/" in f for f in part.inputFiles())
+    assert sum(p.count() for p in parts) == 500
+
+
+def test_failed_annotation_goes_on(spark, tmp_path, monkeypatch):
+    """Unclear answers of rounds that were done before a failure are asked again as well."""
+    (tmp_path / "log").mkdir()
+    store = stores.annotation_store(str(tmp_path / "store"), "run")
+    texts = texts_of(spark, *(f"text {i} a" for i in range(30)), "hm")
+    answer = lambda batch: ["hm" if "hm" in p.rpartition("TEXT")[2] else a for p, a in zip(batch, rules.answer_contains(batch))]
+    plain, calls = stores.Store.append, []
+
+    def failing(self, rows, **options):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("disk full")
+        return plain(self, rows, **options)
+
+    monkeypatch.setattr(stores.Store, "append", failing)
+    concepts = ["contains: a", "contains: 7"]
+    with pytest.raises(RuntimeError, match="disk full"):
+        jobs.annotate_texts_with_concepts(texts, concepts, answer, store=store, round_rows=12)
+    monkeypatch.undo()
+    got = jobs.annotate_texts_with_concepts(texts, concepts, answer, store=store, round_rows=12).collect()
+    want = {(i, c): None if t == "hm" else int(c.removeprefix("contains: ") in t) for i, t in texts.collect() for c in concepts}
+    assert {(r.row_id, r.concept): r.value for r in got} == want and len(got) == 62
 
 
 def test_prompt_files(spark, tmp_path):
