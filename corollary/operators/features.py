@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corollary.operators import ranking
-from corollary.session import BROADCAST_BYTES
+from corollary.session import BROADCAST_BYTES, cut_lineage
 
 #: Cells of one dense block inside a task (rows x neurons or dimensions).
 BLOCK_CELLS = 1 << 24
@@ -204,9 +204,20 @@ def neuron_table(spark: SparkSession, models: Sequence[FeatureModel]) -> DataFra
 
 
 def reconstruct(vectors: DataFrame, model: FeatureModel, *, row_id: str = "row_id", embedding: str = "embedding") -> DataFrame:
-    """``row_id, recon``: decoded activations plus the input bias, no shuffle."""
-    weights = _broadcast_all(vectors.sparkSession, model)
+    """``row_id, recon``: decoded activations plus the input bias.
+
+    No shuffle while the weights can be broadcast; a larger model is decoded in slices of the dimensions, which are
+    put together per row.
+    """
     kept = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(embedding).alias("_x"))
+    if not _fits(model):
+        slices = [
+            coded.mapInArrow(_slice_decoder(weights), "row_id long, at int, part array<double>")
+            for coded, weights in _sliced(kept, model)
+        ]
+        parts = F.array_sort(F.collect_list(F.struct("at", "part")))  # one for each slice of the dimensions
+        return ranking.union_all(slices).groupBy("row_id").agg(F.flatten(F.transform(parts, lambda p: p["part"])).alias("recon"))
+    weights = _broadcast_all(vectors.sparkSession, model)
 
     def decode(batches):
         for ids, x, index, values, parts in _forward_batches(batches, weights.value):
@@ -221,13 +232,64 @@ def reconstruct(vectors: DataFrame, model: FeatureModel, *, row_id: str = "row_i
     return kept.mapInArrow(decode, "row_id long, recon array<double>")
 
 
+def _fits(model: FeatureModel) -> bool:
+    return 16 * model.m * model.dim <= 4 * BROADCAST_BYTES
+
+
 def _broadcast_all(spark, model):
-    size = 16 * model.m * model.dim
-    if size > 4 * BROADCAST_BYTES:
-        raise ValueError(f"model of {size} bytes is above the broadcast bound")
-    return spark.sparkContext.broadcast(
-        (model.enc, model.dec, model.neuron_bias, model.input_bias, model.k)
-    )
+    return spark.sparkContext.broadcast((model.enc, model.dec, model.neuron_bias, model.input_bias, model.k))
+
+
+def _sliced(kept: DataFrame, model: FeatureModel) -> Iterator[tuple[DataFrame, object]]:
+    """Coded rows ``row_id, _x, code``, written once, with the decoder of one slice of the dimensions after another.
+
+    The code of a row is its at most K active features, found in neuron blocks. A slice of the
+    decoder has all neurons and as many dimensions as the broadcast bound allows.
+    """
+    acts = activations(kept, model, embedding="_x")
+    codes = acts.groupBy("row_id").agg(F.collect_list(F.struct("neuron_idx", "activation")).alias("code"))  # K at most
+    coded = cut_lineage(kept.join(codes, "row_id", "left"))
+    width = max(1, BROADCAST_BYTES // (8 * model.m))
+    for at in range(0, model.dim, width):
+        part = slice(at, at + width)
+        yield coded, kept.sparkSession.sparkContext.broadcast((at, model.dec[:, part], model.input_bias[part]))
+
+
+def _code_matrix(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and activations of each row's active features, filled up with an activation of zero."""
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    flat = column.flatten()
+    index, values = np.zeros((len(column), k), np.int64), np.zeros((len(column), k))
+    there = np.arange(k) < lengths[:, None]
+    index[there], values[there] = flat.field("neuron_idx").to_numpy(), flat.field("activation").to_numpy()
+    return index, values
+
+
+def _slice_forward(batches, weights) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    at, dec, _ = weights.value
+    for batch in batches:
+        k = max(1, int(np.asarray(batch.column("code").value_lengths().fill_null(0)).max(initial=0)))
+        step = max(1, BLOCK_CELLS // (k * dec.shape[1]))
+        for start in range(0, batch.num_rows, step):
+            piece = batch.slice(start, step)
+            yield piece, *_code_matrix(piece.column("code"), k)
+
+
+def _slice_decode(weights, index: np.ndarray, values: np.ndarray, end: int | None = None) -> np.ndarray:
+    _, dec, center = weights.value
+    kept = values if end is None else np.where(index < end, values, 0.0)
+    return np.einsum("rk,rkw->rw", kept, dec[index]) + center
+
+
+def _slice_decoder(weights):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, index, values in _slice_forward(batches, weights):
+            part = _slice_decode(weights, index, values)
+            lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), part.ravel())
+            at = pa.array(np.full(len(part), weights.value[0], np.int32))
+            yield pa.RecordBatch.from_arrays([piece.column("row_id"), at, lists], names=["row_id", "at", "part"])
+
+    return decode
 
 
 def _forward_batches(batches, parts):
@@ -253,29 +315,53 @@ def reconstruction_errors(
 ) -> DataFrame:
     """``prefix, normalized_mse`` for every prefix of the model (the whole model if none).
 
-    Squared error over the error of predicting the column mean. One pass; each task
-    emits one row of sums, which Spark adds up.
+    Squared error over the error of predicting the column mean. One pass, or one for each slice of the
+    dimensions of a model beyond the broadcast bound; each task emits one row of sums, which Spark adds up.
     """
-    weights = _broadcast_all(vectors.sparkSession, model)
     ends = list(model.prefixes or [model.m])
     kept = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(embedding).alias("_x"))
+    schema = "at int, n long, sx array<double>, sxx array<double>, sse array<double>"
 
-    def sums(batches):
-        n, sx, sxx, sse = 0, 0.0, 0.0, np.zeros(len(ends))
-        for _, x, index, values, parts in _forward_batches(batches, weights.value):
-            n += len(x)
-            sx = sx + x.sum(axis=0)
-            sxx = sxx + (x * x).sum(axis=0)
-            sse += [((_decode(parts, index, values, end) - x) ** 2).sum() for end in ends]
-        if n:
-            yield pa.RecordBatch.from_pydict(
-                {"n": [n], "sx": [sx.tolist()], "sxx": [sxx.tolist()], "sse": [sse.tolist()]}
-            )
+    def record(at, n, sx, sxx, sse):
+        return pa.RecordBatch.from_pydict(
+            {"at": pa.array([at], pa.int32()), "n": [n], "sx": [sx.tolist()], "sxx": [sxx.tolist()], "sse": [sse.tolist()]}
+        )
 
-    partial = kept.mapInArrow(sums, "n long, sx array<double>, sxx array<double>, sse array<double>")
+    def sums_of(weights):
+        def sums(batches):
+            n, sx, sxx, sse = 0, 0.0, 0.0, np.zeros(len(ends))
+            for _, x, index, values, parts in _forward_batches(batches, weights.value):
+                n += len(x)
+                sx = sx + x.sum(axis=0)
+                sxx = sxx + (x * x).sum(axis=0)
+                sse += [((_decode(parts, index, values, end) - x) ** 2).sum() for end in ends]
+            if n:
+                yield record(0, n, sx, sxx, sse)
+
+        return sums
+
+    def slice_sums_of(weights):
+        def sums(batches):
+            at, dec, _ = weights.value
+            n, sx, sxx, sse = 0, 0.0, 0.0, np.zeros(len(ends))
+            for piece, index, values in _slice_forward(batches, weights):
+                x = matrix_of(piece.column("_x"))[:, at : at + dec.shape[1]]
+                n += len(x)
+                sx = sx + x.sum(axis=0)
+                sxx = sxx + (x * x).sum(axis=0)
+                sse += [((_slice_decode(weights, index, values, end) - x) ** 2).sum() for end in ends]
+            if n:
+                yield record(at, n, sx, sxx, sse)
+
+        return sums
+
+    if _fits(model):
+        partial = kept.mapInArrow(sums_of(_broadcast_all(vectors.sparkSession, model)), schema)
+    else:
+        partial = ranking.union_all([coded.mapInArrow(slice_sums_of(w), schema) for coded, w in _sliced(kept, model)])
     per_dim = (
-        partial.select("n", F.posexplode(F.arrays_zip("sx", "sxx")))
-        .groupBy("pos")
+        partial.select("at", "n", F.posexplode(F.arrays_zip("sx", "sxx")))
+        .groupBy((F.col("at") + F.col("pos")).alias("dim"))
         .agg(F.sum("n").alias("n"), F.sum("col.sx").alias("sx"), F.sum("col.sxx").alias("sxx"))
     )
     baseline = per_dim.agg(F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")))

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from corollary.session import collect_dimension
 
 #: Random positions are 52-bit integers: exact in a double and in a bigint.
 HASH_RANGE = 1 << 52
+#: Bits by which the levels of running totals differ.
+LEVEL_BITS = 16
 
 
 def hash_position(purpose: str, seed, *parts: Column) -> Column:
@@ -101,32 +106,49 @@ def hash_sample(df: DataFrame, n: int, seed, row_id: str = "row_id") -> DataFram
     return marked.filter(at_or_before(F.col("_pos"), F.col(row_id), cut)).drop("_pos")
 
 
-def running_totals(df: DataFrame, value: str, sums: list[str], rows_per_slice: int = 200_000) -> DataFrame:
+@arrow_udf(T.LongType())
+def _in_order(column: pa.Array) -> pa.Array:
+    """Whole numbers in the order of doubles: the bits of a number, turned round below zero."""
+    bits = (column.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return pa.array(bits ^ ((bits >> np.int64(63)) & np.int64((1 << 63) - 1)))
+
+
+def running_totals(df: DataFrame, value: str, sums: list[str], leaf: int = 200_000) -> DataFrame:
     """Add ``above_<s>``: the sum of ``s`` over rows with a larger ``value``.
 
-    ``df`` must hold one row per distinct ``value``. The rows are cut into slices of the
-    value's range, each ranked by itself; the slice totals (at most 4,096 rows) carry
-    the sums across slices.
+    ``df`` must hold one row per distinct ``value``; NULL counts as the smallest. Groups of at most ``leaf`` rows are ranked by
+    themselves. As long as there are larger ones, values are grouped by 16 further bits of a 64-bit number in the same order, and a
+    group gets what is above it from the level before, where it is one of at most 65,536.
     """
-    slices = min(4096, max(1, df.count() // rows_per_slice))
-    before = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    if slices == 1:  # at most 2 * rows_per_slice rows
-        return df.select("*", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"above_{s}") for s in sums])
-    probs = F.lit([i / slices for i in range(1, slices)])
-    cuts = df.agg(F.percentile_approx(value, probs, 10_000)).first()[0]
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-    df = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(df)
-    totals = df.groupBy("_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    over = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        "_slice", *[F.coalesce(F.sum(f"_{s}").over(over), F.lit(0)).alias(f"_base_{s}") for s in sums]
-    )
-    inside = Window.partitionBy("_slice").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(F.broadcast(totals), "_slice")
-    above = [
-        (F.col(f"_base_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"above_{s}") for s in sums
-    ]
-    return joined.select(*[c for c in df.columns if c != "_slice"], *above)
+    depth, largest = 0, df.count()
+    if largest > leaf:
+        missing = F.when(F.col(value).isNull(), F.lit(-(1 << 63))).when(F.isnan(value), F.lit((1 << 63) - 1))
+        df_rows = df.withColumn("_at", F.coalesce(missing, _in_order(F.coalesce(F.col(value), F.lit(0.0)))))
+        while largest > leaf and depth < 64 // LEVEL_BITS - 1:
+            depth += 1
+            largest = df_rows.groupBy(_upper("_at", depth)).count().agg(F.max("count")).first()[0]
+    upwards = lambda order, *by: Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda s, over: F.coalesce(F.sum(s).over(over), F.lit(0))
+    if not depth:
+        return df.select("*", *(above(s, upwards(value)).alias(f"above_{s}") for s in sums))
+    levels = [df_rows.withColumn("_level", _upper("_at", depth)).drop("_at")]
+    for level in range(depth, 0, -1):
+        totals = levels[0].groupBy("_level").agg(*(F.sum(s).alias(s) for s in sums))
+        up = F.shiftright("_level", LEVEL_BITS) if level > 1 else F.lit(0).cast("long")
+        levels.insert(0, totals.select(up.alias("_level"), F.col("_level").alias("_own"), *sums))
+    base = None
+    for own in levels:
+        order = "_own" if "_own" in own.columns else value
+        ranked = own.withColumns({f"_above_{s}": above(s, upwards(order, "_level")) for s in sums})
+        if base is not None:
+            ranked = ranked.join(base, "_level").withColumns({f"_above_{s}": F.col(f"_above_{s}") + F.col(f"_base_{s}") for s in sums})
+        if order == "_own":
+            base = ranked.select(F.col("_own").alias("_level"), *(F.col(f"_above_{s}").alias(f"_base_{s}") for s in sums))
+    return ranked.select(*df.columns, *(F.col(f"_above_{s}").alias(f"above_{s}") for s in sums))
+
+
+def _upper(column: str, levels: int) -> Column:
+    return F.shiftright(column, 64 - LEVEL_BITS * levels)
 
 
 def order_statistics(

@@ -101,6 +101,22 @@ def test_errors_and_reconstruction(spark, data):
     assert np.isclose(features.matryoshka_error(vectors, model).first()[0], np.mean(want))
 
 
+@pytest.mark.parametrize("bound", [280, 100, 1])
+def test_models_beyond_the_broadcast_bound(spark, data, monkeypatch, bound):
+    model = random_model(prefixes=[4, 12])
+    model.neuron_bias[:] -= 1.5  # some rows without an active feature
+    vectors = vectors_of(spark, data)
+    whole = {r.row_id: r.recon for r in features.reconstruct(vectors, model).collect()}
+    errors = sorted(tuple(r) for r in features.reconstruction_errors(vectors, model).collect())
+    nested = features.matryoshka_error(vectors, model).first()[0]
+    monkeypatch.setattr(features, "BROADCAST_BYTES", bound)
+    assert not features._fits(model) and len(set(features.activations(vectors, model).select("row_id").collect())) < 70
+    got = {r.row_id: r.recon for r in features.reconstruct(vectors, model).collect()}
+    assert got.keys() == whole.keys() and np.allclose([got[i] for i in whole], [whole[i] for i in whole], atol=1e-12)
+    assert np.allclose(sorted(tuple(r) for r in features.reconstruction_errors(vectors, model).collect()), errors, atol=1e-12)
+    assert np.isclose(features.matryoshka_error(vectors, model).first()[0], nested)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 @pytest.mark.parametrize("n", [7, 8, 69])
 def test_lower_median(spark, data, n, kind):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pandas as pd
@@ -138,15 +139,21 @@ def test_top_n_with_salt(spark):
     assert [r.id for r in large.orderBy("rank").collect()] == want[:1500]
 
 
-def test_running_totals_across_slices(spark):
-    rng = np.random.default_rng(0)
-    values = np.unique(rng.normal(size=500).round(3))
-    frame = pd.DataFrame({"v": values, "w": rng.integers(1, 9, len(values)).astype(float)})
-    df = spark.createDataFrame(frame)
-    for rows in (10_000, 20):
-        got = ranking.running_totals(df, "v", ["w"], rows_per_slice=rows).toPandas().sort_values("v")
-        want = frame.w.sum() - frame.w.cumsum()
-        assert np.allclose(got.above_w, want)
+@pytest.mark.parametrize("leaf", [10_000, 30, 1])
+def test_running_totals(spark, leaf):
+    """Values of all magnitudes and signs, without levels, with two and with as many as there are."""
+    rng = random.Random(2)
+    values = {rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-300, 300) for _ in range(500)}
+    values |= {0.0, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52, -5e-324, 5e-324} | {rng.random() for _ in range(300)}
+    rows = [(v, rng.randrange(1, 9), rng.random()) for v in values]
+    got = ranking.running_totals(spark.createDataFrame(rows, "v double, w long, x double").repartition(5), "v", ["w", "x"], leaf).collect()
+    assert len(got) == len(rows)
+    above, above_x = 0, 0.0
+    for r in sorted(got, key=lambda r: -r.v):
+        assert (r.above_w, round(r.above_x, 6)) == (above, round(above_x, 6))
+        above, above_x = above + r.w, above_x + r.x
+    odd = spark.createDataFrame([(None, 1), (float("nan"), 2), (3.0, 4)], "v double, w long")
+    assert sorted((str(r.v), r.above_w) for r in ranking.running_totals(odd, "v", ["w"], leaf).collect()) == [("3.0", 2), ("None", 6), ("nan", 0)]
 
 
 @pytest.mark.parametrize("leaf", [1_000_000, 10])
