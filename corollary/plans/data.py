@@ -39,6 +39,13 @@ def vectors(spark, sf) -> DataFrame:
     )
 
 
+def documents_with_vectors(spark, sf) -> DataFrame:
+    """``row_id, text, embedding, y`` of all documents; where there are fewer vectors, documents take them in turn."""
+    given = vectors(spark, sf).withColumnRenamed("row_id", "vec_id")
+    turn = F.pmod("row_id", F.lit(given.count())).alias("vec_id")
+    return texts(spark, sf).select("*", turn).join(given, "vec_id").drop("vec_id")
+
+
 def quality(spark, sf) -> DataFrame:
     """``row_id, y``: the binary target of the labelled documents."""
     return table(spark, sf, "labels").select(
@@ -156,6 +163,12 @@ neurons AS (SELECT DISTINCT neuron_idx FROM enc_small)"""
 )
 
 
+#: The same as :func:`documents_with_vectors`, and the activations of all documents.
+DOCS_SQL = """documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)"""
+ACT_DOCS_SQL = "act_docs AS (SELECT v.row_id, neuron_idx, activation FROM doc_vectors v JOIN act ON act.row_id = vec_id)"
+ACT_DOCS = f"doc_vectors AS (SELECT doc_id AS row_id, text, vec_id, label::DOUBLE AS y FROM {DOCS_SQL}), {ACT_DOCS_SQL}"
+
+
 def sql_strip(x: str) -> str:
     return rf"regexp_replace({x}, '\A{BLANK}+|{BLANK}+\z', '', 'g')"
 

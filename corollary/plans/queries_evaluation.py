@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from corollary.operators import evaluation, features, fidelity, relational, sampling
 from corollary.plans.data import (
     CONCEPTS,
+    ACT_DOCS,
     MODEL_SQL,
+    documents_with_vectors,
     centroid_model,
     keyword_annotations,
     lengths,
@@ -19,7 +21,7 @@ from corollary.plans.data import (
     sql_student,
     table,
 )
-from corollary.plans.queries_features import ACT_DOCS, documents_with_vectors, top_zero_sql
+from corollary.plans.queries_features import top_zero_sql
 from corollary.plans.queries_text import DOCUMENT_PAIRS_SQL, document_pairs
 from corollary.plans.registry import q6, query, r6
 from corollary.plans.rules import CONTAINS, answer_contains

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corollary.operators import features, ranking, relational, sampling, selection, training
 from corollary.plans.data import (
+    ACT_DOCS,
     MODEL_SQL,
     centroid_model,
+    documents_with_vectors,
     small_activations,
     small_neurons,
     sql_draw_order,
@@ -696,12 +698,6 @@ def n7_class_count(spark, sf):
 # --- sampling ---------------------------------------------------------------------------
 
 N_EXAMPLES, MAX_WORDS = 16, 256
-SAMPLED = "doc_vectors AS (SELECT doc_id AS row_id, text FROM documents JOIN embeddings ON doc_id = vec_id)"
-
-
-def documents_with_vectors(spark, sf):
-    """``row_id, text, embedding, y`` of documents that have a vector."""
-    return texts(spark, sf).join(vectors(spark, sf), "row_id")
 
 
 def _zero_sql(half: int, seed: int = SEED, rows: str = "doc_vectors") -> str:
@@ -714,9 +710,6 @@ zeros AS (SELECT neuron_idx, row_id FROM (
   WHERE r <= {half})"""
 
 
-ACT_DOCS = f"{SAMPLED}, act_docs AS (SELECT act.* FROM act JOIN doc_vectors USING (row_id))"
-
-
 def top_zero_sql(half: int, max_words: int | None, seed: int = SEED, name: str = "examples") -> str:
     text = sql_truncate("text", words=max_words) if max_words else "text"
     return f"""{_zero_sql(half, seed).replace('zeros AS', f'zeros_{name} AS')},

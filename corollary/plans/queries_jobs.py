@@ -13,7 +13,11 @@ from corollary.plans.data import (
     CONCEPTS,
     K_LARGE,
     K_SMALL,
+    ACT_DOCS,
+    ACT_DOCS_SQL,
+    DOCS_SQL,
     MODEL_SQL,
+    documents_with_vectors,
     WORDS,
     centroid_model,
     lengths,
@@ -38,10 +42,8 @@ from corollary.plans.queries_evaluation import (
     shown_hypotheses,
 )
 from corollary.plans.queries_features import (
-    ACT_DOCS,
     CORRELATION_SQL,
     DENSE_SQL,
-    documents_with_vectors,
     top_zero_sql,
     weakest_positives,
 )
@@ -175,9 +177,9 @@ def g1_two_models(spark, sf):
 N_CHOSEN, N_SCORED = 5, 20
 LABELLED_SQL = f"""
 {MODEL_SQL.replace("targets AS (SELECT vec_id AS row_id, label::DOUBLE AS y FROM embeddings)",
-                   "targets AS (SELECT doc_id AS row_id, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id)")},
-doc_vectors AS (SELECT doc_id AS row_id, text FROM documents JOIN targets ON row_id = doc_id),
-act_docs AS (SELECT act.* FROM act JOIN doc_vectors USING (row_id))"""
+                   "targets AS (SELECT doc_id AS row_id, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id))")},
+doc_vectors AS (SELECT doc_id AS row_id, text, vec_id FROM {DOCS_SQL} JOIN targets ON row_id = doc_id),
+{ACT_DOCS_SQL}"""
 
 
 @query(
@@ -237,10 +239,10 @@ def g4_pairs_evaluate(spark, sf):
 @query(
     "g4_pairs_generate",
     f"""WITH {MODEL_SQL}, {ACT_DOCS},
-    paired AS (SELECT row_id, y FROM targets JOIN doc_vectors USING (row_id)),
+    paired AS (SELECT row_id, y FROM doc_vectors),
     pairs AS ({sql_pairs('paired', 'row_id', 'y')}),
-    za AS (SELECT pair_id, neuron_idx, activation AS v FROM pairs JOIN act ON row_id = row_a
-      UNION ALL SELECT pair_id, neuron_idx, -activation FROM pairs JOIN act ON row_id = row_b),
+    za AS (SELECT pair_id, neuron_idx, activation AS v FROM pairs JOIN act_docs ON row_id = row_a
+      UNION ALL SELECT pair_id, neuron_idx, -activation FROM pairs JOIN act_docs ON row_id = row_b),
     diff AS (SELECT pair_id, neuron_idx, sum(v) AS activation FROM za GROUP BY 1, 2),
     cells AS (SELECT neuron_idx, pair_id, y FROM neurons, pairs),
     dense AS (SELECT c.neuron_idx, c.pair_id AS row_id, y, coalesce(activation, 0.0::DOUBLE) AS a

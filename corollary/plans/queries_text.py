@@ -10,7 +10,9 @@ from corollary.operators import jobs, ranking, relational
 from corollary.plans import rules
 from corollary.plans.data import (
     CONCEPTS,
+    DOCS_SQL,
     MODEL_SQL,
+    documents_with_vectors,
     WORDS,
     centroid_model,
     keyword_annotations,
@@ -351,20 +353,15 @@ def j2_cached_tasks(spark, sf):
 
 @query(
     "j3_lookup_vectors",
-    f"""WITH known AS (SELECT text, arg_min(embedding, vec_id) AS embedding FROM documents
-          JOIN embeddings ON doc_id = vec_id GROUP BY text)
+    f"""WITH known AS (SELECT text, arg_min(embedding, doc_id) AS embedding FROM {DOCS_SQL} GROUP BY text)
         SELECT doc_id AS row_id, {q6('embedding[1]')} AS first, {q6('embedding[64]')} AS last, len(embedding)::INTEGER AS dim
         FROM documents JOIN known USING (text)""",
 )
 def j3_lookup_vectors(spark, sf):
-    pairs = texts(spark, sf).join(vectors(spark, sf), "row_id")
-    store = pairs.groupBy(text.text_key(F.col("text")).alias("text_key")).agg(
+    store = documents_with_vectors(spark, sf).groupBy(text.text_key(F.col("text")).alias("text_key")).agg(
         F.min_by("embedding", "row_id").alias("embedding")
     )
-    with_vector = texts(spark, sf).withColumn("text_key", text.text_key(F.col("text"))).join(
-        store.select("text_key"), "text_key", "left_semi"
-    )
-    found = relational.lookup_vectors(with_vector.select("row_id", "text"), store)
+    found = relational.lookup_vectors(texts(spark, sf), store)
     return found.select(
         "row_id",
         r6(F.col("embedding")[0]).alias("first"),
