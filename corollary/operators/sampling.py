@@ -40,40 +40,59 @@ def zero_rows(acts: DataFrame, rows: DataFrame, neurons: Sequence[int], n: int,
     """``neuron_idx, row_id``: ``n`` random rows per neuron on which it is exactly zero.
 
     Rows × neurons is never formed. For each neuron only rows in a short window of
-    positions, expected to hold a few more zero rows than needed, become candidates; a
-    neuron whose window proves short is searched again over all rows.
+    positions, expected to hold a few more zero rows than needed, become candidates; where a window
+    proves short it is made four times as wide. A neuron with so few zero rows that its window
+    would hold more rows than it has zero rows gets all of those from the rows' lists of active neurons. Either way
+    a neuron has about sqrt(n * rows) candidates at most.
     """
     neurons = list(dict.fromkeys(int(i) for i in neurons))
+    nothing = rows.select(F.lit(0).alias("neuron_idx"), "row_id").filter(F.lit(False))
     if not neurons or n <= 0:
-        return rows.select(F.lit(0).alias("neuron_idx"), "row_id").filter(F.lit(False))
+        return nothing
     mine = acts.filter(F.col("neuron_idx").isin(neurons)).select("neuron_idx", "row_id")
     active = {r[0]: r[1] for r in mine.groupBy("neuron_idx").count().collect()}
     total = rows.count()
-    narrow, everywhere = {}, {}
+    shares, wanted, dense = {}, {}, []
     for i in neurons:
         zeros = total - active.get(i, 0)
-        wanted = min(n, zeros)
-        drawn = wanted + 6 * math.sqrt(wanted) + 10
         if zeros <= 0:
             continue
-        (narrow if drawn < zeros else everywhere)[i] = (wanted, min(1.0, drawn / zeros))
+        wanted[i] = min(n, zeros)
+        drawn = wanted[i] + 6 * math.sqrt(wanted[i]) + 10
+        if drawn * total > zeros * zeros:
+            dense.append(i)
+        else:
+            shares[i] = drawn / zeros
     frames = []
-    if narrow:
-        shares = {i: share for i, (_, share) in narrow.items()}
+    while shares:
         # at most n rows per neuron; written down because they are counted and then used
-        found = cut_lineage(_zero_rows_in_windows(mine, rows, shares, n, seed, few=True))
+        found = cut_lineage(_zero_rows_in_windows(mine, rows, shares, n, seed, total))
         counts = {r[0]: r[1] for r in found.groupBy("neuron_idx").count().collect()}
-        short = [i for i, (wanted, _) in narrow.items() if counts.get(i, 0) < wanted]
+        short = [i for i in shares if counts.get(i, 0) < wanted[i]]
         frames.append(found.filter(~F.col("neuron_idx").isin(short)) if short else found)
-        everywhere.update({i: (n, 1.0) for i in short})
-    if everywhere:
-        frames.append(_zero_rows_in_windows(mine, rows, dict.fromkeys(everywhere, 1.0), n, seed, few=False))
-    if not frames:
-        return rows.select(F.lit(0).alias("neuron_idx"), "row_id").filter(F.lit(False))
-    return ranking.union_all(frames)
+        shares = {i: min(1.0, 4 * shares[i]) for i in short}
+    if dense:
+        offset = draw_order(seed, F.col("neuron_idx"), F.col("row_id"))
+        frames.append(
+            ranking.top_n_per_group(
+                all_zero_rows(mine, rows, dense).withColumn("offset", offset), ["neuron_idx"], [F.asc("offset"), F.asc("row_id")], n, salt_on="row_id"
+            ).select("neuron_idx", "row_id")
+        )
+    return ranking.union_all(frames) if frames else nothing
+
+
+def all_zero_rows(acts: DataFrame, rows: DataFrame, neurons: Sequence[int]) -> DataFrame:
+    """``neuron_idx, row_id`` of all zero rows of some neurons: what is missing in each row's list of active ones.
+
+    For neurons that are active on most rows, of which a model with K features a row has few.
+    """
+    active = acts.filter(F.col("neuron_idx").isin(list(neurons))).groupBy("row_id").agg(F.collect_set("neuron_idx").alias("_active"))  # K at most
+    missing = F.array_except(F.lit(list(neurons)), F.coalesce("_active", F.array().cast("array<int>")))
+    lists = rows.select("row_id").join(active, "row_id", "left").select("row_id", missing.alias("_missing")).filter(F.size("_missing") > 0)
+    return lists.select(F.explode("_missing").alias("neuron_idx"), "row_id")
 
 
-def _zero_rows_in_windows(mine, rows, shares: dict[int, float], n: int, seed, *, few: bool) -> DataFrame:
+def _zero_rows_in_windows(mine, rows, shares: dict[int, float], n: int, seed, total: int) -> DataFrame:
     bits = min(MAX_SLICE_BITS, int(math.log2(1.0 / max(shares.values()))))
     shift = POSITION_BITS - bits
     windows = []
@@ -93,7 +112,7 @@ def _zero_rows_in_windows(mine, rows, shares: dict[int, float], n: int, seed, *,
         .select("neuron_idx", "row_id", "offset")
     )
     taken = mine
-    if few and len(shares) * (n + 6 * math.sqrt(n) + 10) <= BROADCAST_EXAMPLES:
+    if 2 * sum(shares.values()) * total <= BROADCAST_EXAMPLES:
         # a few rows per neuron: find their activations without shuffling the rest
         taken = mine.join(F.broadcast(candidates.select("neuron_idx", "row_id")), ["neuron_idx", "row_id"], "left_semi")
     zeros = candidates.join(taken, ["neuron_idx", "row_id"], "left_anti")

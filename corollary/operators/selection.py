@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corollary.operators import ranking, sampling
-from corollary.session import collect_dimension, ensure_checkpoint_dir
+from corollary.session import collect_dimension, cut_lineage, ensure_checkpoint_dir
 
 #: Scores are compared after rounding to so many digits below the largest, so that summation order
 #: cannot reorder ties.
@@ -24,8 +24,8 @@ RANK_DIGITS = 9
 NONZERO = 1e-8
 # The bounds and length of the regularization search
 ALPHA_LOW, ALPHA_HIGH, ALPHA_FITS = 1e-6, 1e4, 20
-#: Extra rows read by id order when thin features need zero rows.
-PAD_ROWS = 10_000
+#: Extra rows read by id order when thin features need zero rows, and rows that are read for that at most.
+PAD_ROWS, WIDEST = 10_000, 10_000_000
 
 
 def with_target(acts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -138,6 +138,7 @@ def separation_scores(
             "neuron_idx",
             (F.lit(n_top_activating) - F.col("n_pos")).alias("need"),
             (F.col("n_active") - F.col("n_pos")).alias("n_neg"),
+            "n_zero",
         )
     )
     if thin:
@@ -172,30 +173,58 @@ def _lowest_zero_rows(acts: DataFrame, targets: DataFrame, thin: list, n_top: in
 
     Among the first ``n_top + q`` rows by id a feature with ``q`` negatives and fewer
     than ``n_top`` positives has all the zero rows it needs, so those few rows suffice.
-    Features with very many negatives take the full, fully distributed search instead.
     """
-    wide = [r for r in thin if r["n_neg"] > PAD_ROWS]
+    rows = targets.select("row_id", F.col("y").cast("double").alias("y"))
     few = [r for r in thin if r["n_neg"] <= PAD_ROWS]
+    wide = [r for r in thin if r["n_neg"] > PAD_ROWS]
     frames = []
-    for group, bounded in ((few, True), (wide, False)):
-        if not group:
-            continue
-        rows = targets.select("row_id", F.col("y").cast("double").alias("y"))
-        indices = [r["neuron_idx"] for r in group]
-        mine = acts.filter(F.col("neuron_idx").isin(indices)).select("neuron_idx", "row_id")
-        if bounded:
-            rows = rows.orderBy("row_id").limit(n_top + max(r["n_neg"] for r in group))
-            mine = mine.join(F.broadcast(rows.select("row_id")), "row_id", "left_semi")
-        needs = acts.sparkSession.createDataFrame([(r["neuron_idx"], r["need"]) for r in group], "neuron_idx int, need long")
-        zeros = rows.withColumn("neuron_idx", F.explode(F.lit(indices))).join(
-            mine, ["neuron_idx", "row_id"], "left_anti"
-        )
-        frames.append(
-            ranking.top_n_per_group(zeros, ["neuron_idx"], [F.asc("row_id")], n_top, salt_on="row_id")
-            .join(F.broadcast(needs), "neuron_idx")
-            .filter(F.col("rank") <= F.col("need"))
-            .select("neuron_idx", "y")
-        )
+    if few:
+        first = rows.orderBy("row_id").limit(n_top + max(r["n_neg"] for r in few))
+        zeros = _zero_rows_among(acts, first, [r["neuron_idx"] for r in few], n_top)
+        needs = acts.sparkSession.createDataFrame([(r["neuron_idx"], r["need"]) for r in few], "neuron_idx int, need long")
+        frames.append(zeros.join(F.broadcast(needs), "neuron_idx").filter(F.col("rank") <= F.col("need")).select("neuron_idx", "y"))
+    if wide:
+        frames.append(_zero_rows_of_wide(acts, rows, wide, n_top))
+    return ranking.union_all(frames)
+
+
+def _zero_rows_among(acts: DataFrame, first: DataFrame, neurons: list[int], n_top: int) -> DataFrame:
+    """``neuron_idx, row_id, y, rank`` of the zero rows among a few rows, lowest first."""
+    ids = first.select("row_id")
+    mine = acts.filter(F.col("neuron_idx").isin(neurons)).select("neuron_idx", "row_id")
+    mine = mine.join(F.broadcast(ids), "row_id", "left_semi")
+    zeros = first.withColumn("neuron_idx", F.explode(F.lit(neurons))).join(mine, ["neuron_idx", "row_id"], "left_anti")
+    return ranking.top_n_per_group(zeros, ["neuron_idx"], [F.asc("row_id")], n_top, salt_on="row_id")
+
+
+def _zero_rows_of_wide(acts: DataFrame, rows: DataFrame, wide: list, n_top: int) -> DataFrame:
+    """The same for features with very many negatives.
+
+    The first rows by id are searched, eight times as many each time, until a feature has what it needs. One that still
+    lacks some when that is ``WIDEST`` rows, or more than its zero rows, gets those from the rows' lists of
+    active features, so rows × features is never formed.
+    """
+    frames, opened, reach = [], {r["neuron_idx"]: r for r in wide}, n_top + PAD_ROWS
+    while opened:
+        need = {i: min(r["need"], r["n_zero"]) for i, r in opened.items()}
+        listed = [i for i, r in opened.items() if reach > min(WIDEST, r["n_zero"])]
+        near = [i for i in opened if i not in listed]
+        found = []
+        if near:
+            found.append(_zero_rows_among(acts, rows.orderBy("row_id").limit(reach), near, n_top).select("neuron_idx", "row_id", "y", "rank"))
+        if listed:
+            zeros = sampling.all_zero_rows(acts, rows, listed)
+            lowest = ranking.top_n_per_group(zeros, ["neuron_idx"], [F.asc("row_id")], n_top, salt_on="row_id")
+            found.append(rows.join(F.broadcast(lowest), "row_id").select("neuron_idx", "row_id", "y", "rank"))
+        # at most n_top rows per feature; written down because they are counted and then used
+        zeros = cut_lineage(ranking.union_all(found))
+        counts = {r[0]: r[1] for r in zeros.groupBy("neuron_idx").count().collect()}
+        done = [i for i in opened if i in listed or counts.get(i, 0) >= need[i]]
+        if done:
+            needs = acts.sparkSession.createDataFrame([(i, need[i]) for i in done], "neuron_idx int, need long")
+            frames.append(zeros.join(F.broadcast(needs), "neuron_idx").filter(F.col("rank") <= F.col("need")).select("neuron_idx", "y"))
+        opened = {i: r for i, r in opened.items() if i not in done}
+        reach *= 8
     return ranking.union_all(frames)
 
 

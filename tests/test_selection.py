@@ -67,14 +67,15 @@ def separation(dense, y, n_top):
 
 
 @pytest.mark.parametrize("n_top", [3, 40, 90, 200])
-@pytest.mark.parametrize("pad_rows", [10_000, 0])
-def test_separation_with_padding_and_negatives(spark, sparse_data, monkeypatch, n_top, pad_rows):
+@pytest.mark.parametrize("pad_rows, widest", [(10_000, 10_000_000), (0, 10_000_000), (0, 20)])
+def test_separation_with_padding_and_negatives(spark, sparse_data, monkeypatch, n_top, pad_rows, widest):
     dense, y = sparse_data
     signed = dense.copy()
     signed[::3, 2] = -np.abs(signed[::3, 3]) - 0.1  # negatives on a third of the rows
     signed[:, 4] = np.where(signed[:, 4] == 0, -0.5, signed[:, 4])  # no zero rows at all
     acts, targets, neurons = tables(spark, signed, y)
     monkeypatch.setattr(selection, "PAD_ROWS", pad_rows)
+    monkeypatch.setattr(selection, "WIDEST", widest)
     got = scores_of(selection.separation_scores(acts, targets, neurons, n_top_activating=n_top))
     for j, want in separation(signed, y, n_top).items():
         assert (got[j] is None) if want is None else np.isclose(got[j], want), j
@@ -175,21 +176,38 @@ def test_zero_rows(spark, monkeypatch, force):
     original = sampling._zero_rows_in_windows
     calls = []
 
-    def watch(mine, rows, shares, n, seed, *, few):
-        calls.append(few)
-        if force == "window too short" and few:
-            shares = {i: s / 50 for i, s in shares.items()}
-        return original(mine, rows, shares, n, seed, few=few)
+    def watch(mine, rows, shares, *options):
+        calls.append(dict(shares))
+        if force == "window too short" and len(calls) < 3:
+            shares = {i: s / 100 for i, s in shares.items()}
+        return original(mine, rows, shares, *options)
 
     monkeypatch.setattr(sampling, "_zero_rows_in_windows", watch)
     n = 600 if force == "all rows" else 8
     found = sampling.zero_rows(acts, targets, [0, 1, 2, 3], n, 11).collect()
     for j in range(4):
         assert {r.row_id for r in found if r.neuron_idx == j} == expected_zero_rows(dense, j, n, 11)
-    assert len(calls) == {"as planned": 1, "window too short": 2, "all rows": 2}[force]
+    assert [sorted(c) for c in calls] == {"as planned": [[0, 1]], "window too short": [[0, 1]] * 3, "all rows": [[0]]}[force]
+    if force == "window too short":
+        assert calls[2][0] == min(1.0, 16 * calls[0][0])
     assert sampling.zero_rows(acts, targets, [], 5, 1).count() == 0
 
 
+def test_a_feature_that_is_nearly_always_active(spark, monkeypatch):
+    """Its few zero rows are listed; no row is repeated for it."""
+    dense = np.ones((3000, 2))
+    dense[[5, 70, 2999], 0] = 0.0
+    dense[::2, 1] = 0.0
+    acts, targets, _ = tables(spark, dense, np.zeros(3000))
+    monkeypatch.setattr(sampling, "_zero_rows_in_windows", None)  # would fail
+    assert {r.row_id for r in sampling.zero_rows(acts, targets, [0], 8, 1).collect()} == {5, 70, 2999}
+    listed = sampling.all_zero_rows(acts, targets, [0])
+    assert listed.count() == 3
+    shown = listed._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in shown and "Cartesian" not in shown
+    assert shown.index("Generate") < shown.index("Filter (size")  # rows without a missing feature end before the list is spread
+
+
 def test_top_zero_with_few_of_each(spark):
     dense = np.array([[3.0, 0.0], [2.0, 1.0], [0.0, 1.0], [1.0, 1.0]])
     acts, _, _ = tables(spark, dense, np.zeros(4))
