@@ -7,18 +7,13 @@ row, so no statistic shuffles more than its sums.
 
 from __future__ import annotations
 
-import re
 import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel, TaskContext
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +23,10 @@ from corollary.session import collect_dimension
 
 #: Groups in which matrices of sums are added, round by round.
 ADDED_BY = (64, 1)
-#: Distinct annotation vectors one task of a logistic fit reads.
-CELLS_PER_TASK = 100_000
-#: What the solver says of a fit without a finite solution; all other failures are raised.
-NO_SOLUTION = "SingularMatrix|not positive definite|assertion failed|IllegalArgument|NaN|Infinity"
-#: Steps of the logistic fit, and the standard error above which it counts as separated.
-FIT_STEPS, LARGEST_ERROR = 35, 1e3
+#: Bytes of matrices that the driver adds up itself.
+COLLECT_BYTES = 64 << 20
+#: Steps of the logistic fit and halvings of one, and the standard error above which it counts as separated.
+FIT_STEPS, HALVINGS, LARGEST_ERROR = 35, 20, 1e3
 
 
 def concept_columns(concepts: Sequence[str]) -> list[str]:
@@ -119,35 +112,53 @@ def with_t_pvalue(stats: DataFrame, name: str = "separation_pval") -> DataFrame:
     return stats.withColumn(name, tail("t", "df")).withColumn(name, F.nanvl(name, F.lit(None)))
 
 
+def _added_up(parts: DataFrame, shape: tuple[int, ...], tasks: int | None = None) -> np.ndarray | None:
+    """Sum of one ``part, sums`` record per task; added in two rounds, so that no task and not the driver receives
+    more than a bounded number of matrices or their share of all. None without records. Where the ``tasks`` are known to be few
+    and their matrices small, the driver adds them up."""
+    if tasks is not None and tasks <= ADDED_BY[0] and tasks * 8 * int(np.prod(shape)) <= COLLECT_BYTES:
+        records = parts.toArrow().sort_by("part").column("sums")
+        return sum(np.frombuffer(raw.as_buffer()) for raw in records).reshape(shape) if len(records) else None
+
+    def add(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("part")
+        total = np.zeros(int(np.prod(shape)))
+        for raw in ordered.column("sums"):
+            total += np.frombuffer(raw.as_buffer())
+        return pa.table({"part": ordered.column("part").slice(0, 1), "sums": [total.tobytes()]})
+
+    for groups in ADDED_BY:
+        parts = parts.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(add, "part int, sums binary")
+    found = parts.first()
+    return np.frombuffer(found["sums"]).reshape(shape) if found else None
+
+
+def _with_ones(batch: pa.RecordBatch, columns: int) -> np.ndarray:
+    return np.column_stack([np.ones(batch.num_rows)] + [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
+
+
+def _record(total: np.ndarray) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [total.tobytes()]})
+
+
 def cross_products(design: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray]:
     """Row count and matrix of sums of products of ``1`` and the given columns.
 
-    Each task multiplies its Arrow batches and emits one matrix; Spark adds them in two
-    rounds, so no task and not the driver receives more than a bounded number of matrices or
-    their share of all.
+    Each task multiplies its Arrow batches and emits one matrix.
     """
     width = len(columns) + 1
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            x = np.column_stack([np.ones(batch.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = _with_ones(batch, width - 1)
             total += x.T @ x
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [total.tobytes()]})
-
-    def add(group: pa.Table) -> pa.Table:
-        ordered = group.sort_by("part")
-        total = np.zeros(width * width)
-        for raw in ordered.column("sums"):
-            total += np.frombuffer(raw.as_buffer())
-        return pa.table({"part": ordered.column("part").slice(0, 1), "sums": [total.tobytes()]})
+        yield _record(total)
 
     sums = design.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(products, "part int, sums binary")
-    for groups in ADDED_BY:
-        sums = sums.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(add, "part int, sums binary")
-    found = sums.first()
-    gram = np.frombuffer(found["sums"]).reshape(width, width) if found else np.zeros((width, width))
+    gram = _added_up(sums, (width, width))
+    gram = np.zeros((width, width)) if gram is None else gram
     return int(round(gram[0, 0])), gram
 
 
@@ -185,43 +196,72 @@ def _least_squares(design: DataFrame, concepts: Sequence[str]) -> tuple[list[tup
     return out, r2, np.concatenate([[middle + mean[-1] - beta @ mean[1:-1]], beta])
 
 
+def _logistic_sums(rows: DataFrame, columns: int, beta: np.ndarray, tasks: int | None = None) -> np.ndarray:
+    """What a Newton step needs, in one pass: curvature, then a row of slopes, then log-likelihood, rows and sum of the target."""
+    width = columns + 1
+    weights = rows.sparkSession.sparkContext.broadcast(beta)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 2, max(width, 3)))
+        for batch in batches:
+            x = _with_ones(batch, columns)
+            y = batch.column(columns).to_numpy(zero_copy_only=False)
+            z = x @ weights.value
+            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            total[:width, :width] += (x * (p * (1 - p))[:, None]).T @ x
+            total[width, :width] += x.T @ (y - p)
+            total[width + 1, :3] += (y @ z - np.logaddexp(0, z).sum(), len(y), y.sum())
+        yield _record(total)
+
+    try:
+        return _added_up(rows.mapInArrow(step, "part int, sums binary"), (width + 2, max(width, 3)), tasks)
+    finally:
+        weights.destroy()
+
+
 def _logistic(design: DataFrame, concepts: Sequence[str]):
-    """Maximum-likelihood logistic fit; None where it has no finite solution."""
+    """Maximum-likelihood logistic fit by Newton steps, one pass each; None where it has no finite solution."""
     columns = concept_columns(concepts)
-    # rows with equal annotations become one row of trials: the fit's passes read at most
-    # as many rows as there are distinct annotation vectors
-    cells = design.groupBy(*columns).agg(F.avg("y").alias("rate"), F.count("*").cast("double").alias("trials"))
-    cells = VectorAssembler(inputCols=columns, outputCol="features").transform(cells)
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = design.select(*(F.col(c).cast("double") for c in columns), F.col("y").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        packed = cells.coalesce(max(1, cells.count() // CELLS_PER_TASK))
-        _, gram = cross_products(packed, columns)
-        size = np.sqrt(np.diag(gram))
-        if size.min() == 0 or np.linalg.matrix_rank(gram / np.outer(size, size), tol=1e-10) < len(gram):
-            return None
-        estimator = GeneralizedLinearRegression(
-            family="binomial", labelCol="rate", weightCol="trials", maxIter=FIT_STEPS, tol=1e-10
-        )
+        return _newton(rows, columns)
+    finally:
+        rows.unpersist()
+
+
+def _newton(rows: DataFrame, columns: Sequence[str]):
+    n, gram = cross_products(rows, columns)
+    size = np.sqrt(np.diag(gram))
+    if size.min() == 0 or np.linalg.matrix_rank(gram / np.outer(size, size), tol=1e-10) < len(gram):
+        return None
+    width = len(columns) + 1
+    beta, level = np.zeros(width), -np.inf
+    tasks = rows.rdd.getNumPartitions()  # kept by the pass above
+    for _ in range(FIT_STEPS):
+        sums = _logistic_sums(rows, len(columns), beta, tasks)
+        logs, _, ones = sums[width + 1, :3]
+        halvings = 0
+        while logs < level - 1e-9 * abs(level) and halvings < HALVINGS:
+            move, halvings = move / 2, halvings + 1
+            beta = beta - move
+            sums = _logistic_sums(rows, len(columns), beta, tasks)
+            logs = sums[width + 1, 0]
+        curve, slope = sums[:width, :width], sums[width, :width]
         try:
-            model = estimator.fit(packed)
-            errors = list(model.summary.coefficientStandardErrors)
-        except (Py4JJavaError, IllegalArgumentException) as problem:
-            if not re.search(NO_SOLUTION, str(problem)):
-                raise
-            warnings.warn(f"logistic fit failed: {problem}", stacklevel=3)
+            inverse = np.linalg.inv(curve)
+        except np.linalg.LinAlgError:
+            warnings.warn("logistic fit failed: singular curvature", stacklevel=3)
             return None
-        beta = np.array([model.intercept, *model.coefficients])
-        if not np.all(np.isfinite(beta)) or max(errors) > LARGEST_ERROR:
-            return None
-        rate, trials = F.col("rate"), F.col("trials")
-        p = 1 / (1 + F.exp(-_linear(beta, columns)))
-        fitted = F.sum(trials * (rate * F.log(p) + (1 - rate) * F.log(1 - p)))
-        logs, n, ones = packed.agg(fitted, F.sum("trials"), F.sum(trials * rate)).first()
-    finally:
-        cells.unpersist()
+        move, level = inverse @ slope, logs
+        if not np.all(np.isfinite(move)) or np.sqrt(np.diag(inverse)).max() > LARGEST_ERROR:
+            return None  # the classes can be separated, so that the coefficients have no bound
+        if np.abs(move).max() <= 1e-10 * max(1.0, np.abs(beta).max()):
+            break
+        beta = beta + move
+    errors = np.sqrt(np.diag(inverse))[1:]
     base = sum(k * np.log(k / n) for k in (ones, n - ones) if k > 0)
-    rows = [(float(b), normal_two_sided(float(b) / e)) for b, e in zip(model.coefficients, errors)]
-    return rows, float(1 - logs / base) if base else None, beta
+    fitted = [(float(b), normal_two_sided(float(b) / e)) for b, e in zip(beta[1:], errors, strict=True)]
+    return fitted, float(1 - logs / base) if base else None, beta
 
 
 def _linear(beta: np.ndarray, columns: Sequence[str]) -> Column:

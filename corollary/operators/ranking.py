@@ -7,6 +7,7 @@ up bounded tables of piece totals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -113,37 +114,39 @@ def _in_order(column: pa.Array) -> pa.Array:
     return pa.array(bits ^ ((bits >> np.int64(63)) & np.int64((1 << 63) - 1)))
 
 
-def running_totals(df: DataFrame, value: str, sums: list[str], leaf: int = 200_000) -> DataFrame:
-    """Add ``above_<s>``: the sum of ``s`` over rows with a larger ``value``.
+def running_totals(df: DataFrame, value: str, sums: list[str], leaf: int = 200_000, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``above_<s>``: the sum of ``s`` over rows with a larger ``value``, within the columns ``by``.
 
-    ``df`` must hold one row per distinct ``value``; NULL counts as the smallest. Groups of at most ``leaf`` rows are ranked by
+    ``df`` must hold one row per distinct ``value`` (and ``by``); NULL counts as the smallest. Groups of at most ``leaf`` rows are ranked by
     themselves. As long as there are larger ones, values are grouped by 16 further bits of a 64-bit number in the same order, and a
     group gets what is above it from the level before, where it is one of at most 65,536.
     """
-    depth, largest = 0, df.count()
+    by = list(by)
+    sizes = df.groupBy(*by).count() if by else df.agg(F.count("*").alias("count"))
+    depth, largest = 0, sizes.agg(F.max("count")).first()[0] or 0
     if largest > leaf:
         missing = F.when(F.col(value).isNull(), F.lit(-(1 << 63))).when(F.isnan(value), F.lit((1 << 63) - 1))
         df_rows = df.withColumn("_at", F.coalesce(missing, _in_order(F.coalesce(F.col(value), F.lit(0.0)))))
         while largest > leaf and depth < 64 // LEVEL_BITS - 1:
             depth += 1
-            largest = df_rows.groupBy(_upper("_at", depth)).count().agg(F.max("count")).first()[0]
-    upwards = lambda order, *by: Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+            largest = df_rows.groupBy(*by, _upper("_at", depth)).count().agg(F.max("count")).first()[0]
+    upwards = lambda order, *keys: Window.partitionBy(*by, *keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     above = lambda s, over: F.coalesce(F.sum(s).over(over), F.lit(0))
     if not depth:
         return df.select("*", *(above(s, upwards(value)).alias(f"above_{s}") for s in sums))
     levels = [df_rows.withColumn("_level", _upper("_at", depth)).drop("_at")]
     for level in range(depth, 0, -1):
-        totals = levels[0].groupBy("_level").agg(*(F.sum(s).alias(s) for s in sums))
+        totals = levels[0].groupBy(*by, "_level").agg(*(F.sum(s).alias(s) for s in sums))
         up = F.shiftright("_level", LEVEL_BITS) if level > 1 else F.lit(0).cast("long")
-        levels.insert(0, totals.select(up.alias("_level"), F.col("_level").alias("_own"), *sums))
+        levels.insert(0, totals.select(*by, up.alias("_level"), F.col("_level").alias("_own"), *sums))
     base = None
     for own in levels:
         order = "_own" if "_own" in own.columns else value
         ranked = own.withColumns({f"_above_{s}": above(s, upwards(order, "_level")) for s in sums})
         if base is not None:
-            ranked = ranked.join(base, "_level").withColumns({f"_above_{s}": F.col(f"_above_{s}") + F.col(f"_base_{s}") for s in sums})
+            ranked = ranked.join(base, [*by, "_level"]).withColumns({f"_above_{s}": F.col(f"_above_{s}") + F.col(f"_base_{s}") for s in sums})
         if order == "_own":
-            base = ranked.select(F.col("_own").alias("_level"), *(F.col(f"_above_{s}").alias(f"_base_{s}") for s in sums))
+            base = ranked.select(*by, F.col("_own").alias("_level"), *(F.col(f"_above_{s}").alias(f"_base_{s}") for s in sums))
     return ranked.select(*df.columns, *(F.col(f"_above_{s}").alias(f"above_{s}") for s in sums))
 
 

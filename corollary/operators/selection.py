@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
@@ -22,6 +24,8 @@ from corollary.session import collect_dimension, cut_lineage, ensure_checkpoint_
 RANK_DIGITS = 9
 #: A coefficient counts as nonzero above this share of the largest.
 NONZERO = 1e-8
+#: Features up to which linear fits work on one matrix of sums, of 8 bytes for each pair.
+GRAM_FEATURES = 4_096
 # The bounds and length of the regularization search
 ALPHA_LOW, ALPHA_HIGH, ALPHA_FITS = 1e-6, 1e4, 20
 #: Extra rows read by id order when thin features need zero rows, and rows that are read for that at most.
@@ -297,6 +301,87 @@ def fit_l1(vectors: DataFrame, alpha: float, n_rows: int, *, classification: boo
     return SparseFit(alpha, [float(c) for c in estimator.fit(vectors).coefficients])
 
 
+@dataclass
+class LinearSums:
+    """All that linear fits need of the rows: covariances of the scaled features with each other and with the target."""
+
+    covariance: np.ndarray
+    pull: np.ndarray
+
+    def fit(self, alpha: float, start: SparseFit | None = None, max_iter: int = 1000) -> SparseFit:
+        """Least squares with an L1 penalty by coordinate descent, from the coefficients of an earlier fit.
+
+        Features that the strong rule sets aside (their pull on the residual can hardly reach the new
+        penalty) are left out at first; those that break the optimality condition in the end are taken in.
+        """
+        weights = np.zeros(len(self.pull)) if start is None else np.array(start.coefficients)
+        before = max(np.abs(self.pull).max(initial=0.0), alpha) if start is None else start.alpha
+        rest = self.pull - self.covariance @ weights
+        size = np.diag(self.covariance)
+        inside = (size > 0) & ((weights != 0) | (np.abs(rest) >= 2 * alpha - before))
+        limit = 1e-13 * max(np.abs(self.pull).max(initial=0.0), 1e-300)
+        while True:
+            for _ in range(max_iter):
+                largest = 0.0
+                for j in np.flatnonzero(inside):
+                    reach = rest[j] + size[j] * weights[j]
+                    new = np.sign(reach) * max(abs(reach) - alpha, 0.0) / size[j]
+                    if new != weights[j]:
+                        rest -= self.covariance[:, j] * (new - weights[j])
+                        largest = max(largest, size[j] * abs(new - weights[j]))
+                        weights[j] = new
+                if largest <= limit:
+                    break
+            broken = (size > 0) & ~inside & (np.abs(rest) > alpha * (1 + 1e-12))
+            if not broken.any():
+                return SparseFit(alpha, [float(w) for w in weights])
+            inside |= broken
+
+
+def linear_sums(acts: DataFrame, targets: DataFrame, width: int) -> LinearSums:
+    """Sums of products of all features' activations, and with the target, in one pass over the rows' lists of active features.
+
+    The target is centred first, so that a large mean costs no precision.
+    """
+    y = F.col("y").cast("double")
+    n, mean = targets.agg(F.count("*"), F.avg(y)).first()
+    entries = F.array_sort(F.collect_list(F.struct("neuron_idx", "activation")))  # at most K entries a row and model
+    rows = with_target(acts, targets).groupBy("row_id").agg(entries.alias("e"), (F.first(y) - F.lit(mean)).alias("y"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, lone = np.zeros(width * width), np.zeros((2, width))
+        for batch in batches:
+            column, target = batch.column("e"), batch.column("y").to_numpy(zero_copy_only=False)
+            lengths = np.asarray(column.value_lengths())
+            index, values = (np.zeros((len(lengths), lengths.max(initial=0)), kind) for kind in (np.int64, np.float64))
+            there = np.arange(index.shape[1]) < lengths[:, None]
+            flat = column.flatten()
+            index[there], values[there] = flat.field("neuron_idx").to_numpy(), flat.field("activation").to_numpy()
+            for p in range(index.shape[1]):
+                np.add.at(lone[0], index[:, p], values[:, p])
+                np.add.at(lone[1], index[:, p], values[:, p] * target)
+                for q in range(p, index.shape[1]):
+                    np.add.at(products, index[:, p] * width + index[:, q], values[:, p] * values[:, q])
+        for kind, sums in ((0, products), (1, lone[0]), (2, lone[1])):
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), kind, np.int32)), "at": at, "s": sums[at]})
+
+    sums = rows.select("e", "y").mapInArrow(add_up, "kind int, at long, s double").groupBy("kind", "at").agg(F.sum("s").alias("s")).toArrow()
+    kind, at, s = (sums.column(c).to_numpy() for c in ("kind", "at", "s"))
+    total = [np.zeros(size) for size in (width * width, width, width)]
+    for k in range(3):
+        total[k][at[kind == k]] = s[kind == k]
+    upper = total[0].reshape(width, width)
+    centre = total[1] / n
+    covariance = (np.triu(upper) + np.triu(upper, 1).T) / n - np.outer(centre, centre)
+    spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+    scale = np.where(spread > 0, spread, 1.0)
+    covariance = covariance / np.outer(scale, scale)
+    constant = spread == 0
+    covariance[constant], covariance[:, constant] = 0.0, 0.0
+    return LinearSums(covariance, np.where(constant, 0.0, total[2] / n / scale))
+
+
 def search_alpha(fit: Callable[[float], SparseFit], n_select: int) -> SparseFit:
     """Bisect the penalty on a log scale until exactly ``n_select`` features remain."""
     low, high = ALPHA_LOW, ALPHA_HIGH
@@ -315,23 +400,89 @@ def search_alpha(fit: Callable[[float], SparseFit], n_select: int) -> SparseFit:
 def select_lasso(
     acts, targets, n_select, *, neurons, classification=False, alpha=None, max_iter=1000
 ) -> DataFrame:
-    """Features with the largest L1 coefficients; all fits share one cached vector table."""
+    """Features with the largest L1 coefficients.
+
+    Linear fits of up to ``GRAM_FEATURES`` features share one matrix of sums, each going on from the one before; other fits
+    share one kept table of vectors.
+    """
     spark = acts.sparkSession
     width = neurons.agg(F.max("neuron_idx")).first()[0] + 1
-    vectors = feature_vectors(acts, targets, width).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_rows = vectors.count()
+    if not classification and width <= GRAM_FEATURES:
+        sums, last = linear_sums(acts, targets, width), None
 
         def fit(value):
-            return fit_l1(vectors, value, n_rows, classification=classification, max_iter=max_iter)
+            nonlocal last
+            last = sums.fit(value, last, max_iter)
+            return last
 
         result = fit(alpha) if alpha is not None else search_alpha(fit, n_select)
-    finally:
-        vectors.unpersist()
+    else:
+        vectors = feature_vectors(acts, targets, width).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n_rows = vectors.count()
+
+            def fit(value):
+                return fit_l1(vectors, value, n_rows, classification=classification, max_iter=max_iter)
+
+            result = fit(alpha) if alpha is not None else search_alpha(fit, n_select)
+        finally:
+            vectors.unpersist()
     scores = spark.createDataFrame(list(enumerate(result.coefficients)), "neuron_idx int, score double")
     return rank_scores(scores, n_select)
 
 
+def rank_moments(acts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per-feature sums of ranks, beside those of :func:`moments`, for metrics that depend on order only.
+
+    Ranks run from 1 at the lowest over all rows, zero rows included, ties sharing their mean rank. ``rank_y`` sums a
+    row's rank by activation times its target, ``rank_rank`` that times its rank by target; ``rank_2`` and ``target_rank_2`` are the
+    sums of both ranks' squares. Equal activations of a feature are one row, ranked by levels; its zero rows
+    are one tie, whose sums follow from those over all rows.
+    """
+    y = F.col("y").cast("double")
+    levels = targets.groupBy(y.alias("y")).agg(F.count("*").alias("w"))
+    n = targets.agg(F.count("*").cast("double")).first()[0]
+    middle = F.lit(n) - F.col("above_w") - F.col("w") + (F.col("w") + 1) / 2
+    places = ranking.running_totals(levels, "y", ["w"]).select("y", middle.alias("place"), "w")
+    sum_y, rank_sum, squares = places.agg(F.sum(F.col("y") * F.col("w")), F.sum(F.col("place") * F.col("w")), F.sum(F.col("place") * F.col("place") * F.col("w"))).first()
+    active = with_target(acts, targets).select("neuron_idx", "activation", y.alias("y")).join(places.select("y", "place"), "y")
+    pooled = active.groupBy("neuron_idx", "activation").agg(
+        F.count("*").alias("w"), F.sum("y").alias("sy"), F.sum("place").alias("sp")
+    )
+    per = pooled.groupBy("neuron_idx").agg(
+        F.sum("w").alias("n_active"), F.coalesce(F.sum(F.when(F.col("activation") > 0, F.col("w"))), F.lit(0)).alias("n_positive")
+    )
+    n_zero = F.lit(n) - F.col("n_active")
+    ranked = ranking.running_totals(pooled, "activation", ["w"], by=["neuron_idx"]).join(F.broadcast(per), "neuron_idx")  # one row per feature
+    above = F.col("above_w") + F.when(F.col("activation") > 0, F.lit(0)).otherwise(n_zero)
+    ranked = ranked.withColumn("r", F.lit(n) - above - F.col("w") + (F.col("w") + 1) / 2)
+    sums = ranked.groupBy("neuron_idx", "n_active", "n_positive").agg(
+        F.sum(F.col("r") * F.col("sy")).alias("ry"), F.sum(F.col("r") * F.col("sp")).alias("rp"),
+        F.sum(F.col("r") * F.col("r") * F.col("w")).alias("r2"), F.sum("sy").alias("sy"), F.sum("sp").alias("sp"),
+    )
+    zero = F.lit(n) - F.col("n_positive") - n_zero + (n_zero + 1) / 2
+    return sums.select(
+        "neuron_idx",
+        (F.col("ry") + zero * (F.lit(sum_y) - F.col("sy"))).alias("rank_y"),
+        (F.col("rp") + zero * (F.lit(rank_sum) - F.col("sp"))).alias("rank_rank"),
+        (F.col("r2") + zero * zero * n_zero).alias("rank_2"),
+        F.lit(squares).alias("target_rank_2"),
+    )
+
+
+def auroc(col: Callable[[str], Column]) -> Column:
+    """A metric for :func:`select_custom` with ``ranks``: the share of pairs of a 1 and a 0 that the activation puts in order."""
+    ones = col("sum_y")
+    return F.try_divide(col("rank_y") - ones * (ones + 1) / 2, ones * (col("n") - ones))
+
+
+def spearman(col: Callable[[str], Column]) -> Column:
+    """A metric for :func:`select_custom` with ``ranks``: the correlation of both ranks."""
+    n = col("n").cast("double")
+    square = n * (n + 1) * (n + 1) / 4
+    return F.try_divide(col("rank_rank") - square, F.sqrt(F.greatest(col("rank_2") - square, F.lit(0.0)) * F.greatest(col("target_rank_2") - square, F.lit(0.0))))
+
+
 def select_custom(
     acts: DataFrame,
     targets: DataFrame,
@@ -340,15 +491,20 @@ def select_custom(
     metric_fn: Callable[[Callable[[str], Column]], Column],
     neurons: DataFrame | None = None,
     extra: dict[str, Column] | None = None,
+    ranks: bool = False,
 ) -> DataFrame:
     """Features with the largest raw value of a user's metric, ascending.
 
     ``metric_fn(col)`` builds a Column from the sums :func:`moments` yields and from the
-    ``extra`` aggregates, which run over the active rows with ``activation`` and ``y``.
+    ``extra`` aggregates, which run over the active rows with ``activation`` and ``y``; with ``ranks`` also from
+    those of :func:`rank_moments`, as :func:`auroc` and :func:`spearman` do.
     What the zero rows add follows from the sums over all rows, so no feature's column
     is ever laid out whole.
     """
-    scores = moments(acts, targets, extra).select("neuron_idx", metric_fn(F.col).alias("score"))
+    sums = moments(acts, targets, extra)
+    if ranks:
+        sums = sums.join(rank_moments(acts, targets), "neuron_idx")
+    scores = sums.select("neuron_idx", metric_fn(F.col).alias("score"))
     scores = _all_neurons(scores, neurons).filter(F.col("score").isNotNull() & ~F.isnan("score"))
     return rank_scores(scores, n_select, by=F.col("score")).orderBy(F.desc("rank"))
 

@@ -690,6 +690,42 @@ def n6_custom_metric(spark, sf):
     return _shown(picked)
 
 
+#: Every cell with its mean rank by activation within its feature, and by target over all rows.
+RANKED_SQL = """
+ranked AS (SELECT neuron_idx, t, rank() OVER (PARTITION BY neuron_idx ORDER BY a) + (count(*) OVER (PARTITION BY neuron_idx, a) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY neuron_idx ORDER BY t) + (count(*) OVER (PARTITION BY neuron_idx, t) - 1) / 2.0 AS rt FROM cells_of)"""
+
+
+@query(
+    "n6_auroc",
+    f"""WITH {MODEL_SQL}, {DENSE_SQL}, cells_of AS (SELECT neuron_idx, a, (y >= 5)::INTEGER AS t FROM dense), {RANKED_SQL},
+    scores AS (SELECT neuron_idx, (sum(ra * t) - sum(t) * (sum(t) + 1) / 2.0) / nullif(sum(t) * (count(*) - sum(t)), 0)::DOUBLE AS score
+      FROM ranked GROUP BY 1) {_best_sql(5, 'score')}""",
+)
+def n6_auroc(spark, sf):
+    """A rank metric as the user's own: how well each activation alone tells the upper labels from the lower."""
+    targets = vectors(spark, sf).withColumn("y", (F.col("y") >= 5).cast("double"))
+    acts = small_activations(spark, sf)
+    picked = selection.select_neurons(
+        acts, targets, 5, neurons=small_neurons(spark, sf), method="custom", metric_fn=selection.auroc, ranks=True
+    )
+    return picked.select("neuron_idx", r6("score").alias("score"), "rank")
+
+
+@query(
+    "n6_spearman",
+    f"""WITH {MODEL_SQL}, {DENSE_SQL}, cells_of AS (SELECT neuron_idx, a, y AS t FROM dense), {RANKED_SQL},
+    scores AS (SELECT neuron_idx, corr(ra, rt) AS score FROM ranked GROUP BY 1) {_best_sql(5, 'score')}""",
+)
+def n6_spearman(spark, sf):
+    """Rank correlation of each feature with the label, zeros included."""
+    acts = small_activations(spark, sf, carry=("y",))
+    picked = selection.select_neurons(
+        acts, vectors(spark, sf), 5, neurons=small_neurons(spark, sf), method="custom", metric_fn=selection.spearman, ranks=True
+    )
+    return picked.select("neuron_idx", r6("score").alias("score"), "rank")
+
+
 @query("n7_class_count", "SELECT count(DISTINCT label) AS n_classes FROM embeddings")
 def n7_class_count(spark, sf):
     return selection.count_classes(vectors(spark, sf))

@@ -128,6 +128,19 @@ def test_logistic_is_the_likelihood_maximum(spark, sample):
     assert {"auroc", "auprc"} <= set(metrics)
 
 
+def test_a_logistic_step_is_one_pass_without_grouping_concepts(spark, sample, monkeypatch):
+    concepts, y = sample
+    design = design_of(spark, concepts, (y > 0.5).astype(float))
+    steps, plain = [], evaluation._logistic_sums
+    monkeypatch.setattr(evaluation, "_logistic_sums", lambda *a: (steps.append(a[2].copy()), plain(*a))[1])
+    fitted, _, _ = evaluation.regression(design, NAMES, classification=True)
+    assert 3 < len(steps) < 12 and len(rows_of(fitted)) == len(NAMES)
+    rows = design.select("c0", "c1", "c2", "y").persist()
+    by_tree, direct = (plain(rows, 3, np.array([0.1, 0.2, -0.3, 0.4]), tasks) for tasks in (None, 8))
+    assert np.allclose(by_tree, direct)
+    rows.unpersist()
+
+
 def test_logistic_falls_back_to_least_squares(spark):
     separated = np.array([0, 0, 0, 1, 1, 1])
     fitted, metrics, _ = evaluation.regression(

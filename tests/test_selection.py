@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corollary.operators import sampling, selection
+from corollary.operators import ranking, sampling, selection
 from corollary.operators.ranking import HASH_RANGE
 from tests.test_relational import position
 
@@ -109,6 +110,49 @@ def test_lasso_satisfies_its_optimality_conditions(spark, sparse_data):
     assert np.all(np.abs(pull) <= 6.0 + 0.05) and np.allclose(np.abs(pull[on]), 6.0, atol=0.05)
 
 
+def test_linear_fits_share_one_matrix_of_sums(spark, sparse_data, monkeypatch):
+    dense, y = sparse_data
+    acts, targets, neurons = tables(spark, dense, y + 1e6)  # a large mean costs no precision
+    calls, plain = [], selection.linear_sums
+    monkeypatch.setattr(selection, "linear_sums", lambda *a: (calls.append(1), plain(*a))[1])
+    monkeypatch.setattr(selection, "fit_l1", None)
+    monkeypatch.setattr(selection, "feature_vectors", None)
+    selection.select_neurons(acts, targets, 2, neurons=neurons).count()
+    assert len(calls) == 1
+    sums = plain(acts, targets, 7)
+    sd = np.where(dense.std(0) > 0, dense.std(0), 1.0)
+    x = (dense - dense.mean(0)) / sd
+    assert np.allclose(sums.covariance, x.T @ x / 90, atol=1e-12) and np.allclose(sums.pull, x.T @ (y - y.mean()) / 90, atol=1e-9)
+    last = None
+    for alpha in (0.5, 0.1, 0.02, 1e-3, 1e-6, 0.3):  # down a path, and back
+        last = sums.fit(alpha, last)
+        w = np.array(last.coefficients)
+        pull = sums.pull - sums.covariance @ w
+        on = w != 0
+        assert np.all(np.abs(pull) <= alpha + 1e-10) and np.allclose(pull[on], alpha * np.sign(w[on]), atol=1e-10)
+        assert np.allclose(w, sums.fit(alpha).coefficients, atol=1e-7)
+
+
+def test_linear_fit_of_equal_features_and_wide_models(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((200, 40)) < 0.2, rng.exponential(size=(200, 40)), 0.0)
+    x[:, 7] = x[:, 3]
+    y = 3 * x[:, 3] - x[:, 20] + 0.1 * rng.normal(size=200)
+    acts, targets, neurons = tables(spark, x, y)
+    sums = selection.linear_sums(acts, targets, 40)
+    fit = sums.fit(0.05)
+    w = np.array(fit.coefficients)
+    pull = sums.pull - sums.covariance @ w
+    assert np.all(np.abs(pull) <= 0.05 + 1e-9) and w[3] + w[7] > 1 and w[20] < 0
+    monkeypatch.setattr(selection, "GRAM_FEATURES", 10)
+    by_rows = selection.select_neurons(acts, targets, 3, neurons=neurons, alpha=0.05).collect()
+    monkeypatch.setattr(selection, "GRAM_FEATURES", 4096)
+    by_sums = selection.select_neurons(acts, targets, 3, neurons=neurons, alpha=0.05).collect()
+    for found in (by_rows, by_sums):  # equal features may share their coefficient or not
+        scores = {r.neuron_idx: r.score for r in found}
+        assert np.isclose(scores.get(3, 0.0) + scores.get(7, 0.0), w[3] + w[7], atol=1e-4) and np.isclose(scores[20], w[20], atol=1e-4)
+
+
 def test_alpha_search(spark, sparse_data):
     acts, targets, neurons = tables(spark, *sparse_data)
     got = selection.select_neurons(acts, targets, 2, neurons=neurons).orderBy("rank").collect()
@@ -147,6 +191,30 @@ def test_custom_metric(spark, sparse_data):
     assert np.allclose([r.score for r in got], [(dense[:, j] * y).mean() for j in want])
 
 
+@pytest.mark.parametrize("leaf", [200_000, 5])
+def test_rank_metrics(spark, monkeypatch, leaf):
+    plain = ranking.running_totals
+    monkeypatch.setattr(ranking, "running_totals", lambda df, v, c, by=(): plain(df, v, c, leaf, by))
+    rng = np.random.default_rng(6)
+    dense = np.where(rng.random((120, 5)) < 0.5, rng.normal(size=(120, 5)).round(1), 0.0)  # ties, zeros and negatives
+    y = (dense[:, 1] + rng.normal(size=120) > 0).astype(float)
+    acts, targets, neurons = tables(spark, dense, y)
+
+    def scores(metric, targets):
+        rows = selection.select_neurons(acts, targets, 5, neurons=neurons, method="custom", metric_fn=metric, ranks=True).collect()
+        return {r.neuron_idx: r.score for r in rows}
+
+    got = scores(selection.auroc, targets)
+    for j in range(5):
+        a, b = dense[y == 1, j], dense[y == 0, j]
+        assert np.isclose(got[j], ((a[:, None] > b[None]) + 0.5 * (a[:, None] == b[None])).mean())
+    z = (dense[:, 2] * 2 + rng.normal(size=120)).round(1)
+    got = scores(selection.spearman, tables(spark, dense, z)[1])
+    for j in range(5):
+        ranks = [pd.Series(v).rank().to_numpy() for v in (dense[:, j], z)]
+        assert np.isclose(got[j], np.corrcoef(*ranks)[0, 1])
+
+
 def test_dispatch_errors(spark, sparse_data):
     acts, targets, neurons = tables(spark, *sparse_data)
     with pytest.raises(ValueError, match="unknown"):
