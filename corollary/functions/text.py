@@ -28,8 +28,9 @@ PRINT_CHARS = 128
 #: Model-name fragment -> text put before the input of that embedding model.
 MODEL_PREFIXES = {
     "nomic-ai": "search_document: ",
-    "instructor": "Represent the text for classification: ",
 }
+#: Models that take a pair of instruction and text, by a fragment of their name (fixed values).
+MODEL_INSTRUCTIONS = {"instructor": "Represent the text for classification: "}
 # --------------------------------------------------------------------------------------
 
 
@@ -165,7 +166,13 @@ def parse_graded(response: Column) -> Column:
 
 
 def model_input(text: Column, model: str) -> Column:
-    """The text as the embedding model wants it; the raw text stays the key."""
+    """The text as the embedding model wants it: as it is, after a prefix, or as an array of instruction and text.
+
+    The raw text stays the key.
+    """
+    for fragment, instruction in MODEL_INSTRUCTIONS.items():
+        if fragment in model:
+            return F.array(F.lit(instruction), text)
     for fragment, prefix in MODEL_PREFIXES.items():
         if fragment in model:
             return F.concat(F.lit(prefix), text)

@@ -23,7 +23,7 @@ from corollary.operators.sampling import SamplingConfig
 from corollary.session import cut_lineage, folder_exists, remove_folder
 from corollary.sources.stores import Store
 
-EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
+EmbedFn = Callable[[list[str] | list[list[str]]], Sequence[Sequence[float]]]
 AnswerFn = Callable[[list[str]], Sequence[str]]
 
 #: Tries for a failing call or an unclear answer, and seconds before the second call
@@ -178,7 +178,8 @@ def embed_texts(
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             vectors = []
-            for batch in _chunks(frame["_input"].tolist(), batch_size):
+            inputs = [x if isinstance(x, str) else list(x) for x in frame["_input"]]  # text, or instruction and text
+            for batch in _chunks(inputs, batch_size):
                 vectors += [[float(x) for x in v] for v in _call(embed_fn, batch)]
             yield frame[["text_key", "text"]].assign(embedding=vectors)
 

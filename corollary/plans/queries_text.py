@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corollary.functions import templates, text
-from corollary.functions.text import MODEL_PREFIXES
+from corollary.functions.text import MODEL_INSTRUCTIONS, MODEL_PREFIXES
 from corollary.operators import jobs, ranking, relational
 from corollary.plans import rules
 from corollary.plans.data import (
@@ -291,6 +291,18 @@ def t11_model_input(spark, sf):
     )
 
 
+@query(
+    "t11_instruction_input",
+    f"SELECT doc_id AS row_id, '{MODEL_INSTRUCTIONS['instructor']}' AS instruction, md5(text) AS text_md5, 2 AS parts FROM documents",
+)
+def t11_instruction_input(spark, sf):
+    """The pair that an instruction model gets."""
+    given = text.model_input(F.col("text"), "hkunlp/instructor-xl")
+    return texts(spark, sf).select("row_id", given.alias("given")).select(
+        "row_id", F.col("given")[0].alias("instruction"), F.md5(F.col("given")[1]).alias("text_md5"), F.size("given").alias("parts")
+    )
+
+
 STATUS = {"F": 0, "P": 0, "O": 1}
 
 

@@ -63,6 +63,16 @@ def test_embedding_job_skips_what_is_stored(spark, tmp_path):
     assert stores.embedding_store(str(tmp_path / "store"), "other").read(spark).count() == 0
 
 
+def test_instruction_models_get_pairs(spark):
+    def pairs(batch):
+        assert all(isinstance(x, list) and x[0].startswith("Represent") for x in batch)
+        return rules.embed_words([t for _, t in batch])
+
+    got = jobs.embed_texts(texts_of(spark, "a b", "c"), pairs, model="hkunlp/instructor-xl").collect()
+    want = dict(zip(("a b", "c"), rules.embed_words(["a b", "c"]), strict=True))
+    assert {r.text: r.embedding for r in got} == {t: [float(np.float32(x)) for x in v] for t, v in want.items()}
+
+
 def test_failing_model_is_tried_again(spark, tmp_path):
     flag = tmp_path / "failed"
 

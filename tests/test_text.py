@@ -123,6 +123,7 @@ def test_model_input_and_labels(spark):
     df = column(spark, ["x"])
     assert values(df, text.model_input(F.col("t"), "nomic-ai/embed")) == ["search_document: x"]
     assert values(df, text.model_input(F.col("t"), "other")) == ["x"]
+    assert values(df, text.model_input(F.col("t"), "some/instructor-base")) == [["Represent the text for classification: ", "x"]]
     labels = column(spark, ["home", "died"])
     assert values(labels, text.map_labels(F.col("t"), {"home": 0, "died": 1})) == [0, 1]
     with pytest.raises(PySparkException):
