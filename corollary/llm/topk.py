@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 K = 20
 SCALE = 64
 SEGMENTS = (2, 8, 16)
+#: Largest score that a column of 64 bits holds; larger ones are given as this.
+LARGEST = (1 << 63) - 1
 CANDIDATES, QUERIES = 4096, 2048
 
 
@@ -28,6 +30,13 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def whole(vectors: np.ndarray, kind) -> np.ndarray:
+    """Whole numbers held as doubles, as numbers of another kind."""
+    if kind is object:
+        return np.array([[int(v) for v in row] for row in vectors], object).reshape(vectors.shape)
+    return vectors.astype(kind)
+
+
 def search_block(
     queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K, segments: tuple[int, ...] = SEGMENTS,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,27 +49,31 @@ def search_block(
     if not len(queries) or not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     largest = float(np.abs(queries).max()) * float(np.abs(vectors).max()) * vectors.shape[1]
-    if largest >= 2.0 ** 63:
-        raise OverflowError("inner products exceed 64 bits")
-    exact = np.float64 if largest < 2.0 ** 53 else np.int64  # doubles add integers exactly up to here
-    q, x = queries.astype(exact), vectors.astype(exact)
+    # Doubles add whole numbers exactly up to here, 64 bits up to there, Python's integers beyond.
+    exact = np.float64 if largest < 2.0 ** 53 else np.int64 if largest < 2.0 ** 63 else object
+    q, x = whole(queries, exact), whole(vectors, exact)
     floats, levels = vectors.astype(np.float64), []
-    for n in segments:
-        levels.append((segment_statistics(queries.astype(np.float64), n), segment_statistics(floats, n)))
+    with np.errstate(all="ignore"):
+        for n in segments:
+            levels.append((segment_statistics(queries.astype(np.float64), n), segment_statistics(floats, n)))
     slack = 1e-9 * largest + 1e-6
-    coarse = levels[0][0] @ levels[0][1].T + slack
+    # Squares of such numbers would not be finite: no bounds then.
+    coarse = levels[0][0] @ levels[0][1].T + slack if largest < 1e300 else np.full((len(q), len(x)), np.inf)
     who, found, scores = [], [], []
     for i in range(len(q)):
         bound = coarse[i]
         bound[ids == query_ids[i]] = -np.inf
         candidates = np.flatnonzero(bound > -np.inf)
-        if len(candidates) > k:
+        if len(candidates) > k and largest < 1e300:
             first = candidates[np.argpartition(-bound[candidates], k - 1)[:k]]
             floor = (x[first] @ q[i]).min()
+            if exact is object:  # scores beyond 64 bits are equal
+                floor = -np.inf if floor <= -LARGEST else float(min(floor, LARGEST))
             candidates = candidates[bound[candidates] >= floor]
             for of_q, of_x in levels[1:]:
                 candidates = candidates[of_x[candidates] @ of_q[i] + slack >= floor]
-        score = (x[candidates] @ q[i]).astype(np.int64)
+        score = x[candidates] @ q[i]
+        score = np.array([min(max(s, -LARGEST), LARGEST) for s in score], np.int64) if exact is object else score.astype(np.int64)
         best = np.lexsort((ids[candidates], -score))[:k]
         who.append(np.full(len(best), i))
         found.append(candidates[best])
@@ -69,9 +82,11 @@ def search_block(
 
 
 def quantized(vector: str, scale: int = SCALE):
-    """floor(scale * x) of each component; null for a vector that is null or holds a null or a component that isn't finite."""
-    bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(F.col(vector).isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    """floor(scale * x) of each component, whole numbers as doubles; null for a vector that is null or holds a null or a component that isn't finite."""
+    bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) == float("inf")))
+    # from 2 ** 53 on every double is a whole number
+    floor = lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x)
+    return F.when(F.col(vector).isNotNull() & ~bad, F.transform(vector, lambda x: floor(x.cast("double") * scale)))
 
 
 def top_k(
@@ -84,7 +99,8 @@ def top_k(
     those of the query's own id. Ties go to the smaller id. Vectors that are null, or hold null or non-finite
     components, and rows without id take no part; shorter vectors count as if filled up with zeros. An id that repeats is one
     query (of its least vector) and as many candidates; a query with fewer candidates returns them all. Empty tables give an empty
-    result, other columns are not read.
+    result, other columns are not read. A score beyond 64 bits counts as the largest number of its sign, 2^63 - 1, and ties with others like it. A component that
+    isn't finite after scaling counts as non-finite.
 
     Candidates and queries are dealt by a hash to blocks of about ``block_candidates`` and ``block_queries`` rows, and each
     pair of blocks is one task of bounded size: a row is copied once per block of the other side, and a task returns at most ``k`` rows for each of its queries.
@@ -100,7 +116,7 @@ def top_k(
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         lists = column.combine_chunks()
         lengths = np.asarray(lists.value_lengths())
-        out = np.zeros((len(lengths), width), np.int64)
+        out = np.zeros((len(lengths), width))
         out[np.arange(width) < lengths[:, None]] = np.asarray(lists.flatten())
         return out
 

@@ -38,6 +38,25 @@ def test_odd_vectors(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_large_components(spark, kind):
+    """Scores that fit although an estimate doesn't, scores that don't, and both in one table."""
+    one = [(i, [3e7 if d == i % 4 else 0.0 for d in range(4)]) for i in range(3)] + [(20, [3e7, 1.0, 0.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(one, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") % 20 == 0).collect()
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got}[20, 0] == (64 * 30_000_000) ** 2
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(60, 6)) * 10.0 ** rng.integers(0, 30 if kind == "float" else 150, (60, 1))).astype(np.float32 if kind == "float" else np.float64)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = topk.top_k(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") % 20 == 0, block_candidates=25).collect()
+    q = [[int(np.floor(64.0 * float(v))) for v in r] for r in x]
+    for i in range(0, 60, 20):
+        exact = {j: sum(a * b for a, b in zip(q[i], q[j], strict=True)) for j in range(60) if j != i}
+        exact = {j: max(-topk.LARGEST, min(topk.LARGEST, s)) for j, s in exact.items()}
+        best = sorted(exact, key=lambda j: (-exact[j], j))[:20]
+        mine = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
+        assert [(r["vec_id"], r["score"]) for r in mine] == [(j, exact[j]) for j in best]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     a, b = rng.integers(-90, 90, (40, 13)), rng.integers(-90, 90, (30, 13))
