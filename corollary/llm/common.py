@@ -24,6 +24,17 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
+def apart(docs: DataFrame, *named: str) -> DataFrame:
+    """The named columns, and all others within one column, so that an operator's own column names can't meet theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in named]
+    return docs.select(*(F.col(f"`{c}`") for c in named), (F.struct(*others) if others else F.lit(None)).alias("__others"))
+
+
+def together(result: DataFrame, docs: DataFrame, *named: str) -> DataFrame:
+    """The columns of ``docs`` again, from a frame that came of :func:`apart`."""
+    return result.select(*(F.col(f"`{c}`") if c in named else F.col("__others")[c].alias(c) for c in docs.columns))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to hold at most ``rows`` rows, else as it is.
 

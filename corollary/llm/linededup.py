@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corollary.llm.common import WORD, small_side, words
+from corollary.llm.common import WORD, apart, small_side, together, words
 from corollary.session import ensure_checkpoint_dir
 
 #: Least Jaccard similarity of a match, in percent, and words of a token.
@@ -254,5 +254,6 @@ def with_unique_lines(
 def remove_similar_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE,
 ) -> DataFrame:
-    """The columns of ``docs`` after :func:`with_unique_lines`."""
-    return with_unique_lines(docs, id_col, text_col, threshold, shingle).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The columns of ``docs`` after :func:`with_unique_lines`, whatever their names."""
+    left = with_unique_lines(apart(docs, id_col, text_col), id_col, text_col, threshold, shingle)
+    return together(left, docs, id_col, text_col)

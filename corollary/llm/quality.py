@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corollary.llm.common import labels_by_id, small_side
+from corollary.llm.common import apart, labels_by_id, small_side, together
 
 #: Buckets of hashed n-grams, a power of two; mean log-likelihood ratio per n-gram below which a document goes.
 BUCKETS = 1 << 16
@@ -161,6 +161,7 @@ def with_verdict(
     return found.withColumn("__quality", struct).drop("__found")
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`with_verdict` keeps, with their columns."""
-    return with_verdict(docs, labels, **options).where("__quality.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`with_verdict` keeps, with their columns, whatever their names."""
+    judged = with_verdict(apart(docs, id_col, text_col), labels, id_col, text_col, **options)
+    return together(judged.where("__quality.kept"), docs, id_col, text_col)

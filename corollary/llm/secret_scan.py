@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corollary.llm.common import apart, together
+
 #: Fixed patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i)(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -259,5 +261,5 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """``docs`` with all found secrets replaced in ``text_col``; no row goes, a null text stays null."""
-    found = with_spans(docs, text_col, false_share)
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col("__spans"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = with_spans(apart(docs, text_col), text_col, false_share)
+    return together(found.withColumn(text_col, redacted(F.col(text_col), F.col("__spans"))), docs, text_col)

@@ -257,13 +257,36 @@ def simhash_groups(
     return marked.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of every group of :func:`simhash_groups`: that of the smallest id.
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, distance: int = DISTANCE,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of every group: that of the smallest id, then of the smallest hash of its text.
 
-    Rows that repeat an id are one document, of which one row stays. A row without an id can't be named as the survivor
-    or a member of a group, and stays.
+    Groups are those of :func:`simhash_groups`, over all rows. Rows that share an id but not the text are documents of their own; rows equal in both are one document, of
+    which one row stays, that of the smallest hash of its columns. Documents without an id come last in a group. Only fingerprints and hashes are
+    shuffled to find them.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
-    named = docs.join(first, docs[id_col] == first["__first"], "left_semi").dropDuplicates([id_col])
-    return named.unionAll(docs.where(F.col(id_col).isNull()))
+    hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marks = {
+        "__id": F.col(f"`{id_col}`"), "__text": F.xxhash64(F.col(f"`{text_col}`")), "__row": F.xxhash64(*(F.col(f"`{c}`") for c in hashable)),
+    }
+    marked = cut_lineage(docs.select(*(c.alias(name[2:]) for name, c in marks.items()), fingerprint(text_col, shingle).alias("fp")))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text")
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min(place).alias("least")))
+    roots = connected_components(links(distinct.select("fp"), distance, cell_rows))
+    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("of"), F.col("least.text").alias("with"))
+    rows = marked.groupBy("id", "text", "row").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(first, F.col("id").eqNullSafe(F.col("of")) & (F.col("text") == F.col("with")), "left_semi")
+    chosen = cut_lineage(rows.groupBy("id", "text").agg(F.min(F.struct("row", "n")).alias("r")).select("id", "text", "r.row", "r.n"))
+
+    keyed = docs.select(*(c.alias(name) for name, c in marks.items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__all"))
+
+    def rows_of(which: str) -> DataFrame:
+        named = chosen.where(which)
+        same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__text") == F.col("text")) & (F.col("__row") == F.col("row"))
+        return keyed.join(named, same, "left_semi")
+
+    whole = rows_of("n > 1").dropDuplicates(list(marks))  # rows that repeat whole
+    return rows_of("n = 1").unionAll(whole).select(*(F.col("__all")[c].alias(c) for c in docs.columns))

@@ -54,3 +54,29 @@ def test_stages(spark):
 
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts["secret_scan"].values())
     assert sum(r["length"] for r in kept["best_fit_packing"]) == words
+
+
+def test_columns_of_any_name(spark, labels):
+    """Names that the operators use themselves are carried along."""
+    names = ["__id", "__key", "__removed", "__lines", "__quality", "__found", "__base", "__spans", "__others", "id", "text_", "row", "fp", "root", "key", "n"]
+    text = "\n".join(f"line {i} holds words of its own number {i * 7} and more of them here" for i in range(9))
+    rows = [(i, f"{text}\nlast {i} password = abcdef{i}z", *(f"{c}{i}" for c in names)) for i in range(3)] + [(None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
+    for stage in (
+        lambda d: corpus_pipeline.quality.drop_low_quality(d, labels, threshold=-100.0), corpus_pipeline.linededup.remove_similar_lines,
+        corpus_pipeline.simhash.drop_near_duplicates, corpus_pipeline.secret_scan.redact_secrets,
+    ):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert r["doc_id"] is None or all(r[c] == f"{c}{r['doc_id']}" for c in names)
+
+
+def test_documents_that_share_an_id(spark):
+    """Different texts under one id both stay, equal rows and texts without an id are one."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one, "b"), (1, two, "a"), (1, one, "a"), (1, one, "a"), (2, one, "c"), (None, three, "x"), (None, three, "x"), (None, two, "y")]
+    out = corpus_pipeline.simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in out) == [(0, "gamm"), (1, "alph"), (1, "beta")]
+    again = corpus_pipeline.simhash.drop_near_duplicates(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
