@@ -1,19 +1,19 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its tokens: runs of five neighbouring words, or all its words where they are fewer. Tokens are
-ordered by rarity; two sets with a Jaccard similarity of at least the threshold share one of the first tokens of that
-order, how many depends on their sizes alone. Lines meet on those tokens, pairs whose sizes or whose places in the order
-rule the similarity out are dropped, and the rest are compared token by token. A line goes if any earlier line matches
-it. All of it is DataFrame expressions.
+A line is the set of its words. Words are ordered by rarity; two sets with a Jaccard similarity of at least the threshold
+share one of the first words of that order, how many depends on their sizes alone. Lines meet on those words; pairs whose
+sizes, whose places in the order or whose bitmaps rule the similarity out are dropped, and the rest are compared word by
+word. A line goes if any earlier line matches it. All of it is DataFrame expressions.
 
 Families of thousands of variants of a line would make all pairs of them meet. So lines are first compared with the
-earliest line of each of their tokens only, which settles such families in as many comparisons as they have lines.
-Lines that this doesn't settle meet all others that share a token.
+earliest line of each of their few rarest words only, which settles such families in a few comparisons a line. Lines that
+this doesn't settle meet all others that share a word of their prefixes.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 from corollary.llm.common import WORD, apart, small_side, together, words
 from corollary.session import ensure_checkpoint_dir
 
-#: Least Jaccard similarity of a match, in percent, and words of a token.
+#: Least Jaccard similarity of a match, in percent, words of a token, and rarest tokens whose earliest line is compared first.
 THRESHOLD = 80
-SHINGLE = 5
+SHINGLE = 1
+LEADING = 4
 #: Buckets in which tokens are counted for their rarity, a power of two, and the share of all tokens, one in so many, from which
 #: the lines of a token are dealt to more slots.
-BUCKETS = 8192
+BUCKETS = 65_536
 SLOT_SHARE = 4096
-#: Bits of a token's key below its rank.
-LOW = 44
+#: Bits of a token's key below its class. Tokens of equal keys only meet in vain: lines that share one meet on its key all the same.
+LOW = 40
+#: Rarity classes, and the character that stands for the first.
+CLASSES, FIRST = 94, 33
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -43,9 +46,18 @@ def _ceil(numerator: Column, denominator: int) -> Column:
     return F.floor((numerator + (denominator - 1)) / denominator).cast("int")
 
 
-def _literal(numbers: list[int]) -> Column:
-    """A constant array, as one string that the optimizer folds."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+def _class_of(token: Column, classes: str) -> Column:
+    """The class of a token's bucket; a constant of one byte per bucket, which is cut at a place without reading what is before it."""
+    place = token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+    return F.ascii(F.substring(F.lit(classes.encode()), place, F.lit(1)).cast("string")) - FIRST
+
+
+def _slots_of(token_key: Column, slots: list[int]) -> Column:
+    """Slots of the token of a key: one, but for the classes of the most frequent."""
+    first = next((k for k, n in enumerate(slots) if n > 1), len(slots))
+    rank = F.shiftright(token_key, LOW).cast("int")
+    many = F.get(F.array(*(F.lit(n) for n in slots[first:])), rank - first) if first < len(slots) else F.lit(1)
+    return F.when(rank < first, F.lit(1)).otherwise(many)
 
 
 def token_hashes(line: Column | str, shingle: int = SHINGLE) -> Column:
@@ -87,10 +99,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def rarity(lines: DataFrame, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
-    """Rank by count of each hash bucket of tokens, counted over all lines, and the number of slots of each rank.
+def rarity(lines: DataFrame, shingle: int = SHINGLE) -> tuple[str, list[int]]:
+    """Rarity class of each hash bucket of tokens, as a character, and the number of slots of each class.
 
-    The driver gets one number per bucket. Equal tokens share a bucket, so the ranks and then the hashes order all tokens in
+    Tokens are counted by bucket over all lines; buckets in order of their counts are cut into classes of about equal shares of all tokens.
+    The driver gets one number per bucket. Equal tokens share a bucket, so the classes and then the hashes order all tokens in
     one way, which is what the join needs to be exact; how well a bucket's count tells a token's is a matter of speed.
     """
     bucket = F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
@@ -99,31 +112,66 @@ def rarity(lines: DataFrame, shingle: int = SHINGLE) -> tuple[list[int], list[in
     for r in counted:
         counts[r["b"]] = r["count"]
     total = max(1, sum(counts))
-    order = sorted(range(BUCKETS), key=lambda b: (counts[b], b))
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return ranks, [1 + counts[b] * SLOT_SHARE // total for b in order]
+    classes, slots, before = [""] * BUCKETS, [1] * CLASSES, 0
+    for b in sorted(range(BUCKETS), key=lambda b: (counts[b], b)):
+        own = min(CLASSES - 1, before * CLASSES // total)
+        classes[b] = chr(FIRST + own)
+        slots[own] = 1 + counts[b] * SLOT_SHARE // total
+        before += counts[b]
+    return "".join(classes), slots
 
 
-def _may_match(n: Column, i: Column, m: Column, j: Column, threshold: int) -> Column:
-    """Whether sets of ``n`` and ``m`` tokens, whose places ``i`` and ``j`` hold the same token, can be similar.
+def _needed(n: Column, m: Column, threshold: int) -> Column:
+    """How many tokens sets of ``n`` and ``m`` share at least where they are similar."""
+    return _ceil((n + m) * threshold, 100 + threshold)
+
+
+def _sizes(n: Column, m: Column, threshold: int) -> Column:
+    return (100 * n >= threshold * m) & (100 * m >= threshold * n)
+
+
+def _gap(bits: list[Column], others: list[Column]) -> Column:
+    """Bits in which two bitmaps differ, which are at most as many as tokens that only one set holds."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits, others, strict=True)), F.lit(0))
+
+
+def _folded(half: int) -> Callable[[Column, Column], Column]:
+    """Adds a token to one half of a bitmap of 128 bits, each of which tells whether an odd number of tokens hash to it."""
+    def added(bits: Column, token: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(token, 58).cast("int"))
+        return F.when(token.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
+
+    return added
 
-    At the first token they share, they can only share those from it on.
-    """
-    sizes = (100 * n >= threshold * m) & (100 * m >= threshold * n)
-    return sizes & (F.least(n - i, m - j) >= _ceil((n + m) * threshold, 100 + threshold))
 
+def _place(at_id: Column, kind: str) -> Column:
+    """A number that does not fall where ids rise, nulls last; the same for all ids of kinds that have none."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        number = at_id.cast("long")
+    elif kind == "string":
+        number = F.conv(F.rpad(F.hex(F.substring(at_id.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    else:
+        number = F.lit(0).cast("long")
+    return F.coalesce(F.when(at_id.isNotNull(), number), F.lit(2**63 - 1))
 
-def _enough_shared(threshold: int) -> Column:
-    """Whether ``token`` is the first that the prefixes of two lines share, and they share as many as similar lines do.
 
-    Of the needed common tokens, a line's places after its prefix can hold all but so many.
+def distinct_lines(lines: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, list[int]]:
+    """Every distinct line, written once, and the slots of each class.
+
+    ``h1, h2, at`` (its earliest place), ``copies``, ``n`` (its tokens), ``prefix`` (keys of the rarest, in order), ``b0, b1`` (its bitmap).
     """
-    shared = F.array_intersect("prefix", "x_prefix")
-    after = lambda n: n - (n - _ceil(n * threshold, 100) + 1)
-    needed = _ceil((F.col("n") + F.col("x_n")) * threshold, 100 + threshold)
-    return (F.array_min(shared) == F.col("token")) & (F.size(shared) >= needed - F.greatest(after(F.col("n")), after(F.col("x_n"))))
+    classes, slots = rarity(lines, shingle)
+    key = lambda t: F.shiftleft(_class_of(t, classes).cast("long"), LOW).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
+    hashed = lines.select("h1", "h2", "at", token_hashes("line", shingle).alias("t"))
+    n, zero = F.size("t"), F.lit(0).cast("long")
+    body = F.struct(
+        n.alias("n"), F.slice(F.sort_array(F.transform("t", key)), 1, n - _ceil(n * threshold, 100) + 1).alias("prefix"),
+        *(F.aggregate("t", zero, _folded(k)).alias(f"b{k}") for k in (0, 1)),
+    )
+    distinct = hashed.select("h1", "h2", "at", body.alias("body")).groupBy("h1", "h2").agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("body").alias("body")
+    )
+    return _written(distinct.select("h1", "h2", "at", "copies", "body.*")), slots
 
 
 def _similar(a: str, b: str, threshold: int) -> Column:
@@ -132,79 +180,77 @@ def _similar(a: str, b: str, threshold: int) -> Column:
     return 100 * shared >= threshold * (F.size(a) + F.size(b) - shared)
 
 
-def shared_prefixes(lines: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, list[int]]:
-    """Prefix tokens that more than one distinct line has, and the slots of each rank.
+def _staying(condition: Column) -> Column:
+    """A condition that is not moved before the shuffle below it, so that both sides of a join read one shuffle."""
+    return F.when(F.spark_partition_id() >= 0, condition)
+
+
+def candidates(rows: DataFrame, slots: list[int], threshold: int) -> DataFrame:
+    """``h1, x, gap``: open lines and lines of no later id that share a prefix token and may be similar.
 
-    ``token, slot, h1`` (the line), ``at`` (its earliest place), ``n`` (its tokens), ``i`` (the token's place), and
-    ``leader``: the earliest line of the token and slot. Equal lines are one row from the first aggregate on.
+    A row is dealt by its token. It asks, if its line is open, and is asked; rows of a token that many lines have lie in slots, and
+    an open line of such a token asks in all of them. One shuffle serves both sides.
     """
-    ranks, slots = rarity(lines, shingle)
-    key = lambda t: F.shiftleft(
-        F.get(_literal(ranks), t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), LOW
-    ).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
-    ordered = lines.withColumn("keys", F.sort_array(F.transform(token_hashes("line", shingle), key)))
-    n = F.size("keys")
-    body = F.struct(n.alias("n"), F.slice("keys", 1, n - _ceil(n * threshold, 100) + 1).alias("prefix"))
-    distinct = ordered.select("h1", "h2", "at", body.alias("body")).groupBy("h1", "h2").agg(
-        F.min("at").alias("at"), F.first("body").alias("body")
+    wide = _slots_of(F.col("token"), slots)
+    own = F.pmod(F.col("h1"), wide).cast("int")
+    each = rows.withColumn("own", own).withColumn(
+        "slot", F.explode(F.when(F.col("open") & (wide > 1), F.sequence(F.lit(0), wide - 1)).otherwise(F.array("own")))
     )
-    rows = distinct.select("h1", "at", F.col("body.n").alias("n"), F.posexplode("body.prefix").alias("i", "token"))
-    wide = F.get(_literal(slots), F.shiftright("token", LOW).cast("int"))
-    rows = rows.withColumn("slot", F.pmod(F.col("h1"), wide).cast("int"))
-    near = Window.partitionBy("token", "slot").orderBy("at")
-    met = (
-        rows.withColumn("leader", F.first(F.struct("h1", "n", "i")).over(near))
-        .withColumn("__rank", F.row_number().over(near)).withColumn("__next", F.lead("n").over(near))
-        .where((F.col("__rank") > 1) | F.col("__next").isNotNull() | (wide > 1))
+    flags = F.when(F.col("open"), 1).otherwise(0) + F.when(F.col("slot") == F.col("own"), 2).otherwise(0)
+    dealt = each.select("token", "slot", "h1", "ord", "n", "i", "b0", "b1", flags.alias("flags")).repartition("token", "slot")
+    asks = dealt.where(_staying(F.col("flags").bitwiseAND(F.lit(1)) > 0)).drop("flags")
+    asked = dealt.where(_staying(F.col("flags").bitwiseAND(F.lit(2)) > 0)).select(
+        "token", "slot", *(F.col(c).alias(f"x_{c}") for c in ("h1", "ord", "n", "i", "b0", "b1"))
     )
-    return _written(met.drop("__rank", "__next")), slots
+    n, m = F.col("n"), F.col("x_n")
+    needed = _needed(n, m, threshold)
+    gap = _gap([F.col("b0"), F.col("b1")], [F.col("x_b0"), F.col("x_b1")])
+    # At the first token that two lines share, they can only share those from it on.
+    may = (
+        (F.col("x_ord") <= F.col("ord")) & _sizes(n, m, threshold) & (F.least(n - F.col("i"), m - F.col("x_i")) >= needed)
+        & (gap <= n + m - 2 * needed) & (F.col("x_h1") != F.col("h1"))
+    )
+    met = asks.join(asked, (asks["token"] == asked["token"]) & (asks["slot"] == asked["slot"]) & may)
+    return met.select("h1", F.col("x_h1").alias("x"), gap.alias("gap"))
 
 
-def matched_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, shingle: int) -> DataFrame:
+def matched_lines(lines: DataFrame, distinct: DataFrame, slots: list[int], threshold: int, shingle: int) -> DataFrame:
     """Keys ``h1, h2`` of the distinct lines that an earlier line matches."""
-    lines = lines_of(docs, id_col, text_col)
-    met, slots = shared_prefixes(lines, threshold, shingle)
-    needed = small_side(met.select("h1").distinct())
-    held = _written(
-        lines.select("h1", "h2", "line").join(needed, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    )
+    ord_ = _place(F.col("at.id"), dict(lines.select("at.id").dtypes)["id"]).alias("ord")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        y = held.select("h1", "h2", F.col("line").alias("y_line"))
-        x = held.select(F.col("h1").alias("x"), F.col("line").alias("x_line"))
-        both = pairs.join(y, "h1").join(x, "x")  # lines are shuffled, tokens, which are longer, made of them here
+    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        y = held.select("h1", "h2", "at", F.col("line").alias("y_line"))
+        x = held.select(F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("line").alias("x_line"))
+        both = pairs.join(y, "h1").join(x, "x").where("x_at < at")  # lines are shuffled, tokens, which are longer, made of them here
         compared = both.select("h1", "h2", tokens("y_line", shingle).alias("a"), tokens("x_line", shingle).alias("b"))
         return compared.where(_similar("a", "b", threshold)).select("h1", "h2").distinct()
 
-    place, leader = F.col("i"), F.col("leader")
-    led = met.where(leader["h1"] != F.col("h1")).where(_may_match(F.col("n"), place, leader["n"], leader["i"], threshold))
-    settled = _written(verified(led.select("h1", leader["h1"].alias("x")).distinct()))
-
-    # One row per line, with all the prefix tokens it shares: two lines are paired at the first that they have in common.
-    listed = met.groupBy("h1").agg(
-        F.first("at").alias("at"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("token", "slot", "i", "leader"))).alias("rows")
-    ).withColumn("prefix", F.col("rows.token"))
-    wide = F.get(_literal(slots), F.shiftright("r.token", LOW).cast("int"))
-    rest = listed.join(settled.select("h1").distinct(), "h1", "left_anti").select("h1", "at", "n", "prefix", F.explode("rows").alias("r"))
-    asks = rest.select(
-        "h1", "at", "n", "prefix", "r.token", "r.i", F.col("r.leader.h1").alias("leader"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("slot")
-    )
-    others = listed.select("h1", "at", "n", "prefix", F.explode("rows").alias("r")).select(
-        "r.token", "r.slot", F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), F.col("r.i").alias("x_i"),
-        F.col("prefix").alias("x_prefix"),
-    )
-    pairs = asks.join(others, ["token", "slot"]).where(
-        (F.col("x_at") < F.col("at")) & (F.col("x") != F.col("leader"))
-        & _may_match(F.col("n"), F.col("i"), F.col("x_n"), F.col("x_i"), threshold)
-        & _enough_shared(threshold)
+    def held_for(pairs: DataFrame) -> DataFrame:
+        needed = small_side(pairs.select("h1").unionAll(pairs.select("x")).distinct())
+        some = lines.join(needed, "h1", "left_semi")
+        return _written(some.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line")))
+
+    first = distinct.select("h1", ord_, "n", "b0", "b1", F.posexplode(F.slice("prefix", 1, LEADING)).alias("i", "token"))
+    slot = F.pmod(F.col("h1"), _slots_of(F.col("token"), slots)).cast("int")
+    near = Window.partitionBy("token", "slot").orderBy("ord", "h1")
+    led = first.withColumn("slot", slot).withColumn("leader", F.first(F.struct("h1", "n", "b0", "b1")).over(near))
+    n, leader = F.col("n"), F.col("leader")
+    close = _gap([F.col("b0"), F.col("b1")], [leader["b0"], leader["b1"]]) <= n + leader["n"] - 2 * _needed(n, leader["n"], threshold)
+    led = led.where((leader["h1"] != F.col("h1")) & _sizes(n, leader["n"], threshold) & close)
+    led = _written(led.select("h1", leader["h1"].alias("x")).distinct())
+    settled = _written(verified(led, held_for(led)))
+
+    done = small_side(settled.select("h1", F.lit(False).alias("told")).distinct())
+    rows = distinct.select("h1", ord_, "n", "b0", "b1", "prefix").join(done, "h1", "left").select(
+        "h1", "ord", "n", "b0", "b1", F.coalesce("told", F.lit(True)).alias("open"), F.posexplode("prefix").alias("i", "token")
     )
-    pairs = _written(pairs.select("h1", "x", F.size(F.array_intersect("prefix", "x_prefix")).alias("shared")))
+    pairs = _written(candidates(rows, slots, threshold).groupBy("h1", "x").agg(F.min("gap").alias("gap")))
     # One match is enough: the likeliest is compared first, and only lines that it doesn't settle with all the others.
-    likeliest = pairs.groupBy("h1").agg(F.max(F.struct("shared", "x")).alias("best")).select("h1", F.col("best.x").alias("x"))
-    soon = _written(verified(likeliest))
-    late = pairs.join(soon.select("h1").distinct(), "h1", "left_anti").join(likeliest, ["h1", "x"], "left_anti")
-    more = verified(late.select("h1", "x").distinct())
-    return _written(settled.unionAll(soon).unionAll(more))
+    held = held_for(pairs)
+    likeliest = pairs.groupBy("h1").agg(F.min(F.struct("gap", "x")).alias("best")).select("h1", F.col("best.x").alias("x"))
+    soon = _written(verified(likeliest, held))
+    late = pairs.select("h1", "x").join(soon.select("h1").distinct(), "h1", "left_anti").join(likeliest, ["h1", "x"], "left_anti")
+    return settled.unionAll(soon).unionAll(verified(late, held)).distinct()
 
 
 def removed_lines(
@@ -212,10 +258,10 @@ def removed_lines(
 ) -> DataFrame:
     """``__id``, ``__key``, ``__removed``: per id and text, the numbers (from 0) of the lines that go, where any does."""
     lines = lines_of(docs, id_col, text_col)
-    matched = matched_lines(docs, id_col, text_col, threshold, shingle).withColumn("near", F.lit(True))
-    copies = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"))
-    told = copies.join(matched, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near")
-    told = small_side(_written(told))
+    distinct, slots = distinct_lines(lines, threshold, shingle)
+    matched = matched_lines(lines, distinct, slots, threshold, shingle).withColumn("near", F.lit(True))
+    told = distinct.select("h1", "h2", F.col("at").alias("first"), "copies").join(matched, ["h1", "h2"], "left")
+    told = _written(told.where("copies > 1 or near").select("h1", "h2", "first", "near"))
     gone = lines.select("at", "h1", "h2").join(told, ["h1", "h2"]).where(F.col("near") | (F.col("at") > F.col("first")))
     return gone.groupBy(F.col("at.id").alias("__id"), F.col("at.key").alias("__key")).agg(F.collect_set("at.no").alias("__removed"))
 

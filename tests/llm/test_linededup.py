@@ -31,7 +31,7 @@ def brute(rows, threshold, shingle):
     return gone
 
 
-def check(frame, rows, threshold=80, shingle=5):
+def check(frame, rows, threshold=80, shingle=1):
     want = brute(rows, threshold, shingle)
     got = {r["__id"]: set(r["__removed"]) for r in linededup.removed_lines(frame, threshold=threshold, shingle=shingle).collect()}
     assert got == want
@@ -88,7 +88,7 @@ def test_rows_that_share_an_id(spark):
     keyed = frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).distinct().collect()
     # Documents by id, nulls last, then key; brute force numbers them, and so holds them apart.
     order = sorted(keyed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["key"]))
-    gone = brute([(i, r["text"]) for i, r in enumerate(order)], 80, 5)
+    gone = brute([(i, r["text"]) for i, r in enumerate(order)], 80, 1)
     want = {}
     for i, r in enumerate(order):
         left = None if r["text"] is None else "\n".join(line for k, line in enumerate(r["text"].split("\n")) if k not in gone.get(i, ()))
@@ -99,3 +99,51 @@ def test_rows_that_share_an_id(spark):
         assert r["text"] == want[r["doc_id"], r["before"]]
     begun = [r["text"] for r in got if r["doc_id"] is None and (r["before"] or "").startswith("a line that both")]
     assert sorted(len(t.split("\n")) for t in begun) == [1, 2]
+
+
+@pytest.mark.parametrize("n", [8, 20, 300])
+def test_one_changed_word(spark, n):
+    """Seven of nine words are fewer than 80 %, 19 of 21 are not; lines that differ in a quarter of their words both stay."""
+    line = [f"a{i}" for i in range(n)]
+    near, far = [*line[:-1], "other"], [*line[: n - n // 4], *(f"b{i}" for i in range(n // 4))]
+    rows = [(1, " ".join(line)), (2, "\n".join(["its own words", " ".join(near)])), (3, " ".join(far))]
+    left = {r["doc_id"]: r["text"] for r in linededup.remove_similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1: rows[0][1], 2: "its own words" if n > 8 else rows[1][1], 3: rows[2][1]}
+
+
+def test_families_meet_their_leaders_only(spark, tmp_path):
+    """Variants of one line are settled by the earliest, so that few candidate pairs are left, not all pairs."""
+    base = [f"f{i}" for i in range(30)]
+    rows = [(i, " ".join([*base[: i % 30], f"v{i}", *base[i % 30 + 1:]])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    lines = linededup.lines_of(frame, "doc_id", "text")
+    distinct, slots = linededup.distinct_lines(lines, 80, 1)
+    assert distinct.count() == 600
+    matched = linededup.matched_lines(lines, distinct, slots, 80, 1)
+    assert matched.count() == 599
+    rows = distinct.select(
+        "h1", linededup._place(F.col("at.id"), "string").alias("ord"), "n", "b0", "b1", F.lit(False).alias("open"), F.posexplode("prefix").alias("i", "token")
+    )
+    assert linededup.candidates(rows, slots, 80).count() == 0
+
+
+def test_one_shuffle_serves_both_sides(spark):
+    """The rows dealt by token are shuffled once."""
+    rows = spark.range(10).selectExpr(
+        "id h1", "id ord", "5 n", "0L b0", "0L b1", "true open", "0 i", "id % 3 token"
+    )
+    plan = linededup.candidates(rows, [1] * linededup.CLASSES, 80)._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    linededup.candidates(rows, [1] * linededup.CLASSES, 80).count()
+    assert text.count("Exchange hashpartitioning(token") + text.count("Exchange hashpartitioning(x_token") <= 2
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double", "date"])
+def test_ids_of_any_kind(spark, kind):
+    rows = near_lines(5, families=3, variants=15)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    cast = F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind)
+    frame = frame.withColumn("name", F.lpad(cast.cast("string"), 12, "0") if kind == "string" else cast)
+    gone = brute(rows, 80, 1)
+    for r in linededup.with_unique_lines(frame, "name").collect():
+        assert r["__lines"]["n_removed"] == len(gone.get(r["doc_id"], ()))

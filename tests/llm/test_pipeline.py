@@ -33,7 +33,7 @@ def test_stages(spark):
     bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
     assert not bad & set(texts["quality_rules"])
 
-    gone = brute(list(texts["quality_rules"].items()), 80, 5)
+    gone = brute(list(texts["quality_rules"].items()), 80, 1)
     for i, text in texts["quality_rules"].items():
         left = [line for k, line in enumerate(text.split("\n")) if k not in gone.get(i, ())]
         assert texts["line_dedup"][i] == "\n".join(left)
