@@ -106,8 +106,11 @@ def rarity(lines: DataFrame, shingle: int = SHINGLE) -> tuple[str, list[int]]:
     The driver gets one number per bucket. Equal tokens share a bucket, so the classes and then the hashes order all tokens in
     one way, which is what the join needs to be exact; how well a bucket's count tells a token's is a matter of speed.
     """
-    bucket = F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
-    counted = lines.select(F.explode(token_hashes("line", shingle)).alias("t")).groupBy(bucket).count().collect()
+    if shingle == 1:  # words as rows, which takes no array of hashes; repeats within a line count as well
+        each = lines.select(F.explode(words("line")).alias("w")).select(F.xxhash64("w").alias("t"))
+    else:
+        each = lines.select(F.explode(token_hashes("line", shingle)).alias("t"))
+    counted = each.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().collect()
     counts = [0] * BUCKETS
     for r in counted:
         counts[r["b"]] = r["count"]
