@@ -52,8 +52,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [
-        F.size(F.filter("__base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(secret_scan.KINDS[:3])
+        secret_scan.spans_of_kind(F.col("__base"), name).cast("long").alias(f"n_{name}") for name in secret_scan.KINDS[:3]
     ]
     base, spans = secret_scan.joined(F.col("__base")), secret_scan.joined(F.col("__spans"))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))

@@ -223,6 +223,12 @@ def all_spans(text: Column, base: Column, cuts: dict[int, float]) -> Column:
     )))
 
 
+def spans_of_kind(spans: Column, name: str) -> Column:
+    """How many of ``spans`` are of a kind."""
+    kind = KINDS.index(name)
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))  # a second parameter, even with a default, would be the index
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))

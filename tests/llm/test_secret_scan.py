@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from corollary.llm import secret_scan
+from corollary.llm import queries, secret_scan
 
 ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -135,3 +136,20 @@ def test_lone_token_above_alpha(spark):
     frame = frame.withColumn("p", F.array_max(F.transform(secret_scan.candidates(F.col("text")), lambda c: c["p"])))
     got = secret_scan.with_spans(frame).where(F.size("__spans") > 0).collect()
     assert [r["text"][:3] for r in got] == ["now"] and got[0]["p"] < 0.5
+
+
+def test_query_counts_spans_of_each_kind(spark, tmp_path):
+    hexes = ["0a" * 13, "1b" * 14]
+    texts = [
+        f"password=abcdef {hexes[0]} token: '{hexes[1]}'", f"{hexes[0]} {hexes[1]} AKIA{'Z9' * 8}", f"AKIA{'Z9' * 8} AKIA{'Y8' * 9} secret=abc", "none", "", None,
+        f"é {hexes[0]} secret=abcdefg passwd=abcdefg api_key=abcdefg",
+    ]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (0, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_secret_scan(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    want = []
+    for i, text in rows:
+        found = base(text or "")
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in found)
+        want.append((i, *(sum(kind == k for _, kind, _ in found) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
