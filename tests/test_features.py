@@ -392,3 +392,17 @@ def test_partitions_follow_the_data(spark, monkeypatch):
     packed = training.pack(rows, "embedding", "row_id", 8, 0, 8, 0, parts, spread)
     per = packed.select("step", F.spark_partition_id().alias("p")).distinct().collect()
     assert len({r["p"] for r in per}) > 2 and len(per) == 8  # each step's rows are in one partition
+
+
+def test_light_steps_of_many_rows_share_a_job(spark):
+    """4,096 rows of 8 dimensions are not worth a job a step, so that jobs don't grow in number with the steps."""
+    n = 20_480
+    rows = spark.range(n).select(F.col("id").alias("row_id"), F.array(*((F.col("id") % (7 + d)).cast("float") for d in range(8))).alias("embedding"))
+    cfg = training.TrainConfig(n_epochs=1, batch_size=4096, learning_rate=1e-2)
+    with training._epoch(rows, "embedding", "row_id", 5, cfg, 8, n, 0, 8) as epoch:
+        assert (epoch.chunks, epoch.tasks) == (1, 1)
+    with training._epoch(rows, "embedding", "row_id", 5, cfg, 8, n, 0, 1 << 20) as epoch:
+        assert epoch.tasks > 1  # a large model's steps are shared by tasks
+    options = {"n_epochs": 2, "batch_size": 4096, "learning_rate": 1e-2, "seed": 4}
+    together, apart = training.train_sae(rows, 8, 2, **options), training.train_sae(rows, 8, 2, partitions=8, **options)
+    assert np.allclose(together.enc, apart.enc, atol=1e-9) and np.allclose(together.dec, apart.dec, atol=1e-9)
