@@ -5,9 +5,10 @@ share one of the first words of that order, how many depends on their sizes alon
 sizes, whose places in the order or whose bitmaps rule the similarity out are dropped, and the rest are compared word by
 word. A line goes if any earlier line matches it. All of it is DataFrame expressions.
 
-Families of thousands of variants of a line would make all pairs of them meet. So lines are first compared with the
-earliest line of each of their few rarest words only, which settles such families in a few comparisons a line. Lines that
-this doesn't settle meet all others that share a word of their prefixes.
+Families of thousands of variants of a line would make all pairs of them meet. So lines are first grouped by each of their
+few rarest words and by sketches, the words of the smallest and of the largest hashes, which variants are likely to share whatever
+words of their own they have. In each group a line is compared with the earliest line and the few before it only, which settles
+such families in a few comparisons a line. Lines that this doesn't settle meet all others that share a word of their prefixes.
 """
 
 from __future__ import annotations
@@ -21,10 +22,15 @@ from pyspark.sql import functions as F
 from corollary.llm.common import WORD, apart, small_side, together, words
 from corollary.session import ensure_checkpoint_dir
 
-#: Least Jaccard similarity of a match, in percent, words of a token, and rarest tokens whose earliest line is compared first.
+#: Least Jaccard similarity of a match, in percent, words of a token, and rarest tokens whose lines are compared first.
 THRESHOLD = 80
 SHINGLE = 1
 LEADING = 4
+#: Places of a line's hashes in order, from 1 or backwards from -1, that make a sketch; lines before it in a group, and leaders in
+#: all, that a line is compared with at first.
+SKETCHES = ((1, 2), (-1, -2), (1, 2, 3), (-1, -2, -3))
+BEFORE = 3
+LEADERS = 4
 #: Buckets in which tokens are counted for their rarity, a power of two, and the share of all tokens, one in so many, from which
 #: the lines of a token are dealt to more slots.
 BUCKETS = 65_536
@@ -161,14 +167,19 @@ def _place(at_id: Column, kind: str) -> Column:
 def distinct_lines(lines: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, list[int]]:
     """Every distinct line, written once, and the slots of each class.
 
-    ``h1, h2, at`` (its earliest place), ``copies``, ``n`` (its tokens), ``prefix`` (keys of the rarest, in order), ``b0, b1`` (its bitmap).
+    ``h1, h2, at`` (its earliest place), ``copies``, ``n`` (its tokens), ``prefix`` (keys of the rarest, in order), ``sketches``, ``b0, b1``
+    (its bitmap).
     """
     classes, slots = rarity(lines, shingle)
     key = lambda t: F.shiftleft(_class_of(t, classes).cast("long"), LOW).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
     hashed = lines.select("h1", "h2", "at", token_hashes("line", shingle).alias("t"))
+    hashed = hashed.withColumn("t", F.sort_array("t"))
     n, zero = F.size("t"), F.lit(0).cast("long")
+    # A number as well, so that no two kinds of sketches meet; places beyond the line's ends are null, which a hash skips.
+    at = lambda k: F.get("t", F.lit(k - 1) if k > 0 else n + k)
     body = F.struct(
-        n.alias("n"), F.slice(F.sort_array(F.transform("t", key)), 1, n - _ceil(n * threshold, 100) + 1).alias("prefix"),
+        n.alias("n"), F.array(*(F.xxhash64(F.lit(i), *map(at, places)) for i, places in enumerate(SKETCHES))).alias("sketches"),
+        F.slice(F.sort_array(F.transform("t", key)), 1, n - _ceil(n * threshold, 100) + 1).alias("prefix"),
         *(F.aggregate("t", zero, _folded(k)).alias(f"b{k}") for k in (0, 1)),
     )
     distinct = hashed.select("h1", "h2", "at", body.alias("body")).groupBy("h1", "h2").agg(
@@ -233,14 +244,21 @@ def matched_lines(lines: DataFrame, distinct: DataFrame, slots: list[int], thres
         some = lines.join(needed, "h1", "left_semi")
         return _written(some.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line")))
 
-    first = distinct.select("h1", ord_, "n", "b0", "b1", F.posexplode(F.slice("prefix", 1, LEADING)).alias("i", "token"))
-    slot = F.pmod(F.col("h1"), _slots_of(F.col("token"), slots)).cast("int")
+    rarest = F.slice("prefix", 1, LEADING)
+    first = distinct.select(
+        "h1", ord_, "n", "b0", "b1", F.size(rarest).alias("rarest"), F.posexplode(F.concat(rarest, "sketches")).alias("i", "token")
+    )
+    slot = F.when(F.col("i") < F.col("rarest"), F.pmod(F.col("h1"), _slots_of(F.col("token"), slots)).cast("int")).otherwise(-1)
     near = Window.partitionBy("token", "slot").orderBy("ord", "h1")
-    led = first.withColumn("slot", slot).withColumn("leader", F.first(F.struct("h1", "n", "b0", "b1")).over(near))
+    own = F.struct("h1", "n", "b0", "b1")
+    earlier = F.array(F.first(own).over(near), *(F.lag(own, k).over(near) for k in range(1, BEFORE + 1)))
+    led = first.withColumn("slot", slot).withColumn("earlier", earlier).select("h1", "n", "b0", "b1", F.explode("earlier").alias("leader"))
     n, leader = F.col("n"), F.col("leader")
-    close = _gap([F.col("b0"), F.col("b1")], [leader["b0"], leader["b1"]]) <= n + leader["n"] - 2 * _needed(n, leader["n"], threshold)
+    gap = _gap([F.col("b0"), F.col("b1")], [leader["b0"], leader["b1"]])
+    close = gap <= n + leader["n"] - 2 * _needed(n, leader["n"], threshold)
     led = led.where((leader["h1"] != F.col("h1")) & _sizes(n, leader["n"], threshold) & close)
-    led = _written(led.select("h1", leader["h1"].alias("x")).distinct())
+    likely = F.slice(F.sort_array(F.collect_set(F.struct(gap.alias("gap"), leader["h1"].alias("x")))), 1, LEADERS)
+    led = _written(led.groupBy("h1").agg(likely.alias("likely")).select("h1", F.explode("likely.x").alias("x")))
     settled = _written(verified(led, held_for(led)))
 
     done = small_side(settled.select("h1", F.lit(False).alias("told")).distinct())

@@ -147,3 +147,20 @@ def test_ids_of_any_kind(spark, kind):
     gone = brute(rows, 80, 1)
     for r in linededup.with_unique_lines(frame, "name").collect():
         assert r["__lines"]["n_removed"] == len(gone.get(r["doc_id"], ()))
+
+
+def test_families_whose_rarest_words_differ_meet_few_lines(spark, monkeypatch):
+    """Every variant has rare words of its own, so that no rare word leads to the others; few pairs are left all the same."""
+    rng = random.Random(11)
+    base = [f"f{i}" for i in range(90)]
+    rows = []
+    for i in range(300):
+        line = list(base)
+        for k, at in enumerate(rng.sample(range(90), 4)):
+            line[at] = f"v{i}x{k}"
+        rows.append((i, " ".join(line)))
+    made = []
+    whole = linededup.candidates
+    monkeypatch.setattr(linededup, "candidates", lambda *a: made.append(whole(*a)) or made[-1])
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+    assert made[0].select("h1", "x").distinct().count() < 10 * len(rows)
