@@ -25,10 +25,10 @@ from corollary.session import ensure_checkpoint_dir
 #: Least Jaccard similarity of a match, in percent, words of a token, and rarest tokens whose lines are compared first.
 THRESHOLD = 80
 SHINGLE = 1
-LEADING = 4
+LEADING = 2
 #: Places of a line's hashes in order, from 1 or backwards from -1, that make a sketch; lines before it in a group, and leaders in
 #: all, that a line is compared with at first.
-SKETCHES = ((1, 2), (-1, -2), (1, 2, 3), (-1, -2, -3))
+SKETCHES = ((1, 2), (-1, -2))
 BEFORE = 3
 LEADERS = 4
 #: Buckets in which tokens are counted for their rarity, a power of two, and the share of all tokens, one in so many, from which
