@@ -1,22 +1,21 @@
-"""SentencePiece encoding by a relational lattice, and decoding.
+"""SentencePiece encoding by lattices of distinct units, and decoding.
 
-A text is cut into units that no piece of the vocabulary crosses. The units of all texts, each once, are exploded into
-substrings of bounded length, joined to the piece table, and grouped into a lattice of edges per unit. A fold over the ends
-of edges keeps the best way to each place, another goes back along it. Units then return to their texts by blocks.
+A text is cut into units that no piece of the vocabulary crosses. Spark deals texts to blocks, takes the distinct units of each
+block and brings equal units of all blocks together, so that the lattice of a unit is gone through once. Units and their ids then
+return to the blocks, where texts are put together. All three shuffles carry compressed columns or short rows.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -28,11 +27,9 @@ CUTS = (
     rf"{SPACE}*[^\W\d_¹²³]+|{SPACE}*\d+|{SPACE}*(?:[^\w{SPACE}]|[_¹²³])+|{SPACE}+",
     rf"{SPACE}*[^{SPACE}]+|{SPACE}+",
 )
-#: Documents of a block, about; ends that one step of the fold takes together.
+#: Documents of a block, about; units that are packed for their blocks together.
 BLOCK_ROWS = 8192
-CHUNK = 64
-#: Blocks whose numbers one row of a unit lists.
-BAND = 4096
+PACK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,6 +48,14 @@ class Vocabulary:
     def longest(self) -> int:
         return max(len(piece) for piece, _, _ in self.pieces)
 
+    @cached_property
+    def edges(self) -> dict[str, tuple[float, int] | None]:
+        """Score and id of every piece, the best if it is listed twice; null for other beginnings of pieces."""
+        out: dict[str, tuple[float, int] | None] = {piece[:k]: None for piece, _, _ in self.pieces for k in range(1, len(piece))}
+        for piece, i, score in self.pieces:
+            out[piece] = max(out.get(piece) or (score, i), (score, i))
+        return out
+
     @cached_property
     def units(self) -> str:
         """The finest cut that leaves all pieces whole, so that encoding units apart is exact."""
@@ -67,9 +72,6 @@ class Vocabulary:
     def escaped(self, text: str) -> str:
         return (SPACE if self.leading_space and text else "") + text.replace(" ", SPACE)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.pieces), "piece string, piece_id int, score double")
-
 
 def load_vocabulary(path: str, leading_space: bool = True) -> Vocabulary:
     """Read a model file with byte fallback and no normalization; control, unknown and unused pieces take no part."""
@@ -84,95 +86,70 @@ def load_vocabulary(path: str, leading_space: bool = True) -> Vocabulary:
     )
 
 
-def _best_ways(ends: Column, longest: int) -> Column:
-    """Per chunk of ends, the best (score, start, id) of the edges into each; ties go to the longer last piece.
-
-    The fold's state holds the ways to the last ``longest`` places, which is as far back as an edge reaches, and the finished chunks.
-    """
-    way = "struct<score:double,start:int,id:int>"
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / CHUNK).cast("int")), lambda c: F.slice(ends, c * CHUNK + 1, CHUNK))
-    begin = F.struct(
-        F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))).alias("tail"),
-        F.array().cast(f"array<array<{way}>>").alias("done"),
-    )
-
-    def chunk(acc: Column, part: Column) -> Column:
-        before = F.size(acc["done"]) * CHUNK + 1 - F.size(acc["tail"])  # place of the first way of the tail
-
-        def one(ways: Column, edges: Column) -> Column:
-            # (score, -start, id) in this order, so that the largest struct is the best edge.
-            best = F.array_max(F.transform(edges, lambda e: F.struct(
-                (F.get(ways, e["start"] - before)["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")
-            )))
-            return F.concat(ways, F.array(F.struct(best["score"].alias("score"), (-best["back"]).alias("start"), best["id"].alias("id"))))
-
-        ways = F.aggregate(part, acc["tail"], one)
-        return F.element_at(F.transform(F.array(ways), lambda w: F.struct(
-            F.slice(w, F.greatest(F.lit(1), F.size(w) - longest + 1), longest).alias("tail"),
-            F.concat(acc["done"], F.array(F.slice(w, F.size(acc["tail"]) + 1, CHUNK))).alias("done"),
-        )), 1)
-
-    return F.aggregate(chunks, begin, chunk)["done"]
-
-
-def _way_back(done: Column, n: Column) -> Column:
-    """Ids, and starts for unknown characters, along the best way; from the last end to the first, then turned round."""
-    step = "struct<id:int,start:int>"
-    begin = F.struct(n.alias("want"), n.alias("at"), F.array().cast(f"array<array<{step}>>").alias("out"))
-
-    def chunk(acc: Column, ways: Column) -> Column:
-        inner = F.struct(acc["want"].alias("want"), acc["at"].alias("at"), F.array().cast(f"array<{step}>").alias("ids"))
-        back = F.aggregate(F.reverse(ways), inner, lambda s, w: F.struct(
-            F.when(s["want"] == s["at"], w["start"]).otherwise(s["want"]).alias("want"), (s["at"] - 1).alias("at"),
-            F.when(s["want"] == s["at"], F.concat(s["ids"], F.array(F.struct(w["id"].alias("id"), w["start"].alias("start"))))).otherwise(s["ids"]).alias("ids"),
-        ))
-        return F.element_at(F.transform(F.array(back), lambda b: F.struct(
-            b["want"].alias("want"), b["at"].alias("at"), F.concat(acc["out"], F.array(b["ids"])).alias("out")
-        )), 1)
-
-    return F.reverse(F.flatten(F.aggregate(F.reverse(done), begin, chunk)["out"]))
-
-
-def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit``, ``ids``, ``blocks`` of distinct units (with their hashes ``h1``, ``h2`` and ``band``) and the blocks they are sent to.
-
-    Ids are base 36, space-joined; an unknown character is ``-`` and its place. The piece table is broadcast: its size is
-    the vocabulary's. Rows are grouped where they are, by unit; its blocks go along with the row of its first character.
-    """
-    spark, longest = units.sparkSession, vocabulary.longest
-    keys = ["h1", "h2", "band"]
-    # From each place the characters that an edge may take; rows carry two hashes of the unit, and itself only once.
-    characters = F.regexp_extract_all("unit", F.lit("(?s)."), F.lit(0))
-    windows = F.transform(F.col("chars"), lambda c, i: F.array_join(F.slice(F.col("chars"), i + 1, longest), ""))
-    starts = units.select(*keys, "unit", "blocks", characters.alias("chars")).select(*keys, F.struct("unit", "blocks").alias("whole"), F.posexplode(windows).alias("start", "window"))
-    first = F.when(F.col("start") == 0, F.col("whole"))
-    spans = starts.select(
-        *keys, first.alias("whole"), "start", "window", F.explode(F.sequence(F.lit(1), F.length("window"))).alias("size")
-    ).select(
-        *keys, F.when(F.col("size") == 1, F.col("whole")).alias("whole"), "start", "size", F.substring("window", F.lit(1), F.col("size")).alias("piece")
-    )
-    known = spans.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("piece_id is not null or size = 1")
-    edge = F.struct("start", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("piece_id", F.lit(-1)).alias("id"))
-    kept = F.first("whole", ignorenulls=True).alias("whole")
-    by_end = known.groupBy(*keys, (F.col("start") + F.col("size")).alias("end")).agg(F.collect_list(edge).alias("edges"), kept)
-    lattice = by_end.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"), kept)
-    lattice = lattice.select("whole.unit", "whole.blocks", "ends")
-    done = lattice.select("unit", "blocks", _best_ways(F.transform("ends", lambda e: e["edges"]), longest).alias("done"))
-    way = _way_back(F.col("done"), F.length("unit"))
-    return done.select("unit", "blocks", F.array_join(F.transform(
-        way, lambda s: F.when(s["id"] < 0, F.concat(F.lit("-"), s["start"].cast("string"))).otherwise(F.conv(s["id"].cast("string"), 10, 36))
-    ), " ").alias("ids"))
-
-
-def _ids_of(unit: str, joined: str, byte_ids: tuple[int, ...]) -> bytes:
-    """32-bit ids of a unit; unknown characters become the ids of their bytes."""
-    out: list[int] = []
-    for part in joined.split():
-        if part[0] == "-":
-            out += [byte_ids[b] for b in unit[int(part[1:])].encode()]
-        else:
-            out.append(int(part, 36))
-    return array("i", out).tobytes()
+def _best_ids(unit: str, vocabulary: Vocabulary) -> list[int]:
+    """Ids along the best way through the lattice of a unit; ties go to the longer last piece. Unknown characters become their bytes."""
+    edges, longest, n, unknown = vocabulary.edges, vocabulary.longest, len(unit), (vocabulary.unknown_score, -1)
+    ways: list[tuple[float, int, int] | None] = [None] * (n + 1)  # the best (score, start, id) into each place
+    score = 0.0
+    for start in range(n):
+        for end in range(start + 1, min(n, start + longest) + 1):
+            edge = edges.get(unit[start:end])
+            if edge is None:
+                if end == start + 1:
+                    edge = unknown
+                elif unit[start:end] in edges:
+                    continue
+                else:
+                    break  # begins no piece
+            way, total = ways[end], score + edge[0]
+            if way is None or total > way[0]:  # starts rise, so that of equal ways the longer last piece came first
+                ways[end] = (total, start, edge[1])
+        score = ways[start + 1][0]
+    ids: list[int] = []
+    while n:
+        _, start, i = ways[n]
+        ids += [i] if i >= 0 else [vocabulary.byte_ids[b] for b in reversed(unit[start:n].encode())]
+        n = start
+    return ids[::-1]
+
+
+def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of each ``block``, without it, as one compressed part."""
+    squeeze = zstandard.ZstdCompressor(level=9)
+    rows = rows.take(pa.array(np.argsort(rows.column("block").to_numpy(), kind="stable"))).combine_chunks()
+    numbers, first = np.unique(rows.column("block").to_numpy(), return_index=True)
+    ends = np.append(first[1:], rows.num_rows)
+    for number, a, b in zip(numbers.tolist(), first.tolist(), ends.tolist(), strict=True):
+        sink = pa.BufferOutputStream()
+        some = rows.slice(a, b - a).drop_columns(["block"])
+        with pa.ipc.new_stream(sink, some.schema) as writer:
+            writer.write_table(some)
+        yield pa.record_batch({"block": pa.array([number], pa.int32()), "part": pa.array([squeeze.compress(sink.getvalue())], pa.binary())})
+
+
+def _unpacked(part: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(part)).read_all()
+
+
+def _encoder(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of ``block, unit`` in order of units to parts of ``unit, ids`` by block; equal units are encoded once."""
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, held, n = None, [], [], 0
+        for batch in batches:
+            lists = []
+            for unit in batch.column("unit").to_pylist():
+                if unit != last:
+                    last, ids = unit, _best_ids(unit, vocabulary)
+                lists.append(ids)
+            held.append(pa.table({"block": batch.column("block"), "unit": batch.column("unit"), "ids": pa.array(lists, pa.list_(pa.int32()))}))
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield from _packed(pa.concat_tables(held))
+                held, n = [], 0
+        if held:
+            yield from _packed(pa.concat_tables(held))
+
+    return coded
 
 
 def encode(
@@ -186,37 +163,24 @@ def encode(
     other columns are not read.
 
     Documents are dealt by a hash to blocks of about ``block_rows``, as compressed parts, and shuffled once. Every distinct unit of all
-    texts is encoded once; a block is sent each of its distinct units once, and is put together in one task.
+    texts is encoded once; a block sends each of its distinct units once, gets it back with its ids, and is put together in one task.
     """
     blocks = max(1, -(-docs.count() // block_rows))
-    cut, byte_ids = vocabulary.units, vocabulary.byte_ids
+    cut = vocabulary.units
     kind = dict(docs.dtypes)[id_col]
     escaped = vocabulary.escaped
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     numbered = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=9)
         for batch in batches:
-            order = np.argsort(batch.column("block").to_numpy(), kind="stable")
-            sorted_rows = pa.Table.from_batches([batch]).take(pa.array(order)).combine_chunks()
-            numbers, first = np.unique(sorted_rows.column("block").to_numpy(), return_index=True)
-            ends = np.append(first[1:], sorted_rows.num_rows)
-            for number, a, b in zip(numbers.tolist(), first.tolist(), ends.tolist(), strict=True):
-                sink = pa.BufferOutputStream()
-                some = sorted_rows.slice(a, b - a).select(["id", "text"])
-                with pa.ipc.new_stream(sink, some.schema) as writer:
-                    writer.write_table(some)
-                yield pa.record_batch({"block": pa.array([number], pa.int32()), "part": pa.array([squeeze.compress(sink.getvalue())], pa.binary())})
-
-    def rows_of(part: bytes) -> pa.Table:
-        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(part)).read_all()
+            yield from _packed(pa.Table.from_batches([batch]))
 
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(cut).findall
 
         def told(number: int, found: set[str]) -> Iterator[pa.RecordBatch]:
-            listed = list(found)
+            listed = sorted(found)  # neighbours begin alike, which compresses
             for at in range(0, len(listed), 50_000):
                 some = listed[at:at + 50_000]
                 yield pa.record_batch({"block": pa.array([number] * len(some), pa.int32()), "unit": pa.array(some, pa.string())})
@@ -227,30 +191,32 @@ def encode(
                 if number != current:
                     yield from told(current, found)
                     current, found = number, set()
-                for text in rows_of(part.as_py()).column("text"):
+                for text in _unpacked(part.as_py()).column("text"):
                     found.update(split(escaped(text.as_py())))
         yield from told(current, found)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {u: _ids_of(u, i, byte_ids) for u, i in zip(right.column("unit").to_pylist(), right.column("ids").to_pylist(), strict=True)}
+        found: dict[str, bytes] = {}
+        for part in right.column("part"):
+            rows = _unpacked(part.as_py()).combine_chunks()
+            ids = rows.column("ids").combine_chunks()
+            raw, offsets = ids.flatten().to_numpy().tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+            units = rows.column("unit").to_pylist()
+            found.update((u, raw[a:b]) for u, a, b in zip(units, offsets[:-1], offsets[1:], strict=True))
         split = re.compile(cut).findall
         names, lists = [], []
         for part in left.column("part"):
-            rows = rows_of(part.as_py())
+            rows = _unpacked(part.as_py())
             names.append(rows.column("id").combine_chunks())
             encoded = [b"".join(map(found.__getitem__, split(escaped(t.as_py())))) for t in rows.column("text")]
             offsets = np.cumsum([0] + [len(e) // 4 for e in encoded]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32))))
         return pa.table({"id": pa.chunked_array(names), "ids": pa.chunked_array(lists)})
 
-    dealt = numbered.mapInArrow(parts, "block int, part binary").repartition(blocks, "block")
+    dealt = numbered.select("block", "id", "text").mapInArrow(parts, "block int, part binary").repartition(blocks, "block")
     pairs = dealt.sortWithinPartitions("block").mapInArrow(distinct_units, "block int, unit string")
-    # One row per unit, and one more for every so many blocks that hold it, so that no row grows with the table.
-    band = F.floor(F.col("block") / BAND)
-    units = pairs.select("block", "unit", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"), band.alias("band")).groupBy(
-        "h1", "h2", "band"  # the keys of all that follows, so that a unit's rows stay where they are
-    ).agg(F.first("unit").alias("unit"), F.collect_list("block").alias("blocks"))
-    coded = encode_units(units, vocabulary).select("unit", "ids", F.explode("blocks").alias("block"))
+    gathered = pairs.repartition("unit").sortWithinPartitions("unit")
+    coded = gathered.mapInArrow(_encoder(vocabulary), "block int, part binary")
     whole = dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids array<int>")
     return whole.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_ids"))
 

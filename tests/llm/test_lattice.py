@@ -71,3 +71,20 @@ def test_round_trip_of_odd_rows(odd, empty, vocabulary):
     assert sorted(got.back) == sorted((r["text"] or "") for r in odd.collect())
     assert list(got.columns) == ["doc_id", "ids", "n_ids", "back"]
     assert lattice.encode(empty, vocabulary).count() == 0
+
+
+def test_lattices_are_no_rows(spark, vocabulary):
+    """Shuffles carry texts, distinct units and their ids; no row is made of a substring or an edge."""
+    frame = spark.range(40).selectExpr("id doc_id", "concat('unit', id, ' of the corpus') text")
+    plan = lattice.encode(frame, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_units_return_in_parts(spark, monkeypatch):
+    """Equal units of many blocks, packed a few at a time, and characters that are no piece."""
+    monkeypatch.setattr(lattice, "PACK_ROWS", 5)
+    vocabulary = small({"▁": -2.0, "a": -3.0, "aa": -6.0, "▁a": -5.0, "b": -1.0, "bab": -1.5, "babab": -9.0})
+    texts = [f"{'ab' * (i % 7)} aa éa{'b' * (i % 5)} \U0001d11ea" for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["ids"] for r in lattice.encode(frame, vocabulary, block_rows=4).collect()}
+    assert got == {i: brute(t, vocabulary) for i, t in enumerate(texts)}
