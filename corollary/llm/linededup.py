@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corollary.llm.common import WORD, apart, small_side, together, words
+from corollary.llm.common import apart, small_side, together
 from corollary.session import ensure_checkpoint_dir
 
 #: Least Jaccard similarity of a match, in percent, words of a token, and rarest tokens whose lines are compared first.
@@ -53,9 +53,10 @@ def _ceil(numerator: Column, denominator: int) -> Column:
 
 
 def _class_of(token: Column, classes: str) -> Column:
-    """The class of a token's bucket; a constant of one byte per bucket, which is cut at a place without reading what is before it."""
-    place = token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-    return F.ascii(F.substring(F.lit(classes.encode()), place, F.lit(1)).cast("string")) - FIRST
+    """The class of a token's bucket, from a constant array of one number per bucket."""
+    listed = F.split(F.lit(",".join(str(ord(c) - FIRST) for c in classes)), ",").cast("array<long>")
+    of = F.get(listed, token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    return F.coalesce(of, F.lit(0).cast("long"))  # never null, so that arrays of keys are sorted as plain numbers
 
 
 def _slots_of(token_key: Column, slots: list[int]) -> Column:
@@ -66,6 +67,20 @@ def _slots_of(token_key: Column, slots: list[int]) -> Column:
     return F.when(rank < first, F.lit(1)).otherwise(many)
 
 
+def _plain(text: Column) -> Column:
+    """``text`` with spaces for its other blanks, but line ends; translated only where it holds one, as that looks at every character."""
+    rare = ("\t", "\x0b", "\x0c", "\r")
+    held = F.contains(text, F.lit(rare[0]))
+    for blank in rare[1:]:
+        held |= F.contains(text, F.lit(blank))
+    return F.when(held, F.translate(text, "".join(rare), " " * len(rare))).otherwise(text)
+
+
+def words(line: Column | str) -> Column:
+    """The words of a line of :func:`lines_of`, in order; its only blanks are spaces."""
+    return F.array_remove(F.split(line, " "), "")
+
+
 def token_hashes(line: Column | str, shingle: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of a line's tokens; of its words' hashes, so that each word is hashed once."""
     def runs(h: Column) -> Column:
@@ -92,12 +107,15 @@ def text_key(text_col: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with a word: ``at`` (missing, id, text key, line number), by which they are ordered, 128-bit key ``h1``, ``h2``, ``line``."""
-    keyed = docs.select(  # before the lines, so that each text is hashed once
-        F.col(f"`{id_col}`").alias("__id"), text_key(text_col).alias("__key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")
+    """Lines with a word: ``at`` (missing, id, text key, line number), by which they are ordered, 128-bit key ``h1``, ``h2``, ``line``.
+
+    A blank of any kind is a space in ``line``, so that lines of equal words and differing blanks between them may be one.
+    """
+    keyed = docs.select(  # before the lines, so that each text is hashed, and its blanks looked for, once
+        F.col(f"`{id_col}`").alias("__id"), text_key(text_col).alias("__key"), _plain(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__text")
     )
     split = keyed.select("__id", "__key", F.posexplode(F.split("__text", "\n")).alias("__no", "line"))
-    return split.where(F.rlike("line", F.lit(WORD))).select(
+    return split.where(F.trim("line") != "").select(
         F.struct(
             F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__no").alias("no")
         ).alias("at"),
@@ -171,7 +189,7 @@ def distinct_lines(lines: DataFrame, threshold: int, shingle: int) -> tuple[Data
     (its bitmap).
     """
     classes, slots = rarity(lines, shingle)
-    key = lambda t: F.shiftleft(_class_of(t, classes).cast("long"), LOW).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
+    key = lambda t: F.shiftleft(_class_of(t, classes), LOW).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
     hashed = lines.select("h1", "h2", "at", token_hashes("line", shingle).alias("t"))
     hashed = hashed.withColumn("t", F.sort_array("t"))
     n, zero = F.size("t"), F.lit(0).cast("long")
@@ -217,12 +235,13 @@ def candidates(rows: DataFrame, slots: list[int], threshold: int) -> DataFrame:
         "token", "slot", *(F.col(c).alias(f"x_{c}") for c in ("h1", "ord", "n", "i", "b0", "b1"))
     )
     n, m = F.col("n"), F.col("x_n")
-    needed = _needed(n, m, threshold)
     gap = _gap([F.col("b0"), F.col("b1")], [F.col("x_b0"), F.col("x_b1")])
-    # At the first token that two lines share, they can only share those from it on.
+    # At the first token that two lines share, they can only share those from it on: as many as they need, which their sizes then
+    # allow as well. In whole numbers and without division, as this is asked of every two rows that meet.
+    share, all_of = (n + m) * threshold, 100 + threshold
     may = (
-        (F.col("x_ord") <= F.col("ord")) & _sizes(n, m, threshold) & (F.least(n - F.col("i"), m - F.col("x_i")) >= needed)
-        & (gap <= n + m - 2 * needed) & (F.col("x_h1") != F.col("h1"))
+        (F.col("x_ord") <= F.col("ord")) & ((n - F.col("i")) * all_of >= share) & ((m - F.col("x_i")) * all_of >= share)
+        & (F.shiftright(n + m - gap, 1) * all_of >= share) & (F.col("x_h1") != F.col("h1"))
     )
     met = asks.join(asked, (asks["token"] == asked["token"]) & (asks["slot"] == asked["slot"]) & may)
     return met.select("h1", F.col("x_h1").alias("x"), gap.alias("gap"))

@@ -164,3 +164,15 @@ def test_families_whose_rarest_words_differ_meet_few_lines(spark, monkeypatch):
     monkeypatch.setattr(linededup, "candidates", lambda *a: made.append(whole(*a)) or made[-1])
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
     assert made[0].select("h1", "x").distinct().count() < 10 * len(rows)
+
+
+def test_blanks_of_any_kind(spark):
+    """A blank is a space from the first step on, so that words are split at one character; texts keep their own blanks."""
+    rows = [(1, "a\tb c\r\n\x0b \x0c\nd  e\tf"), (2, "a b c\na\u00a0b c\t\n \nd e f g"), (3, "x\ra b\tc"), (4, "\t\n\r"), (5, "c\x0cb\x0ba\x0ca")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = linededup.lines_of(frame, "doc_id", "text")
+    assert {r["line"] for r in lines.collect() if r["at"]["id"] == 1} == {"a b c ", "d  e f"}
+    assert {tuple(r["w"]) for r in lines.select(linededup.words("line").alias("w")).collect()} >= {("a", "b", "c"), ("a\u00a0b", "c"), ("d", "e", "f")}
+    check(frame, rows)
+    left = {r["doc_id"]: r["text"] for r in linededup.remove_similar_lines(frame).collect()}
+    assert left == {1: rows[0][1], 2: "a\u00a0b c\t\n \nd e f g", 3: rows[2][1], 4: rows[3][1], 5: ""}
