@@ -14,7 +14,6 @@ such families in a few comparisons a line. Lines that this doesn't settle meet a
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,13 +91,18 @@ def token_hashes(line: Column | str, shingle: int = SHINGLE) -> Column:
     return F.array_distinct(hashed if shingle == 1 else F.flatten(F.transform(F.array(hashed), runs)))
 
 
-def tokens(line: Column | str, shingle: int = SHINGLE) -> Column:
-    """Distinct tokens themselves, which the last comparison is of."""
+def repeated(line: Column | str, shingle: int = SHINGLE) -> Column:
+    """A line's tokens themselves, repeats included."""
     def runs(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (shingle - 1)))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, shingle), " "))
 
-    return F.array_distinct(F.flatten(F.transform(F.array(words(line)), runs)))
+    return words(line) if shingle == 1 else F.flatten(F.transform(F.array(words(line)), runs))
+
+
+def tokens(line: Column | str, shingle: int = SHINGLE) -> Column:
+    """Distinct tokens themselves, which the last comparison is of."""
+    return F.array_distinct(repeated(line, shingle))
 
 
 def text_key(text_col: str) -> Column:
@@ -162,13 +166,12 @@ def _gap(bits: list[Column], others: list[Column]) -> Column:
     return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits, others, strict=True)), F.lit(0))
 
 
-def _folded(half: int) -> Callable[[Column, Column], Column]:
-    """Adds a token to one half of a bitmap of 128 bits, each of which tells whether an odd number of tokens hash to it."""
-    def added(bits: Column, token: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(token, 58).cast("int"))
-        return F.when(token.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
+def _folded(bits: Column, token: Column) -> Column:
+    """Adds a token to half a bitmap of 128 bits, each of which tells whether an odd number of tokens hash to it.
 
-    return added
+    Hashes of a half share their sign. The six bits below it tell the bit: a shift of a long takes its distance modulo 64.
+    """
+    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(token, 57).cast("int")))
 
 
 def _place(at_id: Column, kind: str) -> Column:
@@ -190,15 +193,20 @@ def distinct_lines(lines: DataFrame, threshold: int, shingle: int) -> tuple[Data
     """
     classes, slots = rarity(lines, shingle)
     key = lambda t: F.shiftleft(_class_of(t, classes), LOW).bitwiseOR(F.shiftrightunsigned(t, 64 - LOW))
-    hashed = lines.select("h1", "h2", "at", token_hashes("line", shingle).alias("t"))
-    hashed = hashed.withColumn("t", F.sort_array("t"))
-    n, zero = F.size("t"), F.lit(0).cast("long")
+    # A zero among the sorted hashes tells the negative ones from the others: the halves of a bitmap, so that each token is folded once.
+    # Each step is used more than once by the next, which keeps plain array functions out of the functions of single tokens.
+    mark = F.array(F.lit(0).cast("long"))
+    hashed = lines.select("h1", "h2", "at", F.sort_array(F.concat(token_hashes("line", shingle), mark)).alias("z"))
+    hashed = hashed.withColumn("zero_at", F.array_position("z", F.lit(0).cast("long")).cast("int"))
+    hashed = hashed.withColumn("b0", F.slice("z", F.lit(1), F.col("zero_at") - 1)).withColumn("b1", F.slice("z", F.col("zero_at") + 1, F.size("z")))
+    hashed = hashed.select("h1", "h2", "at", "b0", "b1", (F.size("b0") + F.size("b1")).alias("n"), F.concat("b0", "b1").alias("t"))
+    n, zero = F.col("n"), F.lit(0).cast("long")
     # A number as well, so that no two kinds of sketches meet; places beyond the line's ends are null, which a hash skips.
     at = lambda k: F.get("t", F.lit(k - 1) if k > 0 else n + k)
     body = F.struct(
         n.alias("n"), F.array(*(F.xxhash64(F.lit(i), *map(at, places)) for i, places in enumerate(SKETCHES))).alias("sketches"),
         F.slice(F.sort_array(F.transform("t", key)), 1, n - _ceil(n * threshold, 100) + 1).alias("prefix"),
-        *(F.aggregate("t", zero, _folded(k)).alias(f"b{k}") for k in (0, 1)),
+        *(F.aggregate(half, zero, _folded).alias(half) for half in ("b0", "b1")),
     )
     distinct = hashed.select("h1", "h2", "at", body.alias("body")).groupBy("h1", "h2").agg(
         F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("body").alias("body")
@@ -206,10 +214,9 @@ def distinct_lines(lines: DataFrame, threshold: int, shingle: int) -> tuple[Data
     return _written(distinct.select("h1", "h2", "at", "copies", "body.*")), slots
 
 
-def _similar(a: str, b: str, threshold: int) -> Column:
-    """Whether two arrays of distinct tokens have a Jaccard similarity of ``threshold`` percent or more."""
-    shared = F.size(F.array_intersect(a, b))
-    return 100 * shared >= threshold * (F.size(a) + F.size(b) - shared)
+def _similar(a: Column, b: Column, n: Column, m: Column, threshold: int) -> Column:
+    """Whether two arrays of ``n`` and ``m`` distinct tokens have a Jaccard similarity of ``threshold`` percent or more."""
+    return (100 + threshold) * F.size(F.array_intersect(a, b)).cast("long") >= threshold * (n + m)  # each array is named, and so made, once
 
 
 def _staying(condition: Column) -> Column:
@@ -221,30 +228,41 @@ def candidates(rows: DataFrame, slots: list[int], threshold: int) -> DataFrame:
     """``h1, x, gap``: open lines and lines of no later id that share a prefix token and may be similar.
 
     A row is dealt by its token. It asks, if its line is open, and is asked; rows of a token that many lines have lie in slots, and
-    an open line of such a token asks in all of them. One shuffle serves both sides.
+    an open line of such a token asks in all of them. Of two open lines the larger asks the smaller, whichever is later: the smaller
+    then shares one of fewer tokens with it than its prefix has, and the two meet once. One shuffle serves both sides.
     """
+    n, i = F.col("n").cast("long"), F.col("i").cast("long")
+    all_of = 100 + threshold
     wide = _slots_of(F.col("token"), slots)
     own = F.pmod(F.col("h1"), wide).cast("int")
     each = rows.withColumn("own", own).withColumn(
         "slot", F.explode(F.when(F.col("open") & (wide > 1), F.sequence(F.lit(0), wide - 1)).otherwise(F.array("own")))
     )
-    flags = F.when(F.col("open"), 1).otherwise(0) + F.when(F.col("slot") == F.col("own"), 2).otherwise(0)
-    dealt = each.select("token", "slot", "h1", "ord", "n", "i", "b0", "b1", flags.alias("flags")).repartition("token", "slot")
+    # An open line is asked by larger ones only, so that it shares 2 n threshold / (100 + threshold) tokens at least with any of them.
+    asked_at = ~F.col("open") | (all_of * (n - i) >= 2 * threshold * n)
+    flags = F.when(F.col("open"), 1).otherwise(0) + F.when((F.col("slot") == F.col("own")) & asked_at, 2).otherwise(0)
+    # Token and slot are one number, by which rows are sorted as such.
+    dealt = each.select(
+        F.xxhash64("token", "slot").alias("token"), "h1", "ord", n.alias("n"), (all_of * (n - i)).alias("left"), "b0", "b1", flags.alias("flags")
+    ).where("flags > 0").repartition("token")
     asks = dealt.where(_staying(F.col("flags").bitwiseAND(F.lit(1)) > 0)).drop("flags")
     asked = dealt.where(_staying(F.col("flags").bitwiseAND(F.lit(2)) > 0)).select(
-        "token", "slot", *(F.col(c).alias(f"x_{c}") for c in ("h1", "ord", "n", "i", "b0", "b1"))
+        F.col("token").alias("x_token"), *(F.col(c).alias(f"x_{c}") for c in ("h1", "ord", "n", "left", "b0", "b1")),
+        (F.col("flags").bitwiseAND(F.lit(1)) > 0).alias("x_open"),
     )
     n, m = F.col("n"), F.col("x_n")
     gap = _gap([F.col("b0"), F.col("b1")], [F.col("x_b0"), F.col("x_b1")])
     # At the first token that two lines share, they can only share those from it on: as many as they need, which their sizes then
     # allow as well. In whole numbers and without division, as this is asked of every two rows that meet.
-    share, all_of = (n + m) * threshold, 100 + threshold
+    share = (n + m) * threshold
     may = (
-        (F.col("x_ord") <= F.col("ord")) & ((n - F.col("i")) * all_of >= share) & ((m - F.col("x_i")) * all_of >= share)
-        & (F.shiftright(n + m - gap, 1) * all_of >= share) & (F.col("x_h1") != F.col("h1"))
+        (F.col("x_left") >= share) & (F.col("left") >= share) & (F.shiftright(n + m - gap, 1) * all_of >= share)
+        & (F.col("x_h1") != F.col("h1")) & F.when(F.col("x_open"), n >= m).otherwise(F.col("x_ord") <= F.col("ord"))
     )
-    met = asks.join(asked, (asks["token"] == asked["token"]) & (asks["slot"] == asked["slot"]) & may)
-    return met.select("h1", F.col("x_h1").alias("x"), gap.alias("gap"))
+    met = asks.join(asked, (F.col("token") == F.col("x_token")) & may).select("h1", "ord", "x_h1", "x_ord", "x_open", gap.alias("gap"))
+    later = F.struct(F.col("h1"), F.col("x_h1").alias("x")), F.struct(F.col("x_h1").alias("h1"), F.col("h1").alias("x"))
+    ways = F.array(F.when(F.col("x_ord") <= F.col("ord"), later[0]), F.when(F.col("x_open") & (F.col("ord") <= F.col("x_ord")), later[1]))
+    return met.select(F.explode(ways).alias("pair"), "gap").where("pair is not null").select("pair.h1", "pair.x", "gap")
 
 
 def matched_lines(lines: DataFrame, distinct: DataFrame, slots: list[int], threshold: int, shingle: int) -> DataFrame:
@@ -252,16 +270,17 @@ def matched_lines(lines: DataFrame, distinct: DataFrame, slots: list[int], thres
     ord_ = _place(F.col("at.id"), dict(lines.select("at.id").dtypes)["id"]).alias("ord")
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        y = held.select("h1", "h2", "at", F.col("line").alias("y_line"))
-        x = held.select(F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("line").alias("x_line"))
+        y = held.select("h1", "h2", "at", F.col("line").alias("y_line"), F.col("n").alias("y_n"))
+        x = held.select(F.col("h1").alias("x"), F.col("at").alias("x_at"), F.col("line").alias("x_line"), F.col("n").alias("x_n"))
         both = pairs.join(y, "h1").join(x, "x").where("x_at < at")  # lines are shuffled, tokens, which are longer, made of them here
-        compared = both.select("h1", "h2", tokens("y_line", shingle).alias("a"), tokens("x_line", shingle).alias("b"))
-        return compared.where(_similar("a", "b", threshold)).select("h1", "h2").distinct()
+        alike = _similar(repeated("y_line", shingle), repeated("x_line", shingle), F.col("y_n"), F.col("x_n"), threshold)
+        return both.where(alike).select("h1", "h2").distinct()
 
     def held_for(pairs: DataFrame) -> DataFrame:
         needed = small_side(pairs.select("h1").unionAll(pairs.select("x")).distinct())
         some = lines.join(needed, "h1", "left_semi")
-        return _written(some.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line")))
+        each = some.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line"))
+        return _written(each.withColumn("n", F.size(tokens("line", shingle)).cast("long")))
 
     rarest = F.slice("prefix", 1, LEADING)
     first = distinct.select(
@@ -270,7 +289,8 @@ def matched_lines(lines: DataFrame, distinct: DataFrame, slots: list[int], thres
     slot = F.when(F.col("i") < F.col("rarest"), F.pmod(F.col("h1"), _slots_of(F.col("token"), slots)).cast("int")).otherwise(-1)
     near = Window.partitionBy("token", "slot").orderBy("ord", "h1")
     own = F.struct("h1", "n", "b0", "b1")
-    earlier = F.array(F.first(own).over(near), *(F.lag(own, k).over(near) for k in range(1, BEFORE + 1)))
+    until = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = F.array(F.first(own).over(until), *(F.lag(own, k).over(near) for k in range(1, BEFORE + 1)))
     led = first.withColumn("slot", slot).withColumn("earlier", earlier).select("h1", "n", "b0", "b1", F.explode("earlier").alias("leader"))
     n, leader = F.col("n"), F.col("leader")
     gap = _gap([F.col("b0"), F.col("b1")], [leader["b0"], leader["b1"]])

@@ -176,3 +176,44 @@ def test_blanks_of_any_kind(spark):
     check(frame, rows)
     left = {r["doc_id"]: r["text"] for r in linededup.remove_similar_lines(frame).collect()}
     assert left == {1: rows[0][1], 2: "a\u00a0b c\t\n \nd e f g", 3: rows[2][1], 4: rows[3][1], 5: ""}
+
+
+def test_rows_meet_on_one_number(spark):
+    """Token and slot are one key of the join, so that rows are sorted by a number; a line's words are made without a step for each."""
+    rows = spark.range(10).selectExpr("id h1", "id ord", "5 n", "0L b0", "0L b1", "true open", "0 i", "id % 3 token")
+    plan = linededup.candidates(rows, [1] * linededup.CLASSES, 80)._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"RepartitionByExpression \[([^\]]*)\]", plan)
+    assert keys and not any("," in k for k in keys)
+    single = spark.range(1).select(linededup.tokens(F.lit("b a  b")).alias("t"))
+    assert single.first()["t"] == ["b", "a"]
+    assert "transform" not in spark.range(1).select(linededup.tokens(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_open_lines_meet_once_whichever_is_later(spark):
+    """The larger asks the smaller; the later of the two is the one that may go, and a settled line is only met by later ones."""
+    def met(*lines):
+        rows = [(k, ord_, n, i, 0, 0, is_open, 7) for k, ord_, n, i, is_open in lines]
+        frame = spark.createDataFrame(rows, "h1 long, ord long, n int, i int, b0 long, b1 long, open boolean, token long")
+        return sorted(map(tuple, linededup.candidates(frame, [1] * linededup.CLASSES, 80).select("h1", "x").distinct().collect()))
+
+    assert met((1, 1, 9, 0, True), (2, 2, 10, 0, True)) == [(2, 1)]
+    assert met((1, 2, 9, 0, True), (2, 1, 10, 0, True)) == [(1, 2)]
+    assert met((1, 1, 9, 0, True), (2, 1, 9, 0, True)) == [(1, 2), (2, 1)]
+    assert met((1, 1, 9, 0, False), (2, 2, 10, 1, True)) == [(2, 1)]
+    assert met((1, 2, 9, 0, False), (2, 1, 10, 0, True)) == met((1, 1, 9, 0, False), (2, 2, 10, 0, False)) == []
+    assert met((1, 1, 10, 1, True), (2, 2, 10, 1, True)) == [(2, 1)] and met((1, 1, 10, 2, True), (2, 2, 10, 2, True)) == []
+
+
+def test_bitmaps_bound_the_words_that_differ(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(1, 120))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    distinct, _ = linededup.distinct_lines(linededup.lines_of(frame, "doc_id", "text"), 80, 1)
+    got = [(set(texts[r["at"]["id"]].split()), r["n"], (r["b0"] % 2**64) | (r["b1"] % 2**64) << 64) for r in distinct.collect()]
+    used = 0
+    for words, n, bits in got:
+        assert n == len(words)
+        used |= bits
+        for others, _, theirs in got:
+            assert (bits ^ theirs).bit_count() <= len(words ^ others)
+    assert used.bit_count() > 120  # both halves, and all their bits
