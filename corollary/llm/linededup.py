@@ -260,9 +260,10 @@ def candidates(rows: DataFrame, slots: list[int], threshold: int) -> DataFrame:
         & (F.col("x_h1") != F.col("h1")) & F.when(F.col("x_open"), n >= m).otherwise(F.col("x_ord") <= F.col("ord"))
     )
     met = asks.join(asked, (F.col("token") == F.col("x_token")) & may).select("h1", "ord", "x_h1", "x_ord", "x_open", gap.alias("gap"))
-    later = F.struct(F.col("h1"), F.col("x_h1").alias("x")), F.struct(F.col("x_h1").alias("h1"), F.col("h1").alias("x"))
-    ways = F.array(F.when(F.col("x_ord") <= F.col("ord"), later[0]), F.when(F.col("x_open") & (F.col("ord") <= F.col("x_ord")), later[1]))
-    return met.select(F.explode(ways).alias("pair"), "gap").where("pair is not null").select("pair.h1", "pair.x", "gap")
+    one, other = F.struct(F.col("h1"), F.col("x_h1").alias("x")), F.struct(F.col("x_h1").alias("h1"), F.col("h1").alias("x"))
+    # One row a pair, in the direction of the later line; two only where the ids don't tell which that is.
+    ways = F.when(~F.col("x_open") | (F.col("x_ord") < F.col("ord")), F.array(one)).when(F.col("ord") < F.col("x_ord"), F.array(other))
+    return met.select(F.explode(ways.otherwise(F.array(one, other))).alias("pair"), "gap").select("pair.h1", "pair.x", "gap")
 
 
 def matched_lines(lines: DataFrame, distinct: DataFrame, slots: list[int], threshold: int, shingle: int) -> DataFrame:
